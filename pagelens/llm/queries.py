@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pagelens.llm import media, mixing, pii, sharding
+from pagelens.llm import media, mixing, ngram_join, pii, sharding, substrings
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op6_pii": pii.op6_pii,
+    "op7_substrings": substrings.op7_substrings,
     "op8_mixing": mixing.op8_mixing,
     "op10_media": media.op10_media,
 }
