@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pagelens.llm import media, mixing, ngram_join, pii, sharding, substrings
+from pagelens.llm import decontamination, media, mixing, ngram_join, pii, quality, sharding, substrings, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_sharding": sharding.op3_sharding,
     "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_pii": pii.op6_pii,
     "op7_substrings": substrings.op7_substrings,
     "op8_mixing": mixing.op8_mixing,
+    "op9_quality": quality.op9_quality,
     "op10_media": media.op10_media,
 }
 
