@@ -1,9 +1,9 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 An item may be changed in up to ``budget`` characters. Cut into budget + 1 pieces, at least one piece stands
-unchanged in whatever matches it, so exact hits of pieces (found in one pass by an Aho-Corasick automaton over
-the pieces of all items) name the stretches in which the item can stand, and Myers' bit-parallel edit distance
-decides there. Texts and items are compared in lower case with white space runs as one space.
+unchanged in whatever matches it; cut into SPARE more, 1 + SPARE pieces do. So exact hits of that many pieces
+(found in one pass by an Aho-Corasick automaton over the pieces of all items) name the stretches in which the item
+can stand, and Myers' bit-parallel edit distance decides there. Texts and items are compared in lower case with white space runs as one space.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pagelens.llm.common import filter_batches, map_batches, table, texts
 
 #: Share of an item's characters that may be changed.
 BUDGET = 0.1
+#: Pieces beyond budget + 1; each makes one more hit necessary, and chance hits of two pieces in one place are rare.
+SPARE = 1
 #: Items are sent to the executors in blocks of about this many characters; each block is one pass over the texts.
 BLOCK_CHARS = 1 << 20
 
@@ -30,8 +32,8 @@ def normal(text: str | None) -> str:
 
 
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
-    """(start, piece) of budget + 1 pieces whose lengths differ by one at most."""
-    n = budget + 1
+    """(start, piece) of budget + 1 + SPARE pieces, or as many as there are characters; lengths differ by one at most."""
+    n = min(budget + 1 + SPARE, len(item))
     cuts = [len(item) * k // n for k in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -80,20 +82,23 @@ class Matcher:
         """(item_id, distance, end) of the best match of each item that the normal text holds."""
         if not self.any:
             return
-        near: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        near: dict[int, list[tuple[int, int, set[int]]]] = defaultdict(list)
         for last, (length, at) in self.automaton.iter(text):
             first = last + 1 - length
             for n, start in at:
                 _, item, most = self.items[n]
                 low, high = max(0, first - start - most), first - start + len(item) + most
                 spans = near[n]
-                if spans and low <= spans[-1][1]:  # hits come by their ends, so starts of one item rise almost in order
-                    spans[-1] = (min(low, spans[-1][0]), max(high, spans[-1][1]))
-                else:
-                    spans.append((low, high))
+                starts = {start}
+                # Hits come in order of their ends, so a stretch may begin before those of several earlier hits.
+                while spans and low <= spans[-1][1]:
+                    low_, high_, starts_ = spans.pop()
+                    low, high, starts = min(low, low_), max(high, high_), starts_ | starts
+                spans.append((low, high, starts))
         for n in sorted(near):
             number, item, most = self.items[n]
-            found = [(m[0], low + m[1]) for low, high in near[n] if (m := best_match(item, text[low:high], most))]
+            needed = min(most + 1 + SPARE, len(item)) - most
+            found = [(m[0], low + m[1]) for low, high, starts in near[n] if len(starts) >= needed and (m := best_match(item, text[low:high], most))]
             if found:
                 yield number, *min(found)
 
