@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagelens.llm import decontamination, media, mixing, ngram_join, pii, quality, sharding, substrings, toxicity
+from pagelens.llm import decontamination, media, mixing, ngram_join, pii, quality, secrets, sharding, substrings, toxicity
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_sharding": sharding.op3_sharding,
     "op4_ngram_join": ngram_join.op4_ngram_join,
