@@ -92,16 +92,15 @@ def queue(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT,
     return out.drop(f"{MINE}key", f"{MINE}range", f"{MINE}upto", f"{MINE}before", f"{MINE}s", f"{MINE}r")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeats: int = MAX_REPEATS, seed_columns: tuple[str, ...] = ()) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as the mix takes it, in order of finish time.
+def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The mix itself: the columns of ``docs``, each row as often as the mix takes it.
 
-    A document taken in part by at least half counts as whole, else not; one of size 0 is left out.
+    A serving taken in part counts as whole from half on, else not; documents of size 0 are left out. Order is not
+    kept; sort by ``queue``'s finish time where it matters.
     """
-    served = queue(docs, weights, share_percent, max_repeats).where(f"{MINE}size > 0")
-    served = served.withColumn(f"{MINE}copies", F.floor(F.col(f"{MINE}taken") / F.col(f"{MINE}size") + 0.5).cast("int"))
-    turns = served.withColumn(f"{MINE}turn", F.explode(F.sequence(F.lit(1), f"{MINE}copies"))) if max_repeats > 1 else served
-    turns = turns.where(f"{MINE}copies > 0") if max_repeats <= 1 else turns
-    return turns.select(*docs.columns)
+    served = queue(docs, weights, share_percent, max_repeats)
+    copies = F.when(F.col(f"{MINE}size") > 0, F.floor(F.col(f"{MINE}taken") / F.col(f"{MINE}size") + 0.5)).otherwise(0).cast("int")
+    return served.withColumn(f"{MINE}turn", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
