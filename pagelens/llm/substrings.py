@@ -15,19 +15,23 @@ very many documents share reaches one reducer once a batch, not once a document.
 from __future__ import annotations
 
 import hashlib
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import map_batches, table, texts
-from pagelens.llm.hashing import C1, C3, join_hashes, signed, windows, word_hashes
+from pagelens.llm.common import grouped, map_batches, partitions, table, texts
+from pagelens.llm.hashing import C1, C3, scramble, windows, word_hashes
 
 WINDOW = 20
 # The perfect difference set of order 3.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 KEY = "_sub_key"
+#: Bytes of text whose entries make one bucket, and whose found places make one slice at most.
+BUCKET_BYTES, SLICE_BYTES = 4 << 20, 128 << 20
 
 
 def _words(text: str) -> list[bytes]:
@@ -45,25 +49,112 @@ def _laid_out(batch: pa.RecordBatch, least: int):
     return keys[rows], np.cumsum(lengths) - lengths, lengths, hashes, rows
 
 
-def _settled(hashes: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(salt, known) for entries in order of (key, pos): the first of equal ones has salt 0, the others one of their
-    own; known: 0 alone in this batch, 1 first of several or a repeated row of it, 2 a later one."""
+def _settled(hashes: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """For entries in order of (key, pos): 0 alone in this batch, 1 first of several or a repeated row of it, 2 a later one."""
     if not len(key):
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    order = np.lexsort(hashes[::-1])
-    new = np.ones(len(key), bool)
-    new[1:] = np.logical_or.reduce([h[order][1:] != h[order][:-1] for h in hashes])
-    starts = np.flatnonzero(new)
-    count = np.diff(np.append(starts, len(key)))
+        return np.zeros(0, np.int8)
+    order, starts, count = _runs(hashes)
     first = np.repeat(order[starts], count)
     same = (key[order] == key[first]) & (pos[order] == pos[first])
-    known = np.empty(len(key), np.int32)
+    known = np.empty(len(key), np.int8)
     known[order] = np.where(same, np.repeat(count > 1, count), 2)
-    salt = np.where(known == 2, signed(join_hashes(key.view(np.uint64), pos.astype(np.uint64))) | 1, 0)
-    return salt, known
+    return known
+
+
+def _runs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stable order by all columns, starts of runs of equal entries in it, their lengths)."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    starts = np.flatnonzero(new)
+    return order, starts, np.diff(np.append(starts, len(order)))
+
+
+SENT = "bucket int, found boolean, h1 binary, h2 binary, places binary, n int"
+
+
+def _send(n_buckets: int, hashes: list[np.ndarray], key: np.ndarray, pos: np.ndarray, go: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket of hashes that the entries ``go`` are in, and one with the places already found.
+
+    A row holds columns of entries: hashes as they are, places compressed, which costs half of what a row for
+    each entry would.
+    """
+    bucket = (hashes[0] % np.uint64(n_buckets)).astype(np.int64)
+    rows: dict[str, list] = {n: [] for n in ("bucket", "found", "h1", "h2", "places", "n")}
+    at = np.flatnonzero(go)
+    at = at[np.argsort(bucket[at], kind="stable")]
+    cuts = np.flatnonzero(np.diff(bucket[at])) + 1
+    for part in np.split(at, cuts) if len(at) else []:
+        _row(rows, int(bucket[part[0]]), False, [h[part] for h in hashes], key[part], pos[part])
+    at = np.flatnonzero(found)
+    if len(at):
+        _row(rows, int(bucket[at[0]]), True, [], key[at], pos[at])
+    kinds = {"bucket": pa.int32(), "found": pa.bool_(), "h1": pa.binary(), "h2": pa.binary(), "places": pa.binary(), "n": pa.int32()}
+    return pa.RecordBatch.from_pydict({n: pa.array(v, kinds[n]) for n, v in rows.items()})
+
+
+def _row(rows: dict[str, list], bucket: int, found: bool, hashes: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> None:
+    second = (hashes[1] >> np.uint64(32)).astype(np.uint32).tobytes() if len(hashes) > 1 else None
+    for name, value in zip(rows, (bucket, found, hashes[0].tobytes() if hashes else None, second, _packed(key, pos), len(key)), strict=True):
+        rows[name].append(value)
 
 
-def anchors(docs: DataFrame, window: int) -> DataFrame:
+def _packed(key: np.ndarray, pos: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(key, prepend=np.int64(0)).tobytes() + pos.astype(np.int32).tobytes(), 1)
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, positions = [], []
+    for blob, n in zip(rows.column("places").to_pylist(), rows.column("n").to_pylist(), strict=True):
+        raw = zlib.decompress(blob)
+        keys.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
+        positions.append(np.frombuffer(raw, np.int32, n, 8 * n))
+    return np.concatenate(keys), np.concatenate(positions)
+
+
+def _received(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(hashes, keys, positions) of rows with hashes or of rows without."""
+    hashes = [np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("h1", np.uint64), ("h2", np.uint32)) if rows.column(c).null_count == 0]
+    return hashes, *_unpacked(rows)
+
+
+def _resolved(sent: DataFrame, n_slices: int, choose) -> DataFrame:
+    """(key, at): the places found already, and those that ``choose`` (hashes, keys, positions) -> mask picks from each bucket.
+
+    What a bucket finds goes on by slices of the keys, packed as it came.
+    """
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ["bucket"]):
+            done = group.column("found")
+            keys, places = [], []
+            for part, known in ((group.filter(done), True), (group.filter(pa.compute.invert(done)), False)):
+                if part.num_rows:
+                    hashes, key, pos = _received(part)
+                    picked = slice(None) if known else choose(hashes, key, pos)
+                    keys.append(key[picked])
+                    places.append(pos[picked])
+            key, pos = np.concatenate(keys), np.concatenate(places)
+            to = (scramble(key.view(np.uint64)) % np.uint64(n_slices)).astype(np.int32)
+            order = np.lexsort((pos, key, to))
+            key, pos, to = key[order], pos[order], to[order]
+            parts = np.split(np.arange(len(key)), np.flatnonzero(np.diff(to)) + 1) if len(key) else []
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([int(to[p[0]]) for p in parts], pa.int32()), "places": pa.array([_packed(key[p], pos[p]) for p in parts], pa.binary()), "n": pa.array(map(len, parts), pa.int32())})
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ["slice"]):
+            key, pos = _unpacked(group)
+            order = np.argsort(key, kind="stable")
+            key, pos = key[order], pos[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({KEY: key[cuts[:-1]], "at": pa.ListArray.from_arrays(pa.array(cuts), pa.array(pos))})
+
+    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pick, "slice int, places binary, n int")
+    return found.repartition("slice").sortWithinPartitions("slice").mapInArrow(gather, f"{KEY} long, at array<int>")
+
+
+def anchors(docs: DataFrame, window: int, n_buckets: int, n_slices: int) -> DataFrame:
+    """(key, at): positions of the anchors that stand more than once."""
     run = window - PERIOD + 1
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -73,14 +164,18 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
         pos = np.arange(len(h)) - starts[doc]
         at = np.flatnonzero(np.isin(pos % PERIOD, COVER) & (pos + run <= lengths[doc]))
         h, key, pos = h[at], keys[doc[at]], pos[at]
-        salt, known = _settled([h], key, pos)
-        return pa.RecordBatch.from_pydict({"h": signed(h), "salt": salt, "key": key, "pos": pos.astype(np.int32), "known": known})
+        known = _settled([h], key, pos)
+        return _send(n_buckets, [h], key, pos, known < 2, known > 0) if len(h) else None
 
-    return map_batches(docs, kernel, "h long, salt long, key long, pos int, known int")
+    def repeated(hashes: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        order, _, count = _runs(hashes)
+        return order[np.repeat(count > 1, count)]
 
+    return _resolved(map_batches(docs, kernel, SENT), n_slices, repeated)
 
-def full_windows(docs: DataFrame, window: int) -> DataFrame:
-    """Two hashes of each window with a kept anchor, of documents with ``at`` (the anchors' positions)."""
+
+def later_windows(docs: DataFrame, window: int, n_buckets: int, n_slices: int) -> DataFrame:
+    """(key, at): starts of windows that start earlier elsewhere, of documents with ``at`` (the kept anchors' positions)."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keys, starts, lengths, words, rows = _laid_out(batch, window)
@@ -100,10 +195,18 @@ def full_windows(docs: DataFrame, window: int) -> DataFrame:
         h1, h2 = windows(words, window, C1)[where], windows(words, window, C3)[where]
         doc = np.repeat(np.arange(len(keys)), lengths)[where]
         key, pos = keys[doc], where - starts[doc]
-        salt, known = _settled([h1, h2], key, pos)
-        return pa.RecordBatch.from_pydict({"h1": signed(h1), "h2": signed(h2), "salt": salt, "key": key, "pos": pos.astype(np.int32), "known": known})
+        known = _settled([h1, h2], key, pos)
+        return _send(n_buckets, [h1, h2], key, pos, known < 2, known == 2) if len(key) else None
+
+    def later(hashes: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        by_place = np.lexsort((pos, key))
+        order, starts, count = _runs([h[by_place] for h in hashes])
+        order = by_place[order]
+        first = np.repeat(order[starts], count)
+        # Repeated rows of the first one are not copies of it.
+        return order[(key[order] != key[first]) | (pos[order] != pos[first])]
 
-    return map_batches(docs, kernel, "h1 long, h2 long, salt long, key long, pos int, known int")
+    return _resolved(map_batches(docs, kernel, SENT), n_slices, later)
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -111,19 +214,14 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < PERIOD + 1:
         raise ValueError(f"windows of at least {PERIOD + 1} words")
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias(KEY), "text")
+    # Buckets and slices follow the text, so that one's entries fit a worker whatever the input.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = (1 + size // BUCKET_BYTES, max(partitions(docs.sparkSession), size // SLICE_BYTES))
+    # One shuffle of the texts serves both joins.
     by_doc = rows.repartition(KEY)
-    found = anchors(rows.select(KEY, "text"), window)
-    same = Window.partitionBy("h", "salt").orderBy("key", "pos")
-    # Sorted, equal anchors are neighbours; a group of one has none.
-    found = found.withColumn("other", F.coalesce(F.lag("key").over(same), F.lead("key").over(same)))
-    kept = found.where("known > 0 OR other IS NOT NULL").groupBy("key").agg(F.collect_list("pos").alias("at"))
-    near = by_doc.join(kept.withColumnRenamed("key", KEY).hint("shuffle_hash"), KEY)
-    full = full_windows(near, window)
-    same = Window.partitionBy("h1", "h2", "salt").orderBy("key", "pos")
-    # Not the row's number but whether the first of its kind stands elsewhere: repeated rows are not copies of each other.
-    full = full.withColumn("first", F.first(F.struct("key", "pos")).over(same))
-    again = full.where("known = 2 OR first.key <> key OR first.pos <> pos").groupBy("key").agg(F.collect_set("pos").alias("at"))
-    return by_doc.join(again.withColumnRenamed("key", KEY).hint("shuffle_hash"), KEY, "left").select("doc_id", "text", "at")
+    near = by_doc.join(anchors(rows.select(KEY, "text"), window, *n).hint("shuffle_hash"), KEY)
+    again = later_windows(near, window, *n)
+    return by_doc.join(again.hint("shuffle_hash"), KEY, "left").select("doc_id", "text", "at")
 
 
 def _kept(text: str, at: list[int] | None, window: int) -> tuple[list[bytes], int]:
