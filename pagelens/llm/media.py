@@ -21,7 +21,7 @@ FRAME, HOP, FFT, MELS = 400, 160, 512, 40
 #: The stored tensor: BINS stretches of time by MELS bands.
 BINS = 16
 #: Speech starts at HIGH dB over the median frame and ends under LOW dB over it.
-HIGH, LOW = 1.0, 0.0
+HIGH, LOW = 1.0, 0.5
 #: Frames of one pass, so that a long recording needs no more memory than a short one.
 BLOCK = 4096
 UNIT = 192

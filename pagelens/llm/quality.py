@@ -22,7 +22,9 @@ from pagelens.llm.common import filter_batches, map_batches, prepare, table, tex
 #: Bounds of the training sample, which is taken by a hash of doc_id.
 MAX_POSITIVE, MAX_REJECTED, MAX_UNLABELLED = 8_000, 4_000, 16_000
 BINS = 12
-STEPS, RATE, PENALTY = 300, 0.03, 1e-3
+STEPS, RATE = 300, 0.03
+#: Weight decay, shared out over the trusted positives: the fewer there are, the plainer the model.
+PENALTY = 3.0
 THRESHOLD = 0.3
 
 # The byte classes whose shares are features.
@@ -95,7 +97,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
         toward = np.concatenate([p.T @ (gp - 1), [np.sum(gp - 1)]]) * prior / len(p)
         away = np.concatenate([u.T @ gu, [gu.sum()]]) / len(u) - np.concatenate([p.T @ gp, [gp.sum()]]) * prior / len(p)
         grad = toward + away if rest >= 0 else toward
-        grad[:-1] += PENALTY * w
+        grad[:-1] += PENALTY / len(p) * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) * min(1.0, 2 * (1 - step / (STEPS + 1)))
         w, b = w - move[:-1], b - move[-1]
