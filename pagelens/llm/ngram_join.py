@@ -7,6 +7,11 @@ k2 of a part's pieces, so each set's signatures are hashes of its content in par
 pieces of the right number), and partners share a signature. With k + m parts they agree on m at least, so up
 to m - 1 parts with very few shingles, which say little, can be left out and no link is lost.
 
+Taking any fixed set of shingles out of all sets can only bring partners nearer, so signatures are made without
+shingles that are common in a sample of the corpus: else a passage that many documents share would be the whole
+content of some part in many of them. A set with m or more small parts is signed again with other parts, then in
+full, up to STAGES times: partners share a signature of the first stage in which one of them has few small parts.
+
 Sets that share signatures are chained to the least document of the signature, chains make candidate clusters,
 and clusters are verified exactly in blocks of bounded size. Copies (equal sets) are one node throughout.
 """
@@ -25,14 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import checkpoint, connected_components, map_batches, prepare, table, texts
+from pagelens.llm.common import checkpoint, connected_components, grouped, map_batches, prepare, table, texts
 from pagelens.llm.hashing import C1, C4, U, join_hashes, scramble, signed, windows, word_hashes
 
 #: A block holds at most this many shingles, and at most BLOCK // NODE sets.
 BLOCK, NODE = 1 << 20, 1 << 10
 #: Candidate sets are sent to every executor only up to this many rows; beyond, the texts are shuffled.
 BROADCAST_ROWS = 1 << 20
+#: Documents of the sample (by a hash of doc_id) in which shingles are counted, in how many a shingle is common, and
+#: how many common ones are kept at most. Whatever they come to, the links are the same; only the work differs.
+SAMPLE_DOCS, COMMON_IN, COMMON_MOST = 8_192, 3, 1 << 19
 COLUMNS = 4096
+#: How often a set is signed at most, and how often of that without common shingles.
+STAGES, RARE_STAGES = 6, 2
 
 
 @dataclass(frozen=True)
@@ -97,14 +107,14 @@ def instance(number: int, num: int, den: int) -> Instance:
 
 
 def _wide(number: int, k: int, low: int) -> Instance:
-    """One piece a part; enough spare parts that hardly any set has as many small ones."""
+    """One piece a part; enough spare parts that few sets have as many small ones."""
     for least in (3, 2, 1):
         for m in range(1, max(2, k // 3) + 1):
             mean = low / (k + m)
             small = (k + m) * sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(least))
-            if small + 5 * math.sqrt(small) + 1 <= m:
+            if small + 1.5 * math.sqrt(small) + 1 <= m:
                 return Instance(number, k + m, 1, 0, m, least)
-    return Instance(number, k + 1, 1, 0, 1, 0)
+    return Instance(number, k + 1 + k // 4, 1, 0, 1 + k // 4, 1)
 
 
 @functools.cache
@@ -112,30 +122,62 @@ def choices(pieces: int, keep: int) -> np.ndarray:
     return np.array([[U(p in c) for p in range(pieces)] for c in itertools.combinations(range(pieces), keep)], U)
 
 
-def signatures(s: np.ndarray, rule: Rule) -> np.ndarray:
+def without(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    if not len(common):
+        return s
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    return s[common[at] != s]
+
+
+def _cells(s: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the content, size) of each cell; cells are hash ranges, so the sorted set is already in their order."""
+    mixed = np.concatenate([np.zeros(1, U), np.cumsum(scramble(s, C4), dtype=U)])
+    cut = np.searchsorted(((s >> U(32)) * U(cells)) >> U(32), np.arange(cells + 1))
+    return mixed[cut[1:]] - mixed[cut[:-1]], np.diff(cut)
+
+
+def dealt(s: np.ndarray, stage: int) -> np.ndarray:
+    """The set under another order for each stage, so that it falls into other parts."""
+    return s if stage == 0 else np.sort(scramble(s + U(stage * int(C1) % 2**64)))
+
+
+def signatures(s: np.ndarray, rule: Rule, common: np.ndarray) -> np.ndarray:
     """All PartEnum signatures of a sorted set of hashes."""
     band = bisect.bisect(bands(rule.num, rule.den), len(s)) - 1
-    mixed = np.concatenate([np.zeros(1, U), np.cumsum(scramble(s, C4), dtype=U)])
+    rare = without(s, common)
     out = []
     for inst in (instance(n, rule.num, rule.den) for n in (band, band + 1)):
         cells = inst.parts * inst.pieces
         if not cells:
             continue
-        # Hash ranges, so that the sorted set is already in order of cells.
-        cut = np.searchsorted(((s >> U(32)) * U(cells)) >> U(32), np.arange(cells + 1))
-        sums, sizes = mixed[cut[1:]] - mixed[cut[:-1]], np.diff(cut)
-        name = U((inst.number << 32) + 1)
+        name = lambda kind, n, inst=inst: scramble(np.arange(n, dtype=U) + U((inst.number << 36) + (kind << 32)))
         if inst.pieces == 1:
-            small = sizes < inst.least
-            sig = join_hashes(scramble(np.arange(cells, dtype=U) + name), sums)
-            if small.sum() < inst.spare:
-                sig = sig[~small]
+            for stage in range(STAGES):
+                sums, sizes = _cells(dealt(rare if stage < RARE_STAGES else s, stage), cells)
+                small = sizes < inst.least
+                sig = join_hashes(name(stage, cells), sums)
+                few = small.sum() < inst.spare
+                out.append(sig if stage == STAGES - 1 and not few else sig[~small])
+                if few:
+                    break
         else:
             subsets = choices(inst.pieces, inst.pieces - inst.differ)
-            sig = (sums.reshape(inst.parts, inst.pieces) @ subsets.T).ravel()
-            sig = join_hashes(scramble(np.arange(len(sig), dtype=U) + name), sig)
-        out.append(scramble(sig))
-    return np.concatenate(out) if out else np.zeros(0, U)
+            sig = (_cells(s, cells)[0].reshape(inst.parts, inst.pieces) @ subsets.T).ravel()
+            out.append(join_hashes(name(STAGES, len(sig)), sig))
+    return scramble(np.concatenate(out)) if out else np.zeros(0, U)
+
+
+def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """Sorted hashes of the shingles that COMMON_IN or more of the sampled documents have."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate([np.zeros(0, U), *(shingles(t, rule.words) for t in texts(batch))]), return_counts=True)
+        return pa.RecordBatch.from_pydict({"h": signed(h), "n": n})
+
+    sample = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    rows = map_batches(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), kernel, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = rows.where(F.col("n") >= COMMON_IN).orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").toArrow().column("h").to_numpy()
+    return np.sort(found.astype(np.int64).view(U))
 
 
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -153,6 +195,7 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def candidate_pairs(docs: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): documents that share a signature, each with the least one that has it."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, rule))  # at most 8 * COMMON_MOST bytes
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen, sigs, owners = set(), [np.zeros(0, U)], [np.zeros(0, np.int64)]
@@ -161,7 +204,7 @@ def candidate_pairs(docs: DataFrame, rule: Rule) -> DataFrame:
             if doc is None or not len(s) or (name := identity(s)) in seen:
                 continue
             seen.add(name)  # copies are found by their classes
-            sigs.append(signatures(s, rule))
+            sigs.append(signatures(s, rule, sent.value))
             owners.append(np.full(len(sigs[-1]), doc, np.int64))
         sig, owner = np.concatenate(sigs), np.concatenate(owners)
         # Documents of this batch that share a signature are paired here, and one of them goes on.
@@ -180,26 +223,6 @@ def candidate_pairs(docs: DataFrame, rule: Rule) -> DataFrame:
     return rows.withColumn("b", F.coalesce("peer", F.first("doc").over(same))).where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows that have all keys alike, from batches in which such rows are neighbours."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
-        cuts = [0, *(np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(axis=0)) + 1), batch.num_rows]
-        for low, high in itertools.pairwise(cuts):
-            key = tuple(cols[:, low])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(low, high - low))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets[left] with sets[right], by products of 0/1 matrices in column blocks."""
     if len(left) * len(right) == 1:
@@ -228,7 +251,7 @@ def verified(rows: DataFrame, rule: Rule) -> DataFrame:
     links inside the task (cluster, i, j), and how many it links with there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, ["cluster", "i", "j"]):
+        for group in grouped(batches, ["cluster", "i", "j"]):
             node = group.column("node").to_numpy()
             order = np.argsort(node, kind="stable")
             node, block = node[order], group.column("block").to_numpy()[order]
