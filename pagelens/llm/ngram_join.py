@@ -34,13 +34,13 @@ from pagelens.llm.common import checkpoint, connected_components, grouped, map_b
 from pagelens.llm.hashing import C1, C4, U, join_hashes, scramble, signed, windows, word_hashes
 
 #: A block holds at most this many shingles, and at most BLOCK // NODE sets.
-BLOCK, NODE = 1 << 20, 1 << 10
+BLOCK, NODE = 1 << 20, 1 << 11
 #: Candidate sets are sent to every executor only up to this many rows; beyond, the texts are shuffled.
 BROADCAST_ROWS = 1 << 20
 #: Documents of the sample (by a hash of doc_id) in which shingles are counted, in how many a shingle is common, and
 #: how many common ones are kept at most. Whatever they come to, the links are the same; only the work differs.
 SAMPLE_DOCS, COMMON_IN, COMMON_MOST = 8_192, 3, 1 << 19
-COLUMNS = 4096
+COLUMNS = 1024
 #: How often a set is signed at most, and how often of that without common shingles.
 STAGES, RARE_STAGES = 6, 2
 
