@@ -107,3 +107,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     served = queue(docs)
     return served.select("doc_id", F.col(f"{MINE}size").alias("size"), F.col(f"{MINE}source_size").alias("source_size"), F.col(f"{MINE}target").alias("target"), F.col(f"{MINE}taken").alias("taken"), F.col(f"{MINE}finish").alias("finish"))
+
+
+def op8_sql(weights=WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeats: int = MAX_REPEATS) -> str:
+    """The same mix in DuckDB; only the arithmetic's order has to be that of source_targets."""
+    turns = " + ".join(f"greatest(0, least(size, whole - {k} * source_size - (upto - size)))" for k in range(max_repeats))
+    return f"""
+WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS size, md5(coalesce(cast(doc_id AS varchar), '')) AS key FROM documents),
+s AS (SELECT source, cast(sum(size) AS bigint) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, {list(weights)}[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(weights)} + 1] AS weight, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place, source_size * {max_repeats} AS cap, cast(sum(source_size) OVER () AS bigint) * {share_percent} AS budget FROM s),
+c AS (SELECT *, budget - 100 * cast(coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS left_over, sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM w),
+l AS (SELECT *, cast(left_over AS double) / 100.0::double / cast(open_weight AS double) AS level FROM c),
+t AS (SELECT *, (SELECT arg_min(level, (cap / weight, place)) FROM l WHERE level * weight < cap) AS open_level FROM l),
+q AS (SELECT doc_id, size, source_size, least(cast(cap AS double), coalesce(open_level * weight, cast(cap AS double))) AS target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size, text ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, cast(size AS bigint) AS size, source_size, target, cast({turns} AS bigint) AS taken, CASE WHEN target > 0 THEN cast(upto AS double) / target END AS finish FROM (SELECT *, cast(floor(target) AS bigint) AS whole FROM q)"""

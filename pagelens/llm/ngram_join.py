@@ -350,3 +350,18 @@ CONTRACT = Rule(words=3, num=90)
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"), CONTRACT)
+
+
+def op4_sql(rule: Rule = CONTRACT) -> str:
+    """The same links and groups in DuckDB, by counting the shingles that each pair of sets has in common."""
+    n = rule.words
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS words FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {n} THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - {n - 2}), lambda i: array_to_string(words[i:i + {n - 1}], ' '))) END AS items FROM w),
+k AS (SELECT doc_id, len(items) AS size, md5(array_to_string(list_sort(items), chr(10))) AS name, items FROM g),
+rep AS (SELECT name, min(doc_id) AS rep, any_value(size) AS size, any_value(items) AS items FROM k WHERE size > 0 GROUP BY name),
+item AS (SELECT rep, size, unnest(items) AS item FROM rep),
+link AS (SELECT a.rep AS a, b.rep AS b FROM item a JOIN item b ON a.item = b.item AND a.rep <> b.rep AND {rule.den} * least(a.size, b.size) >= {rule.num} * greatest(a.size, b.size) GROUP BY a.rep, b.rep, a.size, b.size HAVING {rule.den} * count(*) >= {rule.num} * (a.size + b.size - count(*))),
+reach AS (SELECT rep AS a, rep AS b FROM rep UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+part AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a), degree AS (SELECT a AS rep, count(*) AS n FROM link GROUP BY a)
+SELECT doc_id, k.size AS n_shingles, coalesce(part.component_id, doc_id) AS component_id, coalesce(degree.n, 0) AS n_links FROM k LEFT JOIN rep USING (name) LEFT JOIN part USING (rep) LEFT JOIN degree USING (rep)"""

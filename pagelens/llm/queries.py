@@ -19,4 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_sharding": sharding.op3_sql(),
+    "op4_ngram_join": ngram_join.op4_sql(),
+    "op7_substrings": substrings.op7_sql(),
+    "op8_mixing": mixing.op8_sql(),
 }

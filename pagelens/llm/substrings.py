@@ -262,3 +262,14 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
+
+
+def op7_sql(window: int = WINDOW) -> str:
+    """The same removals in DuckDB, with every window spelled out."""
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + {window - 1}], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - {window - 2})) AS i FROM w WHERE len(words) >= {window})),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS place FROM win) WHERE place > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM later, range({window}) r(k)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = w.doc_id"""
