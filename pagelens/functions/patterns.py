@@ -6,10 +6,12 @@ from __future__ import annotations
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WS = WS.replace("[", "[^", 1)
 ND = r"\p{Nd}"
+# Runs of white space that are not one plain space already.
+WIDE = rf"{WS.replace('x20', 'x1f')}{WS}*|\x20{WS}+"
 EDGES = rf"^{WS}+|{WS}+\z"
 
 # Markup that holds no visible text; the alternatives stand for one expression with a back reference.
-HIDDEN = "(?is)" + "|".join(rf"<{tag}[^>]*>.*?</{tag}>" for tag in ("script", "style", "noscript", "svg", "template"))
+HIDDEN = "(?is)<(?:" + "|".join(rf"{tag}[^>]*>.*?</{tag}>" for tag in ("script", "style", "noscript", "svg", "template")) + ")"
 COMMENT, TAG = r"(?is)<!--.*?-->", r"(?s)<[^>]+>"
 # Entities that are decoded, in this order, and no others.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
@@ -61,7 +63,8 @@ PATH_PART = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 ARTICLE, PRODUCT = r"/(?:blog|articles?|posts?|answers?|knowledge)", r"/(?:product|service|pricing|tools?)"
 
 CITED_URL = rf"""https?://[^\s\x{{a0}}\x{{3000}}，。）)】\]"']+"""
-CLAIM = rf"[^。；\n]{{0,30}}?(?:{ND}+(?:\.{ND}+)?%|{ND}+(?:\.{ND}+)?{WS}*(?:万|亿|个|家|天|倍))"
+CLAIMED_NUMBER = rf"(?:{ND}+(?:\.{ND}+)?%|{ND}+(?:\.{ND}+)?{WS}*(?:万|亿|个|家|天|倍))"
+CLAIM = rf"[^。；\n]{{0,30}}?{CLAIMED_NUMBER}"
 ROLE_WEIGHTS = {"independent": 1.0, "joint": 0.6, "citation_only": 0.25, "none": 0.0}
 GRADES = ((85, "A"), (70, "B"), (55, "C"), (40, "D"))
 POINTS = {"ok": 1.0, "warn": 0.5, "fail": 0.0}

@@ -31,7 +31,7 @@ def strip(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, P.WS + "+", " "))
+    return F.trim(F.regexp_replace(text, P.WIDE, " "))
 
 
 def visible_text(html: Column) -> Column:

@@ -81,6 +81,10 @@ def citation_checks(samples: DataFrame, fetches: DataFrame) -> DataFrame:
 
 
 def claims(samples: DataFrame) -> DataFrame:
-    """(pos, place, claim): numbers with what stands before them, none of them verified."""
-    found = samples.select("pos", F.posexplode(all_of(F.col("answer"), P.CLAIM)).alias("place", "claim"))
+    """(pos, place, claim): numbers with what stands before them, none of them verified.
+
+    Only answers with such a number are searched for what stands before it, which takes a try for each character.
+    """
+    some = samples.where(F.col("answer").rlike(P.CLAIMED_NUMBER))
+    found = some.select("pos", F.posexplode(all_of(F.col("answer"), P.CLAIM)).alias("place", "claim"))
     return found.select("pos", "place", strip(F.col("claim")).alias("claim")).where("length(claim) BETWEEN 1 AND 59")
