@@ -181,16 +181,19 @@ def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
 
 
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n_shingles, rep): rep is the least doc_id with an equal set (its own, where the set is empty)."""
+    """(docs, n_shingles, rep): doc_ids of one batch with equal sets, and the least doc_id with that set anywhere (null
+    for empty sets). A set that very many documents share is a row for each batch here, not for each document."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, rule.words) for t in texts(batch)]
-        names = [identity(s) if len(s) else (None, None) for s in sets]
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "n_shingles": pa.array(map(len, sets), pa.int64()), "s1": pa.array([n[0] for n in names], pa.int64()), "s2": pa.array([n[1] for n in names], pa.int64())})
+        found: dict[tuple, list] = {}
+        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+            s = shingles(text, rule.words)
+            found.setdefault((*identity(s), len(s)) if len(s) else (None, None, 0), []).append(doc)
+        return pa.RecordBatch.from_pydict({"docs": pa.array(list(found.values()), pa.list_(pa.int64())), "s1": pa.array([k[0] for k in found], pa.int64()), "s2": pa.array([k[1] for k in found], pa.int64()), "n_shingles": pa.array([k[2] for k in found], pa.int64())})
 
-    rows = checkpoint(map_batches(docs.select("doc_id", "text"), kernel, "doc_id long, n_shingles long, s1 long, s2 long"))
-    least = rows.where("s1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return rows.join(least, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    rows = checkpoint(map_batches(docs.select("doc_id", "text"), kernel, "docs array<long>, s1 long, s2 long, n_shingles long"))
+    least = rows.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.array_min("docs")).alias("rep"), F.count("*").alias("batches")).where("batches > 1").drop("batches")
+    return rows.join(least, ["s1", "s2"], "left").select("docs", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", F.array_min("docs"))).alias("rep"))
 
 
 def candidate_pairs(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -294,16 +297,19 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     known = checkpoint(classes(docs, rule))
-    to_rep = known.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "rep").distinct()
+    to_rep = known.where("rep IS NOT NULL").select(F.explode("docs").alias("doc_id"), "rep").where("doc_id IS NOT NULL").distinct()
+    # Rows of one doc_id that differ in text make their sets' representatives one node.
+    first = to_rep.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    twice = checkpoint(to_rep.join(first, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b"))
     pairs = candidate_pairs(docs, rule)
     for end in ("a", "b"):
         pairs = pairs.join(to_rep.withColumnRenamed("doc_id", end), end).drop(end).withColumnRenamed("rep", f"rep_{end}")
     pairs = pairs.where("rep_a <> rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     clusters = connected_components(pairs)
 
-    sizes = known.where("doc_id = rep").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    sizes = known.where("rep IS NOT NULL").groupBy("rep").agg(F.max("n_shingles").alias("n"))
     upto = Window.partitionBy("component").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = clusters.join(sizes.withColumnRenamed("doc_id", "node"), "node").withColumn("block", F.floor(F.sum(F.greatest("n", F.lit(NODE))).over(upto) / BLOCK).cast("int"))
+    blocks = clusters.join(sizes.withColumnRenamed("rep", "node"), "node").withColumn("block", F.floor(F.sum(F.greatest("n", F.lit(NODE))).over(upto) / BLOCK).cast("int"))
     blocks = checkpoint(blocks.withColumn("blocks", F.max("block").over(Window.partitionBy("component")) + 1))
     split = not blocks.where("blocks > 1").isEmpty()
     few = blocks.count() <= BROADCAST_ROWS
@@ -319,15 +325,15 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     tasks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
     found = checkpoint(verified(tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), rule))
     # Where every cluster is one block, its task has already found the groups.
-    if split:
-        groups = connected_components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")))
+    if split or not twice.isEmpty():
+        groups = connected_components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")).unionByName(twice))
     else:
         groups = found.groupBy("node").agg(F.min("peer").alias("component"))
     degree = found.groupBy("node").agg(F.sum("links").alias("n_links"))
-    by_rep = degree.join(groups, "node", "left").withColumnRenamed("node", "rep")
-    # Rows of one doc_id may have several sets; the least of their components is that of the document.
-    out = known.join(by_rep, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out
+    by_rep = groups.join(degree, "node", "left").withColumnRenamed("node", "rep")
+    out = known.join(by_rep, "rep", "left").select(F.explode("docs").alias("doc_id"), "n_shingles", "rep", "component", "n_links")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

@@ -66,6 +66,13 @@ def test_ngram_join_of_odd_rows(results):
     assert all(c is None and n_links == 0 for _, c, n_links in got[None])
 
 
+def test_rows_of_one_id_with_different_texts_are_one_node(spark):
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    docs = spark.createDataFrame([(3, one), (3, two), (1, one), (7, two + " tail"), (9, "c d e f"), (None, one)], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.joined(docs, ngram_join.CONTRACT).collect()}
+    assert got == {(3, 1), (1, 1), (7, 1), (9, 9), (None, None)}
+
+
 def test_substrings_of_odd_rows(results):
     # A null doc_id comes last, and repeated rows are one document.
     rows = {(d if d is not None else 2**62 + k): t for k, (d, t, *_) in enumerate(ROWS)}
