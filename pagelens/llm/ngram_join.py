@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import checkpoint, connected_components, grouped, map_batches, prepare, table, texts
+from pagelens.llm.common import checkpoint, connected_components, grouped, map_batches, prepare, sampled_ids, table, texts
 from pagelens.llm.hashing import C1, C4, U, join_hashes, scramble, signed, windows, word_hashes
 
 #: A block holds at most this many shingles, and at most BLOCK // NODE sets.
@@ -174,7 +174,7 @@ def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
         h, n = np.unique(np.concatenate([np.zeros(0, U), *(shingles(t, rule.words) for t in texts(batch))]), return_counts=True)
         return pa.RecordBatch.from_pydict({"h": signed(h), "n": n})
 
-    sample = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    sample = sampled_ids(docs, SAMPLE_DOCS)
     rows = map_batches(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), kernel, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     found = rows.where(F.col("n") >= COMMON_IN).orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").toArrow().column("h").to_numpy()
     return np.sort(found.astype(np.int64).view(U))

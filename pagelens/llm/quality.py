@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import filter_batches, map_batches, prepare, table, texts
+from pagelens.llm.common import filter_batches, map_batches, prepare, sampled_ids, table, texts
 
 #: Bounds of the training sample, which is taken by a hash of doc_id.
 MAX_POSITIVE, MAX_REJECTED, MAX_UNLABELLED = 8_000, 4_000, 16_000
@@ -137,10 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     prior = shown.agg(F.avg("quality")).first()[0]
     if not prior:
         return fit(np.zeros((0, len(NAMES))), np.zeros((0, len(NAMES))), 0.5)
-    order = F.xxhash64("doc_id")
-    trusted = shown.where("quality = 1").select("doc_id").orderBy(order, "doc_id").limit(max_positive).withColumn("trusted", F.lit(True))
-    rejected = shown.where("quality = 0").select("doc_id").orderBy(order, "doc_id").limit(max_rejected).withColumn("trusted", F.lit(False))
-    web = docs.where(~held_out_column() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled).withColumn("web", F.lit(True))
+    trusted = sampled_ids(shown.where("quality = 1"), max_positive).withColumn("trusted", F.lit(True))
+    rejected = sampled_ids(shown.where("quality = 0"), max_rejected).withColumn("trusted", F.lit(False))
+    web = sampled_ids(docs.where(~held_out_column()), max_unlabelled, 1).withColumn("web", F.lit(True))
     # At most max_positive + max_rejected + max_unlabelled ids.
     chosen = trusted.unionByName(rejected).join(web, "doc_id", "full")
 

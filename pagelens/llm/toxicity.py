@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import checkpoint, map_batches, partitions, prepare, table, texts
+from pagelens.llm.common import checkpoint, map_batches, partitions, prepare, sampled_ids, table, texts
 
 #: Bounds of the training sample (by a hash of doc_id) and of the features that enter the regression.
 MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 4_000, 12_000, 1_000
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     spark = docs.sparkSession
     prepare(spark)
     shown = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    part = lambda value, most: shown.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    part = lambda value, most: sampled_ids(shown.where(F.col("toxic") == value), most).withColumn("toxic", F.lit(value))
     chosen = part(1, max_toxic).unionByName(part(0, max_clean))
     sample = checkpoint(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(partitions(spark)))
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
