@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import checkpoint, map_batches, table, texts
+from pagelens.llm.common import WORD, checkpoint, map_batches, table, texts
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT, MAX_REPEATS = 150, 2
-#: A source's queue is cut into ranges of the shuffle key, so that no window holds a whole source.
-RANGES = 4096
 MINE = "_mix_"
+KEY, RANGE, SIZE = f"{MINE}key", f"{MINE}range", f"{MINE}size"
+#: Up to so many sources their cuts are sent to every executor; beyond, they are joined.
+BROADCAST_SOURCES = 1 << 16
 
 
 def with_size(docs: DataFrame, name: str) -> DataFrame:
@@ -61,6 +62,36 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE
     )
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with their place in the shuffled order; the first twelve bits are its range, of 4,096."""
+    return docs.withColumn(KEY, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn(RANGE, F.substring(KEY, 1, 3))
+
+
+def ranges(docs: DataFrame, weights, share_percent: int, max_repeats: int) -> DataFrame:
+    """One row for each source and range of ``docs`` (source, _mix_range, _mix_size): words before it and in it, and what
+    belongs to the source. The columns' names are those of the documents with _mix_r_ before them."""
+    light = checkpoint(docs.groupBy("source", RANGE).agg(F.sum(SIZE).alias("inside")))
+    targets = source_targets(light.groupBy("source").agg(F.sum("inside").alias("source_size")), weights, share_percent, max_repeats)
+    before = Window.partitionBy("source").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    placed = light.withColumn("before", F.coalesce(F.sum("inside").over(before), F.lit(0)))
+    both = placed.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
+    return both.select(F.col("r.source").alias(f"{MINE}r_source"), F.col(RANGE).alias(f"{MINE}r_range"), F.col("inside").alias(f"{MINE}inside"), F.col("before").alias(f"{MINE}before"), F.col("source_size").alias(f"{MINE}source_size"), F.col("target").alias(f"{MINE}target"))
+
+
+def served(docs: DataFrame, places: DataFrame, max_repeats: int) -> DataFrame:
+    """Keyed and sized documents with _mix_taken and _mix_finish, from running sums within ranges."""
+    inside = Window.partitionBy("source", RANGE).orderBy(KEY, "doc_id", SIZE, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = docs.withColumn(f"{MINE}upto", F.sum(SIZE).over(inside))
+    rows = rows.join(places, rows["source"].eqNullSafe(places[f"{MINE}r_source"]) & (rows[RANGE] == places[f"{MINE}r_range"]))
+    upto, size, target = F.col(f"{MINE}before") + F.col(f"{MINE}upto"), F.col(SIZE), F.col(f"{MINE}target")
+    whole = F.floor(target).cast("long")
+    part = [F.greatest(F.lit(0), F.least(size, whole - turn * F.col(f"{MINE}source_size") - (upto - size))) for turn in range(max_repeats)]
+    taken = part[0]
+    for p in part[1:]:
+        taken = taken + p
+    return rows.withColumn(f"{MINE}taken", taken).withColumn(f"{MINE}finish", F.when(target > 0, upto / target))
+
+
 def queue(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The documents with _mix_size, _mix_source_size, _mix_target, _mix_taken and _mix_finish (of the first serving).
 
@@ -68,39 +99,36 @@ def queue(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT,
     rows alike in all of these are interchangeable. Null texts have size 0, null sources are one source, null
     doc_ids are queued like others. An empty table gives no rows.
     """
-    sized = with_size(docs, f"{MINE}size")
-    # The key's first twelve bits are its range: 4096 ranges whatever the table's size.
-    keyed = sized.withColumn(f"{MINE}key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn(f"{MINE}range", F.substring(f"{MINE}key", 1, 3))
-    light = keyed.groupBy("source", f"{MINE}range").agg(F.sum(f"{MINE}size").alias("range_size"))
-    light = checkpoint(light)
-    targets = source_targets(light.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share_percent, max_repeats)
-    before = Window.partitionBy("source").orderBy(f"{MINE}range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = light.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
-    ranges = ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("r.source").alias(f"{MINE}s"), F.col(f"r.{MINE}range").alias(f"{MINE}r"), F.col("before").alias(f"{MINE}before"), F.col("source_size").alias(f"{MINE}source_size"), F.col("target").alias(f"{MINE}target")
-    )
-    inside = Window.partitionBy("source", f"{MINE}range").orderBy(f"{MINE}key", "doc_id", f"{MINE}size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-    served = keyed.withColumn(f"{MINE}upto", F.sum(f"{MINE}size").over(inside))
-    served = served.join(ranges, served["source"].eqNullSafe(ranges[f"{MINE}s"]) & (served[f"{MINE}range"] == ranges[f"{MINE}r"]))
-    upto, size, target = F.col(f"{MINE}before") + F.col(f"{MINE}upto"), F.col(f"{MINE}size"), F.col(f"{MINE}target")
-    whole = F.floor(target).cast("long")
-    part = [F.greatest(F.lit(0), F.least(size, whole - turn * F.col(f"{MINE}source_size") - (upto - size))) for turn in range(max_repeats)]
-    taken = part[0]
-    for p in part[1:]:
-        taken = taken + p
-    out = served.withColumn(f"{MINE}taken", taken).withColumn(f"{MINE}finish", F.when(target > 0, upto / target))
-    return out.drop(f"{MINE}key", f"{MINE}range", f"{MINE}upto", f"{MINE}before", f"{MINE}s", f"{MINE}r")
+    rows = keyed(with_size(docs, SIZE))
+    out = served(rows, ranges(rows, weights, share_percent, max_repeats), max_repeats)
+    return out.drop(KEY, RANGE, *[f"{MINE}{c}" for c in ("upto", "before", "inside", "r_source", "r_range")])
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as the mix takes it.
+    """The mix itself: the columns of ``docs``, each row as often as ``queue`` takes it.
 
     A serving taken in part counts as whole from half on, else not; documents of size 0 are left out. Order is not
-    kept; sort by ``queue``'s finish time where it matters.
+    kept; sort by ``queue``'s finish time where it matters. Only one range of a source holds its cut, and only the
+    documents of that range are looked at one by one; how often the others are taken follows from their range, so
+    their texts are not shuffled.
     """
-    served = queue(docs, weights, share_percent, max_repeats)
-    copies = F.when(F.col(f"{MINE}size") > 0, F.floor(F.col(f"{MINE}taken") / F.col(f"{MINE}size") + 0.5)).otherwise(0).cast("int")
-    return served.withColumn(f"{MINE}turn", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    narrow = keyed(with_size(docs.select("doc_id", "text", "source"), SIZE))
+    places = checkpoint(ranges(narrow, weights, share_percent, max_repeats))
+    size, whole = F.col(f"{MINE}source_size"), F.floor(f"{MINE}target").cast("long")
+    rest = F.coalesce(F.try_mod(whole, size), F.lit(0))
+    turns = F.coalesce(F.try_divide(whole - rest, size), F.lit(0)).cast("int")
+    holds = (F.col(f"{MINE}before") < rest) & (rest <= F.col(f"{MINE}before") + F.col(f"{MINE}inside"))
+    cuts = places.groupBy(F.col(f"{MINE}r_source").alias(f"{MINE}c_source")).agg(F.max(turns).alias(f"{MINE}turns"), F.max(F.when(holds, F.col(f"{MINE}r_range"))).alias(f"{MINE}cut"))
+    cuts = checkpoint(cuts)
+    few = cuts.count() <= BROADCAST_SOURCES
+    rows = keyed(docs).join(F.broadcast(cuts) if few else cuts, F.col("source").eqNullSafe(F.col(f"{MINE}c_source")))
+    cut = F.coalesce(F.col(RANGE) == F.col(f"{MINE}cut"), F.lit(False))
+    clear = rows.where(~cut & F.col("text").rlike(WORD)).withColumn(f"{MINE}copies", F.col(f"{MINE}turns") + F.coalesce(F.col(RANGE) < F.col(f"{MINE}cut"), F.lit(False)).cast("int"))
+    close = served(with_size(rows.where(cut), SIZE).where(f"{SIZE} > 0"), places, max_repeats)
+    close = close.withColumn(f"{MINE}copies", F.floor(F.col(f"{MINE}taken") / F.col(SIZE) + 0.5).cast("int"))
+    columns = [*docs.columns, f"{MINE}copies"]
+    both = clear.select(*columns).unionByName(close.select(*columns))
+    return both.withColumn(f"{MINE}turn", F.explode(F.array_repeat(F.lit(0), F.col(f"{MINE}copies")))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
