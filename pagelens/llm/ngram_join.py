@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pagelens.llm.common import checkpoint, connected_components, grouped, map_batches, prepare, sampled_ids, table, texts
 from pagelens.llm.hashing import C1, C4, U, join_hashes, scramble, signed, windows, word_hashes
 
-#: A block holds at most this many shingles, and at most BLOCK // NODE sets.
+#: Clusters of more shingles than BLOCK, a set counting as NODE at least, are verified in blocks of about that size.
 BLOCK, NODE = 1 << 20, 1 << 11
 #: Candidate sets are sent to every executor only up to this many rows; beyond, the texts are shuffled.
 BROADCAST_ROWS = 1 << 20
@@ -308,10 +308,13 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     clusters = connected_components(pairs)
 
     sizes = known.where("rep IS NOT NULL").groupBy("rep").agg(F.max("n_shingles").alias("n"))
-    upto = Window.partitionBy("component").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = clusters.join(sizes.withColumnRenamed("rep", "node"), "node").withColumn("block", F.floor(F.sum(F.greatest("n", F.lit(NODE))).over(upto) / BLOCK).cast("int"))
-    blocks = checkpoint(blocks.withColumn("blocks", F.max("block").over(Window.partitionBy("component")) + 1))
-    split = not blocks.where("blocks > 1").isEmpty()
+    # Members of a cluster over a block's size are dealt to blocks by hash, three quarters full on average.
+    members = clusters.join(sizes.withColumnRenamed("rep", "node"), "node").withColumn("cost", F.greatest("n", F.lit(NODE)))
+    large = checkpoint(members.groupBy("component").agg(F.sum("cost").alias("cost")).where(F.col("cost") > BLOCK).select("component", F.ceil(F.col("cost") / (BLOCK * 3 // 4)).cast("int").alias("blocks")))
+    split = not large.isEmpty()
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    blocks = members.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    blocks = checkpoint(blocks.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
     few = blocks.count() <= BROADCAST_ROWS
     wanted = blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "block", "blocks")
     near = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
