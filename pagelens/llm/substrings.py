@@ -23,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import grouped, map_batches, partitions, table, texts
-from pagelens.llm.hashing import C1, C3, scramble, windows, word_hashes
+from pagelens.llm.common import checkpoint, grouped, map_batches, partitions, table, texts
+from pagelens.llm.hashing import C1, C3, join_hashes, scramble, windows, word_hashes
 
 WINDOW = 20
 # The perfect difference set of order 3.
 PERIOD, COVER = 13, (0, 1, 3, 9)
-KEY = "_sub_key"
+#: What a row is known by and ordered by: its doc_id (null as the last), and a hash of its text where that is not enough.
+KEY, TIE = "_sub_key", "_sub_tie"
+#: Ids that stand with several texts are sent to every executor only up to this many; beyond, the texts are shuffled.
+BROADCAST_ROWS = 1 << 20
 #: Bytes of text whose entries make one bucket, and whose found places make one slice at most.
 BUCKET_BYTES, SLICE_BYTES = 4 << 20, 128 << 20
 
@@ -39,24 +42,27 @@ def _words(text: str) -> list[bytes]:
 
 
 def _laid_out(batch: pa.RecordBatch, least: int):
-    """The batch's documents of at least ``least`` words by key: (keys, starts, lengths, hashes of all words, rows)."""
-    keys = batch.column(KEY).to_numpy(zero_copy_only=False)
-    rows = np.argsort(keys, kind="stable")
+    """The batch's documents of at least ``least`` words by key: (keys, starts, lengths, hashes of all words, rows).
+
+    Keys, here and below, have two rows: KEY and TIE.
+    """
+    keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (KEY, TIE)])
+    rows = np.lexsort(keys[::-1])
     words = [_words(t) for t in texts(batch)]
     rows = rows[[len(words[r]) >= least for r in rows]] if len(rows) else rows
     lengths = np.array([len(words[r]) for r in rows], np.int64)
     hashes = word_hashes([w for r in rows for w in words[r]])
-    return keys[rows], np.cumsum(lengths) - lengths, lengths, hashes, rows
+    return keys[:, rows], np.cumsum(lengths) - lengths, lengths, hashes, rows
 
 
 def _settled(hashes: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """For entries in order of (key, pos): 0 alone in this batch, 1 first of several or a repeated row of it, 2 a later one."""
-    if not len(key):
+    if not len(pos):
         return np.zeros(0, np.int8)
     order, starts, count = _runs(hashes)
     first = np.repeat(order[starts], count)
-    same = (key[order] == key[first]) & (pos[order] == pos[first])
-    known = np.empty(len(key), np.int8)
+    same = (key[:, order] == key[:, first]).all(axis=0) & (pos[order] == pos[first])
+    known = np.empty(len(pos), np.int8)
     known[order] = np.where(same, np.repeat(count > 1, count), 2)
     return known
 
@@ -85,31 +91,31 @@ def _send(n_buckets: int, hashes: list[np.ndarray], key: np.ndarray, pos: np.nda
     at = at[np.argsort(bucket[at], kind="stable")]
     cuts = np.flatnonzero(np.diff(bucket[at])) + 1
     for part in np.split(at, cuts) if len(at) else []:
-        _row(rows, int(bucket[part[0]]), False, [h[part] for h in hashes], key[part], pos[part])
+        _row(rows, int(bucket[part[0]]), False, [h[part] for h in hashes], key[:, part], pos[part])
     at = np.flatnonzero(found)
     if len(at):
-        _row(rows, int(bucket[at[0]]), True, [], key[at], pos[at])
+        _row(rows, int(bucket[at[0]]), True, [], key[:, at], pos[at])
     kinds = {"bucket": pa.int32(), "found": pa.bool_(), "h1": pa.binary(), "h2": pa.binary(), "places": pa.binary(), "n": pa.int32()}
     return pa.RecordBatch.from_pydict({n: pa.array(v, kinds[n]) for n, v in rows.items()})
 
 
 def _row(rows: dict[str, list], bucket: int, found: bool, hashes: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> None:
     second = (hashes[1] >> np.uint64(32)).astype(np.uint32).tobytes() if len(hashes) > 1 else None
-    for name, value in zip(rows, (bucket, found, hashes[0].tobytes() if hashes else None, second, _packed(key, pos), len(key)), strict=True):
+    for name, value in zip(rows, (bucket, found, hashes[0].tobytes() if hashes else None, second, _packed(key, pos), len(pos)), strict=True):
         rows[name].append(value)
 
 
 def _packed(key: np.ndarray, pos: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(key, prepend=np.int64(0)).tobytes() + pos.astype(np.int32).tobytes(), 1)
+    return zlib.compress(np.diff(key, axis=1, prepend=np.int64(0)).tobytes() + pos.astype(np.int32).tobytes(), 1)
 
 
 def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys, positions = [], []
     for blob, n in zip(rows.column("places").to_pylist(), rows.column("n").to_pylist(), strict=True):
         raw = zlib.decompress(blob)
-        keys.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
-        positions.append(np.frombuffer(raw, np.int32, n, 8 * n))
-    return np.concatenate(keys), np.concatenate(positions)
+        keys.append(np.cumsum(np.frombuffer(raw, np.int64, 2 * n).reshape(2, n), axis=1))
+        positions.append(np.frombuffer(raw, np.int32, n, 16 * n))
+    return np.concatenate(keys, axis=1), np.concatenate(positions)
 
 
 def _received(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -132,25 +138,25 @@ def _resolved(sent: DataFrame, n_slices: int, choose) -> DataFrame:
                 if part.num_rows:
                     hashes, key, pos = _received(part)
                     picked = slice(None) if known else choose(hashes, key, pos)
-                    keys.append(key[picked])
+                    keys.append(key[:, picked])
                     places.append(pos[picked])
-            key, pos = np.concatenate(keys), np.concatenate(places)
-            to = (scramble(key.view(np.uint64)) % np.uint64(n_slices)).astype(np.int32)
-            order = np.lexsort((pos, key, to))
-            key, pos, to = key[order], pos[order], to[order]
-            parts = np.split(np.arange(len(key)), np.flatnonzero(np.diff(to)) + 1) if len(key) else []
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([int(to[p[0]]) for p in parts], pa.int32()), "places": pa.array([_packed(key[p], pos[p]) for p in parts], pa.binary()), "n": pa.array(map(len, parts), pa.int32())})
+            key, pos = np.concatenate(keys, axis=1), np.concatenate(places)
+            to = (scramble(join_hashes(*key.view(np.uint64))) % np.uint64(n_slices)).astype(np.int32)
+            order = np.lexsort((pos, *key[::-1], to))
+            key, pos, to = key[:, order], pos[order], to[order]
+            parts = np.split(np.arange(len(pos)), np.flatnonzero(np.diff(to)) + 1) if len(pos) else []
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([int(to[p[0]]) for p in parts], pa.int32()), "places": pa.array([_packed(key[:, p], pos[p]) for p in parts], pa.binary()), "n": pa.array(map(len, parts), pa.int32())})
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["slice"]):
             key, pos = _unpacked(group)
-            order = np.argsort(key, kind="stable")
-            key, pos = key[order], pos[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({KEY: key[cuts[:-1]], "at": pa.ListArray.from_arrays(pa.array(cuts), pa.array(pos))})
+            order = np.lexsort(key[::-1])
+            key, pos = key[:, order], pos[order]
+            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(pos)]]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({KEY: key[0, cuts[:-1]], TIE: key[1, cuts[:-1]], "at": pa.ListArray.from_arrays(pa.array(cuts), pa.array(pos))})
 
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pick, "slice int, places binary, n int")
-    return found.repartition("slice").sortWithinPartitions("slice").mapInArrow(gather, f"{KEY} long, at array<int>")
+    return found.repartition("slice").sortWithinPartitions("slice").mapInArrow(gather, f"{KEY} long, {TIE} long, at array<int>")
 
 
 def anchors(docs: DataFrame, window: int, n_buckets: int, n_slices: int) -> DataFrame:
@@ -160,10 +166,10 @@ def anchors(docs: DataFrame, window: int, n_buckets: int, n_slices: int) -> Data
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keys, starts, lengths, words, _ = _laid_out(batch, window)
         h = windows(words, run)
-        doc = np.repeat(np.arange(len(keys)), lengths)[: len(h)]
+        doc = np.repeat(np.arange(len(lengths)), lengths)[: len(h)]
         pos = np.arange(len(h)) - starts[doc]
         at = np.flatnonzero(np.isin(pos % PERIOD, COVER) & (pos + run <= lengths[doc]))
-        h, key, pos = h[at], keys[doc[at]], pos[at]
+        h, key, pos = h[at], keys[:, doc[at]], pos[at]
         known = _settled([h], key, pos)
         return _send(n_buckets, [h], key, pos, known < 2, known > 0) if len(h) else None
 
@@ -179,12 +185,12 @@ def later_windows(docs: DataFrame, window: int, n_buckets: int, n_slices: int) -
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keys, starts, lengths, words, rows = _laid_out(batch, window)
-        if not len(keys):
+        if not len(lengths):
             return None
         at = batch.column("at").take(pa.array(rows))
         n = np.asarray(pa.compute.list_value_length(at).fill_null(0), np.int64)
         p = np.asarray(at.flatten(), np.int64)
-        doc = np.repeat(np.arange(len(keys)), n)
+        doc = np.repeat(np.arange(len(lengths)), n)
         low = np.maximum(p - PERIOD + 1, 0) + starts[doc]
         high = np.minimum(p, lengths[doc] - window) + starts[doc]
         ok = high >= low
@@ -193,35 +199,51 @@ def later_windows(docs: DataFrame, window: int, n_buckets: int, n_slices: int) -
         np.add.at(edge, high[ok] + 1, -1)
         where = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
         h1, h2 = windows(words, window, C1)[where], windows(words, window, C3)[where]
-        doc = np.repeat(np.arange(len(keys)), lengths)[where]
-        key, pos = keys[doc], where - starts[doc]
+        doc = np.repeat(np.arange(len(lengths)), lengths)[where]
+        key, pos = keys[:, doc], where - starts[doc]
         known = _settled([h1, h2], key, pos)
-        return _send(n_buckets, [h1, h2], key, pos, known < 2, known == 2) if len(key) else None
+        return _send(n_buckets, [h1, h2], key, pos, known < 2, known == 2) if len(pos) else None
 
     def later(hashes: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        by_place = np.lexsort((pos, key))
+        by_place = np.lexsort((pos, *key[::-1]))
         order, starts, count = _runs([h[by_place] for h in hashes])
         order = by_place[order]
         first = np.repeat(order[starts], count)
         # Repeated rows of the first one are not copies of it.
-        return order[(key[order] != key[first]) | (pos[order] != pos[first])]
+        return order[(key[:, order] != key[:, first]).any(axis=0) | (pos[order] != pos[first])]
 
     return _resolved(map_batches(docs, kernel, SENT), n_slices, later)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, KEY and TIE, which only identical rows share.
+
+    TIE is the text's hash for null ids, the hash's complement for ids that stand with several texts and -1 for all
+    others, so that entries of most rows carry no hash. Nulls come after all ids, the greatest included.
+    """
+    hashed = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    several = docs.where("doc_id IS NOT NULL").select("doc_id", hashed.alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("doc_id", F.lit(True).alias(TIE))
+    several = checkpoint(several)
+    n = several.count()
+    rows = docs.select("doc_id", "text")
+    rows = rows.join(F.broadcast(several) if n <= BROADCAST_ROWS else several, "doc_id", "left") if n else rows.withColumn(TIE, F.lit(None).cast("boolean"))
+    tie = F.when(F.col("doc_id").isNull(), hashed).when(F.col(TIE), -1 - hashed).otherwise(F.lit(-1).cast("long"))
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias(KEY), tie.alias(TIE), "text")
+
+
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text and ``at``: the starts of the document's windows that start earlier elsewhere (null: none)."""
     if window < PERIOD + 1:
         raise ValueError(f"windows of at least {PERIOD + 1} words")
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias(KEY), "text")
+    rows = _keyed(docs)
     # Buckets and slices follow the text, so that one's entries fit a worker whatever the input.
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = (1 + size // BUCKET_BYTES, max(partitions(docs.sparkSession), size // SLICE_BYTES))
     # One shuffle of the texts serves both joins.
-    by_doc = rows.repartition(KEY)
-    near = by_doc.join(anchors(rows.select(KEY, "text"), window, *n).hint("shuffle_hash"), KEY)
+    by_doc = rows.repartition(KEY, TIE)
+    near = by_doc.join(anchors(rows.select(KEY, TIE, "text"), window, *n).hint("shuffle_hash"), [KEY, TIE])
     again = later_windows(near, window, *n)
-    return by_doc.join(again.hint("shuffle_hash"), KEY, "left").select("doc_id", "text", "at")
+    return by_doc.join(again.hint("shuffle_hash"), [KEY, TIE], "left").select("doc_id", "text", "at")
 
 
 def _kept(text: str, at: list[int] | None, window: int) -> tuple[list[bytes], int]:
@@ -239,8 +261,9 @@ def _kept(text: str, at: list[int] | None, window: int) -> tuple[list[bytes], in
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id and text without its repeated words; the kept ones are joined by one space.
 
-    Null and empty texts give an empty text. A null doc_id comes after all others. Rows of one doc_id are one
-    document: where they hold the same words at the same place, neither is a copy of the other.
+    Null and empty texts give an empty text. Null doc_ids come after all others. Rows of one doc_id with
+    different texts are documents of their own, in an order by a hash of the text, and so are rows without an id.
+    Identical rows are one document: neither is a copy of the other.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:

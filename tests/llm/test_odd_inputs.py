@@ -83,6 +83,27 @@ def test_substrings_of_odd_rows(results):
     assert {(r["n_words"], r["n_removed"]) for r in results["substrings"] if r["doc_id"] is None} == {(0, 0), (181, 180)}
 
 
+@pytest.mark.parametrize("most", [substrings.BROADCAST_ROWS, 0])
+def test_substrings_of_rows_that_share_an_id(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", most)
+    word = lambda name, n=20: " ".join(f"{name}{k}" for k in range(n))
+    p, q, r, last = word("p"), word("q", 25), word("r", 30), 2**63 - 1
+    rows = [(1, p), (None, f"{p} {word('a')}"), (None, f"{word('b')} {p}")]  # lose p alone
+    rows += [(None, f"{q} {word('c')}"), (None, f"{q} {word('d')}")]  # one of them loses q
+    rows += [(2, f"{r} {word('e')}"), (2, f"{r} {word('f')}")]  # one of them loses r
+    rows += [(None, word("g", 50)), (None, word("g", 50)), (3, word("h", 50)), (3, word("h", 50))]  # repeated rows
+    rows += [(last, word("i", 50)), (None, word("i", 50))]  # a null comes after the greatest id
+    rows += [(None, None), (None, ""), (2, None)]
+    got = [(r["doc_id"], r["text"]) for r in substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    for one in ((1, p), (None, word("a")), (None, word("b")), (last, word("i", 50))):
+        assert got.count(one) == 1
+    for doc, shared, a, b in ((None, q, "c", "d"), (2, r, "e", "f")):
+        kept = sorted(t for d, t in got if d == doc and (word(a) in t or word(b) in t))
+        assert kept in (sorted([f"{shared} {word(a)}", word(b)]), sorted([word(a), f"{shared} {word(b)}"]))
+    assert got.count((None, word("g", 50))) == 2 and got.count((3, word("h", 50))) == 2
+    assert got.count((None, "")) == 3 and got.count((2, "")) == 1 and len(got) == len(rows)
+
+
 def test_mixing_of_odd_rows(results):
     sizes = {}
     for r in results["mixing"]:
