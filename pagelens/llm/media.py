@@ -90,8 +90,8 @@ def mel_bank() -> np.ndarray:
 def features(payload: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """(tensor BINS x MELS, mean of each band, spans of sound in milliseconds)."""
     y = resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128)
-    if len(y) < FRAME:
-        y = np.pad(y, (0, FRAME - len(y)))
+    # Silence up to the end of the last frame, so that every sample stands in one.
+    y = np.pad(y, (0, FRAME + HOP * max(0, -(-(len(y) - FRAME) // HOP)) - len(y)))
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     window, bank = np.hanning(FRAME).astype(np.float32), mel_bank()
     bins = np.arange(len(frames)) * BINS // len(frames)

@@ -197,6 +197,15 @@ def test_media_features():
     assert abs(len(media.resample(np.zeros(30_001, np.float32))) - 20_001) <= 1
 
 
+def test_media_features_reach_the_end():
+    """Texts that differ in their last unit alone have different features, whatever the length."""
+    for n in range(2, 14):
+        one = bytes([128]) * (n * media.UNIT)
+        for at in range(len(one) - media.UNIT, len(one), 24):
+            other = one[:at] + bytes([128, 250] * 12) + one[at + 24 :]
+            assert media.feature_string(*media.features(one)[1:]) != media.feature_string(*media.features(other)[1:])
+
+
 def test_mixing(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source").collect()
     size = {r["doc_id"]: len(brute.WORD.findall(r["text"] or "")) for r in rows}
