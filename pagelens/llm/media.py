@@ -121,41 +121,74 @@ def feature_string(mean: np.ndarray, spans: list[tuple[int, int]]) -> str:
     return f"mel={bands};spans={len(spans)};active_ms={sum(b - a for a, b in spans)}"
 
 
-def audio_features(docs: DataFrame) -> DataFrame:
-    """doc_id, media (WAV), tensor (BINS * MELS floats, row by row), spans (start_ms, end_ms).
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (BINS, MELS))
+SPAN = pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])
 
-    Null and empty texts are 192 spaces. ``as_tensors`` gives the tensor column its fixed shape in Arrow.
-    """
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        media = [store(payload_of(t)) for t in texts(batch)]
-        made = [features(read_back(m)) for m in media]
-        span = pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "media": pa.array(media, pa.binary()), "tensor": pa.array([m[0].ravel() for m in made], pa.list_(pa.float32())), "spans": pa.array([[{"start_ms": a, "end_ms": b} for a, b in m[2]] for m in made], pa.list_(span))})
+def _featured(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+    """Rows of ``audio_features`` for rows (doc_id, text), and the mean of each band for each of them."""
+    raw = texts(batch)
+    media = [store(payload_of(t)) for t in raw]
+    made = [features(read_back(m)) for m in media]
+    rows = pa.RecordBatch.from_pydict({
+        "doc_id": batch.column("doc_id").cast(pa.int64()), "n_bytes": pa.array([len(t.encode()) for t in raw], pa.int64()), "media": pa.array(media, pa.binary()),
+        "tensor": pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * (BINS * MELS), np.concatenate([m[0].ravel() for m in made])), "spans": pa.array([[{"start_ms": a, "end_ms": b} for a, b in m[2]] for m in made], pa.list_(SPAN)),
+    })
+    return rows, [m[1] for m in made]
+
 
-    return map_batches(docs.select("doc_id", "text"), kernel, "doc_id long, media binary, tensor array<float>, spans array<struct<start_ms: long, end_ms: long>>")
+def audio_features(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes of the text, media (WAV), tensor (BINS * MELS floats, row by row), spans (start_ms, end_ms).
+
+    Null and empty texts are 192 spaces. Spark's column is array<float>; ``tensor_streams`` gives it its fixed shape.
+    """
+    return map_batches(docs.select("doc_id", "text"), lambda batch: _featured(batch)[0], "doc_id long, n_bytes long, media binary, tensor array<float>, spans array<struct<start_ms: long, end_ms: long>>")
 
 
 def as_tensors(rows: pa.Table) -> pa.Table:
     """A table of audio_features with its tensor column as Arrow's fixed-shape tensors."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (BINS, MELS))
     at = rows.schema.get_field_index("tensor")
     flat = rows.column("tensor").combine_chunks().flatten().cast(pa.float32())
-    return rows.set_column(at, "tensor", pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, BINS * MELS)))
+    return rows.set_column(at, "tensor", pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(flat, BINS * MELS)))
+
+
+def tensor_streams(docs: DataFrame) -> DataFrame:
+    """(n_rows, stream): all rows of audio_features with fixed-shape tensors, an Arrow IPC stream for each batch."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = as_tensors(pa.Table.from_batches([_featured(batch)[0]]))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        return pa.RecordBatch.from_pydict({"n_rows": pa.array([rows.num_rows], pa.int64()), "stream": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    return map_batches(docs.select("doc_id", "text"), kernel, "n_rows long, stream binary")
+
+
+def write_tensors(docs: DataFrame, path: str) -> None:
+    """Store tensor_streams of the whole table under ``path``, each task its part, wherever Spark can write."""
+    tensor_streams(docs).write.parquet(path)
+
+
+def from_stream(stream: bytes) -> pa.Table:
+    """The rows of one stream, tensors in their shape."""
+    return pa.ipc.open_stream(stream).read_all()
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: sizes and hashes of what was stored and read back, and the feature string."""
+    """One row per document: sizes and hashes of what was stored and read back, and the feature string with a hash of
+    the whole tensor and one of all spans (little-endian floats and integers)."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        stored, means = _featured(batch)
         rows = []
-        for t in texts(batch):
-            media = store(payload_of(t))
-            back = read_back(media)
-            _, mean, spans = features(back)
-            rows.append((len(t.encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_string(mean, spans)))
+        tensors = stored.column("tensor").flatten().to_numpy().reshape(-1, BINS * MELS)
+        for n, media, tensor, times, mean in zip(*(stored.column(c).to_pylist() for c in ("n_bytes", "media")), tensors, stored.column("spans").to_pylist(), means, strict=True):
+            back, spans = read_back(media), [(t["start_ms"], t["end_ms"]) for t in times]
+            hashed = [hashlib.sha256(np.array(v, kind).tobytes()).hexdigest() for v, kind in ((tensor, "<f4"), (spans, "<i8"))]
+            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{feature_string(mean, spans)};tensor={hashed[0]};times={hashed[1]}"))
         names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64())} | {n: pa.array(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
+        return pa.RecordBatch.from_pydict({"doc_id": stored.column("doc_id")} | {n: pa.array(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
 
     return map_batches(docs.select("doc_id", "text"), kernel, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 

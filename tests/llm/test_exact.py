@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -206,6 +207,25 @@ def test_media_features_reach_the_end():
             assert media.feature_string(*media.features(one)[1:]) != media.feature_string(*media.features(other)[1:])
 
 
+def test_media_digest_and_streams_hold_all_features(spark, small, tmp_path):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(None, None)], "doc_id long, text string"))
+    rows = {r["doc_id"]: r for r in media.audio_features(docs).collect()}
+    media.write_tensors(docs, f"{tmp_path}/tensors")
+    tables = [media.from_stream(bytes(r["stream"])) for r in spark.read.parquet(f"{tmp_path}/tensors").collect()]
+    assert all(t.schema.field("tensor").type.shape == [media.BINS, media.MELS] for t in tables)
+    stored = {r["doc_id"]: r for t in tables for r in t.drop_columns("tensor").append_column("flat", pa.array(list(np.concatenate([c.to_numpy_ndarray() for c in t.column("tensor").chunks]).reshape(len(t), -1)))).to_pylist()}
+    assert stored.keys() == rows.keys() and len(rows) == docs.count()
+    for r in media.media_digest(docs).collect():
+        own = rows[r["doc_id"]]
+        spans = [tuple(s) for s in own["spans"]]
+        assert stored[r["doc_id"]]["flat"] == own["tensor"] and [tuple(s.values()) for s in stored[r["doc_id"]]["spans"]] == spans
+        assert r["n_bytes"] == own["n_bytes"] and r["media_sha256"] == hashlib.sha256(own["media"]).hexdigest() == hashlib.sha256(stored[r["doc_id"]]["media"]).hexdigest()
+        tensor, times = (hashlib.sha256(np.array(v, kind).tobytes()).hexdigest() for v, kind in ((own["tensor"], "<f4"), (spans, "<i8")))
+        assert r["feature"].endswith(f";tensor={tensor};times={times}")
+
+
 def test_mixing(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source").collect()
     size = {r["doc_id"]: len(brute.WORD.findall(r["text"] or "")) for r in rows}
