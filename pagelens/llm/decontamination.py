@@ -108,24 +108,31 @@ def matcher(items: tuple[tuple[int, str], ...], budget: float) -> Matcher:
     return Matcher(items, budget)
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[tuple[int, str], ...]]:
-    """The items in blocks of a bounded size, so that a benchmark of any size fits the executors' memory."""
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, unnamed: bool = False) -> Iterator[tuple[tuple[int | None, str], ...]]:
+    """The items in blocks of a bounded size, so that a benchmark of any size fits the executors' memory.
+
+    Items without an id are left out unless ``unnamed``; they are dealt to blocks by their text.
+    """
+    if not unnamed:
+        benchmark = benchmark.where("item_id IS NOT NULL")
+    dealt = F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id"))
     total = benchmark.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()[0] or 0
     n = -(-total // block_chars)
     for k in range(n):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else benchmark
-        yield tuple(sorted((r["item_id"], normal(r["text"])) for r in part.select("item_id", "text").collect() if r["item_id"] is not None))
+        part = benchmark.where(F.pmod(dealt, F.lit(n)) == k) if n > 1 else benchmark
+        items = ((r["item_id"], normal(r["text"])) for r in part.select("item_id", "text").collect())
+        yield tuple(sorted(items, key=lambda i: (i[0] is None, i[0] or 0, i[1])))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_chars: int = BLOCK_CHARS, unnamed: bool = False) -> DataFrame:
     """(doc_id, item_id, distance, match_end): a row for each document and item that it holds within the budget.
 
     The budget is a share of the item's characters, rounded down; match_end is an offset in the text in lower case
-    with single spaces. Null and empty texts hold nothing; null or empty items, and items without an id, are held by
-    nothing. Repeated rows each give their matches.
+    with single spaces. Null and empty texts hold nothing; null or empty items are held by nothing.
+    Items without an id are matched only if ``unnamed``, with a null item_id. Repeated rows each give their matches.
     """
     out = None
-    for items in blocks(benchmark, block_chars):
+    for items in blocks(benchmark, block_chars, unnamed):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def kernel(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
@@ -138,9 +145,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance long, match_end long")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they were, without a shuffle."""
-    for items in blocks(benchmark, block_chars):
+def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_chars: int = BLOCK_CHARS, unnamed: bool = False) -> DataFrame:
+    """The rows of ``docs`` that hold no item (none with an id, unless ``unnamed``), all columns as they were, without a shuffle."""
+    for items in blocks(benchmark, block_chars, unnamed):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def keep(batch: pa.RecordBatch, sent=sent) -> list[bool]:
@@ -152,4 +159,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)

@@ -318,5 +318,19 @@ def test_decontamination_of_changed_items_in_blocks(spark):
         assert sorted(r["doc_id"] for r in decontamination.decontaminated(docs, bench, block_chars=block).collect()) == [2, 3]
 
 
+def test_items_without_an_id_are_matched_by_the_queries(spark, tmp_path):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{name}{k}" for k in range(12)) for name in "abc")
+    docs = spark.createDataFrame([(1, f"so {one} it"), (2, f"so {two.upper()} it"), (3, f"so {three} it"), (4, "nothing of these")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, one), (None, two), (7, three), (None, None)], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = [(1, None), (2, None), (3, 7)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.op5_decontamination(spark, str(tmp_path)).collect()) == want
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.matches(docs, bench, block_chars=30, unnamed=True).collect()) == want
+    assert [r["doc_id"] for r in corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()] == [4]
+
+
 def test_queries_are_complete():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
