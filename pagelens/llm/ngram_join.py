@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import checkpoint, connected_components, grouped, map_batches, prepare, sampled_ids, table, texts
+from pagelens.llm.common import WORD, checkpoint, connected_components, grouped, map_batches, prepare, sampled_ids, table, texts
 from pagelens.llm.hashing import C1, C4, U, join_hashes, scramble, signed, windows, word_hashes
 
 #: Clusters of more shingles than BLOCK, a set counting as NODE at least, are verified in blocks of about that size.
@@ -342,15 +342,32 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
 def deduplicated(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs`` with one document of each group, the one with the smallest doc_id; of repeated rows one.
 
-    Rows with a null doc_id and texts without words are all kept.
+    Rows with a null doc_id and texts without words are all kept. Rows of one doc_id with different texts are documents
+    of their own, so that one goes only for a linked or equal set. Of rows of one doc_id and text, and of the texts of
+    one doc_id in a group, the one with the smallest hash stays.
     """
-    groups = checkpoint(joined(docs, rule))
-    ids = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
-    gone = ids.where("doc_id <> component_id").select("doc_id")
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
-    repeated = ids.where("rows > 1").select("doc_id")
+    node, order = "_dedup_node", "_dedup_order"
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    wordy = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    several = docs.where(wordy).select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    several = checkpoint(several.where("low <> high").select("doc_id", F.lit(True).alias(order)))
+    split = not several.isEmpty()
+    # A node is a doc_id, or a hash of doc_id and text where an id stands with several texts; null stays whatever comes.
+    rows = docs.join(small(several), "doc_id", "left") if split else docs.withColumn(order, F.lit(None).cast("boolean"))
+    rows = rows.withColumn(node, F.when(wordy, F.when(F.col(order), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))).drop(order)
+    groups = checkpoint(joined(rows.select(F.col(node).alias("doc_id"), "text"), rule))
+    nodes = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(node)).agg(F.min("component_id").alias("component"), F.count("*").alias("rows"))
+    gone = nodes.where(F.col(node) != F.col("component")).select(node)
+    if split:
+        named = nodes.join(rows.where(F.col(node).isNotNull()).select(node, "doc_id").distinct(), node)
+        kept = named.groupBy("component").agg(F.min(F.struct("doc_id", node))[node].alias("kept"))
+        gone = checkpoint(nodes.join(kept, "component").where(F.col(node) != F.col("kept")).select(node))
+    out = rows.join(small(gone), node, "left_anti")
+    repeated = nodes.where("rows > 1").select(node)
     if not repeated.isEmpty():
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        same = out.join(repeated, node, "left_semi").withColumn(order, F.xxhash64(F.to_json(F.struct(*docs.columns))))
+        least = same.groupBy(node).agg(F.min(order).alias(order))
+        out = out.join(repeated, node, "left_anti").unionByName(same.join(least, [node, order]).dropDuplicates([node]).drop(order))
     return out.select(*docs.columns)
 
 

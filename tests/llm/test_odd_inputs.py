@@ -128,6 +128,22 @@ def test_near_duplicates_of_odd_rows(odd):
     assert sorted(d for d in left if d is not None) == [1, 4, 5, 6, 7, 8, 9] and left.count(None) == 2
 
 
+@pytest.mark.parametrize("most", [ngram_join.BROADCAST_ROWS, 0])
+def test_near_duplicates_of_rows_that_share_an_id(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", most)
+    one, two, three, four, five = (" ".join(f"{name}{k}" for k in range(40)) for name in "abcde")
+    kept = [(1, one, "x"), (3, two, "x"), (5, three, "x"), (5, None, "x"), (6, "", "x"), (6, " ", "x"), (6, " ", "x"), (8, four, "x"), (8, five, "x"), (None, one, "x")]
+    gone = [(3, one, "x"), (7, f"{two} tail", "x"), (9, four, "x"), (9, f"{five} tail", "x"), (8, four, "x")]
+    schema = "doc_id long, text string, source string"
+    for rows in (kept + gone, gone[::-1] + kept[::-1]):
+        got = [tuple(r) for r in ngram_join.deduplicated(spark.createDataFrame(rows, schema)).collect()]
+        assert sorted(got, key=str) == sorted(kept, key=str)
+    # Repeated rows that differ elsewhere: the same one stays however they come, and so does one of near copies.
+    rows = [(1, one, s) for s in "abcdef"] + [(2, two, "a"), (2, f"{two} tail", "a")]
+    left = [sorted(ngram_join.deduplicated(spark.createDataFrame(r, schema).repartition(n)).collect()) for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert left[0] == left[1] and [r["doc_id"] for r in left[0]] == [1, 2]
+
+
 def test_pipeline_of_odd_rows(spark, odd, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
