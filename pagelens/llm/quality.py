@@ -1,10 +1,15 @@
 """A quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives are rows labelled 1, the unlabelled set is web text as it comes, and the class prior is
-estimated. The risk of a score g is pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]) with the logistic loss
-(Kiryo et al., "Positive-unlabeled learning with non-negative risk estimator"); where the second term falls under
-zero, only the first one counts. The model is additive over binned surface statistics of the whole text. A last step maps g to a probability by Platt scaling
-on the trusted positives and the rejected rows among the labels, so that a threshold means what it says.
+Trusted positives are rows labelled 1 and the unlabelled set is web text as it comes; rows labelled 0 are not used at
+all. The risk of a score g is pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]) with the logistic loss (Kiryo et
+al., "Positive-unlabeled learning with non-negative risk estimator"); where the second term falls under zero, only the
+first one counts. The model is additive over binned surface statistics of the whole text.
+
+The class prior pi is estimated from the same two samples by best-bin estimation (Garg et al., "Mixture proportion
+estimation and PU learning"): a classifier of positives against unlabelled text is fit on one half of them, and on the
+other half pi is at most the share of unlabelled text over any score divided by the share of positives over it, since
+the best-scored texts are nearly all positive. Platt scaling by the same risk makes g a probability of which the mean
+over unlabelled text is the prior, so that a threshold means what it says.
 """
 
 from __future__ import annotations
@@ -20,12 +25,16 @@ from pyspark.sql import functions as F
 from pagelens.llm.common import filter_batches, map_batches, prepare, sampled_ids, table, texts
 
 #: Bounds of the training sample, which is taken by a hash of doc_id.
-MAX_POSITIVE, MAX_REJECTED, MAX_UNLABELLED = 8_000, 4_000, 16_000
+MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
 BINS = 12
 STEPS, RATE = 300, 0.03
 #: Weight decay, shared out over the trusted positives: the fewer there are, the plainer the model.
 PENALTY = 3.0
 THRESHOLD = 0.3
+#: Confidence of the prior's estimate: the chance of an error beyond its bounds, and how far those count.
+DELTA, GAMMA = 0.1, 0.01
+#: How much calibration is held to the scale it finds.
+HOLD = 0.1
 
 # The byte classes whose shares are features.
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t\n\r\x0b\f", "line": b"\n", "stop": b".,;:?", "shout": b"!", "mark": b"#$%&*@^~+=<>", "bar": b"|", "quote": b"\"'()[]{}", "high": bytes(range(128, 256))}
@@ -80,22 +89,26 @@ def binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return (x[:, :, None] > edges[None, :, :]).reshape(len(x), -1).astype(np.float32)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Adam on the non-negative risk, full batch; the same rows in the same order give the same model."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Model:
+    """Adam on the non-negative risk, full batch; the same rows in the same order give the same model.
+
+    Without a prior, unlabelled rows count as negative, both kinds alike: a classifier of positive against unlabelled.
+    """
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros((len(NAMES), 1)), np.zeros(len(NAMES)), 0.0)
     both = np.concatenate([positive, unlabelled])
     # Edges at quantiles, the outer ones close to the ends, where junk is.
     edges = np.quantile(both, [0.002, 0.01, 0.03, *np.linspace(0.08, 0.92, BINS - 6), 0.97, 0.99, 0.998], axis=0).T
     p, u = binned(positive, edges), binned(unlabelled, edges)
-    w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior))) if prior < 1 else 5.0
+    share, take = (1.0, 0.0) if prior is None else (prior, prior)
+    w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior))) if prior is not None and prior < 1 else 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
         w32 = w.astype(np.float32)
         gp, gu = sigmoid(p @ w32 + np.float32(b)), sigmoid(u @ w32 + np.float32(b))
-        rest = np.mean(-np.log1p(-np.minimum(gu, 1 - 1e-7))) - prior * np.mean(-np.log1p(-np.minimum(gp, 1 - 1e-7)))
-        toward = np.concatenate([p.T @ (gp - 1), [np.sum(gp - 1)]]) * prior / len(p)
-        away = np.concatenate([u.T @ gu, [gu.sum()]]) / len(u) - np.concatenate([p.T @ gp, [gp.sum()]]) * prior / len(p)
+        rest = np.mean(-np.log1p(-np.minimum(gu, 1 - 1e-7))) - take * np.mean(-np.log1p(-np.minimum(gp, 1 - 1e-7)))
+        toward = np.concatenate([p.T @ (gp - 1), [np.sum(gp - 1)]]) * share / len(p)
+        away = np.concatenate([u.T @ gu, [gu.sum()]]) / len(u) - np.concatenate([p.T @ gp, [gp.sum()]]) * take / len(p)
         grad = toward + away if rest >= 0 else toward
         grad[:-1] += PENALTY / len(p) * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -104,17 +117,42 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     return Model(edges, w, b)
 
 
-def calibrated(model: Model, good: np.ndarray, bad: np.ndarray) -> Model:
-    """Platt scaling by Newton steps, with Platt's softened targets; without both kinds the model stays as it is."""
-    if not len(good) or not len(bad):
-        return model
-    g = np.concatenate([model.risk(good), model.risk(bad)])
-    y = np.concatenate([np.full(len(good), (len(good) + 1) / (len(good) + 2)), np.full(len(bad), 1 / (len(bad) + 2))])
-    z = np.stack([g, np.ones(len(g))], axis=1)
-    beta = np.array([1.0, 0.0])
-    for _ in range(50):
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior by best-bin estimation, from scores of positive and unlabelled rows that the scorer wasn't fit on."""
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    cuts = np.unique(positive)
+    p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    doubt = np.sqrt(np.log(4 / DELTA) / (2 * len(unlabelled))) + np.sqrt(np.log(4 / DELTA) / (2 * len(positive)))
+    at = np.argmin((u + (1 + GAMMA) * doubt) / p)
+    return float(np.clip(u[at] / p[at], 0.01, 0.99))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The mean of two estimates, each from the half that the other one's scorer was fit on."""
+    halves = [(positive[k::2], unlabelled[k::2]) for k in (0, 1)]
+    return float(np.mean([best_bin(*(fit(*halves[1 - k], None).risk(x) if len(x) else np.zeros(0) for x in halves[k])) for k in (0, 1)]))
+
+
+def calibrated(model: Model, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    """Platt scaling by the unbiased PU risk, which is convex: E_u[log(1 + exp(z))] - prior * E_p[z] for z = scale * g +
+    shift. At its minimum the mean score of unlabelled text is the prior. Newton steps, scale held near 1 by a little."""
+    gp, gu = model.risk(positive).mean(), model.risk(unlabelled)
+    z = np.stack([gu, np.ones(len(gu))], axis=1)
+    beta, hold = np.array([1.0, 0.0]), np.diag([HOLD, 0.0])
+
+    def loss(b: np.ndarray) -> float:
+        return float(np.logaddexp(0, z @ b).mean() - prior * (b @ [gp, 1.0]) + HOLD / 2 * (b[0] - 1) ** 2)
+
+    for _ in range(100):
         p = sigmoid(z @ beta)
-        beta = beta + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (y - p))
+        slope = z.T @ p / len(gu) - prior * np.array([gp, 1.0]) + hold @ (beta - [1.0, 0.0])
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(gu) + hold + 1e-9 * np.eye(2), slope)
+        size = 1.0
+        while loss(beta - size * step) > loss(beta) and size > 1e-6:
+            size /= 2
+        beta = beta - size * step
     return replace(model, scale=float(beta[0]), shift=float(beta[1])) if np.isfinite(beta).all() and beta[0] > 0 else model
 
 
@@ -126,34 +164,38 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_rejected: int = MAX_REJECTED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Fit on samples of at most the given sizes, smallest hashes of doc_id first.
 
-    Labels of held-out rows (crc32 of doc_id modulo 5 is 0) are never read; the prior is the share of 1 among the
-    other labels. Without positives every score is 0.5.
+    Of the labels only positive ones of rows that aren't held out (crc32 of doc_id modulo 5 is not 0) are used. Without
+    positives every score is 0.5.
     """
     prepare(docs.sparkSession)
-    shown = labels.where(~held_out_column() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    prior = shown.agg(F.avg("quality")).first()[0]
-    if not prior:
-        return fit(np.zeros((0, len(NAMES))), np.zeros((0, len(NAMES))), 0.5)
-    trusted = sampled_ids(shown.where("quality = 1"), max_positive).withColumn("trusted", F.lit(True))
-    rejected = sampled_ids(shown.where("quality = 0"), max_rejected).withColumn("trusted", F.lit(False))
+    trusted = labels.where(~held_out_column() & (F.col("quality") == 1) & F.col("doc_id").isNotNull())
+    trusted = sampled_ids(trusted, max_positive).withColumn("trusted", F.lit(True))
     web = sampled_ids(docs.where(~held_out_column()), max_unlabelled, 1).withColumn("web", F.lit(True))
-    # At most max_positive + max_rejected + max_unlabelled ids.
-    chosen = trusted.unionByName(rejected).join(web, "doc_id", "full")
+    # At most max_positive + max_unlabelled ids.
+    chosen = trusted.join(web, "doc_id", "full")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "trusted": batch.column("trusted"), "web": batch.column("web"), "x": pa.array([list(map(float, features(t))) for t in texts(batch)], pa.list_(pa.float64()))})
 
     rows = map_batches(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), kernel, "doc_id long, trusted boolean, web boolean, x array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    part = lambda name, value: np.array([r["x"] for r in rows if r[name] is value]).reshape(-1, len(NAMES))
-    return calibrated(fit(part("trusted", True), part("web", True), float(prior)), part("trusted", True), part("trusted", False))
+    part = lambda name: np.array([r["x"] for r in rows if r[name]]).reshape(-1, len(NAMES))
+    positive, unlabelled = part("trusted"), part("web")
+    if not len(positive):
+        return fit(positive, unlabelled, 0.5)
+    prior = estimated_prior(positive, unlabelled)
+    return calibrated(fit(positive, unlabelled, prior), positive, unlabelled, prior)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted), a row for every row; null texts count as empty. Only the text is scored."""
+    """(doc_id, held_out, score, predicted), a row for every row, whatever its doc_id.
+
+    Only the text is scored, whole, however long; null texts count as empty, and equal texts score alike. An empty table
+    gives no rows; columns other than doc_id and text are not looked at.
+    """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column("doc_id").to_pylist()
@@ -164,7 +206,8 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the model accepts, all columns as they were, without a shuffle."""
+    """The rows of ``docs`` whose score is ``threshold`` or more, all columns as they were, without a shuffle; null texts
+    count as empty."""
     return filter_batches(docs, lambda batch: (model.score(np.array([features(t) for t in texts(batch)])) >= threshold).tolist())
 
 
