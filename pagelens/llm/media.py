@@ -46,7 +46,8 @@ def store(payload: bytes) -> bytes:
 
 def read_back(media: bytes) -> bytes:
     with wave.open(io.BytesIO(media)) as w:
-        assert (w.getnchannels(), w.getsampwidth(), w.getframerate()) == (1, 1, RATE)
+        if (w.getnchannels(), w.getsampwidth(), w.getframerate()) != (1, 1, RATE):
+            raise ValueError("not a recording of one 8-bit channel at the rate that was stored")
         return w.readframes(w.getnframes())
 
 
@@ -140,7 +141,9 @@ def _featured(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[np.ndarray]]:
 def audio_features(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes of the text, media (WAV), tensor (BINS * MELS floats, row by row), spans (start_ms, end_ms).
 
-    Null and empty texts are 192 spaces. Spark's column is array<float>; ``tensor_streams`` gives it its fixed shape.
+    A row for every row, whatever its doc_id; null and empty texts are 192 spaces, and a text of any length is one whole
+    recording, whose frames are worked on in blocks. An empty table gives no rows; columns other than doc_id and text are
+    not looked at. Spark's column is array<float>; ``tensor_streams`` gives it its fixed shape.
     """
     return map_batches(docs.select("doc_id", "text"), lambda batch: _featured(batch)[0], "doc_id long, n_bytes long, media binary, tensor array<float>, spans array<struct<start_ms: long, end_ms: long>>")
 
@@ -176,8 +179,10 @@ def from_stream(stream: bytes) -> pa.Table:
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: sizes and hashes of what was stored and read back, and the feature string with a hash of
-    the whole tensor and one of all spans (little-endian floats and integers)."""
+    """One row per document: sizes and hashes of what was stored and read back, the feature string with a hash of the
+    whole tensor and one of all spans (little-endian floats and integers), and tensor and spans themselves. Rows are
+    those of ``audio_features``."""
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         stored, means = _featured(batch)
@@ -187,10 +192,9 @@ def media_digest(docs: DataFrame) -> DataFrame:
             back, spans = read_back(media), [(t["start_ms"], t["end_ms"]) for t in times]
             hashed = [hashlib.sha256(np.array(v, kind).tobytes()).hexdigest() for v, kind in ((tensor, "<f4"), (spans, "<i8"))]
             rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{feature_string(mean, spans)};tensor={hashed[0]};times={hashed[1]}"))
-        names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-        return pa.RecordBatch.from_pydict({"doc_id": stored.column("doc_id")} | {n: pa.array(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
+        return pa.RecordBatch.from_pydict({"doc_id": stored.column("doc_id")} | {n: pa.array(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)} | {c: stored.column(c) for c in ("tensor", "spans")})
 
-    return map_batches(docs.select("doc_id", "text"), kernel, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_batches(docs.select("doc_id", "text"), kernel, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor array<float>, spans array<struct<start_ms: long, end_ms: long>>")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
