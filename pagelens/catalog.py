@@ -148,10 +148,29 @@ def _(spark, d):
     return score.page_scores(audit.page_checks(_pages(spark)))
 
 
-_ROBOT_LINES = f"""WITH files AS (SELECT * FROM {S.values_sql(S.ROBOTS, 'site, body')}),
+def _robot_lines(files: str) -> str:
+    """Common table expressions from files (site, body) to the lines that count."""
+    return f"""files AS ({files}),
  raw AS (SELECT site, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS pos FROM files),
  cut AS (SELECT site, pos, trim(string_split(line, '#')[1]) AS line FROM raw),
- kv AS (SELECT site, pos, lower(trim(line[1:instr(line, ':') - 1])) AS kind, trim(line[instr(line, ':') + 1:]) AS value FROM cut WHERE contains(line, ':')),
+ kv AS (SELECT site, pos, lower(trim(line[1:instr(line, ':') - 1])) AS kind, trim(line[instr(line, ':') + 1:]) AS value FROM cut WHERE contains(line, ':'))"""
+
+
+def _robot_verdicts(bots: str) -> str:
+    """From those lines to found (site, bot, kind, ua): the group of the bot's own name, and what it says of the path /."""
+    return f"""bots AS (SELECT * FROM {bots}),
+ kept AS (SELECT *, kind = 'user-agent' AND coalesce(lag(kind) OVER (PARTITION BY site ORDER BY pos) <> 'user-agent', true) AS starts FROM kv WHERE kind IN ('user-agent', 'allow', 'disallow')),
+ block AS (SELECT *, sum(cast(starts AS int)) OVER (PARTITION BY site ORDER BY pos) AS block FROM kept),
+ name AS (SELECT DISTINCT site, block, lower(value) AS name, value AS ua FROM block WHERE kind = 'user-agent' AND value <> ''),
+ rule AS (SELECT n.site, n.name, b.kind, b.value AS pattern FROM name n JOIN block b USING (site, block) WHERE b.kind <> 'user-agent' AND b.value <> ''),
+ fits AS (SELECT * FROM rule WHERE regexp_full_match('/', replace(regexp_escape(CASE WHEN ends_with(pattern, '$') THEN left(pattern, length(pattern) - 1) ELSE pattern || '*' END), '\\*', '.*'))),
+ decided AS (SELECT site, name, max_by(kind, length(pattern) * 2 + cast(kind = 'allow' AS int)) AS kind FROM fits GROUP BY ALL),
+ own AS (SELECT g.site, g.name, g.ua, coalesce(d.kind, 'allow') AS kind FROM (SELECT site, name, min(ua) AS ua FROM name GROUP BY ALL) g LEFT JOIN decided d USING (site, name)),
+ found AS (SELECT site, bot, arg_max(kind, CASE WHEN name = '*' THEN 0 ELSE length(name) END) AS kind, arg_max(ua, CASE WHEN name = '*' THEN 0 ELSE length(name) END) AS ua FROM own JOIN bots ON name = '*' OR starts_with(lower(bot), name) GROUP BY ALL)"""
+
+
+_ROBOT_FILES = f"SELECT * FROM {S.values_sql(S.ROBOTS, 'site, body')}"
+_ROBOT_LINES = f"""WITH {_robot_lines(_ROBOT_FILES)},
  filled AS (SELECT *, last_value(CASE WHEN kind = 'user-agent' THEN value END IGNORE NULLS) OVER (PARTITION BY site ORDER BY pos) AS ua FROM kv WHERE kind IN ('user-agent', 'allow', 'disallow')),
  rules AS (SELECT DISTINCT site, ua, cast(min(pos) OVER (PARTITION BY site, ua) AS int) AS group_pos, CASE WHEN kind <> 'user-agent' THEN kind END AS kind, CASE WHEN kind <> 'user-agent' THEN value END AS pattern FROM filled WHERE ua IS NOT NULL)"""
 _BOTS = S.values_sql(robots.BOTS, "bot, class")
@@ -175,7 +194,7 @@ def _(spark, d):
     return robots.verdicts(files, bots.select("bot"), mode="file_order")
 
 
-@query("robots_verdicts_rfc9309")
+@query("robots_verdicts_rfc9309", f"WITH {_robot_lines(_ROBOT_FILES)}, {_robot_verdicts(_BOTS)} SELECT f.site, b.bot, CASE WHEN kind = 'disallow' THEN 'deny' WHEN kind = 'allow' THEN 'allow' ELSE 'undeclared' END AS verdict, ua AS matched_ua FROM files f CROSS JOIN bots b LEFT JOIN found USING (site, bot)")
 def _(spark, d):
     files, bots = _robots(spark)
     return robots.verdicts(files, bots.select("bot"))
@@ -204,7 +223,8 @@ def _(spark, d):
     return site.sitemap_freshness(_maps(spark)).fillna({"last_year": 0})
 
 
-_FETCHES = S.values_sql(S.FETCHES, "url, ua, status, content_type, body, final_url, hops, error")
+_ALL_FETCHES = S.values_sql(S.FETCHES, "url, ua, status, content_type, body, final_url, hops, error")
+_FETCHES = f"(SELECT DISTINCT ON (url, ua) * FROM {_ALL_FETCHES} ORDER BY url, ua, status = 200 DESC, status DESC)"
 _SITES = S.values_sql(S.SITES, "page_id, url")
 
 
@@ -236,12 +256,52 @@ def _(spark, d):
     return site.liveness(asked, _fetches(spark)).select("site", "url", "status")
 
 
-@query("site_checks")
+_CITATION_BOTS = S.values_sql([(b,) for b in P.CITATION_BOTS], "bot")
+_ORIGIN = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+_SITE_SIGNALS = f"""page AS (SELECT page_id, url, {_ORIGIN} AS origin FROM {_SITES}), answers AS (SELECT * FROM {_FETCHES}), plain AS (SELECT * FROM answers WHERE ua = 'default'),
+ site AS (SELECT DISTINCT origin FROM page),
+ {_robot_lines("SELECT origin AS site, body FROM site JOIN plain ON url = origin || '/robots.txt' WHERE status = 200")}, {_robot_verdicts(_CITATION_BOTS)},
+ denied AS (SELECT site AS origin, count(*) FILTER (kind = 'disallow') AS n_denied FROM found GROUP BY site),
+ named AS (SELECT n.site AS origin, count(DISTINCT bot) AS n_declared FROM name n JOIN bots ON starts_with(n.name, lower(bot[1:6])) GROUP BY n.site),
+ map AS (SELECT origin, regexp_extract_all(body, {_q(P.LOC)}, 1) AS locs, regexp_extract_all(body, {_q(P.LASTMOD)}, 1) AS dates FROM site JOIN plain ON url = origin || '/sitemap.xml' WHERE status = 200),
+ loc AS (SELECT origin, unnest(locs) AS loc, generate_subscripts(locs, 1) AS pos FROM map),
+ locs AS (SELECT origin, count(*) AS n_locs, count(*) FILTER (regexp_matches(coalesce(try(url_decode(loc)), loc), '{P.CJK}')) AS n_cjk_slugs, count(*) FILTER (pos <= {site.SAMPLE} AND coalesce(f.status, 0) <> 200) AS n_bad_locs FROM loc LEFT JOIN answers f ON f.url = loc AND f.ua = 'sitemap' GROUP BY origin),
+ variant AS (SELECT page_id, count(DISTINCT coalesce(status, 0)) = 1 AND min(coalesce(status, 0)) = 200 AND count(DISTINCT lower(regexp_extract(final_url, {_q(P.AUTHORITY_PART)}, 1))) <= 1 AS variants_agree FROM ({_VARIANTS}) v LEFT JOIN plain f ON f.url = v.url GROUP BY page_id),
+ og AS (SELECT page_id, origin, regexp_extract(p.url, '^([^?#]*/)', 1) AS folder, regexp_extract(body, {_q(P.OG_IMAGE)}, 1) AS link FROM page p JOIN plain USING (url)),
+ image AS (SELECT page_id, status = 200 AND (contains(coalesce(content_type, ''), 'image') OR strlen(coalesce(body, '')) > 1000) AS og_image_loads FROM (SELECT page_id, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN 'https:' || link WHEN starts_with(link, '/') THEN origin || link ELSE folder || link END AS url FROM og WHERE link <> '') JOIN plain USING (url)),
+ sig AS (SELECT p.page_id, coalesce(h.status, 0) AS home_status, h.error AS home_error, coalesce(h.hops, 0) AS hops, coalesce(b.status, 0) AS bot_status, coalesce(variants_agree, false) AS variants_agree, coalesce(og_image_loads, false) AS og_image_loads,
+  coalesce(r.status, 0) AS robots_status, coalesce(r.status = 200 AND regexp_matches(r.body, {_q(P.BARE_DISALLOW)}), false) AS robots_closed, coalesce(m.status, 0) AS sitemap_status, coalesce(l.status, 0) AS llms_status, coalesce(s.status, 0) AS rss_status,
+  coalesce(n_denied, 0) AS n_denied, coalesce(n_declared, 0) AS n_declared, coalesce(n_locs, 0) AS n_locs, coalesce(n_cjk_slugs, 0) AS n_cjk_slugs, coalesce(n_bad_locs, 0) AS n_bad_locs, try_cast(left(list_max(map.dates), 4) AS int) AS last_year, 2026 AS fresh_year
+  FROM page p LEFT JOIN plain h ON h.url = p.url LEFT JOIN answers b ON b.url = p.url AND b.ua = 'bot' LEFT JOIN variant USING (page_id) LEFT JOIN image USING (page_id)
+  LEFT JOIN plain r ON r.url = p.origin || '/robots.txt' LEFT JOIN plain m ON m.url = p.origin || '/sitemap.xml' LEFT JOIN plain l ON l.url = p.origin || '/llms.txt' LEFT JOIN plain s ON s.url = p.origin || '/rss.xml'
+  LEFT JOIN denied ON denied.origin = p.origin LEFT JOIN named ON named.origin = p.origin LEFT JOIN locs ON locs.origin = p.origin LEFT JOIN map ON map.origin = p.origin)"""
+
+
+@query("site_checks", f"WITH {_SITE_SIGNALS} {checks.results_sql('sig', checks.SITE)}")
 def _(spark, d):
     return audit.site_checks(_sites(spark), _fetches(spark))
 
 
-@query("full_report")
+_HOME_PAGES = f"(SELECT s.page_id, s.url, f.body AS html FROM {_SITES} s LEFT JOIN {_FETCHES} f ON f.url = s.url AND f.ua = 'default')"
+_FULL_CHECKS = f"WITH {_SITE_SIGNALS}, mine AS ({signals.signals_sql(_HOME_PAGES)}), mine2 AS (SELECT *, 0 AS llms_status FROM mine), checks AS ({checks.results_sql('mine2', checks.PAGE)} UNION ALL {checks.results_sql('sig', checks.SITE)})"
+_TITLES = S.values_sql([(c.key, c.title, c.advice) for c in checks.CHECKS], "check_id, title, advice")
+_FIXES = "SELECT *, cast(row_number() OVER (PARTITION BY page_id ORDER BY weight DESC, status = 'fail' DESC, check_pos) AS int) AS place FROM checks WHERE status IN ('fail', 'warn')"
+
+
+@query("full_checks", f"{_FULL_CHECKS} SELECT * FROM checks")
+def _(spark, d):
+    return audit.full_checks(_sites(spark), _fetches(spark))
+
+
+@query("full_fixes", f"{_FULL_CHECKS} SELECT page_id, place, check_id, weight, status FROM ({_FIXES}) WHERE place <= 10")
+def _(spark, d):
+    return score.priority_fixes(audit.full_checks(_sites(spark), _fetches(spark)))
+
+
+@query("full_report", f"""{_FULL_CHECKS}, layer AS (SELECT page_id, layer, cast(round_even(got / total * 100, 0) AS bigint) AS score, n_fail FROM (SELECT page_id, layer, {_SUMS} FROM checks WHERE weight > 0 GROUP BY page_id, layer)),
+ layers AS (SELECT page_id, string_agg('- ' || layer || ': ' || score || '%, ' || n_fail || ' failed', chr(10) ORDER BY layer) AS lines FROM layer GROUP BY page_id),
+ fixes AS (SELECT page_id, string_agg(place || '. [' || check_id || '] ' || title || ': ' || advice, chr(10) ORDER BY place) AS lines FROM ({_FIXES}) JOIN {_TITLES} USING (check_id) WHERE place <= 10 GROUP BY page_id)
+ SELECT page_id, score, grade, concat_ws(chr(10), 'Score ' || score || ' of 100 (' || grade || ')', layers.lines, fixes.lines) AS text FROM ({_SCORES}) JOIN layers USING (page_id) LEFT JOIN fixes USING (page_id)""")
 def _(spark, d):
     return audit.report(audit.full_checks(_sites(spark), _fetches(spark))).select("page_id", "score", "grade", "text")
 
@@ -258,7 +318,7 @@ def _(spark, d):
     return pool.verdicts(S.frame(spark, S.RESULTS, "question string, pos int, title string, url string"), S.frame(spark, S.WANTED, "question string, brand string, domain string, source_status string"))
 
 
-_ADVICE = S.values_sql([(c.key, c.layer, c.weight, c.title, c.advice) for c in checks.PAGE + checks.SITE], "id, layer, weight, title, advice")
+_ADVICE = S.values_sql([(c.key, c.layer, c.weight, c.title, c.advice) for c in checks.CHECKS], "id, layer, weight, title, advice")
 _TARGETS = f"SELECT request, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos FROM (SELECT request, list_filter(regexp_split_to_array(ids, '[,，\\s]+'), lambda s: s <> '')[1:8] AS ids FROM {S.values_sql(S.REQUESTS, 'request, ids')})"
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,9 +40,9 @@ def visible_text(html: Column) -> Column:
     return squeeze(text)
 
 
-def ld_blocks(html: Column) -> Column:
-    """Each JSON-LD block as compact JSON; null where it doesn't parse, so that it still counts."""
-    return F.transform(all_of(html, P.LD_JSON, 1), lambda b: F.to_json(F.try_parse_json(strip(b))))
+def ld_of(raw: Column) -> Column:
+    """Each of the JSON-LD blocks of a page as compact JSON; null where it doesn't parse, so that it still counts."""
+    return F.transform(raw, lambda b: F.to_json(F.try_parse_json(strip(b))))
 
 
 def ld_types(blocks: Column) -> Column:
@@ -59,45 +57,62 @@ def same_as(blocks: Column) -> Column:
     return F.flatten(F.transform(found, lambda s: all_of(s, P.SAME_AS_URL)))
 
 
-def entity_names_of(blocks: list[str | None]) -> list[str]:
-    """Names of all nodes that are entities, at any depth; the type and the name must share a node."""
-    names, stack = [], [json.loads(b) for b in blocks if b is not None]
-    while stack:
-        node = stack.pop()
-        if isinstance(node, dict):
-            kinds = node.get("@type")
-            kinds = kinds if isinstance(kinds, list) else [kinds]
-            if isinstance(node.get("name"), str) and any(k in P.ENTITY_TYPES for k in kinds if isinstance(k, str)):
-                names.append(node["name"].strip())
-            stack.extend(node.values())
-        elif isinstance(node, list):
-            stack.extend(node)
-    return sorted(set(names))
+def _python_columns():
+    """The two Arrow functions. They are made in here so that workers get them whole and need not find this package."""
+    entities = P.ENTITY_TYPES
 
+    def entity_names_of(blocks: list[str | None]) -> list[str]:
+        """Names of all nodes that are entities, at any depth; the type and the name must share a node."""
+        import json
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def entity_names(blocks: pa.Array) -> pa.Array:
-    """Distinct entity names, sorted. JSON trees of any depth are what SQL expressions can't walk, so this is Python,
-    over the blocks alone and in Arrow batches."""
-    return pa.array([entity_names_of(b or []) for b in blocks.to_pylist()], pa.list_(pa.string()))
+        names, stack = [], [json.loads(b) for b in blocks if b is not None]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, dict):
+                kinds = node.get("@type")
+                kinds = kinds if isinstance(kinds, list) else [kinds]
+                if isinstance(node.get("name"), str) and any(k in entities for k in kinds if isinstance(k, str)):
+                    names.append(node["name"].strip())
+                stack.extend(node.values())
+            elif isinstance(node, list):
+                stack.extend(node)
+        return sorted(set(names))
 
+    def decode_bytes(raw: bytes, content_type: str) -> str:
+        order = (("gb18030", "gbk") if "gb" in content_type.lower() else ()) + ("utf-8", "gb18030")
+        for codec in order:
+            try:
+                return raw.decode(codec)
+            except UnicodeDecodeError:
+                continue
+        return raw.decode("utf-8", "replace")
 
-def decoded(body: Column, content_type: Column) -> Column:
-    """Bytes as text: UTF-8 natively where it is valid and nothing says GB, else by Python's GB codecs."""
-    utf8 = F.when(~F.coalesce(F.lower(content_type), F.lit("")).contains("gb"), F.try_validate_utf8(body.cast("string")))
-    return F.coalesce(utf8, _gb(body, content_type))
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def entity_names(blocks: pa.Array) -> pa.Array:
+        """Distinct entity names, sorted. JSON trees of any depth are what SQL expressions can't walk, so this is Python,
+        over the blocks alone and in Arrow batches."""
+        import pyarrow
+
+        return pyarrow.array([entity_names_of(b) if b else [] for b in blocks.to_pylist()], pyarrow.list_(pyarrow.string()))
+
+    @F.arrow_udf(T.StringType())
+    def by_codec(body: pa.Array, content_type: pa.Array) -> pa.Array:
+        import pyarrow
 
+        return pyarrow.array([None if b is None else decode_bytes(b, c or "") for b, c in zip(body.to_pylist(), content_type.to_pylist(), strict=True)], pyarrow.string())
 
-def decode_bytes(raw: bytes, content_type: str) -> str:
-    order = (("gb18030", "gbk") if "gb" in content_type.lower() else ()) + ("utf-8", "gb18030")
-    for codec in order:
-        try:
-            return raw.decode(codec)
-        except UnicodeDecodeError:
-            continue
-    return raw.decode("utf-8", "replace")
+    return entity_names, by_codec, entity_names_of, decode_bytes
 
 
-@F.arrow_udf(T.StringType())
-def _gb(body: pa.Array, content_type: pa.Array) -> pa.Array:
-    return pa.array([None if b is None else decode_bytes(b, c or "") for b, c in zip(body.to_pylist(), content_type.to_pylist(), strict=True)], pa.string())
+entity_names, _by_codec, entity_names_of, decode_bytes = _python_columns()
+
+
+def decoded(body: Column, content_type: Column) -> Column:
+    """Bytes as text: UTF-8 natively where it is valid and nothing says GB, else by Python's GB codecs.
+
+    A Python function is run for every row wherever it stands in an expression, so the rows that don't need it hand it
+    a null instead of their body.
+    """
+    says_gb = F.coalesce(F.lower(content_type), F.lit("")).contains("gb")
+    utf8 = F.when(~says_gb, F.try_validate_utf8(body.cast("string")))
+    return F.coalesce(utf8, _by_codec(F.when(utf8.isNull(), body), content_type))

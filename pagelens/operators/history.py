@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pagelens.functions import patterns as P
 
 KEYS = ("identity", "kind", "series")
+#: How both tables are stored.
+OBSERVATION = "ts string, run_id string, identity string, kind string, series string, value double, unit string, n int, source string, note string, seq long"
+SIGNAL = "dedup_key string, identity string, kind string, series string, previous_value double, previous_ts string, current_value double, current_ts string, change_value double, change_ratio double, direction string, severity string, n int, source string, detected_at string, resolved_at string, first_seen string"
 
 
 def classify_sql(prev: str, cur: str, n: str, half_even: str = "bround", what: str = "severity") -> str:
@@ -30,6 +33,8 @@ def classify_sql(prev: str, cur: str, n: str, half_even: str = "bround", what: s
 
 
 PARTS = ("direction", "severity", "change", "ratio")
+#: Parts in which the last points of a series are looked for, so that a very long one is no single task.
+PARTS_OF_SERIES = 16
 
 
 def parsed_ts(ts: Column) -> Column:
@@ -37,7 +42,26 @@ def parsed_ts(ts: Column) -> Column:
 
 
 def _order() -> tuple[Column, ...]:
-    return (F.col("ts"), F.col("seq"))
+    """By time as it reads, then as it is written, then by arrival; times that don't read come before all others."""
+    return (parsed_ts(F.col("ts")), F.col("ts"), F.col("seq"))
+
+
+def _latest_first() -> list[Column]:
+    return [c.desc_nulls_last() for c in _order()]
+
+
+def numbered(rows: DataFrame, first: int = 0) -> DataFrame:
+    """The rows with ``seq`` from ``first`` on, in the order in which they come.
+
+    Only the sizes of the partitions are gathered.
+    """
+    rows = rows.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
+    sizes = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
+    starts, upto = {}, first
+    for part, n in sizes:
+        starts[part], upto = upto, upto + n
+    start = F.element_at(F.create_map(*[F.lit(v).cast("long") for pair in (starts or {-1: 0}).items() for v in pair]), F.col("part").cast("long"))
+    return rows.withColumn("seq", start + F.expr("row & 8589934591")).drop("part", "row")
 
 
 def ingest(rows: DataFrame, run: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -65,22 +89,30 @@ def history(observations: DataFrame) -> DataFrame:
     """One row for each series: points, first and last time, latest value and n, low_n, sorted sources."""
     at = F.struct(*_order())
     latest = lambda c: F.max_by(c, at)
-    out = observations.groupBy(*KEYS).agg(F.count("*").alias("points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), latest("value").alias("latest_value"), latest("n").alias("latest_n"), F.array_join(F.array_sort(F.collect_set(F.nullif("source", F.lit("")))), ",").alias("sources"))
+    out = observations.groupBy(*KEYS).agg(F.count("*").alias("points"), F.min_by("ts", at).alias("first_ts"), latest("ts").alias("last_ts"), latest("value").alias("latest_value"), latest("n").alias("latest_n"), F.array_join(F.array_sort(F.collect_set(F.nullif("source", F.lit("")))), ",").alias("sources"))
     return out.withColumn("low_n", F.coalesce(F.expr("try_cast(latest_n AS int)"), F.lit(0)) < P.MIN_N)
 
 
 def last_points(observations: DataFrame, most: int) -> DataFrame:
     """The latest points of each series, with ``place`` from 1 for the latest."""
-    order = Window.partitionBy(*KEYS).orderBy(F.col("ts").desc(), F.col("seq").desc())
+    order = Window.partitionBy(*KEYS).orderBy(*_latest_first())
     return observations.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, most))
 
 
 def changes(observations: DataFrame) -> DataFrame:
-    """The last two points of each series and what changed; series of one point are not comparable."""
-    w = Window.partitionBy(*KEYS).orderBy(*_order())
-    rows = observations.select(*KEYS, F.col("value").alias("current_value"), F.col("ts").alias("current_ts"), "n", "source", F.lag("value").over(w).alias("previous_value"), F.lag("ts").over(w).alias("previous_ts"), (F.row_number().over(w) > 1).alias("comparable"), F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("ts").desc(), F.col("seq").desc())).alias("back"))
+    """The last two points of each series and what changed; series of one point are not comparable.
+
+    They are looked for in parts of each series first, which are dealt by a hash, so that a very long one is no single
+    task, and then among the at most two points that each part has left.
+    """
+    point = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(_order())], F.col("value"), F.col("n"), F.col("source"))
+    two = F.slice(F.sort_array(F.collect_list("p"), asc=False), 1, 2)
+    parted = observations.select(*KEYS, point.alias("p"), F.pmod(F.xxhash64("ts", "seq"), F.lit(PARTS_OF_SERIES)).alias("part"))
+    own = Window.partitionBy(*KEYS, "part").orderBy(F.col("p").desc())
+    last = parted.withColumn("back", F.row_number().over(own)).where("back <= 2").groupBy(*KEYS).agg(two.alias("last"))
+    rows = last.select(*KEYS, (F.size("last") > 1).alias("comparable"), F.get("last", 1)["value"].alias("previous_value"), F.get("last", 1)["o1"].alias("previous_ts"), F.get("last", 0)["value"].alias("current_value"), F.get("last", 0)["o1"].alias("current_ts"), F.get("last", 0)["n"].alias("n"), F.get("last", 0)["source"].alias("source"))
     parts = [F.when(F.col("comparable"), F.expr(classify_sql("previous_value", "current_value", "n", what=p))).alias(p) for p in PARTS]
-    return rows.where("back = 1").select(*KEYS, "comparable", "previous_value", "previous_ts", "current_value", "current_ts", "n", "source", *parts)
+    return rows.select("*", *parts)
 
 
 def dedup_key() -> Column:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.operators.checks import PAGE, SITE
+from pagelens.operators.checks import CHECKS
 
 DEFAULT_TOP, MOST = 8, 20
 
 
 def catalog(spark: SparkSession) -> DataFrame:
     """(id, layer, weight, title, advice): one row for each check; a short fixed list."""
-    return spark.createDataFrame([(c.key, c.layer, c.weight, c.title, c.advice) for c in PAGE + SITE], "id string, layer string, weight int, title string, advice string")
+    return spark.createDataFrame([(c.key, c.layer, c.weight, c.title, c.advice) for c in CHECKS], "id string, layer string, weight int, title string, advice string")
 
 
 def split_ids(text: Column) -> Column:

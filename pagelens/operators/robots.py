@@ -1,13 +1,15 @@
 """robots.txt as tables: rules in file order, verdicts of bots, declared bots.
 
-Two readings of a file: "file_order" (each User-agent line starts a group of its own, the first group in the file
-that matches and has a fitting rule decides) and "rfc9309" (consecutive User-agent lines share their rules, the most
-specific matching group decides and * is the fallback). In both the longest pattern wins and allow wins ties.
+Two readings of a file: "rfc9309" (consecutive User-agent lines share their rules; the group whose name is the longest
+that the bot's begins with is chosen by its name alone, * where there is none; its longest fitting pattern decides, * and
+a final $ being special, and where none fits the bot is let in) and "file_order" (each User-agent line starts a group of
+its own, and the first group in the file that matches and has a fitting rule decides; patterns are prefixes). In both
+allow wins ties.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import patterns as P
@@ -44,23 +46,43 @@ def rules(files: DataFrame, mode: str = "rfc9309") -> DataFrame:
     return rows.select("site", "ua", "group_pos", F.when(named, F.lit(None)).otherwise(F.col("kind")).alias("kind"), F.when(named, F.lit(None)).otherwise(F.col("value")).alias("pattern")).distinct()
 
 
+def like(pattern: Column) -> Column:
+    """A robots pattern in the language of LIKE: * is any run, a final $ the end, all else stands for itself."""
+    plain = pattern
+    for special in ("\\", "%", "_"):
+        plain = F.replace(plain, F.lit(special), F.lit("\\" + special))
+    plain = F.replace(plain, F.lit("*"), F.lit("%"))
+    return F.when(plain.endswith("$"), F.left(plain, F.length(plain) - 1)).otherwise(F.concat(plain, F.lit("%")))
+
+
 def verdicts(files: DataFrame, bots: DataFrame, path: str = "/", mode: str = "rfc9309") -> DataFrame:
     """(site, bot, verdict, matched_ua) for every file and bot: allow, deny or undeclared (with null).
 
     ``bots`` (bot) is a short fixed list and is sent to every executor.
     """
-    found = rules(files, mode)
+    best = _first_group(files, bots, path) if mode == "file_order" else _named_group(files, bots, path)
+    everyone = files.select("site").distinct().join(F.broadcast(bots.select("bot")))
+    return everyone.join(best, ["site", "bot"], "left").select("site", "bot", F.when(F.col("kind") == "disallow", "deny").otherwise(F.coalesce("kind", F.lit("undeclared"))).alias("verdict"), F.col("ua").alias("matched_ua"))
+
+
+def _first_group(files: DataFrame, bots: DataFrame, path: str) -> DataFrame:
+    found = rules(files, "file_order")
     fits = found.where(F.col("pattern") != "").where(F.lit(path).startswith(F.replace("pattern", F.lit("*"), F.lit(""))))
     decided = fits.groupBy("site", "ua", "group_pos").agg(F.max_by("kind", F.struct(F.length("pattern"), F.col("kind") == "allow")).alias("kind"))
     bot, ua = F.lower("bot"), F.lower("ua")
-    if mode == "file_order":
-        pairs = decided.join(F.broadcast(bots), (F.col("ua") == "*") | bot.startswith(ua) | ua.startswith(bot))
-        best = pairs.groupBy("site", "bot").agg(F.min_by(F.struct("kind", "ua"), "group_pos").alias("best"))
-    else:
-        pairs = decided.join(F.broadcast(bots), (F.col("ua") == "*") | bot.startswith(ua))
-        best = pairs.groupBy("site", "bot").agg(F.max_by(F.struct("kind", "ua"), F.when(F.col("ua") == "*", 0).otherwise(F.length("ua"))).alias("best"))
-    everyone = files.select("site").distinct().join(F.broadcast(bots.select("bot")))
-    return everyone.join(best, ["site", "bot"], "left").select("site", "bot", F.when(F.col("best.kind") == "disallow", "deny").otherwise(F.coalesce("best.kind", F.lit("undeclared"))).alias("verdict"), F.col("best.ua").alias("matched_ua"))
+    pairs = decided.join(F.broadcast(bots), (F.col("ua") == "*") | bot.startswith(ua) | ua.startswith(bot))
+    return pairs.groupBy("site", "bot").agg(F.min_by(F.struct("kind", "ua"), "group_pos").alias("best")).select("site", "bot", "best.kind", "best.ua")
+
+
+def _named_group(files: DataFrame, bots: DataFrame, path: str) -> DataFrame:
+    found = rules(files).where(F.col("ua") != "").withColumn("name", F.lower("ua"))
+    fits = found.where(F.col("pattern") != "").withColumn("like", like(F.col("pattern"))).where(F.like(F.lit(path), F.col("like")))
+    # One row for each name, however it is written; the rules that don't fit leave the group standing.
+    decided = fits.groupBy("site", "name").agg(F.max_by("kind", F.struct(F.length("pattern"), F.col("kind") == "allow")).alias("kind"))
+    groups = found.groupBy("site", "name").agg(F.min("ua").alias("ua")).join(decided, ["site", "name"], "left")
+    pairs = groups.join(F.broadcast(bots), (F.col("name") == "*") | F.lower("bot").startswith(F.col("name")))
+    best = F.max_by(F.struct("kind", "ua"), F.when(F.col("name") == "*", 0).otherwise(F.length("name"))).alias("best")
+    return pairs.groupBy("site", "bot").agg(best).select("site", "bot", F.coalesce("best.kind", F.lit("allow")).alias("kind"), "best.ua")
 
 
 def declared(files: DataFrame, bots: DataFrame, mode: str = "rfc9309") -> DataFrame:

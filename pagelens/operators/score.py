@@ -52,19 +52,25 @@ def grade_histogram(scores: DataFrame) -> DataFrame:
     return scores.groupBy("grade").agg(F.count("*").alias("n_pages"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
 
 
+def _sides(pairs: DataFrame) -> DataFrame:
+    """(a, b, page, first): each pair twice, so that both of its pages are looked up in one join."""
+    return pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("page"), F.lit(True).alias("first")), F.struct(F.col("b").alias("page"), F.lit(False).alias("first")))).alias("s")).select("a", "b", "s.*")
+
+
 def compare(pairs: DataFrame, checks: DataFrame, key: str = "page_id") -> DataFrame:
     """(a, b, check_id, status_a, status_b, winner) of the weighty checks that differ by half a point or more.
 
     A check that one page lacks counts as failed there and is shown as "missing".
     """
     kept = checks.where("weight > 0").select(F.col(key).alias("page"), "check_id", "status")
-    side = lambda end: pairs.join(kept.withColumnRenamed("page", end).withColumnRenamed("status", f"status_{end}"), end)
-    both = side("a").join(side("b"), ["a", "b", "check_id"], "full")
+    status = lambda first: F.max(F.when(F.col("first") == first, F.col("status")))
+    both = _sides(pairs).join(kept, "page").groupBy("a", "b", "check_id").agg(status(True).alias("status_a"), status(False).alias("status_b"))
     gap = points(F.col("status_a")) - points(F.col("status_b"))
     return both.where(F.abs(gap) >= 0.5).select("a", "b", "check_id", F.coalesce("status_a", F.lit("missing")).alias("status_a"), F.coalesce("status_b", F.lit("missing")).alias("status_b"), F.when(gap > 0, "A").otherwise("B").alias("winner"))
 
 
 def compare_scores(pairs: DataFrame, scores: DataFrame, key: str = "page_id") -> DataFrame:
-    """(a, b, score_a, score_b, winner, gap); A wins ties."""
-    side = lambda end: scores.select(F.col(key).alias(end), F.col("score").alias(f"score_{end}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "score_a", "score_b", F.when(F.col("score_a") >= F.col("score_b"), "A").otherwise("B").alias("winner"), F.abs(F.col("score_a") - F.col("score_b")).alias("gap"))
+    """(a, b, score_a, score_b, winner, gap) of pairs of which both pages have a score; A wins ties."""
+    score = lambda first: F.max(F.when(F.col("first") == first, F.col("score")))
+    both = _sides(pairs).join(scores.select(F.col(key).alias("page"), "score"), "page").groupBy("a", "b").agg(score(True).alias("score_a"), score(False).alias("score_b")).where("score_a IS NOT NULL AND score_b IS NOT NULL")
+    return both.select("a", "b", "score_a", "score_b", F.when(F.col("score_a") >= F.col("score_b"), "A").otherwise("B").alias("winner"), F.abs(F.col("score_a") - F.col("score_b")).alias("gap"))

@@ -7,36 +7,47 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import patterns as P
 from pagelens.functions import urls
-from pagelens.functions.text import all_of, count_of, entity_names, first_of, ld_blocks, ld_types, same_as, strip, visible_text
+from pagelens.functions.text import all_of, count_of, entity_names, first_of, ld_of, ld_types, same_as, strip, visible_text
 
 
 def _size(array: Column) -> Column:
     return F.size(array).cast("long")
 
 
+#: Input of up to so many bytes for each core is dealt to all cores first, if it comes in few pieces.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """The pages over all cores where they are few: reading them apart costs more than moving them. Large tables, of
+    which the estimated size is over SPREAD_BYTES a core, stay as they are."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return pages.repartition(cores) if size <= SPREAD_BYTES * cores else pages
+
+
 def page_signals(pages: DataFrame, key: str = "page_id", robots_header: Column | None = None) -> DataFrame:
     """Signals of pages (key, url, html); ``robots_header`` is a column with X-Robots-Tag, if there is one.
 
     A null page is an empty one. The text is made in a projection of its own, so that it is made once.
     """
     header = robots_header if robots_header is not None else F.lit(None).cast("string")
-    base = pages.select(key, F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), header.alias("robots_header"))
-    base = base.select("*", visible_text(F.col("html")).alias("text"), ld_blocks(F.col("html")).alias("ld"), all_of(F.col("html"), P.H2, 1).alias("h2"), all_of(F.col("html"), P.H3, 1).alias("h3"), all_of(F.col("html"), P.IMG).alias("img"), entity_names(ld_blocks(F.col("html"))).alias("names"))
-    html, text, ld, names = F.col("html"), F.col("text"), F.col("ld"), F.col("names")
-    good = F.filter(ld, lambda b: b.isNotNull())
+    base = spread(pages).select(key, F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), header.alias("robots_header"))
+    html = F.col("html")
+    base = base.select("*", visible_text(html).alias("text"), all_of(html, P.LD_JSON, 1).alias("raw"), all_of(html, P.H2, 1).alias("h2"), all_of(html, P.H3, 1).alias("h3"), all_of(html, P.IMG).alias("img"), all_of(html, P.LINK_HOST, 1).alias("hosts"))
+    base = base.select("*", ld_of(F.col("raw")).alias("ld")).select("*", entity_names(F.col("ld")).alias("names"), ld_types(F.col("ld")).alias("types"), F.filter("ld", lambda b: b.isNotNull()).alias("good"), F.left("text", F.lit(300)).alias("opening"))
     # What a block that doesn't parse holds of URLs in its first 120 characters counts too.
-    blob = F.array_join(F.concat(good, F.transform(all_of(html, P.LD_JSON, 1), lambda b: F.when(F.try_parse_json(strip(b)).isNull(), F.left(b, F.lit(120))))), " ")
+    broken = F.filter(F.zip_with("raw", "ld", lambda r, b: F.when(b.isNull(), F.left(r, F.lit(120)))), lambda r: r.isNotNull())
+    base = base.select("*", all_of(F.array_join(F.concat("good", broken), " "), P.BLOB_URL).alias("links"))
+    text, ld, names, good, links, opening = (F.col(c) for c in ("text", "ld", "names", "good", "links", "opening"))
     plain = lambda h: F.regexp_replace(h, r"<[^>]+>", "")
-    opening = F.left(text, F.lit(300))
-    hosts = all_of(html, P.LINK_HOST, 1)
-    trusted = F.filter(F.array_distinct(hosts), lambda h: F.exists(F.array(*map(F.lit, P.AUTHORITIES)), lambda a: h.endswith(a) | F.contains(h, F.concat(F.lit("."), a))))
-    links = all_of(blob, P.BLOB_URL)
+    trusted = F.filter(F.array_distinct("hosts"), lambda h: F.exists(F.array(*map(F.lit, P.AUTHORITIES)), lambda a: h.endswith(a) | F.contains(h, F.concat(F.lit("."), a))))
     no_index = F.filter(F.concat(all_of(html, P.META_ROBOTS, 1), F.array(F.coalesce("robots_header", F.lit("")))), lambda v: v.rlike(P.NO_INDEX))
     return base.select(
         key, "url", F.length(html).cast("long").alias("n_html"), F.length(text).cast("long").alias("n_text"),
         F.length(strip(first_of(html, P.TITLE))).cast("long").alias("title_len"), F.length(strip(first_of(html, P.DESCRIPTION))).cast("long").alias("description_len"),
         count_of(html, P.H1).alias("n_h1"), _size(F.col("h2")).alias("n_h2"), _size(F.col("h3")).alias("n_h3"),
-        _size(ld).alias("n_ld"), F.array_contains(ld_types(ld), "Organization").alias("has_organization"), F.array_contains(ld_types(ld), "FAQPage").alias("has_faq"),
+        _size(ld).alias("n_ld"), F.array_contains("types", "Organization").alias("has_organization"), F.array_contains("types", "FAQPage").alias("has_faq"),
         (first_of(html, P.LANG) != "").alias("has_lang"), (first_of(html, P.CANONICAL) != "").alias("has_canonical"),
         _size(F.filter(F.concat("h2", "h3"), lambda h: plain(h).rlike(P.QUESTION))).alias("n_questions"),
         (opening.rlike(P.CONCLUSION) & (F.length(opening) > 80)).alias("has_conclusion"), count_of(text, P.FACT).alias("n_facts"),

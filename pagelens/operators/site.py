@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import patterns as P
 from pagelens.functions import urls
-from pagelens.functions.text import all_of, first_of
+from pagelens.functions.text import all_of, decoded, first_of
 from pagelens.operators import robots
 
 FETCH = "url string, ua string, status int, headers map<string,string>, body string, final_url string, hops int, error string"
@@ -23,18 +23,39 @@ def header(headers: Column, name: str) -> Column:
     return F.get(F.map_values(F.map_filter(headers, lambda k, _: F.lower(k) == name.lower())), 0)
 
 
-def one_each(fetches: DataFrame) -> DataFrame:
-    """One fetch for each url and user agent: the one with the best status, so that repeated rows don't repeat pages."""
-    best = F.max_by(F.struct(*[c for c in fetches.columns if c not in ("url", "ua")]), F.struct((F.col("status") == 200).alias("a"), F.col("status")))
-    return fetches.groupBy("url", "ua").agg(best.alias("f")).select("url", "ua", "f.*")
+def _rank() -> list[Column]:
+    return [(F.col("status") == 200).alias("fine"), F.col("status"), F.col("final_url"), F.col("hops"), F.col("error")]
+
+
+def outcomes(fetches: DataFrame) -> DataFrame:
+    """(url, ua, status, final_url, hops, error): one outcome for each url and user agent, the one with the best status, so
+    that repeated rows don't repeat pages. Headers and bodies are not read."""
+    return fetches.groupBy("url", "ua").agg(F.max(F.struct(*_rank())).alias("f")).select("url", "ua", "f.status", "f.final_url", "f.hops", "f.error")
+
+
+def contents(asked: DataFrame, fetches: DataFrame, *wanted: Column) -> DataFrame:
+    """(url, status, ...): what browsers get at the urls of ``asked``, with columns made of headers and body.
+
+    Rows of other urls are left before anything is moved, and one shuffle by url serves the choice of a row for each
+    url and the join that follows.
+    """
+    rows = fetches.where("ua = 'default'").join(asked.select("url").distinct(), "url", "left_semi").select("url", *_rank()[1:], F.xxhash64("body").alias("mark"), *wanted)
+    names = [c for c in rows.columns if c not in ("url", "final_url", "hops", "error", "mark")]
+    best = F.max_by(F.struct(*names), F.struct(*_rank(), "mark"))
+    return rows.groupBy("url").agg(best.alias("f")).select("url", "f.*")
 
 
 def liveness(candidates: DataFrame, fetches: DataFrame) -> DataFrame:
-    """candidates (..., url, ua) with status, headers, body, final_url of their fetch; status 0 where there is none."""
-    out = candidates.join(one_each(fetches), ["url", "ua"], "left")
+    """candidates (..., url, ua) with status, final_url, hops and error of their fetch; status 0 where there is none."""
+    out = candidates.join(outcomes(fetches), ["url", "ua"], "left")
     return out.withColumn("status", F.coalesce("status", F.lit(0)))
 
 
+def from_live(rows: DataFrame) -> DataFrame:
+    """Fetches as the live source makes them, with bodies of bytes, as fetches with bodies of text."""
+    return rows.withColumn("body", decoded(F.col("body"), header(F.col("headers"), "content-type")))
+
+
 def bot_access(pages: DataFrame, fetches: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, home_status, bot_status, blocked): a bot that gets no answer is not blocked, one that gets another is."""
     asked = pages.select(key, "url", F.explode(F.array(F.lit("default"), F.lit("bot"))).alias("ua"))
@@ -70,38 +91,38 @@ def sitemap_freshness(sitemaps: DataFrame) -> DataFrame:
 def site_signals(pages: DataFrame, fetches: DataFrame, key: str = "page_id", fresh_year: int = 2026, mode: str = "rfc9309") -> DataFrame:
     """One row for each page (key, url) with everything that the site checks look at."""
     base = pages.select(key, F.coalesce("url", F.lit("")).alias("url"), urls.origin(F.coalesce("url", F.lit(""))).alias("origin"))
-    fetched = one_each(fetches)
-    home = base.join(fetched.where("ua = 'default'").drop("ua"), "url", "left").select(key, F.coalesce("status", F.lit(0)).alias("home_status"), F.col("error").alias("home_error"), F.coalesce("hops", F.lit(0)).alias("hops"), first_of(F.coalesce("body", F.lit("")), P.OG_IMAGE).alias("og"))
-    bots = bot_access(base, fetches, key).select(key, "bot_status")
+    asked = base.select(key, "url", F.explode(F.array(F.lit("default"), F.lit("bot"))).alias("ua"))
+    of = lambda ua, c: F.max(F.when(F.col("ua") == ua, F.col(c)))
+    home = liveness(asked, fetches).groupBy(key).agg(of("default", "status").alias("home_status"), of("default", "error").alias("home_error"), F.coalesce(of("default", "hops"), F.lit(0)).alias("hops"), of("bot", "status").alias("bot_status"))
     variants = host_variants(base, fetches, key).select(key, F.col("agree").alias("variants_agree"))
 
     # Files of a site are read once for all of its pages.
-    sites = base.select("origin").distinct()
-    asked = sites.select("origin", F.explode(F.array(*map(F.lit, P.ACCESS_FILES))).alias("file")).select("origin", "file", F.concat("origin", "file").alias("url"), F.lit("default").alias("ua"))
-    files = liveness(asked, fetches)
+    asked = base.select("origin").distinct().select("origin", F.explode(F.array(*map(F.lit, P.ACCESS_FILES))).alias("file")).select("origin", "file", F.concat("origin", "file").alias("url"), F.lit("default").alias("ua"))
     status = lambda f: F.max(F.when(F.col("file") == f, F.col("status")))
-    body = lambda f: F.max(F.when((F.col("file") == f) & (F.col("status") == 200), F.col("body")))
-    per_site = files.groupBy("origin").agg(status("/robots.txt").alias("robots_status"), body("/robots.txt").alias("robots"), status("/sitemap.xml").alias("sitemap_status"), body("/sitemap.xml").alias("sitemap"), status("/llms.txt").alias("llms_status"), status("/rss.xml").alias("rss_status"), F.count_if(F.col("status") == 200).alias("n_access_files"))
+    per_site = liveness(asked, fetches).groupBy("origin").agg(status("/robots.txt").alias("robots_status"), status("/sitemap.xml").alias("sitemap_status"), status("/llms.txt").alias("llms_status"), status("/rss.xml").alias("rss_status"), F.count_if(F.col("status") == 200).alias("n_access_files"))
+    read = asked.where(F.col("file").isin("/robots.txt", "/sitemap.xml"))
+    read = read.join(contents(read, fetches, F.col("body")).where("status = 200 AND body IS NOT NULL"), "url").select(F.col("origin").alias("site"), "file", "body")
     spark = pages.sparkSession
     names = spark.createDataFrame([(b,) for b in P.CITATION_BOTS], "bot string")
-    texts = per_site.where("robots IS NOT NULL").select(F.col("origin").alias("site"), F.col("robots").alias("body"))
+    texts = read.where("file = '/robots.txt'").drop("file")
     denied = robots.verdicts(texts, names, mode=mode).groupBy("site").agg(F.count_if(F.col("verdict") == "deny").alias("n_denied")).withColumnRenamed("site", "origin")
     named = robots.declared(texts, names, mode).withColumnRenamed("site", "origin")
-    maps = per_site.where("sitemap IS NOT NULL").select(F.col("origin").alias("site"), F.col("sitemap").alias("body"))
+    closed = texts.select(F.col("site").alias("origin"), F.col("body").rlike(P.BARE_DISALLOW).alias("robots_closed"))
+    maps = read.where("file = '/sitemap.xml'").drop("file")
     entries = sitemap_entries(maps)
     locs = entries.groupBy("site").agg(F.count("*").alias("n_locs"), F.count_if("cjk").alias("n_cjk_slugs")).withColumnRenamed("site", "origin")
     sampled = liveness(entries.where(F.col("pos") < SAMPLE).select("site", F.col("loc").alias("url"), F.lit("sitemap").alias("ua")), fetches)
     bad = sampled.groupBy("site").agg(F.count_if(F.col("status") != 200).alias("n_bad_locs")).withColumnRenamed("site", "origin")
     fresh = sitemap_freshness(maps).withColumnRenamed("site", "origin").select("origin", "last_year")
 
-    image = liveness(home.where("og <> ''").join(base.select(key, "url"), key).select(key, urls.resolved(F.col("url"), F.col("og")).alias("url"), F.lit("default").alias("ua")), fetches)
-    loads = (F.col("status") == 200) & (F.coalesce(header(F.col("headers"), "content-type"), F.lit("")).contains("image") | (F.octet_length(F.coalesce("body", F.lit(""))) > 1000))
-    image = image.select(key, loads.alias("og_image_loads"))
+    og = contents(base, fetches, first_of(F.coalesce("body", F.lit("")), P.OG_IMAGE).alias("og")).where("og <> ''")
+    wanted = base.join(og.select("url", "og"), "url").select(key, urls.resolved(F.col("url"), F.col("og")).alias("url"))
+    shown = F.coalesce(header(F.col("headers"), "content-type"), F.lit("")).contains("image") | (F.octet_length(F.coalesce("body", F.lit(""))) > 1000)
+    image = wanted.join(contents(wanted, fetches, shown.alias("shown")), "url", "left").select(key, ((F.col("status") == 200) & F.col("shown")).alias("og_image_loads"))
 
-    out = base.join(home, key, "left").join(bots, key, "left").join(variants, key, "left").join(image, key, "left").join(per_site.drop("sitemap"), "origin", "left")
-    for part in (denied, named, locs, bad, fresh):
+    out = base.join(home, key, "left").join(variants, key, "left").join(image, key, "left").join(per_site, "origin", "left")
+    for part in (denied, named, closed, locs, bad, fresh):
         out = out.join(part, "origin", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("bot_status", "n_denied", "n_declared", "n_locs", "n_cjk_slugs", "n_bad_locs")}
-    no = {c: F.coalesce(c, F.lit(False)) for c in ("variants_agree", "og_image_loads")}
-    closed = F.coalesce(F.col("robots").rlike(P.BARE_DISALLOW), F.lit(False))
-    return out.withColumns(zero | no | {"robots_closed": closed, "fresh_year": F.lit(fresh_year)}).drop("robots", "og")
+    no = {c: F.coalesce(c, F.lit(False)) for c in ("variants_agree", "og_image_loads", "robots_closed")}
+    return out.withColumns(zero | no | {"fresh_year": F.lit(fresh_year)})

@@ -19,17 +19,17 @@ def site_checks(pages: DataFrame, fetches: DataFrame, key: str = "page_id", **op
 
 def full_checks(pages: DataFrame, fetches: DataFrame, key: str = "page_id", **options) -> DataFrame:
     """All checks of pages (key, url); the html is the body of the page's own fetch."""
-    own = site.one_each(fetches).where("ua = 'default'").select("url", F.col("body").alias("html"), site.header(F.col("headers"), "x-robots-tag").alias("robots_header"))
-    with_html = pages.select(key, "url").join(own, "url", "left")
+    own = site.contents(pages, fetches, F.col("body").alias("html"), site.header(F.col("headers"), "x-robots-tag").alias("robots_header"))
+    with_html = pages.select(key, "url").join(own.drop("status"), "url", "left")
     page = checks.results(signals.page_signals(with_html, key, F.col("robots_header")), checks.PAGE, key)
     other = site_checks(pages, fetches, key, **options)
-    return page.unionByName(other.withColumn("check_pos", F.col("check_pos") + len(checks.PAGE)))
+    return page.unionByName(other)
 
 
 def report(results: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, score, grade, layers, fixes, text): one row for each page, arrays only here at the end."""
     layers = score.layer_scores(results, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("layer", "score", "n_fail"))).alias("layers"))
-    titles = results.sparkSession.createDataFrame([(c.key, c.title, c.advice) for c in checks.PAGE + checks.SITE], "check_id string, title string, advice string")
+    titles = results.sparkSession.createDataFrame([(c.key, c.title, c.advice) for c in checks.CHECKS], "check_id string, title string, advice string")
     fixes = score.priority_fixes(results, key).join(F.broadcast(titles), "check_id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "check_id", "status", "title", "advice"))).alias("fixes"))
     out = score.page_scores(results, key).join(layers, key).join(fixes, key, "left")
     lines = F.concat(

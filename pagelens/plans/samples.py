@@ -22,6 +22,17 @@ ROBOTS = (
     ("d.example", "Disallow: /early\nUser-agent: *\nDisallow: /private\nDisallow:\n"),
     ("e.example", ""),
     ("f.example", "User-agent: claude\nDisallow: /*\nUser-agent: Baiduspider-render-x\nAllow: /\nUser-agent: claude\nAllow: /a\n"),
+    ("g.example", "User-agent: *\nDisallow: /\n\nUser-agent: Googlebot\nDisallow:\n"),
+    ("h.example", "User-agent: *\nDisallow: /\nUser-agent: Googlebot\nUser-agent: PetalBot\nDisallow: /private\n"),
+    ("i.example", "User-agent: *\nDisallow: /\nAllow: /$\n"),
+    ("j.example", "User-agent: *\nDisallow: /*?x\nDisallow: *.pdf$\nDisallow: /_%\n"),
+    ("k.example", "User-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n"),
+    ("l.example", "USER-AGENT: googlebot\nDISALLOW: /\nUser-agent: GoogleBot\nAllow: /\n"),
+    ("m.example", "User-agent: Google\nDisallow: /\nUser-agent: Googlebot\nAllow: /\nUser-agent: *\nDisallow: /\n"),
+    ("n.example", "User-agent:\nDisallow: /\n"),
+    ("o.example", "Sitemap: https://o.example/sitemap.xml\nUser-agent: *\nCrawl-delay: 5\nDisallow: /*\n"),
+    ("p.example", "User-agent: *\nDisallow: /$\nAllow: /\n"),
+    ("q.example", "User-agent: ClaudeBot\nCrawl-delay: 1\nUser-agent: PerplexityBot\nAllow: /\nDisallow: /\n"),
 )
 
 SITEMAPS = (
@@ -34,7 +45,7 @@ SITEMAPS = (
 FETCHES = (
     ("https://a.example/", "default", 200, "text/html", "<html></html>", "https://a.example/", 0, None),
     ("https://a.example/", "bot", 403, "text/html", "", "https://a.example/", 0, None),
-    ("https://b.example/", "default", 200, "text/html", "<html></html>", "https://b.example/", 1, None),
+    ("https://b.example/", "default", 200, "text/html", '<meta property="og:image" content="//cdn.example/b.png">' + PAGES[0][2], "https://b.example/", 1, None),
     ("https://b.example/", "bot", 0, None, "", "https://b.example/", 0, "timeout"),
     ("http://a.example", "default", 200, "text/html", "", "https://a.example/", 1, None),
     ("https://a.example", "default", 200, "text/html", "", "https://a.example/", 0, None),
@@ -44,10 +55,22 @@ FETCHES = (
     ("http://b.example", "default", 200, "text/html", "", "http://b.example/", 0, None),
     ("https://www.b.example", "default", 200, "text/html", "", "https://www.b.example/", 0, None),
     ("http://www.b.example", "default", 200, "text/html", "", "https://www.b.example/", 1, None),
+    ("https://a.example/", "default", 500, "text/html", "worse", "https://a.example/", 3, "again"),
+    ("https://a.example/robots.txt", "default", 200, "text/plain", "User-agent: *\nDisallow: /\n\nUser-agent: Googlebot\nDisallow:\n", "https://a.example/robots.txt", 0, None),
+    ("https://b.example/robots.txt", "default", 200, "text/plain", "User-agent: Bytespider\nUser-agent: Googlebot\nAllow: /\nUser-agent: *\nDisallow: /admin\n", "https://b.example/robots.txt", 0, None),
+    ("https://d.example/robots.txt", "default", 503, "text/plain", "", "https://d.example/robots.txt", 0, None),
+    ("https://a.example/sitemap.xml", "default", 200, "text/xml", SITEMAPS[0][1], "https://a.example/sitemap.xml", 0, None),
+    ("https://b.example/sitemap.xml", "default", 200, "text/xml", "<urlset><url><loc>https://b.example/x</loc><lastmod>2024-12-31</lastmod></url></urlset>", "https://b.example/sitemap.xml", 0, None),
+    ("https://b.example/x", "sitemap", 200, "text/html", "", "https://b.example/x", 0, None),
+    ("https://a.example/llms.txt", "default", 200, "text/plain", "x", "https://a.example/llms.txt", 0, None),
+    ("https://b.example/rss.xml", "default", 200, "text/xml", "x", "https://b.example/rss.xml", 0, None),
+    ("https://d.example/shop/page?q=1", "default", 404, "text/html", '<html lang="en"><title>Shop</title><meta property="og:image" content="pic.png"><h1>Shop</h1></html>', "https://d.example/shop/page?q=1", 4, None),
+    ("https://d.example/shop/pic.png", "default", 200, None, "p" * 1200, "https://d.example/shop/pic.png", 0, None),
+    ("https://cdn.example/b.png", "default", 200, "image/png", "", "https://cdn.example/b.png", 0, None),
     ("https://a.example/one", "sitemap", 200, "text/html", "", "https://a.example/one", 0, None),
     ("https://a.example/a+b", "sitemap", 404, "text/html", "", "https://a.example/a+b", 0, None),
 )
-SITES = ((1, "https://a.example/"), (2, "https://b.example/"), (3, "https://WWW.c.example/x"))
+SITES = ((1, "https://a.example/"), (2, "https://b.example/"), (3, "https://WWW.c.example/x"), (4, "https://d.example/shop/page?q=1"))
 
 RESULTS = (
     ("q1", 0, "Acme review", "https://www.zhihu.com/q/1"), ("q1", 1, "Other", "https://zhihu.com/q/2"), ("q1", 2, "Shop", "https://shop.acme.example:80/x"), ("q1", 3, "none", ""),

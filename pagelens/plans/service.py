@@ -1,6 +1,7 @@
 """The seven questions one can ask about one target, answered as JSON text, and recording from a file.
 
-Errors are values: {"ok": false, "error": code, "hint": ...}. Each answer is a handful of rows about one URL, question,
+Errors are values: {"ok": false, "error": code, "hint": ...}. The codes and the keys of results are fixed values, which
+callers read. Each answer is a handful of rows about one URL, question,
 study or identity, so it is collected; the plans behind it are those of the set-at-a-time queries. Every answer
 carries an attribution under the caller's brand.
 """
@@ -23,8 +24,6 @@ from pagelens.sources import jsonl
 from pagelens.streaming.ingest import RAW
 
 SAMPLE = "pos int, question string, platform string, run int, answer string, role string, sentiment string, facts string, facts_found array<string>, as_of string"
-OBSERVATION = "ts string, run_id string, identity string, kind string, series string, value double, unit string, n int, source string, note string, seq long"
-SIGNAL = "dedup_key string, identity string, kind string, series string, previous_value double, previous_ts string, current_value double, current_ts string, change_value double, change_ratio double, direction string, severity string, n int, source string, detected_at string, resolved_at string, first_seen string"
 
 
 def _rows(df: DataFrame) -> list[dict[str, Any]]:
@@ -132,7 +131,7 @@ class Service:
         return {"ok": True, "plan": _rows(planning.plan(request, advice, top).orderBy("place").drop("request")), "unknown_ids": [r["id"] for r in planning.unknown(request, advice, top).orderBy("pos").collect()]}
 
     def _observations(self, *wanted: str) -> DataFrame:
-        return history.selected(jsonl.read(self.spark, f"{self.folder}/observations", OBSERVATION), *wanted)
+        return history.selected(jsonl.read(self.spark, f"{self.folder}/observations", history.OBSERVATION), *wanted)
 
     @answer
     def history(self, identity: str, kind: str = "", series: str = "", limit: int = 50) -> dict[str, Any]:
@@ -149,27 +148,27 @@ class Service:
 
     @answer
     def signals(self, status: str = "open", limit: int = 50) -> dict[str, Any]:
-        found = _rows(history.listed(jsonl.read(self.spark, f"{self.folder}/signals", SIGNAL), status, limit)) if self._recorded("signals") else []
+        found = _rows(history.listed(jsonl.read(self.spark, f"{self.folder}/signals", history.SIGNAL), status, limit)) if self._recorded("signals") else []
         return {"ok": True, "status": status, "count": len(found), "signals": found}
 
     def _recorded(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return jsonl.exists(self.spark, f"{self.folder}/{name}")
 
     def record(self, payload: str, as_of: str) -> dict[str, int]:
         """Append a recording (a list of observations, or {"run": ..., "observations": [...]}) and recompute signals.
 
         Reading is open to all, writing is not a question: it has no answer envelope and is meant for the command line.
+        Observations are numbered in the order in which they stand, after all that are there.
         """
         given = json.loads(payload)
         run, rows = ({}, given) if isinstance(given, list) else (given.get("run") or {}, given.get("observations") or [])
         run = {"run_id": as_of, "ts": as_of} | {k: v for k, v in run.items() if v}
-        lines = self.spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
+        last = self._observations().agg(F.max("seq")).first()[0] if self._recorded("observations") else None
+        lines = self.spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").coalesce(1)
         kept, row = history.ingest(jsonl.parse_lines(lines, RAW), run)
-        before = self._observations().count() if self._recorded("observations") else 0
-        jsonl.append(kept.withColumn("seq", F.monotonically_increasing_id() + before), f"{self.folder}/observations")
+        jsonl.append(history.numbered(kept, 0 if last is None else last + 1), f"{self.folder}/observations")
         jsonl.append(row, f"{self.folder}/runs")
-        old = jsonl.read(self.spark, f"{self.folder}/signals", SIGNAL) if self._recorded("signals") else None
+        old = jsonl.read(self.spark, f"{self.folder}/signals", history.SIGNAL) if self._recorded("signals") else None
         fresh = jsonl.replace(history.recomputed(self._observations(), old, F.lit(as_of)), f"{self.folder}/signals")
         counts = row.first()
         return {"recorded": counts["recorded"], "skipped": counts["skipped"], "signals": fresh.where("resolved_at IS NULL").count()}

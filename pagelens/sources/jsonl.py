@@ -15,7 +15,24 @@ def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
     return parsed.select(*[F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields])
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop has them, for any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a table? One that a broken-off replacement left aside is put back first."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at):
+        aside = _file_system(spark, f"{path.rstrip('/')}.before")[1]
+        if not fs.exists(aside) or not fs.rename(aside, at):
+            return False
+    return True
+
+
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    exists(spark, path)
     return parse_lines(spark.read.text(path), schema)
 
 
@@ -24,18 +41,21 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> DataFrame:
-    """Overwrite ``path`` with rows that may come from it: written beside it first, then renamed into its place.
+    """Overwrite ``path`` with rows that may come from it: written beside it first, then exchanged by renaming.
 
-    Renaming goes through Hadoop's file system, so any store that Spark writes to will do; readers see the old or the
-    new files, or for an instant none.
+    Renaming goes through Hadoop's file system, so any store that Spark writes to will do. The old files are kept aside
+    until the new ones are in place; if this breaks off between, ``exists`` and ``read`` put them back.
     """
     spark = df.sparkSession
-    staging = f"{path.rstrip('/')}.staging"
+    staging, aside = (f"{path.rstrip('/')}.{kind}" for kind in ("staging", "before"))
     df.write.mode("overwrite").json(staging)
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
+    fs, old = _file_system(spark, path)
+    new, before = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staging, aside))
+    if exists(spark, path):
+        fs.delete(before, True)
+        if not fs.rename(old, before):
+            raise OSError(f"could not move {path} aside")
     if not fs.rename(new, old):
         raise OSError(f"could not move {staging} to {path}")
+    fs.delete(before, True)
     return spark.read.schema(df.schema).json(path)

@@ -14,13 +14,18 @@ RAW = "ts string, identity string, kind string, series string, value double, uni
 
 def start(spark: SparkSession, incoming: str, observations: str, signals: str, checkpoint: str, run: dict[str, str] | None = None) -> StreamingQuery:
     """Read JSON-line files as they come into ``incoming``, append what is whole to ``observations`` (one folder for each
-    batch, so that a batch done again replaces itself) and recompute ``signals``."""
+    batch, so that a batch done again replaces itself) and recompute ``signals`` (JSON lines) from those and from the
+    signals before: what is still there keeps its first_seen, what is gone is resolved.
+
+    ``seq`` goes on from batch to batch in the order of the lines.
+    """
     lines = spark.readStream.text(incoming)
 
     def each(batch: DataFrame, number: int) -> None:
         kept, _ = history.ingest(jsonl.parse_lines(batch, RAW), {"run_id": f"batch-{number}"} | (run or {}))
-        kept.withColumn("seq", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{observations}/batch={number}")
-        seen = spark.read.parquet(observations)
-        history.recomputed(seen, None, F.lit(str(number))).write.mode("overwrite").parquet(signals)
+        before = spark.read.parquet(observations).where(F.col("batch") < number).agg(F.max("seq")).first()[0] if jsonl.exists(spark, observations) else None
+        history.numbered(kept, 0 if before is None else before + 1).write.mode("overwrite").parquet(f"{observations}/batch={number}")
+        old = jsonl.read(spark, signals, history.SIGNAL) if jsonl.exists(spark, signals) else None
+        jsonl.replace(history.recomputed(spark.read.parquet(observations), old, F.lit(str(number))), signals)
 
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagelens.functions import provenance, text, urls
+from pagelens.functions import patterns, provenance, text, urls
 from pagelens.operators import visibility
 from pagelens.operators.planning import split_ids
 
@@ -32,7 +32,7 @@ def test_visible_text(spark, html, shown):
 
 def test_structured_data(spark):
     html = '<script type="application/ld+json">{"@graph":[{"@type":"Organization","name":" Acme ","founder":{"@type":["Person"],"name":"Li"}},{"@type":"FAQPage","mainEntity":[{"@type":"Question","name":"Q1 \\"@type\\": \\"Fake\\""}]}]}</script><script type="application/ld+json">{broken</script>'
-    blocks = text.ld_blocks(F.col("x"))
+    blocks = text.ld_of(text.all_of(F.col("x"), patterns.LD_JSON, 1))
     assert value(spark, F.size(blocks), html) == 2
     assert sorted(value(spark, text.ld_types(blocks), html)) == ["FAQPage", "Organization", "Person", "Question"]
     assert value(spark, text.entity_names(blocks), html) == ["Acme", "Li"]

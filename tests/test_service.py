@@ -62,3 +62,12 @@ def test_recording(service):
     assert signal["first_seen"] == "t2" and json.loads(service.signals("resolved"))["count"] == 0
     assert service.record(json.dumps([{"ts": "2026-03-01", "identity": "acme", "kind": "mention", "series": "w", "value": 0.6, "n": 30}]), "t3")["signals"] == 0
     assert json.loads(service.signals("resolved"))["signals"][0]["resolved_at"] == "t3"
+
+
+def test_recordings_keep_the_order_of_arrival(spark, tmp_path):
+    service = Service(spark, folder=str(tmp_path))
+    point = lambda value: {"ts": "2026-01-01", "identity": "acme", "kind": "mention", "value": value, "n": 30}
+    for n, values in enumerate(([0.3, 0.2, 0.1], [0.9], [0.4, 0.5])):
+        service.record(json.dumps([point(v) for v in values]), f"t{n}")
+        (change,) = json.loads(service.changes("acme"))["results"]
+        assert (change["previous_value"], change["current_value"]) == ((0.2, 0.1), (0.1, 0.9), (0.4, 0.5))[n]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from pagelens.operators import history
 from pagelens.sources import jsonl, live
 from pagelens.streaming import ingest
 
@@ -33,10 +34,36 @@ def test_stream(spark, tmp_path):
         query.awaitTermination()
         assert query.exception() is None
     assert spark.read.parquet(out).count() == 2
-    (row,) = spark.read.parquet(signals).collect()
+    (row,) = jsonl.read(spark, signals, history.SIGNAL).collect()
     assert (row["identity"], row["severity"]) == ("a", "rise")
 
 
+def test_stream_keeps_first_seen_resolves_and_keeps_the_order_of_lines(spark, tmp_path):
+    incoming, out, signals = tmp_path / "in", str(tmp_path / "obs"), str(tmp_path / "signals")
+    incoming.mkdir()
+    line = lambda value: f'{{"ts":"2026-01-01","identity":"a","kind":"k","value":{value},"n":20}}\n'
+    seen = []
+    for n, values in enumerate(((0.1, 0.9), (0.2,), (0.2,), (0.2, 0.5, 0.9))):
+        (incoming / f"{n}.jsonl").write_text("".join(map(line, values)))
+        query = ingest.start(spark, str(incoming), out, signals, str(tmp_path / "cp"))
+        query.awaitTermination()
+        assert query.exception() is None
+        seen.append(sorted((r["severity"], r["previous_value"], r["current_value"], r["first_seen"], r["resolved_at"] or "") for r in jsonl.read(spark, signals, history.SIGNAL).collect()))
+    assert seen[0] == [("rise", 0.1, 0.9, "0", "")]
+    assert seen[1] == [("sharp_drop", 0.9, 0.2, "0", "")]
+    assert seen[2] == [("sharp_drop", 0.9, 0.2, "0", "2")]
+    assert seen[3] == [("rise", 0.5, 0.9, "3", ""), ("sharp_drop", 0.9, 0.2, "0", "2")]
+    assert [r["seq"] for r in spark.read.parquet(out).orderBy("seq").collect()] == list(range(7))
+
+
+def test_a_broken_replacement_is_put_back(spark, tmp_path):
+    path = str(tmp_path / "t")
+    jsonl.append(spark.createDataFrame([("a", "k", 1.0, 1)], SCHEMA), path)
+    (tmp_path / "t").rename(tmp_path / "t.before")
+    assert not jsonl.exists(spark, str(tmp_path / "other"))
+    assert [tuple(r) for r in jsonl.read(spark, path, SCHEMA).collect()] == [("a", "k", 1.0, 1)]
+
+
 def test_live_source_is_guarded(spark):
     assert live.guard("ftp://a.example/") == "scheme" and live.guard("http://localhost/") == "host" and live.guard("http://127.0.0.1/") == "address"
     assert live.fetch("http://127.0.0.1/")[2:] == (0, {}, b"", "http://127.0.0.1/", 0, "address")
