@@ -56,6 +56,30 @@ def from_live(rows: DataFrame) -> DataFrame:
     return rows.withColumn("body", decoded(F.col("body"), header(F.col("headers"), "content-type")))
 
 
+VARIANTS = ("http://", "https://", "http://www.", "https://www.")
+
+
+def _apex(url: Column) -> Column:
+    name = F.lower(urls.authority(url))
+    return F.when(name.startswith("www."), F.substring(name, F.lit(5), F.length(name))).otherwise(name)
+
+
+def fetch_plan(pages: DataFrame, files=P.ACCESS_FILES) -> DataFrame:
+    """(url, ua): what has to be fetched for pages (url), but for what sitemaps and pages name."""
+    own = pages.select("url", F.explode(F.array(F.lit("default"), F.lit("bot"))).alias("ua"))
+    variants = pages.select(F.explode(F.array(*[F.concat(F.lit(p), _apex(F.col("url"))) for p in VARIANTS])).alias("url"), F.lit("default").alias("ua"))
+    read = pages.select(F.explode(F.array(*[F.concat(urls.origin(F.col("url")), F.lit(f)) for f in files])).alias("url"), F.lit("default").alias("ua"))
+    return own.unionByName(variants).unionByName(read).distinct()
+
+
+def further_urls(pages: DataFrame, fetches: DataFrame) -> dict[str, list[str]]:
+    """User agent -> urls that fetched sitemaps and pages name, for a handful of pages: the first entries and previews."""
+    maps = pages.select(F.concat(urls.origin(F.col("url")), F.lit("/sitemap.xml")).alias("url"))
+    named = maps.join(contents(maps, fetches, F.col("body")).where("status = 200"), "url").select(F.explode(F.slice(all_of(F.col("body"), P.LOC, 1), 1, SAMPLE)).alias("u"))
+    shown = pages.join(contents(pages, fetches, first_of(F.coalesce("body", F.lit("")), P.OG_IMAGE).alias("og")), "url").where("og <> ''").select(urls.resolved(F.col("url"), F.col("og")).alias("u"))
+    return {agent: [r["u"] for r in rows.distinct().orderBy("u").collect()] for agent, rows in (("sitemap", named), ("default", shown))}
+
+
 def bot_access(pages: DataFrame, fetches: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, home_status, bot_status, blocked): a bot that gets no answer is not blocked, one that gets another is."""
     asked = pages.select(key, "url", F.explode(F.array(F.lit("default"), F.lit("bot"))).alias("ua"))
@@ -69,9 +93,7 @@ def host_variants(pages: DataFrame, fetches: DataFrame, key: str = "page_id", by
 
     They agree if all answer 200 and end on one host; ``by_status`` asks for the 200 alone.
     """
-    name = F.lower(urls.authority(F.col("url")))
-    apex = F.when(name.startswith("www."), F.substring(name, F.lit(5), F.length(name))).otherwise(name)
-    asked = pages.select(key, F.explode(F.array(*[F.concat(F.lit(p), apex) for p in ("http://", "https://", "http://www.", "https://www.")])).alias("url"), F.lit("default").alias("ua"))
+    asked = pages.select(key, F.explode(F.array(*[F.concat(F.lit(p), _apex(F.col("url"))) for p in VARIANTS])).alias("url"), F.lit("default").alias("ua"))
     out = liveness(asked, fetches).groupBy(key).agg(F.count_distinct("status").alias("n_statuses"), F.min("status").alias("least"), F.count_distinct(F.lower(urls.authority(F.col("final_url")))).alias("n_hosts"))
     agree = (F.col("n_statuses") == 1) & (F.col("least") == 200)
     return out.select(key, "n_statuses", "n_hosts", (agree if by_status else agree & (F.col("n_hosts") <= 1)).alias("agree"))

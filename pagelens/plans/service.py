@@ -88,7 +88,8 @@ class Service:
         if self.results is None:
             return _error("search_backend_unreachable", "there is no table of search results")
         own = self.results.where(F.col("question") == question)
-        wanted = self.spark.createDataFrame([(question, brand, domain, "ok")], "question string, brand string, domain string, source_status string")
+        bad = own.where("source_status <> 'ok'").select("source_status").first() if "source_status" in own.columns else None
+        wanted = self.spark.createDataFrame([(question, brand, domain, bad[0] if bad else "ok")], "question string, brand string, domain string, source_status string")
         hosts = _rows(pool.host_distribution(own).orderBy("place").select("host", "n"))
         top = _rows(pool.hits(own).orderBy("pos").limit(12).select("title", "url", "host"))
         return {"ok": True} | _rows(pool.verdicts(own, wanted))[0] | {"host_distribution": hosts, "top_results": top}

@@ -1,14 +1,20 @@
-"""An optional live source: fetches as a Spark data source, one partition for each host. Off unless asked for.
+"""Optional live sources as Spark data sources: fetches, a partition for each host, and search results, one for each
+question. Off unless registered.
 
-Register with spark.dataSource.register(LiveFetch), then spark.read.format("live_fetch").option("urls", "...").load().
-Redirects are followed here, one by one, and each target is checked before it is fetched.
+spark.dataSource.register(LiveFetch), then spark.read.format("live_fetch").option("urls", "...").load(); its bodies are
+bytes, which ``operators.site.from_live`` makes text for the audit. Redirects are followed here, one by one, and each
+target is checked before it is fetched.
+
+spark.dataSource.register(LiveSearch), then spark.read.format("live_search").option("endpoint", "https://...").option(
+"questions", "one\ntwo").load(), for an endpoint that answers ?q=...&format=json with {"results": [{"title", "url"}]}.
 """
 
 from __future__ import annotations
 
-import gzip
 import ipaddress
+import json
 import socket
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -41,10 +47,16 @@ def guard(url: str) -> str | None:
     return None if all(ipaddress.ip_address(a).is_global for a in addresses) else "address"
 
 
-def decompressed(body: bytes, encoding: str) -> bytes:
+def decompressed(body: bytes, encoding: str, most: int = MOST_BYTES) -> bytes:
+    """At most ``most`` bytes; of a body that is cut off, what its beginning holds."""
     if encoding == "gzip":
-        return gzip.decompress(body)
-    return zlib.decompress(body, -zlib.MAX_WBITS) if encoding == "deflate" else body
+        return zlib.decompressobj(zlib.MAX_WBITS | 16).decompress(body, most)
+    if encoding == "deflate":
+        try:
+            return zlib.decompressobj().decompress(body, most)
+        except zlib.error:  # without a header, as some servers send it
+            return zlib.decompressobj(-zlib.MAX_WBITS).decompress(body, most)
+    return body[:most]
 
 
 def fetch(url: str, ua: str = "default") -> tuple:
@@ -63,8 +75,8 @@ def fetch(url: str, ua: str = "default") -> tuple:
             if answer.code in (301, 302, 303, 307, 308) and "Location" in headers:
                 at = urllib.parse.urljoin(at, headers["Location"])
                 continue
-            body = decompressed(answer.read(MOST_BYTES), headers.get("Content-Encoding", "").lower())
-            return url, ua, answer.code, headers, body[:MOST_BYTES], at, hops, None
+            body = decompressed(answer.read(MOST_BYTES), next((v.lower() for k, v in headers.items() if k.lower() == "content-encoding"), ""))
+            return url, ua, answer.code, headers, body, at, hops, None
         except Exception as e:
             return url, ua, 0, {}, b"", at, hops, str(e)[:160]
     return url, ua, 0, {}, b"", at, MOST_HOPS, "too many redirects"
@@ -101,3 +113,55 @@ class LiveFetch(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
+
+
+SEARCH_TIMEOUT, ATTEMPTS, PAUSE, MOST_RESULTS = 25, 3, 1.5, 20
+RESULT = "question string, pos int, title string, url string, source_status string"
+
+
+def search(question: str, endpoint: str, engines: str = "", pause: float = PAUSE, ask=None) -> list[tuple]:
+    """Rows RESULT of one question. Failures and empty answers are tried again, with longer and longer pauses; what
+    stays without an answer is one row without a URL, whose source_status says why, so that it counts as an unreachable
+    source and not as an empty pool."""
+    url = f"{endpoint.rstrip('/')}/search?" + urllib.parse.urlencode({"q": question, "format": "json"} | ({"engines": engines} if engines else {}))
+    ask = ask or (lambda u: urllib.request.build_opener(urllib.request.ProxyHandler({})).open(urllib.request.Request(u, headers={"Accept": "application/json"}), timeout=SEARCH_TIMEOUT).read())
+    status = "empty"
+    for attempt in range(ATTEMPTS):
+        if attempt:
+            time.sleep(pause * attempt)
+        try:
+            found = json.loads(ask(url).decode("utf-8", "replace")).get("results") or []
+            status = "empty"
+        except Exception as e:
+            found, status = [], f"failed: {str(e)[:120]}"
+        if found:
+            return [(question, n, r.get("title"), r.get("url"), "ok") for n, r in enumerate(found[:MOST_RESULTS])]
+    return [(question, 0, None, None, "ok" if status == "empty" else status)]
+
+
+class _Question(InputPartition):
+    def __init__(self, question: str):
+        self.question = question
+
+
+class _SearchReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.questions, self.endpoint, self.engines = options.get("questions", "").split("\n"), options.get("endpoint", ""), options.get("engines", "")
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Question(q.strip()) for q in self.questions if q.strip()]
+
+    def read(self, partition: _Question) -> Iterator[tuple]:
+        yield from search(partition.question, self.endpoint, self.engines)
+
+
+class LiveSearch(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "live_search"
+
+    def schema(self) -> str:
+        return RESULT
+
+    def reader(self, schema) -> DataSourceReader:
+        return _SearchReader(self.options)

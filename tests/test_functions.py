@@ -88,6 +88,6 @@ def test_stamps(spark):
     brand = provenance.Brand("acme", version="2")
     df = provenance.stamped(spark.createDataFrame([("hello", "x")], "answer string, other string"), "tool", brand, F.col("other"), add_footer=True, issued_at=F.lit("t"))
     row = df.first()
-    assert row["attribution"]["brand"] == "acme" and provenance.EDGE in row["answer"] and "Please credit acme" in row["answer"] and row["other"] == "x"
+    assert row["attribution"]["brand"] == "acme" and provenance.EDGE in row["answer"] and "| by | acme, " in row["answer"] and row["other"] == "x"
     assert provenance.sealed(df, "again", brand).columns == df.columns
-    assert spark.range(1).select(provenance.identity_line(brand)).first()[0].startswith("Source: acme")
+    assert spark.range(1).select(provenance.identity_line(brand)).first()[0].startswith("[page audit] acme")

@@ -71,3 +71,37 @@ def test_recordings_keep_the_order_of_arrival(spark, tmp_path):
         service.record(json.dumps([point(v) for v in values]), f"t{n}")
         (change,) = json.loads(service.changes("acme"))["results"]
         assert (change["previous_value"], change["current_value"]) == ((0.2, 0.1), (0.1, 0.9), (0.4, 0.5))[n]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from pagelens import __main__ as cli
+
+    assert cli.main([]) == 2 and cli.main([str(tmp_path), "audit"]) == 2 and cli.main([str(tmp_path), "unheard"]) == 2
+    assert cli.main([str(tmp_path), "selftest"]) == 0
+    assert capsys.readouterr().out.count(": ok") == 8
+    fetches = samples.frame(spark, samples.FETCHES, "url string, ua string, status int, content_type string, body string, final_url string, hops int, error string")
+    fetches.withColumn("headers", F.create_map(F.lit("Content-Type"), "content_type")).drop("content_type").write.parquet(f"{tmp_path}/fetches")
+    samples.frame(spark, samples.RESULTS, "question string, pos int, title string, url string").write.parquet(f"{tmp_path}/results")
+    (tmp_path / "study.json").write_text(json.dumps({"samples": [{"question": "q", "platform": "P", "role": "joint", "answer": "Acme 25%"}]}))
+    for args in (["audit", "a.example/", "b.example/"], ["probe", "q1", "Acme"], ["visibility", str(tmp_path / "study.json")], ["plan", "faq"], ["signals"]):
+        assert cli.main([str(tmp_path), *args]) == 0
+        assert json.loads(capsys.readouterr().out)["ok"]
+
+
+def test_resources(spark):
+    from pagelens.plans import resources
+
+    assert resources.checklist(spark).count() == 42
+    book = resources.playbook(spark).orderBy("place").collect()
+    assert [(r["layer"], r["weight"]) for r in book] == [("crawl", 22), ("parse", 18), ("cite", 21), ("entity", 10), ("reach", 10), ("trust", 7)] and sum(r["n_checks"] for r in book) == 42
+    asked = spark.createDataFrame([("q1", "P1", "joint"), ("q2", "P1", "none"), ("q2", "", "joint")], "question string, platform string, role string")
+    profiles = {r["platform"]: r for r in resources.platform_profiles(asked, samples.frame(spark, samples.RESULTS, "question string, pos int, title string, url string")).collect()}
+    assert profiles["P1"]["hosts"][0] == "blog.example" and profiles["P1"]["mention_share"] == 50.0 and profiles["unlabelled"]["hosts"] == ["blog.example"]
+    assert {r["kind"] for r in resources.known_hosts(spark).collect()} == {"platform", "authority"}
+    assert "a.example" in resources.prompt("audit", "a.example") and "20" in resources.prompt("study", "q")
+
+
+def test_attribution_has_a_notice_of_its_own(service):
+    given = json.loads(service.plan("faq"))["attribution"]
+    assert {"brand", "product", "tool", "version", "trace_id", "issued_at", "source", "citation", "attribution_required", "license", "notice", "note"} == set(given)
+    assert given["notice"].startswith("Whoever passes this on") and len(given["notice"]) > 40

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 from pagelens.operators import history
 from pagelens.sources import jsonl, live
 from pagelens.streaming import ingest
@@ -70,3 +72,85 @@ def test_live_source_is_guarded(spark):
     spark.dataSource.register(live.LiveFetch)
     rows = spark.read.format("live_fetch").option("urls", "http://10.0.0.1/ http://127.0.0.1/x").load().collect()
     assert sorted((r["url"], r["status"], r["error"]) for r in rows) == [("http://10.0.0.1/", 0, "address"), ("http://127.0.0.1/x", 0, "address")]
+
+
+def test_bodies_that_are_cut_off():
+    import gzip
+    import zlib
+
+    text = bytes(range(256)) * 4000
+    for packed, encoding in ((gzip.compress(text), "gzip"), (zlib.compress(text), "deflate"), (zlib.compress(text)[2:-4], "deflate"), (text, "")):
+        assert live.decompressed(packed, encoding) == text
+        part = live.decompressed(packed[: len(packed) // 2], encoding)
+        assert part and text.startswith(part)
+    assert len(live.decompressed(gzip.compress(text), "gzip", 1000)) == 1000
+
+
+def test_search_tries_again_and_tells_why():
+    answers = [b"nonsense", b'{"results": []}', b'{"results": [{"title": "A", "url": "https://a.example/"}]}']
+    asked = []
+
+    def ask(url):
+        asked.append(url)
+        return answers[len(asked) - 1]
+
+    assert live.search("q one", "https://s.example/", "x", pause=0, ask=ask) == [("q one", 0, "A", "https://a.example/", "ok")]
+    assert len(asked) == 3 and asked[0] == "https://s.example/search?q=q+one&format=json&engines=x"
+    asked.clear()
+    answers[2] = answers[1]
+    assert live.search("q", "https://s.example", pause=0, ask=ask) == [("q", 0, None, None, "ok")]
+    asked.clear()
+    answers[:] = [b"x"] * 3
+    ((*row, status),) = live.search("q", "https://s.example", pause=0, ask=ask)
+    assert row == ["q", 0, None, None] and status.startswith("failed")
+
+
+def test_search_source_without_an_endpoint(spark):
+    from pagelens.plans.service import Service
+
+    spark.dataSource.register(live.LiveSearch)
+    rows = spark.read.format("live_search").option("endpoint", "http://127.0.0.1:9").option("questions", "q1\n\nq2").load()
+    got = rows.collect()
+    assert sorted(r["question"] for r in got) == ["q1", "q2"] and all(r["source_status"].startswith("failed") for r in got)
+    out = json.loads(Service(spark, results=spark.createDataFrame(got, live.RESULT)).probe("q1", "Acme"))
+    assert out["verdict"] == "source_unavailable" and out["n_results"] == 0
+
+
+def test_live_rows_are_audited_as_text(spark):
+    from pagelens.operators import site
+    from pagelens.plans import audit
+
+    html = '<html lang="zh"><title>标题</title><h1>合</h1>' + "结论是可以的。" * 40
+    rows = [("https://a.example/", "default", 200, {"Content-Type": "text/html; charset=gbk"}, html.encode("gbk"), "https://a.example/", 0, None), ("https://b.example/", "default", 200, {}, html.encode(), "https://b.example/", 0, None)]
+    fetches = site.from_live(spark.createDataFrame(rows, "url string, ua string, status int, headers map<string,string>, body binary, final_url string, hops int, error string"))
+    assert [r["body"] for r in fetches.collect()] == [html, html]
+    pages = spark.createDataFrame([(1, "https://a.example/"), (2, "https://b.example/")], "page_id int, url string")
+    got = {(r["page_id"], r["check_id"]): r["status"] for r in audit.full_checks(pages, fetches).collect()}
+    assert all(got[p, "title"] == "ok" and got[p, "language"] == "ok" and got[p, "text_present"] == "warn" and got[p, "conclusion_first"] == "ok" for p in (1, 2))
+    planned = {(r["url"], r["ua"]) for r in site.fetch_plan(pages).collect()}
+    assert {("https://a.example/", "bot"), ("https://www.a.example", "default"), ("https://b.example/robots.txt", "default")} <= planned and len(planned) == 2 * (2 + 4 + 7)
+    named = fetches.unionByName(spark.createDataFrame([("https://a.example/sitemap.xml", "default", 200, {}, "<loc>https://a.example/x</loc>", "", 0, None)], site.FETCH))
+    assert site.further_urls(pages, named) == {"sitemap": ["https://a.example/x"], "default": []}
+
+
+def test_workers_need_not_find_the_package(tmp_path):
+    """Page signals from another folder, by a session whose workers can't import this package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parents[1]
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+from pagelens.operators import signals
+from pagelens.plans import samples
+rows = signals.page_signals(samples.frame(spark, samples.PAGES, "page_id int, url string, html string")).select("page_id", "n_entity_names").collect()
+assert dict(map(tuple, rows))[1] == 2, rows
+print("fine")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "fine" in out.stdout, out.stderr[-2000:]
