@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -21,7 +22,11 @@ BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session and give checkpoints a folder where none is set."""
+    """Bound the Arrow batches of this session and give checkpoints a folder where none is set.
+
+    This holds for the whole session: its Arrow batches stay small for other Python functions too, and on a local master
+    its workers' PYTHONPATH gets this package's folder.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
@@ -48,6 +53,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as Parquet in the shared folder, read again, and where they are; ``discard`` them when they are done with."""
+    spark = df.sparkSession
+    prepare(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -106,6 +125,11 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+#: Minima of stars are sent to every executor up to this many edges; beyond, edges are shuffled to them, and the
+#: engine's handling of skewed joins splits very large stars.
+BROADCAST_EDGES = 1 << 19
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
@@ -115,18 +139,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     least, most = F.least("a", "b"), F.greatest("a", "b")
     stars = checkpoint(edges.where("a <> b").select(most.alias("a"), least.alias("b")).distinct())
-    before = None
+    before, n = None, stars.count()
     for _ in range(max_rounds):
+        sent = F.broadcast if n <= BROADCAST_EDGES else lambda df: df
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(sent(low), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small = large.join(sent(low), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         stars = checkpoint(small)
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return stars.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.col("m").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -2,10 +2,12 @@
 
 Sets are banded by size so that partners stand in the same or in neighbouring bands, and a Jaccard threshold is
 a bound k on the symmetric difference. For each instance (a band and the one under it) the shingle domain is cut
-into parts by hash range. By the pigeonhole principle partners agree on some part, or, for small k, on all but
-k2 of a part's pieces, so each set's signatures are hashes of its content in parts (or in all subsets of
-pieces of the right number), and partners share a signature. With k + m parts they agree on m at least, so up
-to m - 1 parts with very few shingles, which say little, can be left out and no link is lost.
+into parts by hash range, and each part into pieces. By the pigeonhole principle partners differ by at most one
+shingle in some part, so they agree there on all pieces but one: a set's signatures are hashes of its content in all
+subsets of the right number of pieces of each part, and partners share a signature. With k // 2 + m parts they share one
+in m parts at least, so up to m - 1 parts of which some subset holds very few shingles, which say little, can be left
+out and no link is lost. (Where k is large against the sets, parts are one piece each and k + m in number, and for k up
+to 3 the numbers are set by hand.)
 
 Taking any fixed set of shingles out of all sets can only bring partners nearer, so signatures are made without
 shingles that are common in a sample of the corpus: else a passage that many documents share would be the whole
@@ -13,7 +15,9 @@ content of some part in many of them. A set with m or more small parts is signed
 full, up to STAGES times: partners share a signature of the first stage in which one of them has few small parts.
 
 Sets that share signatures are chained to the least document of the signature, chains make candidate clusters,
-and clusters are verified exactly in blocks of bounded size. Copies (equal sets) are one node throughout.
+and clusters are verified exactly in blocks of bounded size. A cluster of several blocks in which few pairs share a
+signature, as a chain of chance meetings makes it, is taken apart and verified by signatures instead, so that no more
+pairs are compared than PartEnum names. Copies (equal sets) are one node throughout.
 """
 
 from __future__ import annotations
@@ -30,17 +34,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import WORD, checkpoint, connected_components, grouped, map_batches, prepare, sampled_ids, table, texts
+from pagelens.llm.common import WORD, checkpoint, connected_components, grouped, map_batches, partitions, prepare, sampled_ids, table, texts
 from pagelens.llm.hashing import C1, C4, U, join_hashes, scramble, signed, windows, word_hashes
 
-#: Clusters of more shingles than BLOCK, a set counting as NODE at least, are verified in blocks of about that size.
-BLOCK, NODE = 1 << 20, 1 << 11
+#: Clusters of more shingles than SMALL, a set counting as NODE at least, are verified in blocks of about that size, and
+#: of up to BLOCK in clusters of more than MANY such blocks.
+SMALL, BLOCK, NODE, MANY = 1 << 18, 1 << 20, 1 << 11, 24
 #: Candidate sets are sent to every executor only up to this many rows; beyond, the texts are shuffled.
 BROADCAST_ROWS = 1 << 20
 #: Documents of the sample (by a hash of doc_id) in which shingles are counted, in how many a shingle is common, and
 #: how many common ones are kept at most. Whatever they come to, the links are the same; only the work differs.
 SAMPLE_DOCS, COMMON_IN, COMMON_MOST = 8_192, 3, 1 << 19
 COLUMNS = 1024
+#: From so many shingles for each that may differ, parts are cut into pieces too. That takes 1.5 to 1.8 times as many
+#: signatures, of 1.3 times the length; at a threshold of 0.8 they would hold three shingles and not repay their cost.
+DENSE = 6
+#: Signatures that a task remembers as repeated, so that each of them goes on once a task; beyond, once a batch.
+REPEATED = 1 << 16
 #: How often a set is signed at most, and how often of that without common shingles.
 STAGES, RARE_STAGES = 6, 2
 
@@ -75,7 +85,7 @@ def identity(s: np.ndarray) -> tuple[int, int]:
 @dataclass(frozen=True)
 class Instance:
     """How sets of band ``number`` and the one under it are cut: parts, pieces in each, pieces that may differ;
-    parts of under ``least`` shingles are left out by sets that have fewer than ``spare`` of them."""
+    subsets of under ``least`` shingles are left out by sets that have fewer than ``spare`` parts with such."""
 
     number: int
     parts: int
@@ -107,14 +117,17 @@ def instance(number: int, num: int, den: int) -> Instance:
 
 
 def _wide(number: int, k: int, low: int) -> Instance:
-    """One piece a part; enough spare parts that few sets have as many small ones."""
+    """Enough spare parts that few sets have as many small ones. Parts have three pieces, one of which may differ, where
+    that leaves signatures of some length; else, as for low thresholds, one piece that must not differ."""
+    pieces, differ = (3, 1) if low >= DENSE * k else (1, 0)
+    least_parts, kept = k // (differ + 1), (pieces - differ) / pieces
     for least in (3, 2, 1):
         for m in range(1, max(2, k // 3) + 1):
-            mean = low / (k + m)
-            small = (k + m) * sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(least))
+            mean = low / (least_parts + m) * kept
+            small = (least_parts + m) * min(1, pieces * sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(least)))
             if small + 1.5 * math.sqrt(small) + 1 <= m:
-                return Instance(number, k + m, 1, 0, m, least)
-    return Instance(number, k + 1 + k // 4, 1, 0, 1 + k // 4, 1)
+                return Instance(number, least_parts + m, pieces, differ, m, least)
+    return Instance(number, least_parts + 1 + k // 4, pieces, differ, 1 + k // 4, 1)
 
 
 @functools.cache
@@ -151,19 +164,16 @@ def signatures(s: np.ndarray, rule: Rule, common: np.ndarray) -> np.ndarray:
         if not cells:
             continue
         name = lambda kind, n, inst=inst: scramble(np.arange(n, dtype=U) + U((inst.number << 36) + (kind << 32)))
-        if inst.pieces == 1:
-            for stage in range(STAGES):
-                sums, sizes = _cells(dealt(rare if stage < RARE_STAGES else s, stage), cells)
-                small = sizes < inst.least
-                sig = join_hashes(name(stage, cells), sums)
-                few = small.sum() < inst.spare
-                out.append(sig if stage == STAGES - 1 and not few else sig[~small])
-                if few:
-                    break
-        else:
-            subsets = choices(inst.pieces, inst.pieces - inst.differ)
-            sig = (_cells(s, cells)[0].reshape(inst.parts, inst.pieces) @ subsets.T).ravel()
-            out.append(join_hashes(name(STAGES, len(sig)), sig))
+        subsets = choices(inst.pieces, inst.pieces - inst.differ)
+        for stage in range(STAGES) if inst.least else (STAGES,):
+            sums, sizes = _cells(s if stage == STAGES else dealt(rare if stage < RARE_STAGES else s, stage), cells)
+            sig = sums.reshape(inst.parts, inst.pieces) @ subsets.T
+            small = sizes.reshape(inst.parts, inst.pieces) @ subsets.T.astype(np.int64) < inst.least
+            sig = join_hashes(name(stage, sig.size), sig.ravel())
+            few = small.any(axis=1).sum() < inst.spare
+            out.append(sig if stage == STAGES - 1 and not few else sig[~small.ravel()])
+            if few:
+                break
     return scramble(np.concatenate(out)) if out else np.zeros(0, U)
 
 
@@ -196,36 +206,86 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     return rows.join(least, ["s1", "s2"], "left").select("docs", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", F.array_min("docs"))).alias("rep"))
 
 
-def candidate_pairs(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): documents that share a signature, each with the least one that has it."""
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, rule))  # at most 8 * COMMON_MOST bytes
+def candidate_pairs(docs: DataFrame, rule: Rule, common) -> DataFrame:
+    """(a, b): documents that share a signature, each with the least one that has it, or one that leads to that.
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen, sigs, owners = set(), [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-            s = shingles(text, rule.words)
-            if doc is None or not len(s) or (name := identity(s)) in seen:
+    Documents that share a signature inside a batch are paired there and one of them goes on; the next batches of the
+    task pair with that one, so a signature that a third of all documents have reaches its reducer once a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, leader = np.zeros(0, U), np.zeros(0, np.int64)
+        for batch in batches:
+            seen, sigs, owners = set(), [np.zeros(0, U)], [np.zeros(0, np.int64)]
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+                s = shingles(text, rule.words)
+                if doc is None or not len(s) or (name := identity(s)) in seen:
+                    continue
+                seen.add(name)  # copies are found by their classes
+                sigs.append(signatures(s, rule, common.value))
+                owners.append(np.full(len(sigs[-1]), doc, np.int64))
+            sig, owner = np.concatenate(sigs), np.concatenate(owners)
+            if not len(sig):
                 continue
-            seen.add(name)  # copies are found by their classes
-            sigs.append(signatures(s, rule, sent.value))
-            owners.append(np.full(len(sigs[-1]), doc, np.int64))
-        sig, owner = np.concatenate(sigs), np.concatenate(owners)
-        # Documents of this batch that share a signature are paired here, and one of them goes on.
-        order = np.lexsort((owner, sig))
-        sig, owner = sig[order], owner[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        first = owner[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))] if len(sig) else owner
-        pairs = np.unique(np.stack([owner[~new], first[~new]]), axis=1)
-        alone = scramble(join_hashes(pairs[0].view(U), pairs[1].view(U)))
-        peer = np.concatenate([np.zeros(int(new.sum()), np.int64), pairs[1]])
-        return pa.RecordBatch.from_pydict({"sig": signed(np.concatenate([sig[new], alone])), "doc": np.concatenate([owner[new], pairs[0]]), "peer": pa.array(peer, mask=np.arange(len(peer)) < new.sum())})
-
-    rows = map_batches(docs.select("doc_id", "text"), kernel, "sig long, doc long, peer long")
+            order = np.lexsort((owner, sig))
+            sig, owner = sig[order], owner[order]
+            new = np.ones(len(sig), bool)
+            new[1:] = sig[1:] != sig[:-1]
+            first = owner[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+            left, right = [owner[~new]], [first[~new]]
+            heads, head, several = sig[new], owner[new], np.diff(np.append(np.flatnonzero(new), len(sig))) > 1
+            old = np.zeros(len(heads), bool)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, heads), len(known) - 1)
+                old = known[at] == heads
+                left.append(head[old])
+                right.append(leader[at[old]])
+            add = np.flatnonzero(several & ~old)[: REPEATED - len(known)]
+            known, leader = np.append(known, heads[add]), np.append(leader, head[add])
+            order = np.argsort(known)
+            known, leader = known[order], leader[order]
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+            alone = scramble(join_hashes(pairs[0].view(U), pairs[1].view(U)))
+            heads, head = heads[~old], head[~old]
+            peer = np.concatenate([np.zeros(len(heads), np.int64), pairs[1]])
+            yield pa.RecordBatch.from_pydict({"sig": signed(np.concatenate([heads, alone])), "doc": np.concatenate([head, pairs[0]]), "peer": pa.array(peer, mask=np.arange(len(peer)) < len(heads))})
+
+    prepare(docs.sparkSession)
+    rows = docs.select("doc_id", "text").mapInArrow(run, "sig long, doc long, peer long")
     same = Window.partitionBy("sig").orderBy("doc")
     return rows.withColumn("b", F.coalesce("peer", F.first("doc").over(same))).where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
 
 
+def taken_apart(docs: DataFrame, members: DataFrame, rule: Rule, common) -> DataFrame:
+    """The units of verification, (cluster, sig, node, cost, pairs), of cluster members (cluster, node, cost).
+
+    A cluster is one unit (sig 0) unless it is over SMALL and the groups of its members that share a signature have
+    less than a quarter of its pairs; then each of those groups is one, equal groups once, and ``pairs`` is true.
+    """
+    whole = members.select("cluster", F.lit(0).cast("long").alias("sig"), "node", "cost", F.lit(False).alias("pairs"))
+    large = checkpoint(members.groupBy("cluster").agg(F.sum("cost").alias("cost"), F.count("*").alias("n_members")).where(F.col("cost") > SMALL))
+    if large.isEmpty():
+        return whole
+    inside = checkpoint(members.join(_small(large.select("cluster")), "cluster"))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sigs = [signed(np.unique(signatures(s, rule, common.value))) if len(s := shingles(t, rule.words)) else [] for t in texts(batch)]
+        return pa.RecordBatch.from_pydict({"node": batch.column("doc_id"), "cluster": batch.column("cluster"), "sigs": pa.array(sigs, pa.list_(pa.int64()))})
+
+    own = docs.join(_small(inside.select(F.col("node").alias("doc_id"), "cluster")), "doc_id").select("doc_id", "cluster", "text")
+    signed_ = map_batches(own, kernel, "node long, cluster long, sigs array<long>").select("cluster", "node", F.explode("sigs").alias("sig")).distinct()
+    mark = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
+    groups = signed_.groupBy("cluster", "sig").agg(F.count("*").alias("n"), *mark).where("n > 1").groupBy("cluster", "n", "mark0", "mark1").agg(F.min("sig").alias("sig"))
+    groups = checkpoint(groups.select("cluster", "sig", "n"))
+    named = groups.groupBy("cluster").agg(F.sum(F.col("n") * F.col("n").cast("double")).alias("named"))
+    chains = checkpoint(large.join(named, "cluster", "left").where(4 * F.coalesce("named", F.lit(0.0)) < F.col("n_members") * F.col("n_members").cast("double")).select("cluster"))
+    if chains.isEmpty():
+        return whole
+    chains = _small(chains)
+    apart = signed_.join(groups.join(chains, "cluster", "left_semi").drop("n"), ["cluster", "sig"]).join(members.select("cluster", "node", "cost"), ["cluster", "node"])
+    return whole.join(chains, "cluster", "left_anti").unionByName(apart.select("cluster", "sig", "node", "cost", F.lit(True).alias("pairs")))
+
+
 def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets[left] with sets[right], by products of 0/1 matrices in column blocks."""
     if len(left) * len(right) == 1:
@@ -250,11 +310,12 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 
 
 def verified(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(node, peer, links) from rows (cluster, i, j, block, node, shingles): the least node that ``node`` reaches by
-    links inside the task (cluster, i, j), and how many it links with there."""
+    """(node, peer, links) from rows (cluster, sig, i, j, pairs, block, node, shingles): the least node that ``node``
+    reaches by links inside the task (cluster, sig, i, j), and how many it links with there; where ``pairs``, a row for
+    each linked pair, with null links, since other signatures of the cluster may name it too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["cluster", "i", "j"]):
+        for group in grouped(batches, ["cluster", "sig", "i", "j"]):
             node = group.column("node").to_numpy()
             order = np.argsort(node, kind="stable")
             node, block = node[order], group.column("block").to_numpy()[order]
@@ -269,6 +330,12 @@ def verified(rows: DataFrame, rule: Rule) -> DataFrame:
             linked = rule.links(intersections(sets, left, right), size[left][:, None], size[right][None, :])
             if i == j:
                 np.fill_diagonal(linked, False)
+            if group.column("pairs")[0].as_py():
+                a, b = np.nonzero(linked)
+                a, b = node[left[a]], node[right[b]]
+                found = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_pydict({"node": found[0], "peer": found[1], "links": pa.nulls(found.shape[1], pa.int64())})
+                continue
             links = np.zeros(len(node), np.int64)
             links[left] += linked.sum(axis=1)
             if i != j:
@@ -287,12 +354,18 @@ def verified(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(run, "node long, peer long, links long")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links), a row for every row of ``docs``.
 
     component_id: the smallest doc_id reachable by links, its own included. n_links: how many other shingle sets its
-    set links with; copies count once. A text without words has no shingles and links with nothing. A null doc_id
-    links with nothing and has a null component. Rows of one doc_id are one node, which has the links of each.
+    set links with; copies count once. A null or empty text, or one without words, has no shingles and links with
+    nothing; a text of any length gives all of its shingles. A null doc_id links with nothing and has a null component.
+    Rows of one doc_id are one node, which has the links of each; repeated rows are repeated. An empty table gives no
+    rows. Columns other than doc_id and text are not looked at.
     """
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -301,38 +374,44 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     # Rows of one doc_id that differ in text make their sets' representatives one node.
     first = to_rep.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
     twice = checkpoint(to_rep.join(first, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b"))
-    pairs = candidate_pairs(docs, rule)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, rule))  # at most 8 * COMMON_MOST bytes
+    pairs = candidate_pairs(docs, rule, common)
     for end in ("a", "b"):
         pairs = pairs.join(to_rep.withColumnRenamed("doc_id", end), end).drop(end).withColumnRenamed("rep", f"rep_{end}")
     pairs = pairs.where("rep_a <> rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     clusters = connected_components(pairs)
 
     sizes = known.where("rep IS NOT NULL").groupBy("rep").agg(F.max("n_shingles").alias("n"))
-    # Members of a cluster over a block's size are dealt to blocks by hash, three quarters full on average.
-    members = clusters.join(sizes.withColumnRenamed("rep", "node"), "node").withColumn("cost", F.greatest("n", F.lit(NODE)))
-    large = checkpoint(members.groupBy("component").agg(F.sum("cost").alias("cost")).where(F.col("cost") > BLOCK).select("component", F.ceil(F.col("cost") / (BLOCK * 3 // 4)).cast("int").alias("blocks")))
-    split = not large.isEmpty()
-    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
-    blocks = members.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = clusters.join(sizes.withColumnRenamed("rep", "node"), "node").select(F.col("component").alias("cluster"), "node", F.greatest("n", F.lit(NODE)).alias("cost"))
+    members = taken_apart(docs, checkpoint(members), rule, common)
+    # Members of a unit over a block's size are dealt to blocks by hash, three quarters full on average.
+    unit, size = ["cluster", "sig"], F.least(F.lit(float(BLOCK)), F.greatest(F.lit(float(SMALL)), F.col("cost") / MANY))
+    large = checkpoint(members.groupBy(*unit).agg(F.sum("cost").alias("cost")).where(F.col("cost") > SMALL).select(*unit, F.ceil(F.col("cost") / (size * 0.75)).cast("int").alias("blocks")))
+    split = not large.isEmpty() or not members.where("pairs").isEmpty()
+    blocks = members.join(_small(large), unit, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     blocks = checkpoint(blocks.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
-    few = blocks.count() <= BROADCAST_ROWS
-    wanted = blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "block", "blocks")
-    near = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
+    wanted = blocks.select(F.col("node").alias("doc_id"), *unit, "pairs", "block", "blocks")
+    near = docs.join(_small(wanted), "doc_id")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, rule.words).tobytes() for t in texts(batch)]
-        return pa.RecordBatch.from_pydict({"node": batch.column("doc_id"), "cluster": batch.column("cluster"), "block": batch.column("block"), "blocks": batch.column("blocks"), "shingles": pa.array(sets, pa.binary())})
-
-    members = map_batches(near, kernel, "node long, cluster long, block int, blocks int, shingles binary")
-    # Each pair of blocks of a cluster is one task: a member goes to the tasks that its block is part of.
-    tasks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
-    found = checkpoint(verified(tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), rule))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *unit, "pairs", "block", "blocks")), pa.array(sets, pa.binary())], ["node", *unit, "pairs", "block", "blocks", "shingles"])
+
+    rows = map_batches(near, kernel, "node long, cluster long, sig long, pairs boolean, block int, blocks int, shingles binary")
+    # Each pair of blocks of a unit is one task: a member goes to the tasks that its block is part of. A unit's tasks are
+    # dealt round the partitions one by one, so that those of a large unit are spread evenly.
+    tasks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*unit, "pairs", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
+    n = max(partitions(docs.sparkSession), int((blocks.agg(F.sum(F.col("cost") * F.col("blocks"))).first()[0] or 0) // (4 * BLOCK)))
+    place = F.pmod(F.xxhash64(*unit) % n + (F.col("j").cast("long") * (F.col("j") + 1) / 2).cast("long") + F.col("i"), F.lit(n)).cast("int")
+    found = checkpoint(verified(tasks.repartitionById(n, place).sortWithinPartitions(*unit, "i", "j"), rule))
     # Where every cluster is one block, its task has already found the groups.
     if split or not twice.isEmpty():
         groups = connected_components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")).unionByName(twice))
     else:
         groups = found.groupBy("node").agg(F.min("peer").alias("component"))
-    degree = found.groupBy("node").agg(F.sum("links").alias("n_links"))
+    named = found.where("links IS NULL").select("node", "peer").distinct()
+    named = named.unionByName(named.select(F.col("peer").alias("node"), F.col("node").alias("peer"))).groupBy("node").agg(F.count("*").alias("links"))
+    degree = found.where("links IS NOT NULL").select("node", "links").unionByName(named).groupBy("node").agg(F.sum("links").alias("n_links"))
     by_rep = groups.join(degree, "node", "left").withColumnRenamed("node", "rep")
     out = known.join(by_rep, "rep", "left").select(F.explode("docs").alias("doc_id"), "n_shingles", "rep", "component", "n_links")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
@@ -347,13 +426,12 @@ def deduplicated(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     one doc_id in a group, the one with the smallest hash stays.
     """
     node, order = "_dedup_node", "_dedup_order"
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     wordy = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     several = docs.where(wordy).select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
     several = checkpoint(several.where("low <> high").select("doc_id", F.lit(True).alias(order)))
     split = not several.isEmpty()
     # A node is a doc_id, or a hash of doc_id and text where an id stands with several texts; null stays whatever comes.
-    rows = docs.join(small(several), "doc_id", "left") if split else docs.withColumn(order, F.lit(None).cast("boolean"))
+    rows = docs.join(_small(several), "doc_id", "left") if split else docs.withColumn(order, F.lit(None).cast("boolean"))
     rows = rows.withColumn(node, F.when(wordy, F.when(F.col(order), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))).drop(order)
     groups = checkpoint(joined(rows.select(F.col(node).alias("doc_id"), "text"), rule))
     nodes = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(node)).agg(F.min("component_id").alias("component"), F.count("*").alias("rows"))
@@ -362,7 +440,7 @@ def deduplicated(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         named = nodes.join(rows.where(F.col(node).isNotNull()).select(node, "doc_id").distinct(), node)
         kept = named.groupBy("component").agg(F.min(F.struct("doc_id", node))[node].alias("kept"))
         gone = checkpoint(nodes.join(kept, "component").where(F.col(node) != F.col("kept")).select(node))
-    out = rows.join(small(gone), node, "left_anti")
+    out = rows.join(_small(gone), node, "left_anti")
     repeated = nodes.where("rows > 1").select(node)
     if not repeated.isEmpty():
         same = out.join(repeated, node, "left_semi").withColumn(order, F.xxhash64(F.to_json(F.struct(*docs.columns))))
