@@ -8,8 +8,9 @@ words that start, in both, at cover positions and under PERIOD words from the wi
 2. extend: hash the full windows around kept anchors only, and order equal ones by where they start;
 3. every window but the first of its kind is repeated, and its words go.
 
-Within a batch, equal anchors or windows are settled on the spot and only the first goes on, so a passage that
-very many documents share reaches one reducer once a batch, not once a document.
+A task gathers the entries of many batches before it sends them. Among those, equal anchors or windows are settled on
+the spot and only the first goes on, so a passage that very many documents share reaches one reducer once in about half
+a million entries, not once a document; the others go in rows by buckets of hashes, each full of entries.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import checkpoint, grouped, map_batches, partitions, table, texts
+from pagelens.llm.common import checkpoint, grouped, map_batches, partitions, prepare, table, texts
 from pagelens.llm.hashing import C1, C3, join_hashes, scramble, windows, word_hashes
 
 WINDOW = 20
@@ -34,7 +35,10 @@ KEY, TIE = "_sub_key", "_sub_tie"
 #: Ids that stand with several texts are sent to every executor only up to this many; beyond, the texts are shuffled.
 BROADCAST_ROWS = 1 << 20
 #: Bytes of text whose entries make one bucket, and whose found places make one slice at most.
-BUCKET_BYTES, SLICE_BYTES = 4 << 20, 128 << 20
+BUCKET_BYTES, SLICE_BYTES = 16 << 20, 128 << 20
+#: Entries that a task gathers before it sends them: at least and at most, and for each bucket in between, so that rows
+#: hold eight entries or more up to some 8 TB of text, and a worker needs some 100 to 500 MB for them.
+GATHER, GATHER_MOST, GATHER_PER_BUCKET = 1 << 19, 1 << 22, 8
 
 
 def _words(text: str) -> list[bytes]:
@@ -56,7 +60,7 @@ def _laid_out(batch: pa.RecordBatch, least: int):
 
 
 def _settled(hashes: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """For entries in order of (key, pos): 0 alone in this batch, 1 first of several or a repeated row of it, 2 a later one."""
+    """For entries in order of (key, pos): 0 alone among them, 1 first of several or a repeated row of it, 2 a later one."""
     if not len(pos):
         return np.zeros(0, np.int8)
     order, starts, count = _runs(hashes)
@@ -99,6 +103,35 @@ def _send(n_buckets: int, hashes: list[np.ndarray], key: np.ndarray, pos: np.nda
     return pa.RecordBatch.from_pydict({n: pa.array(v, kinds[n]) for n, v in rows.items()})
 
 
+def _gathered(docs: DataFrame, n_buckets: int, entries, split) -> DataFrame:
+    """Rows SENT of the entries (hashes, key, pos) of all batches, settled by many batches at once; ``split`` says from
+    what is known of each which go on and which are found."""
+    most = min(GATHER_MOST, max(GATHER, n_buckets * GATHER_PER_BUCKET))
+
+    def flushed(held: list) -> pa.RecordBatch:
+        hashes = [np.concatenate(h) for h in zip(*(x[0] for x in held), strict=True)]
+        key, pos = np.concatenate([x[1] for x in held], axis=1), np.concatenate([x[2] for x in held])
+        order = np.lexsort((pos, *key[::-1]))
+        hashes, key, pos = [h[order] for h in hashes], key[:, order], pos[order]
+        go, found = split(_settled(hashes, key, pos))
+        return _send(n_buckets, hashes, key, pos, go, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows and (got := entries(batch)) is not None and len(got[2]):
+                held.append(got)
+                n += len(got[2])
+            if n >= most:
+                yield flushed(held)
+                held, n = [], 0
+        if held:
+            yield flushed(held)
+
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(run, SENT)
+
+
 def _row(rows: dict[str, list], bucket: int, found: bool, hashes: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> None:
     second = (hashes[1] >> np.uint64(32)).astype(np.uint32).tobytes() if len(hashes) > 1 else None
     for name, value in zip(rows, (bucket, found, hashes[0].tobytes() if hashes else None, second, _packed(key, pos), len(pos)), strict=True):
@@ -163,27 +196,25 @@ def anchors(docs: DataFrame, window: int, n_buckets: int, n_slices: int) -> Data
     """(key, at): positions of the anchors that stand more than once."""
     run = window - PERIOD + 1
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def entries(batch: pa.RecordBatch):
         keys, starts, lengths, words, _ = _laid_out(batch, window)
         h = windows(words, run)
         doc = np.repeat(np.arange(len(lengths)), lengths)[: len(h)]
         pos = np.arange(len(h)) - starts[doc]
         at = np.flatnonzero(np.isin(pos % PERIOD, COVER) & (pos + run <= lengths[doc]))
-        h, key, pos = h[at], keys[:, doc[at]], pos[at]
-        known = _settled([h], key, pos)
-        return _send(n_buckets, [h], key, pos, known < 2, known > 0) if len(h) else None
+        return [h[at]], keys[:, doc[at]], pos[at]
 
     def repeated(hashes: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> np.ndarray:
         order, _, count = _runs(hashes)
         return order[np.repeat(count > 1, count)]
 
-    return _resolved(map_batches(docs, kernel, SENT), n_slices, repeated)
+    return _resolved(_gathered(docs, n_buckets, entries, lambda known: (known < 2, known > 0)), n_slices, repeated)
 
 
 def later_windows(docs: DataFrame, window: int, n_buckets: int, n_slices: int) -> DataFrame:
     """(key, at): starts of windows that start earlier elsewhere, of documents with ``at`` (the kept anchors' positions)."""
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def entries(batch: pa.RecordBatch):
         keys, starts, lengths, words, rows = _laid_out(batch, window)
         if not len(lengths):
             return None
@@ -198,11 +229,8 @@ def later_windows(docs: DataFrame, window: int, n_buckets: int, n_slices: int) -
         np.add.at(edge, low[ok], 1)
         np.add.at(edge, high[ok] + 1, -1)
         where = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-        h1, h2 = windows(words, window, C1)[where], windows(words, window, C3)[where]
         doc = np.repeat(np.arange(len(lengths)), lengths)[where]
-        key, pos = keys[:, doc], where - starts[doc]
-        known = _settled([h1, h2], key, pos)
-        return _send(n_buckets, [h1, h2], key, pos, known < 2, known == 2) if len(pos) else None
+        return [windows(words, window, by)[where] for by in (C1, C3)], keys[:, doc], where - starts[doc]
 
     def later(hashes: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> np.ndarray:
         by_place = np.lexsort((pos, *key[::-1]))
@@ -212,7 +240,7 @@ def later_windows(docs: DataFrame, window: int, n_buckets: int, n_slices: int) -
         # Repeated rows of the first one are not copies of it.
         return order[(key[:, order] != key[:, first]).any(axis=0) | (pos[order] != pos[first])]
 
-    return _resolved(map_batches(docs, kernel, SENT), n_slices, later)
+    return _resolved(_gathered(docs, n_buckets, entries, lambda known: (known < 2, known == 2)), n_slices, later)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -238,7 +266,8 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = _keyed(docs)
     # Buckets and slices follow the text, so that one's entries fit a worker whatever the input.
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = (1 + size // BUCKET_BYTES, max(partitions(docs.sparkSession), size // SLICE_BYTES))
+    least = partitions(docs.sparkSession)
+    n = (max(least, size // BUCKET_BYTES), max(least, size // SLICE_BYTES))
     # One shuffle of the texts serves both joins.
     by_doc = rows.repartition(KEY, TIE)
     near = by_doc.join(anchors(rows.select(KEY, TIE, "text"), window, *n).hint("shuffle_hash"), [KEY, TIE])
@@ -274,7 +303,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of what ``deduplicated`` keeps; a row for every row."""
+    """doc_id, n_words, n_removed, kept_sha256 of what ``deduplicated`` keeps; a row for every row. An empty table gives no
+    rows; texts of any length are worked on whole; columns other than doc_id and text are not looked at."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [_kept(t, at, window) for t, at in zip(texts(batch), batch.column("at").to_pylist(), strict=True)]
