@@ -129,7 +129,8 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 def pii_digest(docs: DataFrame) -> DataFrame:
     """One row per document: counts of the base kinds, digest of the base spans, all spans, their scores.
 
-    Every row gives a row, null and empty texts with zeros and empty lists; a null doc_id stays null.
+    Every row gives a row, null and empty texts with zeros and empty lists; a null doc_id stays null. Texts are searched
+    whole, however long; an empty table gives no rows; columns other than doc_id and text are not looked at.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -149,3 +150,37 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_sql() -> str:
+    """The same spans and scores in DuckDB. Its patterns have no look-around, so characters beside a match are matched and
+    left out again, which only tells apart two account numbers with a single character between them."""
+    q = lambda text: "'" + text.replace("'", "''") + "'"
+    beside = r"[^\p{L}\p{N}_]"
+    placed = lambda p, group: f"(SELECT doc, text, regexp_extract(hit, {q(p)}, {group}) AS hit, start + CASE WHEN {group} = 2 THEN length(regexp_extract(hit, {q(p)}, 1)) ELSE 0 END AS start FROM (SELECT doc, text, unnest(hits) AS hit, unnest(list_transform(range(1, len(hits) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))) AS start FROM (SELECT doc, text, string_split_regex(text, {q(p)}) AS gaps, regexp_extract_all(text, {q(p)}) AS hits FROM d)))"
+    digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
+    value = f"cast({digits}[length({digits}) - i + 1] AS int) * (2 - i % 2)"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN {value} > 9 THEN {value} - 9 ELSE {value} END)) % 10 = 0"
+    code = "replace(hit, ' ', '')"
+    number = f"list_reduce(list_transform(string_split(substring({code}, 5) || {code}[1:4], ''), lambda c: cast(CASE WHEN c BETWEEN 'A' AND 'Z' THEN ascii(c) - 55 ELSE ascii(c) - 48 END AS int)), lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97)"
+    finds = (
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0, "true"),
+        (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", 0, "len(list_filter(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) > 3 OR cast('0' || left(ltrim(p, '0'), 3) AS int) > 255)) = 0"),
+        (r"[0-9](?:[\x20-]?[0-9])+", 0, f"length({digits}) BETWEEN 12 AND 19 AND {luhn}"),
+        (PHONE.pattern, 0, f"length({digits}) BETWEEN 9 AND 15"),
+        (r"(^|[^A-Za-z0-9])([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?:$|[^A-Za-z0-9])", 2, f"length({code}) BETWEEN 15 AND 34 AND {number} = 1"),
+        (r"(^|[^0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?:$|[^0-9-])", 2, "NOT regexp_matches(hit, '^(000|666|9)|-00-|-0000$')"),
+    )
+    found = " UNION ALL ".join(f"SELECT doc, text, {k} AS rank, cast(start AS bigint) AS start, cast(start + length(hit) AS bigint) AS stop FROM {placed(p, group)} WHERE {test}" for k, (p, group, test) in enumerate(finds))
+    near = "text[greatest(start - " + str(REACH) + ", 0) + 1:start] || chr(10) || text[stop + 1:stop + " + str(REACH) + "]"
+    context = "CASE rank " + " ".join(f"WHEN {k} THEN regexp_matches(near, {q('(?i)(?:^|' + beside + ')' + CONTEXT[kind].pattern[6:-2] + '(?:$|' + beside + ')')})" for k, kind in enumerate(KINDS)) + " END"
+    prior = "[" + ", ".join(str(PRIOR[kind]) for kind in KINDS) + "][rank + 1]"
+    kinds = "[" + ", ".join(map(q, KINDS)) + "]"
+    shown = f"{kinds}[rank + 1] || ':' || start || ':' || stop"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+scored AS (SELECT doc, rank, start, stop, least(1.0, {prior} + CASE WHEN {context} THEN {BONUS} ELSE 0 END) AS score FROM (SELECT *, {near} AS near FROM found)),
+kept AS (SELECT * FROM scored WHERE rank < {len(BASE)} OR score >= {THRESHOLD}),
+text AS (SELECT doc, {", ".join(f"count(*) FILTER (rank = {k}) AS n_{kind}" for k, kind in enumerate(BASE))}, string_agg({shown}, ',' ORDER BY start, rank, stop) FILTER (rank < {len(BASE)}) AS base, string_agg({shown}, ',' ORDER BY start, rank, stop) AS spans, string_agg(printf('%.2f', cast(score AS double)), ',' ORDER BY start, rank, stop) AS scores FROM kept GROUP BY doc)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN text USING (doc)"""

@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_secrets": secrets.op1_sql(),
     "op3_sharding": sharding.op3_sql(),
     "op4_ngram_join": ngram_join.op4_sql(),
+    "op6_pii": pii.op6_sql(),
     "op7_substrings": substrings.op7_sql(),
     "op8_mixing": mixing.op8_sql(),
 }

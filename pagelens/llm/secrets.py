@@ -196,3 +196,34 @@ def secret_digest(docs: DataFrame) -> DataFrame:
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
+
+
+def op1_sql() -> str:
+    """The same spans in DuckDB, whose patterns need no look-around: every token's tests symbol by symbol."""
+    q = lambda text: "'" + text.replace("'", "''") + "'"
+    assign, token = ASSIGN.replace("(?=[pstaPSTA])", ""), TOKEN.replace("(?<![A-Za-z0-9+/_-])", "").replace("}+", "}")
+    placed = lambda p: f"(SELECT doc, unnest(hits) AS hit, unnest(list_transform(range(1, len(hits) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))) AS start FROM (SELECT doc, string_split_regex(text, {q(p)}) AS gaps, regexp_extract_all(text, {q(p)}) AS hits FROM d))"
+    by_body = lambda value: "CASE" + "".join(f" WHEN regexp_matches(body, {q(rule)}) THEN {value(k, e)}" for k, e in enumerate(ENCODINGS) if (rule := e[2])) + f" ELSE {value(len(ENCODINGS) - 1, ENCODINGS[-1])} END"
+    tail = lambda z: f"CASE WHEN {z} < 0 THEN exp(-{z} * {z} / 2) / sqrt(2 * pi()) / (0.661::double * abs({z}) + 0.339::double * sqrt({z} * {z} + 5.51::double)) ELSE 1 - exp(-{z} * {z} / 2) / sqrt(2 * pi()) / (0.661::double * abs({z}) + 0.339::double * sqrt({z} * {z} + 5.51::double)) END"
+    band = " + ".join(f"cast(n >= {n} AS int)" for n in LENGTHS[1:])
+    kinds = "[" + ", ".join(map(q, KINDS)) + "]"
+    shown = f"{kinds}[rank + 1] || ':' || start || ':' || stop"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+base AS (SELECT doc, cast(start AS bigint) AS start, 0 AS rank, cast(start + length(hit) AS bigint) AS stop FROM {placed(assign)} WHERE length(regexp_extract(hit, {q(assign)}, 2)) >= 12
+ UNION ALL SELECT doc, start, 1, start + length(hit) FROM {placed(ACCESS)} WHERE length(hit) >= 18 UNION ALL SELECT doc, start, 2, start + length(hit) FROM {placed(HEX.replace("}+", "}"))}),
+token AS (SELECT doc, start, start + length(hit) AS stop, rtrim(hit, '=') AS body FROM {placed(token)}),
+kind AS (SELECT *, cast(length(body) AS double) AS n, {by_body(lambda k, e: k)} AS enc, {by_body(lambda k, e: q(e[1]))} AS alphabet, {by_body(lambda k, e: f"{e[3]}::double")} AS spread FROM token),
+symbol AS (SELECT *, cast(length(alphabet) AS double) AS a, list_transform(string_split(body, ''), lambda c: cast(instr(alphabet, c) AS double)) AS x FROM kind),
+sums AS (SELECT *, list_sum(list_transform(range(1, cast(a AS bigint) + 1), lambda v: power(len(list_filter(x, lambda w: w = v)), 2))) AS squares, list_sum(x) / n AS mean, list_sum(list_transform(x, lambda v: v * v)) AS total,
+ list_sum(list_transform(range(1, len(x)), lambda i: x[i] * x[i + 1])) AS neighbours, x[1] + x[len(x)] AS ends, cast(len(list_filter(x, lambda v: v > a // 2)) AS double) AS high,
+ cast(1 + len(list_filter(range(1, len(x)), lambda i: (x[i] > a // 2) <> (x[i + 1] > a // 2))) AS double) AS runs FROM symbol),
+moment AS (SELECT *, a / n * squares - n AS chi, 2 * high * (n - high) / n AS even, total - n * mean * mean AS var, neighbours - mean * (2 * n * mean - ends) + (n - 1) * mean * mean AS cov FROM sums),
+score AS (SELECT *, (chi - (a - 1) - (n - 1) * (spread - 1)) / sqrt(2 * (a - 1) + 4 * (n - 1) * (spread - 1)) AS z, abs(coalesce((runs - 1 - even) / nullif(sqrt(greatest(even * (even - 1) / (n - 1), 0)), 0), 99)) - {DEPENDENCE}::double * sqrt(n) AS z_runs,
+ abs(coalesce(cov / nullif(var, 0), 1) * sqrt(n) + 1 / sqrt(n)) - {DEPENDENCE}::double * sqrt(n) AS z_serial FROM moment),
+ranked AS (SELECT doc, start, stop, enc * 10 + {band} AS stratum, cast(floor(-log10(greatest({tail("z")}, {tail("z_runs")}, {tail("z_serial")}, 1e-{DECADES}::double)) * {BINS_PER_DECADE}) AS int) AS bin FROM score),
+counted AS (SELECT stratum, bin, sum(count(*)) OVER (PARTITION BY stratum ORDER BY bin DESC) AS upto, sum(count(*)) OVER (PARTITION BY stratum) AS total FROM ranked GROUP BY stratum, bin),
+chosen AS (SELECT stratum, min(bin) AS least FROM counted WHERE power(10::double, -bin / {BINS_PER_DECADE}::double) <= {Q}::double * upto / total GROUP BY stratum),
+span AS (SELECT * FROM base UNION ALL SELECT doc, start, {len(KINDS) - 1}, stop FROM ranked JOIN chosen USING (stratum) WHERE bin >= least),
+text AS (SELECT doc, {", ".join(f"count(*) FILTER (rank = {k}) AS n_{kind}" for k, kind in enumerate(KINDS))}, string_agg({shown}, ',' ORDER BY start, rank, stop) FILTER (rank < {len(KINDS) - 1}) AS base, string_agg({shown}, ',' ORDER BY start, rank, stop) AS spans FROM span GROUP BY doc)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN text USING (doc)"""
