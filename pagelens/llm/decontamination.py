@@ -32,8 +32,9 @@ def normal(text: str | None) -> str:
 
 
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
-    """(start, piece) of budget + 1 + SPARE pieces, or as many as there are characters; lengths differ by one at most."""
-    n = min(budget + 1 + SPARE, len(item))
+    """(start, piece) of budget + 1 + SPARE pieces, or as many as there are characters; lengths differ by one at most. An
+    item that must stand as it is, as short ones must, is one piece."""
+    n = min(budget + 1 + SPARE, len(item)) if budget else 1
     cuts = [len(item) * k // n for k in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -97,7 +98,7 @@ class Matcher:
                 spans.append((low, high, starts))
         for n in sorted(near):
             number, item, most = self.items[n]
-            needed = min(most + 1 + SPARE, len(item)) - most
+            needed = len(pieces(item, most)) - most
             found = [(m[0], low + m[1]) for low, high, starts in near[n] if len(starts) >= needed and (m := best_match(item, text[low:high], most))]
             if found:
                 yield number, *min(found)
@@ -130,6 +131,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block
     The budget is a share of the item's characters, rounded down; match_end is an offset in the text in lower case
     with single spaces. Null and empty texts hold nothing; null or empty items are held by nothing.
     Items without an id are matched only if ``unnamed``, with a null item_id. Repeated rows each give their matches.
+    Texts are searched whole, however long; an empty table on either side gives no rows; columns other than doc_id and
+    text, item_id and text are not looked at.
     """
     out = None
     for items in blocks(benchmark, block_chars, unnamed):
