@@ -88,6 +88,17 @@ def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]])
     return map_batches(df, lambda batch: batch.filter(pa.array(keep(batch), pa.bool_())), df.schema)
 
 
+def set_aside(docs: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns that begin with ``prefix``, which an operator needs for its own, under other names, and the
+    names to give back: {other: own}."""
+    taken, back = {c.lower() for c in docs.columns}, {}
+    for name in (c for c in docs.columns if c.lower().startswith(prefix)):
+        other = next(f"_aside_{k}" for k in itertools.count() if f"_aside_{k}" not in taken)
+        taken.add(other)
+        back[other] = name
+    return docs.withColumnsRenamed({own: other for other, own in back.items()}), back
+
+
 def texts(batch: pa.RecordBatch) -> list[str]:
     """Column text, null as empty."""
     return [t or "" for t in batch.column("text").to_pylist()]

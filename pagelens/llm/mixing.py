@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import WORD, checkpoint, map_batches, partitions, table, texts
+from pagelens.llm.common import WORD, checkpoint, map_batches, partitions, set_aside, table, texts
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT, MAX_REPEATS = 150, 2
@@ -160,8 +160,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, ma
     A serving taken in part counts as whole from half on, else not; documents of size 0 are left out. The stream is cut
     at virtual time 1, so a document's copies follow from its queue alone: only one range of a source holds its cut,
     only the documents of that range are looked at one by one, and no other texts are shuffled. Where texts are wanted
-    in the stream's order, sort them by ``queue``'s _mix_place.
+    in the stream's order, sort them by ``queue``'s _mix_place. All columns are kept, whatever their names.
     """
+    docs, names = set_aside(docs, MINE)
     digits = range_digits(docs)
     narrow = keyed(with_size(docs.select("doc_id", "text", "source"), SIZE), digits)
     places = checkpoint(ranges(narrow, weights, share_percent, max_repeats))
@@ -180,7 +181,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, ma
     close = close.withColumn(f"{MINE}copies", F.floor(taken / F.col(SIZE) + 0.5).cast("int"))
     columns = [*docs.columns, f"{MINE}copies"]
     both = clear.select(*columns).unionByName(close.select(*columns))
-    return both.withColumn(f"{MINE}turn", F.explode(F.array_repeat(F.lit(0), F.col(f"{MINE}copies")))).select(*docs.columns)
+    return both.withColumn(f"{MINE}turn", F.explode(F.array_repeat(F.lit(0), F.col(f"{MINE}copies")))).select(*docs.columns).withColumnsRenamed(names)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import WORD, checkpoint, connected_components, grouped, map_batches, partitions, prepare, sampled_ids, table, texts
+from pagelens.llm.common import WORD, checkpoint, connected_components, grouped, map_batches, partitions, prepare, sampled_ids, set_aside, table, texts
 from pagelens.llm.hashing import C1, C4, U, join_hashes, scramble, signed, windows, word_hashes
 
 #: Clusters of more shingles than SMALL, a set counting as NODE at least, are verified in blocks of about that size, and
@@ -49,6 +49,8 @@ COLUMNS = 1024
 #: From so many shingles for each that may differ, parts are cut into pieces too. That takes 1.5 to 1.8 times as many
 #: signatures, of 1.3 times the length; at a threshold of 0.8 they would hold three shingles and not repay their cost.
 DENSE = 6
+#: One in so many signatures is counted to tell chains from families.
+EVERY = 16
 #: Signatures that a task remembers as repeated, so that each of them goes on once a task; beyond, once a batch.
 REPEATED = 1 << 16
 #: How often a set is signed at most, and how often of that without common shingles.
@@ -260,7 +262,8 @@ def taken_apart(docs: DataFrame, members: DataFrame, rule: Rule, common) -> Data
     """The units of verification, (cluster, sig, node, cost, pairs), of cluster members (cluster, node, cost).
 
     A cluster is one unit (sig 0) unless it is over SMALL and the groups of its members that share a signature have
-    less than a quarter of its pairs; then each of those groups is one, equal groups once, and ``pairs`` is true.
+    less than a quarter of its pairs; then each of those groups is one, equal groups once, and ``pairs`` is true. The
+    groups' pairs are counted over one in EVERY signatures of all members; whichever way it goes, the links are the same.
     """
     whole = members.select("cluster", F.lit(0).cast("long").alias("sig"), "node", "cost", F.lit(False).alias("pairs"))
     large = checkpoint(members.groupBy("cluster").agg(F.sum("cost").alias("cost"), F.count("*").alias("n_members")).where(F.col("cost") > SMALL))
@@ -268,21 +271,36 @@ def taken_apart(docs: DataFrame, members: DataFrame, rule: Rule, common) -> Data
         return whole
     inside = checkpoint(members.join(_small(large.select("cluster")), "cluster"))
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sigs = [signed(np.unique(signatures(s, rule, common.value))) if len(s := shingles(t, rule.words)) else [] for t in texts(batch)]
-        return pa.RecordBatch.from_pydict({"node": batch.column("doc_id"), "cluster": batch.column("cluster"), "sigs": pa.array(sigs, pa.list_(pa.int64()))})
-
-    own = docs.join(_small(inside.select(F.col("node").alias("doc_id"), "cluster")), "doc_id").select("doc_id", "cluster", "text")
-    signed_ = map_batches(own, kernel, "node long, cluster long, sigs array<long>").select("cluster", "node", F.explode("sigs").alias("sig")).distinct()
-    mark = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
-    groups = signed_.groupBy("cluster", "sig").agg(F.count("*").alias("n"), *mark).where("n > 1").groupBy("cluster", "n", "mark0", "mark1").agg(F.min("sig").alias("sig"))
-    groups = checkpoint(groups.select("cluster", "sig", "n"))
-    named = groups.groupBy("cluster").agg(F.sum(F.col("n") * F.col("n").cast("double")).alias("named"))
+    def signed_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cluster, node, signature), a row for each signature of each document."""
+        sigs = [np.unique(signatures(s, rule, common.value)) if len(s := shingles(t, rule.words)) else np.zeros(0, U) for t in texts(batch)]
+        each = [len(x) for x in sigs]
+        return np.repeat(batch.column("cluster").to_numpy(), each), np.repeat(batch.column("doc_id").to_numpy(), each), signed(np.concatenate([np.zeros(0, U), *sigs]))
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """One in EVERY signatures, by their value, with the number of the batch's documents that have them."""
+        cluster, _, sig = signed_rows(batch)
+        kept = sig.view(U) % U(EVERY) == 0
+        pairs, n = np.unique(np.stack([cluster[kept], sig[kept]]), axis=1, return_counts=True)
+        return pa.RecordBatch.from_pydict({"cluster": pairs[0], "sig": pairs[1], "n": n})
+
+    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cluster, node, sig = signed_rows(batch)
+        return pa.RecordBatch.from_pydict({"cluster": cluster, "node": node, "sig": sig})
+
+    own = lambda part: docs.join(_small(part.select(F.col("node").alias("doc_id"), "cluster")), "doc_id").select("doc_id", "cluster", "text")
+    counts = map_batches(own(inside), counted, "cluster long, sig long, n long").groupBy("cluster", "sig").agg(F.sum("n").cast("double").alias("n"))
+    named = counts.groupBy("cluster").agg(F.sum(F.when(F.col("n") > 1, EVERY * F.col("n") * F.col("n")).otherwise(0.0)).alias("named"))
     chains = checkpoint(large.join(named, "cluster", "left").where(4 * F.coalesce("named", F.lit(0.0)) < F.col("n_members") * F.col("n_members").cast("double")).select("cluster"))
     if chains.isEmpty():
         return whole
     chains = _small(chains)
-    apart = signed_.join(groups.join(chains, "cluster", "left_semi").drop("n"), ["cluster", "sig"]).join(members.select("cluster", "node", "cost"), ["cluster", "node"])
+    apart = checkpoint(map_batches(own(inside.join(chains, "cluster")), listed, "cluster long, node long, sig long").distinct())
+    # Sums of two halves of a hash tell which signatures have the same documents.
+    name = F.xxhash64("node")
+    groups = apart.groupBy("cluster", "sig").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(name, 33)).alias("high"), F.sum(name.bitwiseAND(0x7FFFFFFF)).alias("low")).where("n > 1")
+    groups = groups.groupBy("cluster", "n", "high", "low").agg(F.min("sig").alias("sig")).select("cluster", "sig")
+    apart = apart.join(groups, ["cluster", "sig"]).join(members.select("cluster", "node", "cost"), ["cluster", "node"])
     return whole.join(chains, "cluster", "left_anti").unionByName(apart.select("cluster", "sig", "node", "cost", F.lit(True).alias("pairs")))
 
 
@@ -423,8 +441,10 @@ def deduplicated(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Rows with a null doc_id and texts without words are all kept. Rows of one doc_id with different texts are documents
     of their own, so that one goes only for a linked or equal set. Of rows of one doc_id and text, and of the texts of
-    one doc_id in a group, the one with the smallest hash stays.
+    one doc_id in a group, the one with the smallest hash stays. An empty table gives no rows; all columns are kept,
+    whatever their names.
     """
+    docs, names = set_aside(docs, "_dedup_")
     node, order = "_dedup_node", "_dedup_order"
     wordy = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     several = docs.where(wordy).select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
@@ -446,7 +466,7 @@ def deduplicated(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         same = out.join(repeated, node, "left_semi").withColumn(order, F.xxhash64(F.to_json(F.struct(*docs.columns))))
         least = same.groupBy(node).agg(F.min(order).alias(order))
         out = out.join(repeated, node, "left_anti").unionByName(same.join(least, [node, order]).dropDuplicates([node]).drop(order))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).withColumnsRenamed(names)
 
 
 CONTRACT = Rule(words=3, num=90)

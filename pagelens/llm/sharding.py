@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import checkpoint, table
+from pagelens.llm.common import checkpoint, set_aside, table
 
 LIMIT_BYTES = 64 << 20
 #: The limit of the query: small, so that tables of any size split over several depths.
@@ -87,7 +87,7 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     limit makes a page that is over it. Null and empty texts weigh 0 bytes; a text of any length is one row of its
     shard. An empty table gives no rows. Columns named shard, shard_depth and shard_bytes are replaced, others kept.
     """
-    docs = docs.drop("shard", "shard_depth", "shard_bytes")
+    docs, names = set_aside(docs.drop("shard", "shard_depth", "shard_bytes"), MINE)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     total = docs.agg(F.sum(size)).first()[0] or 0
     depth = min(ID_BITS, max(0, math.ceil(math.log2(max(1, total) / limit)) + SPARE))
@@ -103,7 +103,7 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
         out = out.unionByName(found.where("shard IS NOT NULL").select(*out.columns))
         if not deep.where("shard IS NULL").isEmpty():
             out = out.unionByName(pages(found.where("shard IS NULL"), limit).select(*out.columns))
-    return out.withColumn("shard", F.when(F.col("shard") == "", "root").otherwise(F.col("shard")))
+    return out.withColumn("shard", F.when(F.col("shard") == "", "root").otherwise(F.col("shard"))).withColumnsRenamed(names)
 
 
 def pages(rows: DataFrame, limit: int) -> DataFrame:
