@@ -2,9 +2,13 @@
 
 P(grade <= j) = logistic(threshold_j - w.x) with one weight vector for all ordered thresholds; the expected
 severity is the sum over j of P(grade > j). Features are whole words and word beginnings; those that a sample of
-labelled texts associates with toxicity (log-odds with a standard error) enter x with their counts, all others
-have weight 0. Labels say toxic or not; a toxic text's grade is where its number of such words lies among the
-toxic texts of the sample: the lower, middle or upper third (1, 2, 3). Texts labelled not toxic have grade 0.
+labelled texts associates with toxicity (log-odds with a standard error) enter x, all others have weight 0. A feature
+that stands n times counts 2n / (n + 1), in training and in scoring alike: however long a text is, a repeated word comes
+to less than twice its weight.
+
+Labels say toxic or not. A toxic text's grade is where its score by a first, binary regression lies among the toxic
+texts of the sample: the lower, middle or upper third (1, 2, 3). That regression is cross-fitted in two folds, so a
+text is graded by weights that were learned from other texts. Texts labelled not toxic have grade 0.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,8 @@ from pagelens.llm.common import checkpoint, map_batches, partitions, prepare, sa
 
 #: Bounds of the training sample (by a hash of doc_id) and of the features that enter the regression.
 MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 4_000, 12_000, 1_000
+#: Pieces that the sample, which is bounded, is dealt to at most.
+SAMPLE_PARTS = 64
 PREFIXES = (4, 5, 6)
 GRADES = 3
 #: A feature needs this log-odds z-score and ratio of rates, in at least SUPPORT toxic texts.
@@ -30,7 +37,7 @@ MIN_Z, MIN_RATIO, SUPPORT = 2.5, 20.0, 3
 STEPS, RATE, PENALTY = 400, 0.05, 1e-3
 #: Expected severity from which a text counts as toxic.
 THRESHOLD = 0.5
-#: Words whose weight a worker remembers.
+#: Words whose features a worker remembers.
 CACHE = 1 << 19
 
 SPLIT = re.compile(r"[^\W\d_]+")
@@ -54,33 +61,35 @@ class Model:
         return sum((0.5 * (1 + np.tanh((total - t) / 2)) for t in self.thresholds), np.zeros(len(total)))
 
     def grade(self, total: np.ndarray) -> np.ndarray:
-        """The likeliest grade."""
-        over = np.stack([np.ones(len(total)), *(0.5 * (1 + np.tanh((total - t) / 2)) for t in self.thresholds), np.zeros(len(total))])
-        return (over[:-1] - over[1:]).argmax(axis=0)
+        """The median: the highest grade that is rather reached than not."""
+        return (np.asarray(total)[:, None] > np.array(self.thresholds)).sum(axis=1)
 
 
-class Weigher(dict):
-    """word -> sum of the weights of its features, filled on demand."""
+class Finder(dict):
+    """word -> those of its features that the model knows, filled on demand."""
 
-    def __init__(self, model: Model):
+    def __init__(self, known):
         super().__init__()
-        self.weights = model.weights
+        self.known = known
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = total = sum(self.weights.get(f, 0.0) for f in features_of(word))
-        return total
+        self[word] = found = tuple(f for f in features_of(word) if f in self.known)
+        return found
 
-    def total(self, text: str) -> float:
-        return sum(map(self.__getitem__, words(text)))
+    def x(self, text: str) -> dict[str, float]:
+        """Feature -> value, of a whole text; the same for training and scoring."""
+        counts = Counter(chain.from_iterable(map(self.__getitem__, words(text))))
+        return {f: 2 * n / (n + 1) for f, n in counts.items()}
 
 
-def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
-    """Adam on the ordinal log-likelihood, classes weighted to balance grade 0 against the others."""
-    levels = GRADES
+def fit(x: np.ndarray, y: np.ndarray, names: list[str], times: np.ndarray | None = None, levels: int = GRADES) -> Model:
+    """Adam on the ordinal log-likelihood of grades 0 to ``levels``, classes weighted to balance grade 0 against the
+    others; ``times`` says how often each row counts."""
+    times = np.ones(len(y)) if times is None else times
     w, first, gaps = np.zeros(x.shape[1]), 1.0, np.zeros(levels - 1)
-    weight = np.where(y == 0, 0.5 / max(1, (y == 0).sum()), 0.5 / max(1, (y > 0).sum()))
+    weight = times * np.where(y == 0, 0.5 / max(1, times[y == 0].sum()), 0.5 / max(1, times[y > 0].sum()))
     theta = np.concatenate([w, [first], gaps])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
@@ -105,6 +114,16 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
     return Model({n: float(k) for n, k in zip(names, w, strict=True)}, tuple(map(float, t)))
 
 
+def grades(x: np.ndarray, toxic: np.ndarray, names: list[str], times: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Grades of the rows from their cross-fitted scores; rows of fold 2 belong to no fold and count half in each."""
+    score = np.zeros(len(toxic))
+    for f in (0, 1):
+        first = fit(x, toxic, names, np.where(fold == 2, times / 2, times * (fold != f)), levels=1)
+        score[fold == f] = (x @ np.array([first.weights[n] for n in names]))[fold == f]
+    low, high = np.quantile(np.repeat(score[toxic == 1], times[toxic == 1].astype(int)), [1 / 3, 2 / 3])
+    return np.where(toxic == 1, 1 + (score > low).astype(int) + (score > high), 0)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """Fit on at most the given numbers of labelled texts, smallest hashes of doc_id first.
 
@@ -116,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     shown = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = lambda value, most: sampled_ids(shown.where(F.col("toxic") == value), most).withColumn("toxic", F.lit(value))
     chosen = part(1, max_toxic).unionByName(part(0, max_clean))
-    sample = checkpoint(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(partitions(spark)))
+    sample = checkpoint(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(min(partitions(spark), SAMPLE_PARTS)))
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1:
@@ -136,31 +155,36 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     names = [r["feature"] for r in table_.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()]
     if not names:
         return Model({}, (10.0, 11.0, 12.0))
-    place = {f: k for k, f in enumerate(names)}
+    known = frozenset(names)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [Counter(place[f] for w in words(t) for f in features_of(w) if f in place) for t in texts(batch)]
-        marked = [sum(any(f in place for f in features_of(w)) for w in words(t)) for t in texts(batch)]
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "marked": pa.array(marked, pa.int64()), "at": pa.array([list(c) for c in found], pa.list_(pa.int32())), "n": pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))})
+        finder = Finder(known)
+        found = [finder.x(t) for t in texts(batch)]
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "names": pa.array([sorted(x) for x in found], pa.list_(pa.string())), "x": pa.array([[x[f] for f in sorted(x)] for x in found], pa.list_(pa.float64()))})
 
-    got = sorted(map_batches(sample, rows, "doc_id long, toxic int, marked long, at array<int>, n array<int>").collect(), key=lambda r: (r["doc_id"], r["at"], r["n"]))
+    got = map_batches(sample, rows, "doc_id long, toxic int, names array<string>, x array<double>")
+    got = got.groupBy("toxic", "names", "x", F.when(F.size("names") > 0, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2).otherwise(2).cast("int").alias("fold")).agg(F.count("*").alias("times"))
+    got = sorted(got.collect(), key=lambda r: (r["toxic"], r["fold"], r["names"], r["x"]))
+    place = {f: k for k, f in enumerate(names)}
     x = np.zeros((len(got), len(names)))
     for k, r in enumerate(got):
-        x[k, r["at"]] = np.minimum(r["n"], 8)
-    toxic, marked = np.array([r["toxic"] for r in got]), np.array([r["marked"] for r in got])
-    cuts = np.quantile(marked[toxic == 1], [1 / 3, 2 / 3])
-    return fit(x, np.where(toxic == 1, 1 + (marked > cuts[0]).astype(int) + (marked > cuts[1]), 0), names)
+        x[k, [place[f] for f in r["names"]]] = r["x"]
+    toxic, times, fold = (np.array([r[c] for r in got]) for c in ("toxic", "times", "fold"))
+    return fit(x, grades(x, toxic, names, times, fold), names, times)
 
 
 def graded(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, severity, grade, toxic), a row for every row; null and empty texts have no features.
+    """(doc_id, severity, grade, toxic), a row for every row, whatever its doc_id; null and empty texts have no features.
 
-    severity: the expected grade, 0 to 3; grade: the likeliest one; toxic: severity is ``threshold`` or more.
+    severity: the expected grade, 0 to 3; grade: the median one; toxic: severity is ``threshold`` or more. Texts are
+    read whole, however long; repeated rows are graded alike; an empty table gives no rows; columns other than doc_id
+    and text are not looked at.
     """
+    names = sorted(f for f, w in model.weights.items() if w)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        weigher = Weigher(model)
-        total = np.array([weigher.total(t) for t in texts(batch)])
+        finder = Finder(frozenset(names))
+        total = np.array([sum(model.weights[f] * v for f, v in sorted(finder.x(t).items())) for t in texts(batch)])
         severity = model.severity(total)
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "severity": severity, "grade": pa.array(model.grade(total), pa.int32()), "toxic": pa.array(severity >= threshold, pa.bool_())})
 
