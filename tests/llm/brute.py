@@ -86,7 +86,7 @@ def splits(sizes, limit):
     while todo:
         p = todo.pop()
         total = sum(b for bits, b in sizes if bits.startswith(p))
-        if total <= limit or len(p) == 32:
+        if total <= limit or len(p) == 64:
             out[p] = total
         else:
             todo += [p + "0", p + "1"]

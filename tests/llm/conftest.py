@@ -11,7 +11,7 @@ ROWS = [
     (7, LONG, "en", "a", 9), (None, BASE + " nobody", "en", "a", 4), (None, None, None, None, None), (8, "short text", "de", "b", 1), (8, "short text", "de", "b", 1), (9, "héllo wörld 😀 " * 3, "fr", "c", 2),
     (10, LONG + " end", "en", "c", 9), (11, "short  text", "de", None, 1),
 ]
-CLASHING = ("size", "key", "shard", "bytes", "h", "at", "name", "target", "copies", "n", "depth", "component", "cluster", "rep", "word", "cell", "prefix", "bucket", "taken", "score", "toxic", "trusted")
+CLASHING = ("size", "key", "shard", "bytes", "h", "at", "name", "target", "copies", "n", "depth", "component", "cluster", "rep", "word", "cell", "prefix", "bucket", "taken", "score", "toxic", "trusted", "_sub_key", "_sub_tie", "_mix_key", "_mix_range", "_mix_size", "_mix_copies", "_shard_cell", "_shard_bits", "_shard_row", "_dedup_node", "_dedup_order", "_aside_0", "shard_", "found", "spans", "tokens", "place", "finish")
 
 
 @pytest.fixture(scope="session")

@@ -27,13 +27,36 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([g >= 0.3 for g in good]) > 0.97 and np.mean([b < 0.3 for b in bad]) > 0.8
 
 
-def test_quality_never_reads_held_out_labels(spark):
+def test_quality_reads_neither_held_out_nor_negative_labels(spark):
     docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
     from pyspark.sql import functions as F
 
     flipped = labels.withColumn("quality", F.when(quality.held_out_column(), 1 - F.col("quality")).otherwise(F.col("quality")))
-    a, b = quality.train(docs, labels), quality.train(docs, flipped)
-    assert (a.weights == b.weights).all() and (a.scale, a.shift, a.bias) == (b.scale, b.shift, b.bias)
+    a = quality.train(docs, labels)
+    for other in (flipped, labels.where("quality = 1")):
+        b = quality.train(docs, other)
+        assert (a.weights == b.weights).all() and (a.scale, a.shift, a.bias) == (b.scale, b.shift, b.bias)
+
+
+def test_quality_scores_are_what_the_weights_say(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.scored(docs, model).collect():
+        x, n = quality.features(text[r["doc_id"]] or ""), model.edges.shape[1]
+        g = model.bias + sum(w for k, v in enumerate(x) for e, w in zip(model.edges[k], model.weights[k * n : k * n + n], strict=True) if v > e)
+        assert abs(r["score"] - 1 / (1 + np.exp(-(model.scale * g + model.shift)))) < 1e-4
+
+
+def test_prior_is_estimated_from_positive_and_unlabelled_rows():
+    rng = np.random.default_rng(2)
+    for prior in (0.3, 0.6, 0.9):
+        n = 3000
+        good, many = rng.normal(1, 1, (1500, len(quality.NAMES))), int(prior * n)
+        mixed = np.concatenate([rng.normal(1, 1, (many, len(quality.NAMES))), rng.normal(-1, 1, (n - many, len(quality.NAMES)))])[rng.permutation(n)]
+        assert abs(quality.estimated_prior(good, mixed) - prior) < 0.06
+        model = quality.calibrated(quality.fit(good, mixed, prior), good, mixed, prior)
+        assert abs(model.score(mixed).mean() - prior) < 0.03
 
 
 def test_risk_is_not_negative():
@@ -52,6 +75,7 @@ def test_toxicity_on_held_out_labels(spark):
     english = {r["doc_id"] for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").where("lang = 'en'").collect()}
     held = [r for r in rows if labels[r["doc_id"]] == 1 and toxicity.held_out(r["doc_id"]) and r["doc_id"] in english]
     assert held and np.mean([r["toxic"] for r in held]) >= 0.7
+    assert len({r["grade"] for r in rows if labels[r["doc_id"]] == 1}) >= 3
 
 
 def test_ordinal_fit():
@@ -67,6 +91,50 @@ def test_ordinal_fit():
     assert (severity >= 0).all() and (severity <= toxicity.GRADES).all()
 
 
+def ordinal_corpus(spark, seed=5):
+    """Texts whose grades are known: of grade g, 2 g - 1 to 2 g foul words of growing strength, in lengths of 20 to 400."""
+    import random
+
+    rng = random.Random(seed)
+    plain, foul = [f"calm{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)], [[f"{c}oul{chr(97 + k)}ness" for k in range(8)] for c in "fgh"]
+    rows, labels, known = [], [], {}
+    for n in range(900):
+        g = 0 if n % 3 else 1 + n // 3 % 3
+        words = rng.choices(plain, k=rng.randint(20, 400)) + [rng.choice(foul[rng.randint(0, g - 1)]) for _ in range(2 * g - rng.randint(0, 1))] * bool(g)
+        rng.shuffle(words)
+        rows.append((n, " ".join(words)))
+        labels.append((n, int(g > 0)))
+        known[n] = g
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), known
+
+
+def test_toxicity_orders_known_grades_and_is_what_the_weights_say(spark):
+    docs, labels, known = ordinal_corpus(spark)
+    model = toxicity.train(docs, labels)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in toxicity.graded(docs, model).collect()}
+    held = [d for d in known if toxicity.held_out(d)]
+    mean = [np.mean([got[d]["severity"] for d in held if known[d] == g]) for g in range(4)]
+    assert mean[0] < 0.3 < mean[1] < mean[2] < mean[3]
+    for d, t in text.items():  # severity, word by word, from the weights alone
+        counts = Counter(f for w in t.split() for f in [f"={w}", w[:4], w[:5], w[:6]] if f in model.weights and len(f) >= 4)
+        total = sum(model.weights[f] * 2 * n / (n + 1) for f, n in counts.items())
+        over = [1 / (1 + np.exp(t - total)) for t in model.thresholds]
+        assert abs(got[d]["severity"] - sum(over)) < 1e-9
+        assert got[d]["grade"] == sum(o > 0.5 for o in over) and got[d]["toxic"] == (sum(over) >= 0.5)
+
+
+def test_repeating_a_word_does_not_make_a_text_toxic(spark):
+    docs, labels, known = ordinal_corpus(spark)
+    model = toxicity.train(docs, labels)
+    clean = next(t for d, t in ((r["doc_id"], r["text"]) for r in docs.collect()) if known[d] == 0)
+    rows = [(n, " ".join([clean] * n)) for n in (1, 10, 100)]
+    assert not any(r["toxic"] for r in toxicity.graded(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
+    weak = toxicity.Model({"=mild": 0.12, "mild": 0.12}, model.thresholds)
+    one, many = toxicity.graded(spark.createDataFrame([(1, "mild"), (2, "mild " * 2000)], "doc_id long, text string"), weak).collect()
+    assert not many["toxic"] and many["severity"] < 1.5 * one["severity"]
+
+
 def test_pipeline_stage_by_stage(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns, kept = docs.columns, {}

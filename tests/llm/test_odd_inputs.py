@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
-from conftest import BASE, ROWS
+from conftest import BASE, CLASHING, DOCS, ROWS
 
 import corpus_pipeline
 from pagelens.llm import decontamination, media, mixing, ngram_join, pii, quality, secrets, sharding, substrings, toxicity
@@ -114,7 +114,8 @@ def test_mixing_of_odd_rows(results):
 
 
 def test_sharding_keeps_clashing_columns(results):
-    assert {"size", "key", "cell", "prefix"} <= set(results["sharding"][0].asDict()) and results["sharding"][0]["key"] == "x"
+    for r in results["sharding"]:
+        assert {c for c, v in r.asDict().items() if v == "x"} == set(CLASHING) - {"shard"}  # which is replaced
 
 
 def test_decontaminated_keeps_columns(results, odd):
@@ -144,12 +145,44 @@ def test_near_duplicates_of_rows_that_share_an_id(spark, monkeypatch, most):
     assert left[0] == left[1] and [r["doc_id"] for r in left[0]] == [1, 2]
 
 
+def rows_of(df):
+    return sorted(((r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect()), key=str)
+
+
 def test_pipeline_of_odd_rows(spark, odd, labels, tmp_path):
+    """Every stage's rows are what its operator says of the rows before; columns and their values stay as they were."""
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, columns, held = odd, odd.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, str(tmp_path))
+        held[name] = docs.collect()
+        if name != "sharding":
+            assert docs.columns == columns and all(r[c] == "x" for r in held[name] for c in CLASHING)
+        old, new = rows_of(before), rows_of(docs)
+        if name == "quality":
+            model = quality.train(before, labels)
+            scores = {(r["doc_id"], r["score"]) for r in quality.scored(before, model).collect()}
+            assert {r[0] for r in new} == {d for d, s in scores if s >= quality.THRESHOLD}
+        elif name == "near_duplicates":
+            nodes = {k: (r[0] if r[0] is not None else None, r[1]) for k, r in enumerate(old)}
+            groups = brute.shingle_groups([(d, t) for d, t in nodes.values() if d is not None and (t or "").split()], 5, 80, 100)
+            kept = {d for d, g in groups.items() if g[1] == d} | {d for d, t in nodes.values() if d is not None and not (t or "").split()}
+            assert {r[0] for r in new if r[0] is not None} == kept and [r for r in new if r[0] is None] == [r for r in old if r[0] is None]
+        elif name == "decontamination":
+            assert new == [r for r in old if not (r[1] or "").startswith(BASE[:50])]
+        elif name == "mixing":
+            taken = mixing.queue(before).collect()
+            assert sorted(str(r[0]) for r in new) == sorted(str(r["doc_id"]) for r in taken for _ in range(int(r["_mix_taken"] / max(1, r["_mix_size"]) + 0.5)))
+        else:
+            assert new == old and {c for r in held[name] for c in r.asDict()} == {*columns, "shard", "shard_depth", "shard_bytes"}
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows_of(corpus_pipeline.run(spark, str(tmp_path))) == rows_of(docs)
+
+
+def test_pipeline_of_an_empty_table(spark, none, labels, tmp_path):
+    none.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
-    for docs in (odd, odd.limit(0)):
-        columns = set(docs.columns)
-        for name, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, str(tmp_path))
-            assert name == "sharding" or set(docs.columns) == columns
-        docs.collect()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.collect() == [] and set(out.columns) == {*none.columns, "shard", "shard_depth", "shard_bytes"}
