@@ -211,6 +211,21 @@ def test_site_checks(spark):
     assert "Score" in audit.report(full).first()["text"]
 
 
+def test_headers_can_exclude_a_page(spark):
+    rows = [("https://a.example/", "default", 200, {"x-ROBOTS-Tag": "noindex"}, "<p>x</p>", "", 0, None), ("https://b.example/", "default", 200, {"X-Robots-Tag": "all"}, "<p>x</p>", "", 0, None)]
+    pages = spark.createDataFrame([(1, "https://a.example/"), (2, "https://b.example/")], "page_id int, url string")
+    got = audit.full_checks(pages, spark.createDataFrame(rows, site.FETCH)).where("check_id = 'indexable'").collect()
+    assert {r["page_id"]: r["status"] for r in got} == {1: "fail", 2: "ok"}
+
+
+def test_bodies_are_moved_once_and_outcomes_narrow(spark):
+    """No body is sorted or aggregated but for the pages' own and the files that are read."""
+    fetches = spark.createDataFrame([("https://a.example/", "default", 200, {}, "<p>x</p>", "", 0, None)], site.FETCH)
+    asked = spark.createDataFrame([("https://a.example/", "default")], "url string, ua string")
+    plan = site.liveness(asked, fetches)._jdf.queryExecution().optimizedPlan().toString()
+    assert "body" not in plan.split("LogicalRDD")[0] and "headers" not in plan.split("LogicalRDD")[0]
+
+
 def test_header_names_in_any_case(spark):
     df = spark.createDataFrame([({"X-ROBOTS-tag": "noindex"},)], "h map<string,string>")
     assert df.select(site.header(F.col("h"), "x-robots-tag")).first()[0] == "noindex"
