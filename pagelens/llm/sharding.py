@@ -18,7 +18,7 @@ from pagelens.llm.common import checkpoint, set_aside, table
 
 LIMIT_BYTES = 64 << 20
 #: The limit of the query: small, so that tables of any size split over several depths.
-QUERY_LIMIT = 256 << 10
+QUERY_LIMIT = 128 << 10
 #: Bits of the id's hash, and of all: then come those of the text's. Bits of the first directory beyond the mean
 #: shard's, and of each further step.
 ID_BITS, ALL_BITS, SPARE, STEP = 32, 64, 3, 16
@@ -127,12 +127,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str, limit: int = QUERY_LIMIT) ->
 
 
 def op3_sql(limit: int = QUERY_LIMIT) -> str:
-    """The same split, level by level over all bits, for data without overflow pages."""
+    """The same split, level by level over all bits; of overflow pages only those of single texts over the limit."""
     bits = lambda text: f"lpad(to_base(('0x' || md5(coalesce({text}, ''))[1:8])::ubigint::bigint, 2), 32, '0')"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS bytes, {bits("cast(doc_id AS varchar)")} || {bits("text")} AS bits FROM documents),
 levels AS (SELECT cast(unnest(generate_series(0, {ALL_BITS})) AS integer) AS depth),
-sums AS (SELECT depth, bits[1:depth] AS prefix, sum(bytes) AS total FROM d, levels GROUP BY ALL),
-leaves AS (SELECT s.* FROM sums s LEFT JOIN sums up ON up.depth = s.depth - 1 AND up.prefix = s.prefix[1:s.depth - 1] WHERE s.total <= {limit} AND (s.depth = 0 OR up.total > {limit}))
-SELECT doc_id, cast(bytes AS bigint) AS bytes, CASE WHEN depth = 0 THEN 'root' ELSE prefix END AS shard, depth AS shard_depth, cast(total AS bigint) AS shard_bytes
+sums AS (SELECT depth, bits[1:depth] AS prefix, sum(bytes) AS total, count(*) AS n FROM d, levels GROUP BY ALL),
+leaves AS (SELECT s.* FROM sums s LEFT JOIN sums up ON up.depth = s.depth - 1 AND up.prefix = s.prefix[1:s.depth - 1] WHERE (s.total <= {limit} OR s.depth = {ALL_BITS} AND s.n = 1) AND (s.depth = 0 OR up.total > {limit}))
+SELECT doc_id, cast(bytes AS bigint) AS bytes, CASE WHEN depth = 0 THEN 'root' WHEN total > {limit} THEN prefix || '.0.0' ELSE prefix END AS shard, depth AS shard_depth, cast(total AS bigint) AS shard_bytes
 FROM d JOIN leaves ON bits[1:depth] = prefix"""
