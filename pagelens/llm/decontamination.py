@@ -69,8 +69,11 @@ class Matcher:
     def __init__(self, items: tuple[tuple[int, str], ...], budget: float):
         self.items = [(i, t, int(len(t) * budget)) for i, t in items if t]
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.needed = []
         for n, (_, text, most) in enumerate(self.items):
-            for start, piece in pieces(text, most):
+            cut = pieces(text, most)
+            self.needed.append(len(cut) - most)
+            for start, piece in cut:
                 where[piece].append((n, start))
         self.automaton = ahocorasick.Automaton()
         for piece, at in where.items():
@@ -98,8 +101,7 @@ class Matcher:
                 spans.append((low, high, starts))
         for n in sorted(near):
             number, item, most = self.items[n]
-            needed = len(pieces(item, most)) - most
-            found = [(m[0], low + m[1]) for low, high, starts in near[n] if len(starts) >= needed and (m := best_match(item, text[low:high], most))]
+            found = [(m[0], low + m[1]) for low, high, starts in near[n] if len(starts) >= self.needed[n] and (m := best_match(item, text[low:high], most))]
             if found:
                 yield number, *min(found)
 
