@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelens.llm import decontamination, media, mixing, ngram_join, pii, quality, secrets, sharding, substrings, toxicity
+from pagelens.llm import collocations, decontamination, licenses, media, mixing, ngram_join, pii, quality, secrets, sharding, substrings, toxicity, vector_codes
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_media": media.op10_media,
+    "op11_licenses": licenses.op11_licenses,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,7 @@ ORACLE_SQL = {
     "op6_pii": pii.op6_sql(),
     "op7_substrings": substrings.op7_sql(),
     "op8_mixing": mixing.op8_sql(),
+    "op11_licenses": licenses.op11_sql(),
+    "op12_vector_codes": vector_codes.op12_sql(),
+    "op13_collocations": collocations.op13_sql(),
 }
