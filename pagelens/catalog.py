@@ -10,8 +10,9 @@ from pagelens.functions import provenance, urls
 from pagelens.functions.text import count_of, visible_text
 from pagelens.operators import checks, history, planning, pool, robots, score, signals, site, visibility
 from pagelens.plans import audit
+from pagelens.plans import derived as D
 from pagelens.plans import samples as S
-from pagelens.sources import jsonl
+from pagelens.sources import buckets, jsonl
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -122,30 +123,30 @@ def _(spark, d):
     return pool.host_distribution(results)
 
 
-# ---- inline pages, robots, sitemaps, fetches --------------------------------------------------------------------
+# ---- pages with richer markup, robots, sitemaps, fetches: derived from all pages ------------------------------------
 
-_PAGE_ROWS = S.values_sql(S.PAGES, "page_id, url, html")
+_PAGE_ROWS = f"({D.rich_sql()})"
 _SAMPLE_SIGNALS = signals.signals_sql(_PAGE_ROWS)
 _SAMPLE_CHECKS = _CHECKS.replace(_SIGNALS, _SAMPLE_SIGNALS)
 
 
-def _pages(spark):
-    return S.frame(spark, S.PAGES, "page_id int, url string, html string")
+def _pages(spark, d):
+    return D.rich_pages(spark, _table(spark, d, "pages"))
 
 
 @query("sample_signals", f"SELECT * REPLACE (round_even(text_ratio, 6) AS text_ratio) FROM ({_SAMPLE_SIGNALS})")
 def _(spark, d):
-    return signals.page_signals(_pages(spark)).withColumn("text_ratio", F.bround("text_ratio", 6))
+    return signals.page_signals(_pages(spark, d)).withColumn("text_ratio", F.bround("text_ratio", 6))
 
 
 @query("sample_checks", f"{_SAMPLE_CHECKS} SELECT * FROM checks")
 def _(spark, d):
-    return audit.page_checks(_pages(spark))
+    return audit.page_checks(_pages(spark, d))
 
 
 @query("sample_scores", f"{_SAMPLE_CHECKS} {_SCORES}")
 def _(spark, d):
-    return score.page_scores(audit.page_checks(_pages(spark)))
+    return score.page_scores(audit.page_checks(_pages(spark, d)))
 
 
 def _robot_lines(files: str) -> str:
@@ -169,20 +170,24 @@ def _robot_verdicts(bots: str) -> str:
  found AS (SELECT site, bot, arg_max(kind, CASE WHEN name = '*' THEN 0 ELSE length(name) END) AS kind, arg_max(ua, CASE WHEN name = '*' THEN 0 ELSE length(name) END) AS ua FROM own JOIN bots ON name = '*' OR starts_with(lower(bot), name) GROUP BY ALL)"""
 
 
-_ROBOT_FILES = f"SELECT * FROM {S.values_sql(S.ROBOTS, 'site, body')}"
+_ROBOT_FILES = f"SELECT site, robots AS body FROM ({D.sites_sql()})"
 _ROBOT_LINES = f"""WITH {_robot_lines(_ROBOT_FILES)},
  filled AS (SELECT *, last_value(CASE WHEN kind = 'user-agent' THEN value END IGNORE NULLS) OVER (PARTITION BY site ORDER BY pos) AS ua FROM kv WHERE kind IN ('user-agent', 'allow', 'disallow')),
  rules AS (SELECT DISTINCT site, ua, cast(min(pos) OVER (PARTITION BY site, ua) AS int) AS group_pos, CASE WHEN kind <> 'user-agent' THEN kind END AS kind, CASE WHEN kind <> 'user-agent' THEN value END AS pattern FROM filled WHERE ua IS NOT NULL)"""
 _BOTS = S.values_sql(robots.BOTS, "bot, class")
 
 
-def _robots(spark):
-    return S.frame(spark, S.ROBOTS, "site string, body string"), S.frame(spark, robots.BOTS, "bot string, class string")
+def _sites_of(spark, d):
+    return D.sites(spark, _table(spark, d, "pages"))
+
+
+def _robots(spark, d):
+    return _sites_of(spark, d).select("site", F.col("robots").alias("body")), S.frame(spark, robots.BOTS, "bot string, class string")
 
 
 @query("robots_rules", f"{_ROBOT_LINES} SELECT * FROM rules")
 def _(spark, d):
-    return robots.rules(_robots(spark)[0], "file_order")
+    return robots.rules(_robots(spark, d)[0], "file_order")
 
 
 @query("robots_verdicts", f"""{_ROBOT_LINES}, bots AS (SELECT * FROM {_BOTS}),
@@ -190,56 +195,65 @@ def _(spark, d):
  best AS (SELECT site, bot, min_by(kind, group_pos) AS kind, min_by(ua, group_pos) AS ua FROM decided JOIN bots ON ua = '*' OR starts_with(lower(bot), lower(ua)) OR starts_with(lower(ua), lower(bot)) GROUP BY ALL)
  SELECT f.site, b.bot, CASE WHEN kind = 'disallow' THEN 'deny' WHEN kind = 'allow' THEN 'allow' ELSE 'undeclared' END AS verdict, ua AS matched_ua FROM files f CROSS JOIN bots b LEFT JOIN best USING (site, bot)""")
 def _(spark, d):
-    files, bots = _robots(spark)
+    files, bots = _robots(spark, d)
     return robots.verdicts(files, bots.select("bot"), mode="file_order")
 
 
 @query("robots_verdicts_rfc9309", f"WITH {_robot_lines(_ROBOT_FILES)}, {_robot_verdicts(_BOTS)} SELECT f.site, b.bot, CASE WHEN kind = 'disallow' THEN 'deny' WHEN kind = 'allow' THEN 'allow' ELSE 'undeclared' END AS verdict, ua AS matched_ua FROM files f CROSS JOIN bots b LEFT JOIN found USING (site, bot)")
 def _(spark, d):
-    files, bots = _robots(spark)
+    files, bots = _robots(spark, d)
     return robots.verdicts(files, bots.select("bot"))
 
 
 @query("robots_declared", f"{_ROBOT_LINES}, bots AS (SELECT * FROM {_BOTS}) SELECT f.site, count(DISTINCT bot) AS n_declared FROM files f LEFT JOIN rules r USING (site) LEFT JOIN bots b ON starts_with(lower(r.ua), lower(b.bot[1:6])) GROUP BY f.site")
 def _(spark, d):
-    files, bots = _robots(spark)
+    files, bots = _robots(spark, d)
     return robots.declared(files, bots.select("bot"), "file_order")
 
 
-_MAPS = S.values_sql(S.SITEMAPS, "site, body")
+_MAPS = f"(SELECT site, sitemap AS body FROM ({D.sites_sql()}))"
 
 
-def _maps(spark):
-    return S.frame(spark, S.SITEMAPS, "site string, body string")
+def _maps(spark, d):
+    return _sites_of(spark, d).select("site", F.col("sitemap").alias("body"))
 
 
 @query("sitemap_slugs", f"SELECT site, cast(pos - 1 AS int) AS pos, loc, regexp_matches(coalesce(try(url_decode(loc)), loc), '{P.CJK}') AS cjk FROM (SELECT site, unnest(locs) AS loc, generate_subscripts(locs, 1) AS pos FROM (SELECT site, regexp_extract_all(body, {_q(P.LOC)}, 1) AS locs FROM {_MAPS}))")
 def _(spark, d):
-    return site.sitemap_entries(_maps(spark))
+    return site.sitemap_entries(_maps(spark, d))
 
 
 @query("sitemap_freshness", f"SELECT site, len(dates) AS n_lastmod, list_max(dates) AS last_mod, coalesce(cast(left(list_max(dates), 4) AS int), 0) AS last_year FROM (SELECT site, regexp_extract_all(body, {_q(P.LASTMOD)}, 1) AS dates FROM {_MAPS})")
 def _(spark, d):
-    return site.sitemap_freshness(_maps(spark)).fillna({"last_year": 0})
+    return site.sitemap_freshness(_maps(spark, d)).fillna({"last_year": 0})
 
 
-_ALL_FETCHES = S.values_sql(S.FETCHES, "url, ua, status, content_type, body, final_url, hops, error")
+_ALL_FETCHES = D.fetches_sql()
 _FETCHES = f"(SELECT DISTINCT ON (url, ua) * FROM {_ALL_FETCHES} ORDER BY url, ua, status = 200 DESC, status DESC)"
-_SITES = S.values_sql(S.SITES, "page_id, url")
+_SITES = "(SELECT page_id, url FROM pages)"
+
+
+def _stored(spark, d, kind, made):
+    """A table in buckets by url, written once for the files that it is made of."""
+    name = buckets.name_of(spark, kind, f"{d}/pages.parquet")
+    return spark.table(name) if buckets.known(spark, name) else buckets.bucketed(made(), name, "url")
+
+
+def _fetches(spark, d):
+    return _stored(spark, d, "fetches", lambda: D.crawl(spark, _table(spark, d, "pages")))
 
 
-def _fetches(spark):
-    rows = S.frame(spark, S.FETCHES, "url string, ua string, status int, content_type string, body string, final_url string, hops int, error string")
-    return rows.withColumn("headers", F.create_map(F.lit("content-TYPE"), "content_type")).drop("content_type")
+def _evidence(spark, d):
+    return _stored(spark, d, "evidence", lambda: site.evidence(_fetches(spark, d)))
 
 
-def _sites(spark):
-    return S.frame(spark, S.SITES, "page_id int, url string")
+def _sites(spark, d):
+    return _table(spark, d, "pages").select("page_id", "url")
 
 
 @query("ua_block", f"SELECT page_id, home_status, bot_status, bot_status <> 0 AND bot_status <> home_status AS blocked FROM (SELECT s.page_id, coalesce(max(status) FILTER (ua = 'default'), 0) AS home_status, coalesce(max(status) FILTER (ua = 'bot'), 0) AS bot_status FROM {_SITES} s LEFT JOIN {_FETCHES} f USING (url) GROUP BY s.page_id)")
 def _(spark, d):
-    return site.bot_access(_sites(spark), _fetches(spark))
+    return site.bot_access(_sites(spark, d), _fetches(spark, d))
 
 
 _VARIANTS = f"SELECT page_id, unnest(['http://', 'https://', 'http://www.', 'https://www.']) || regexp_replace(lower(regexp_extract(url, {_q(P.AUTHORITY_PART)}, 1)), '^www\\.', '') AS url FROM {_SITES}"
@@ -247,13 +261,13 @@ _VARIANTS = f"SELECT page_id, unnest(['http://', 'https://', 'http://www.', 'htt
 
 @query("host_variants", f"SELECT page_id, n_statuses, n_hosts, n_statuses = 1 AND least = 200 AND n_hosts <= 1 AS agree FROM (SELECT page_id, count(DISTINCT coalesce(status, 0)) AS n_statuses, min(coalesce(status, 0)) AS least, count(DISTINCT lower(regexp_extract(final_url, {_q(P.AUTHORITY_PART)}, 1))) AS n_hosts FROM ({_VARIANTS}) v LEFT JOIN {_FETCHES} f ON f.url = v.url AND f.ua = 'default' GROUP BY page_id)")
 def _(spark, d):
-    return site.host_variants(_sites(spark), _fetches(spark))
+    return site.host_variants(_sites(spark, d), _fetches(spark, d))
 
 
 @query("liveness", f"SELECT site, loc AS url, coalesce(status, 0) AS status FROM (SELECT site, unnest(regexp_extract_all(body, {_q(P.LOC)}, 1)) AS loc FROM {_MAPS}) m LEFT JOIN {_FETCHES} f ON f.url = m.loc AND f.ua = 'sitemap'")
 def _(spark, d):
-    asked = site.sitemap_entries(_maps(spark)).select("site", F.col("loc").alias("url"), F.lit("sitemap").alias("ua"))
-    return site.liveness(asked, _fetches(spark)).select("site", "url", "status")
+    asked = site.sitemap_entries(_maps(spark, d)).select("site", F.col("loc").alias("url"), F.lit("sitemap").alias("ua"))
+    return site.liveness(asked, _fetches(spark, d)).select("site", "url", "status")
 
 
 _CITATION_BOTS = S.values_sql([(b,) for b in P.CITATION_BOTS], "bot")
@@ -279,7 +293,7 @@ _SITE_SIGNALS = f"""page AS (SELECT page_id, url, {_ORIGIN} AS origin FROM {_SIT
 
 @query("site_checks", f"WITH {_SITE_SIGNALS} {checks.results_sql('sig', checks.SITE)}")
 def _(spark, d):
-    return audit.site_checks(_sites(spark), _fetches(spark))
+    return audit.site_checks(_sites(spark, d), None, known=_evidence(spark, d))
 
 
 _HOME_PAGES = f"(SELECT s.page_id, s.url, f.body AS html FROM {_SITES} s LEFT JOIN {_FETCHES} f ON f.url = s.url AND f.ua = 'default')"
@@ -290,12 +304,12 @@ _FIXES = "SELECT *, cast(row_number() OVER (PARTITION BY page_id ORDER BY weight
 
 @query("full_checks", f"{_FULL_CHECKS} SELECT * FROM checks")
 def _(spark, d):
-    return audit.full_checks(_sites(spark), _fetches(spark))
+    return audit.full_checks(_sites(spark, d), _fetches(spark, d), known=_evidence(spark, d))
 
 
 @query("full_fixes", f"{_FULL_CHECKS} SELECT page_id, place, check_id, weight, status FROM ({_FIXES}) WHERE place <= 10")
 def _(spark, d):
-    return score.priority_fixes(audit.full_checks(_sites(spark), _fetches(spark)))
+    return score.priority_fixes(audit.full_checks(_sites(spark, d), _fetches(spark, d), known=_evidence(spark, d)))
 
 
 @query("full_report", f"""{_FULL_CHECKS}, layer AS (SELECT page_id, layer, cast(round_even(got / total * 100, 0) AS bigint) AS score, n_fail FROM (SELECT page_id, layer, {_SUMS} FROM checks WHERE weight > 0 GROUP BY page_id, layer)),
@@ -303,49 +317,55 @@ def _(spark, d):
  fixes AS (SELECT page_id, string_agg(place || '. [' || check_id || '] ' || title || ': ' || advice, chr(10) ORDER BY place) AS lines FROM ({_FIXES}) JOIN {_TITLES} USING (check_id) WHERE place <= 10 GROUP BY page_id)
  SELECT page_id, score, grade, concat_ws(chr(10), 'Score ' || score || ' of 100 (' || grade || ')', layers.lines, fixes.lines) AS text FROM ({_SCORES}) JOIN layers USING (page_id) LEFT JOIN fixes USING (page_id)""")
 def _(spark, d):
-    return audit.report(audit.full_checks(_sites(spark), _fetches(spark))).select("page_id", "score", "grade", "text")
+    return audit.report(audit.full_checks(_sites(spark, d), _fetches(spark, d), known=_evidence(spark, d))).select("page_id", "score", "grade", "text")
 
 
 # ---- source pool and plans --------------------------------------------------------------------------------------
 
-_RESULTS, _WANTED = S.values_sql(S.RESULTS, "question, pos, title, url"), S.values_sql(S.WANTED, "question, brand, domain, source_status")
+_RESULTS = f"({D.RESULTS.format(pages='pages')})"
+_WANTED = f"({D.WANTED.format(results=_RESULTS)})"
 
 
 @query("source_pool_verdict", f"""WITH h AS (SELECT question, coalesce(title, '')[1:80] AS title, url[1:160] AS url, {_HOST} AS host FROM {_RESULTS} WHERE url <> ''), w AS (SELECT *, replace(lower(trim(domain)), 'www.', '') AS dom FROM {_WANTED}),
  f AS (SELECT w.question, w.brand, w.dom, w.source_status, count(h.url) AS n_results, coalesce(bool_or(w.brand <> '' AND contains(h.title || h.url, w.brand)), false) AS hit_brand, coalesce(bool_or(dom <> '' AND (host = dom OR ends_with(host, '.' || dom))), false) AS hit_domain FROM w LEFT JOIN h USING (question) GROUP BY ALL)
  SELECT question, n_results, hit_brand, hit_domain, CASE WHEN source_status <> 'ok' THEN 'source_unavailable' WHEN brand = '' AND dom = '' THEN 'not_asked' WHEN hit_domain THEN 'own_site_present' WHEN hit_brand THEN 'brand_mentioned' ELSE 'absent' END AS verdict FROM f""")
 def _(spark, d):
-    return pool.verdicts(S.frame(spark, S.RESULTS, "question string, pos int, title string, url string"), S.frame(spark, S.WANTED, "question string, brand string, domain string, source_status string"))
+    results = D.rows(spark, D.RESULTS, pages=_table(spark, d, "pages"))
+    return pool.verdicts(results, D.rows(spark, D.WANTED.replace("({results})", "{results}"), results=results))
 
 
 _ADVICE = S.values_sql([(c.key, c.layer, c.weight, c.title, c.advice) for c in checks.CHECKS], "id, layer, weight, title, advice")
-_TARGETS = f"SELECT request, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos FROM (SELECT request, list_filter(regexp_split_to_array(ids, '[,，\\s]+'), lambda s: s <> '')[1:8] AS ids FROM {S.values_sql(S.REQUESTS, 'request, ids')})"
+# A request for each page: what its checks found wrong, and an id that no check has; every ninth asks for nothing.
+_REQUESTS = f"({_CHECKS} SELECT cast(page_id AS varchar) AS request, CASE WHEN page_id % 9 = 4 THEN ' , ' ELSE concat('u', page_id, '，', replace(string_agg(check_id, ',' ORDER BY check_pos), ',', CASE WHEN page_id % 2 = 0 THEN ',' ELSE ' ' END)) END AS ids FROM checks WHERE status IN ('warn', 'fail') GROUP BY page_id)"
+_TARGETS = f"SELECT request, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos FROM (SELECT request, list_filter(regexp_split_to_array(ids, '[,，\\s]+'), lambda s: s <> '')[1:8] AS ids FROM {_REQUESTS})"
 
 
-def _requests(spark):
-    return S.frame(spark, S.REQUESTS, "request string, ids string")
+def _requests(spark, d):
+    found = audit.page_checks(_table(spark, d, "pages")).where(F.col("status").isin("warn", "fail")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("check_pos", "check_id"))).alias("c"))
+    ids = F.concat(F.lit("u"), F.col("page_id"), F.lit("，"), F.when(F.col("page_id") % 2 == 0, F.array_join("c.check_id", ",")).otherwise(F.array_join("c.check_id", " ")))
+    return found.select(F.col("page_id").cast("string").alias("request"), F.when(F.col("page_id") % 9 == 4, " , ").otherwise(ids).alias("ids"))
 
 
 @query("fix_plan", f"SELECT request, cast(row_number() OVER (PARTITION BY request ORDER BY weight DESC, pos) AS int) AS place, id, layer, weight, title, advice FROM ({_TARGETS}) JOIN {_ADVICE} USING (id)")
 def _(spark, d):
-    return planning.plan(_requests(spark), planning.catalog(spark))
+    return planning.plan(_requests(spark, d), planning.catalog(spark))
 
 
 @query("unknown_fix_ids", f"SELECT request, cast(pos AS int) AS pos, id FROM ({_TARGETS}) t ANTI JOIN {_ADVICE} a USING (id)")
 def _(spark, d):
-    return planning.unknown(_requests(spark), planning.catalog(spark))
+    return planning.unknown(_requests(spark, d), planning.catalog(spark))
 
 
-@query("fix_plan_outcome", f"SELECT request, NOT none AS ok, CASE WHEN none THEN 'no_targets' END AS error FROM (SELECT request, len(list_filter(regexp_split_to_array(ids, '[,，\\s]+'), lambda s: s <> '')) = 0 AS none FROM {S.values_sql(S.REQUESTS, 'request, ids')})")
+@query("fix_plan_outcome", f"SELECT request, NOT none AS ok, CASE WHEN none THEN 'no_targets' END AS error FROM (SELECT request, len(list_filter(regexp_split_to_array(ids, '[,，\\s]+'), lambda s: s <> '')) = 0 AS none FROM {_REQUESTS})")
 def _(spark, d):
-    return planning.outcome(_requests(spark))
+    return planning.outcome(_requests(spark, d))
 
 
 # ---- answers ----------------------------------------------------------------------------------------------------
 
 _ROLES, _FACT_POINTS, _BASELINE = ("independent", "joint", "citation_only", "none"), 6, 50
 _DOC_SAMPLES = f"SELECT doc_id AS pos, source AS question, lang AS platform, {S.literal(_ROLES)}[doc_id % 4 + 1] AS role, CASE toxic WHEN 1 THEN 'negative' WHEN 0 THEN 'positive' END AS sentiment, CASE quality WHEN 1 THEN 'accurate' WHEN 0 THEN 'wrong' ELSE 'unverifiable' END AS facts, ['f' || doc_id % 5] AS facts_found, text AS answer FROM documents LEFT JOIN labels USING (doc_id)"
-_INLINE_SAMPLES = f"SELECT * FROM {S.values_sql(S.ANSWERS, 'pos, question, platform, role, sentiment, facts, facts_found, answer')}"
+_INLINE_SAMPLES = D.answers_sql()
 _MENTION = "coalesce(nullif(role, ''), 'none') <> 'none'"
 _WEIGHT = "CASE role WHEN 'independent' THEN 1.0 WHEN 'joint' THEN 0.6 WHEN 'citation_only' THEN 0.25 ELSE 0.0 END::double"
 _PCT = lambda part, whole: f"round_even(cast({part} AS double) / nullif({whole}, 0) * 100, 1)"
@@ -360,8 +380,8 @@ def _doc_samples(spark, d):
     )
 
 
-def _inline_samples(spark):
-    return S.frame(spark, S.ANSWERS, "pos int, question string, platform string, role string, sentiment string, facts string, facts_found array<string>, answer string")
+def _inline_samples(spark, d):
+    return D.answers(spark, _table(spark, d, "conversations"), _table(spark, d, "pages"))
 
 
 def _indicators_sql(rows: str, points: int, base: int) -> str:
@@ -403,32 +423,32 @@ def _(spark, d):
 
 @query("sample_indicators", _indicators_sql(_INLINE_SAMPLES, 3, 2))
 def _(spark, d):
-    return visibility.indicators(_inline_samples(spark), 3, 2)
+    return visibility.indicators(_inline_samples(spark, d), 3, 2)
 
 
 @query("sample_by_platform", _PLATFORM_SQL.format(_INLINE_SAMPLES))
 def _(spark, d):
-    return visibility.by_platform(_inline_samples(spark))
+    return visibility.by_platform(_inline_samples(spark, d))
 
 
 @query("sample_excerpts", _EXCERPT_SQL.replace("@brand@", "'Acme'").replace("@rows@", _INLINE_SAMPLES))
 def _(spark, d):
-    return visibility.excerpts(_inline_samples(spark), "Acme")
+    return visibility.excerpts(_inline_samples(spark, d), "Acme")
 
 
 @query("sample_claims", f"SELECT pos, cast(i - 1 AS int) AS place, claim FROM (SELECT pos, i, {_STRIP('c')} AS claim FROM (SELECT pos, unnest(found) AS c, generate_subscripts(found, 1) AS i FROM (SELECT pos, regexp_extract_all(answer, {_q(P.CLAIM)}) AS found FROM ({_INLINE_SAMPLES})))) WHERE length(claim) BETWEEN 1 AND 59")
 def _(spark, d):
-    return visibility.claims(_inline_samples(spark))
+    return visibility.claims(_inline_samples(spark, d))
 
 
 @query("cited_urls", f"SELECT pos, cast(i - 1 AS int) AS place, url FROM (SELECT pos, unnest(found) AS url, generate_subscripts(found, 1) AS i FROM (SELECT pos, regexp_extract_all(answer, '{_CITED}')[1:5] AS found FROM ({_INLINE_SAMPLES})))")
 def _(spark, d):
-    return visibility.cited_urls(_inline_samples(spark))
+    return visibility.cited_urls(_inline_samples(spark, d))
 
 
-@query("citation_checks", f"SELECT pos, place, c.url, coalesce(status, 0) AS status, CASE WHEN status = 200 THEN 'verified' WHEN status > 0 THEN 'unreachable' ELSE 'error' END AS verdict FROM (SELECT pos, cast(i - 1 AS int) AS place, url FROM (SELECT pos, unnest(found) AS url, generate_subscripts(found, 1) AS i FROM (SELECT pos, regexp_extract_all(answer, '{_CITED}')[1:5] AS found FROM ({_INLINE_SAMPLES})))) c LEFT JOIN (SELECT 'https://a.example/x' AS url, 404 AS status) f USING (url)")
+@query("citation_checks", f"SELECT pos, place, c.url, coalesce(status, 0) AS status, CASE WHEN status = 200 THEN 'verified' WHEN status > 0 THEN 'unreachable' ELSE 'error' END AS verdict FROM (SELECT pos, cast(i - 1 AS int) AS place, url FROM (SELECT pos, unnest(found) AS url, generate_subscripts(found, 1) AS i FROM (SELECT pos, regexp_extract_all(answer, '{_CITED}')[1:5] AS found FROM ({_INLINE_SAMPLES})))) c LEFT JOIN (SELECT url, status FROM {_FETCHES} WHERE ua = 'default') f USING (url)")
 def _(spark, d):
-    return visibility.citation_checks(_inline_samples(spark), S.frame(spark, [("https://a.example/x", 404)], "url string, status int"))
+    return visibility.citation_checks(_inline_samples(spark, d), _fetches(spark, d))
 
 
 # ---- observations -----------------------------------------------------------------------------------------------
@@ -487,37 +507,37 @@ def _(spark, d):
     return history.listed(_lifecycle(spark, d)).select("dedup_key", "severity", "first_seen")
 
 
-_CASES = S.values_sql([(n, *c) for n, c in enumerate(S.CHANGES)], "id, previous_value, current_value, n")
+_CASES = f"({D.CHANGES.format(events='events')})"
 
 
 @query("change_classes", "SELECT id, " + ", ".join(f"{_PART[p]} AS {p}" for p in history.PARTS) + f" FROM {_CASES}")
 def _(spark, d):
-    rows = S.frame(spark, [(n, *c) for n, c in enumerate(S.CHANGES)], "id int, previous_value string, current_value string, n string")
+    rows = D.rows(spark, D.CHANGES, events=_table(spark, d, "events"))
     return rows.select("id", *[F.expr(history.classify_sql("previous_value", "current_value", "n", what=p)).alias(p) for p in history.PARTS])
 
 
 _RUN = {"run_id": "r1", "ts": "2026-03-01", "source": "cli", "series": "weekly", "note": ""}
-_OBSERVED = S.values_sql(S.OBSERVED, "ts, identity, kind, series, value, n, source")
+_OBSERVED = f"({D.OBSERVED.format(events='events')})"
 
 
-def _observed(spark):
-    rows = S.frame(spark, S.OBSERVED, "ts string, identity string, kind string, series string, value double, n int, source string")
+def _observed(spark, d):
+    rows = D.rows(spark, D.OBSERVED, events=_table(spark, d, "events"))
     return rows.withColumns({"unit": F.lit(None).cast("string"), "note": F.lit(None).cast("string")})
 
 
 @query("ingest_rows", f"SELECT coalesce(nullif(ts, ''), '2026-03-01') AS ts, 'r1' AS run_id, identity, kind, coalesce(nullif(series, ''), 'weekly') AS series, cast(value AS double) AS value, 'ratio' AS unit, coalesce(n, -1) AS n, coalesce(nullif(source, ''), 'cli') AS source, '' AS note FROM {_OBSERVED} WHERE coalesce(identity, '') <> '' AND coalesce(kind, '') <> '' AND value IS NOT NULL")
 def _(spark, d):
-    return history.ingest(_observed(spark), _RUN)[0].fillna({"n": -1})
+    return history.ingest(_observed(spark, d), _RUN)[0].fillna({"n": -1})
 
 
 @query("ingest_run", f"SELECT 'r1' AS run_id, '2026-03-01' AS ts, 'cli' AS source, 'weekly' AS series, '' AS note, count(*) FILTER (ok) AS recorded, count(*) FILTER (NOT ok) AS skipped FROM (SELECT coalesce(identity, '') <> '' AND coalesce(kind, '') <> '' AND value IS NOT NULL AS ok FROM {_OBSERVED})")
 def _(spark, d):
-    return history.ingest(_observed(spark), _RUN)[1]
+    return history.ingest(_observed(spark, d), _RUN)[1]
 
 
-@query("jsonl_tolerant", f"SELECT value ->> '$.identity' AS identity, value ->> '$.kind' AS kind, try_cast(value ->> '$.value' AS double) AS value, coalesce(try_cast(value ->> '$.n' AS int), -1) AS n FROM (SELECT CASE WHEN json_valid(line) THEN line::json END AS value FROM {S.values_sql([(x,) for x in S.LINES], 'line')}) WHERE json_type(value) = 'OBJECT'")
+@query("jsonl_tolerant", f"SELECT value ->> '$.identity' AS identity, value ->> '$.kind' AS kind, try_cast(value ->> '$.value' AS double) AS value, coalesce(try_cast(value ->> '$.n' AS int), -1) AS n FROM (SELECT CASE WHEN json_valid(line) THEN line::json END AS value FROM ({D.LINES.format(events='events')})) WHERE json_type(value) = 'OBJECT'")
 def _(spark, d):
-    return jsonl.parse_lines(S.frame(spark, [(x,) for x in S.LINES], "value string"), "identity string, kind string, value double, n int").fillna({"n": -1})
+    return jsonl.parse_lines(D.rows(spark, D.LINES, events=_table(spark, d, "events")).withColumnRenamed("line", "value"), "identity string, kind string, value double, n int").fillna({"n": -1})
 
 
 # ---- provenance -------------------------------------------------------------------------------------------------

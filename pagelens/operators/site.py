@@ -110,41 +110,60 @@ def sitemap_freshness(sitemaps: DataFrame) -> DataFrame:
     return sitemaps.select("site", F.size(dates).cast("long").alias("n_lastmod"), F.array_max(dates).alias("last_mod")).withColumn("last_year", F.expr("try_cast(left(last_mod, 4) AS int)"))
 
 
-def site_signals(pages: DataFrame, fetches: DataFrame, key: str = "page_id", fresh_year: int = 2026, mode: str = "rfc9309") -> DataFrame:
-    """One row for each page (key, url) with everything that the site checks look at."""
-    base = pages.select(key, F.coalesce("url", F.lit("")).alias("url"), urls.origin(F.coalesce("url", F.lit(""))).alias("origin"))
-    asked = base.select(key, "url", F.explode(F.array(F.lit("default"), F.lit("bot"))).alias("ua"))
-    of = lambda ua, c: F.max(F.when(F.col("ua") == ua, F.col(c)))
-    home = liveness(asked, fetches).groupBy(key).agg(of("default", "status").alias("home_status"), of("default", "error").alias("home_error"), F.coalesce(of("default", "hops"), F.lit(0)).alias("hops"), of("bot", "status").alias("bot_status"))
-    variants = host_variants(base, fetches, key).select(key, F.col("agree").alias("variants_agree"))
-
-    # Files of a site are read once for all of its pages.
-    asked = base.select("origin").distinct().select("origin", F.explode(F.array(*map(F.lit, P.ACCESS_FILES))).alias("file")).select("origin", "file", F.concat("origin", "file").alias("url"), F.lit("default").alias("ua"))
-    status = lambda f: F.max(F.when(F.col("file") == f, F.col("status")))
-    per_site = liveness(asked, fetches).groupBy("origin").agg(status("/robots.txt").alias("robots_status"), status("/sitemap.xml").alias("sitemap_status"), status("/llms.txt").alias("llms_status"), status("/rss.xml").alias("rss_status"), F.count_if(F.col("status") == 200).alias("n_access_files"))
-    read = asked.where(F.col("file").isin("/robots.txt", "/sitemap.xml"))
-    read = read.join(contents(read, fetches, F.col("body")).where("status = 200 AND body IS NOT NULL"), "url").select(F.col("origin").alias("site"), "file", "body")
-    spark = pages.sparkSession
-    names = spark.createDataFrame([(b,) for b in P.CITATION_BOTS], "bot string")
-    texts = read.where("file = '/robots.txt'").drop("file")
-    denied = robots.verdicts(texts, names, mode=mode).groupBy("site").agg(F.count_if(F.col("verdict") == "deny").alias("n_denied")).withColumnRenamed("site", "origin")
-    named = robots.declared(texts, names, mode).withColumnRenamed("site", "origin")
-    closed = texts.select(F.col("site").alias("origin"), F.col("body").rlike(P.BARE_DISALLOW).alias("robots_closed"))
-    maps = read.where("file = '/sitemap.xml'").drop("file")
-    entries = sitemap_entries(maps)
-    locs = entries.groupBy("site").agg(F.count("*").alias("n_locs"), F.count_if("cjk").alias("n_cjk_slugs")).withColumnRenamed("site", "origin")
-    sampled = liveness(entries.where(F.col("pos") < SAMPLE).select("site", F.col("loc").alias("url"), F.lit("sitemap").alias("ua")), fetches)
-    bad = sampled.groupBy("site").agg(F.count_if(F.col("status") != 200).alias("n_bad_locs")).withColumnRenamed("site", "origin")
-    fresh = sitemap_freshness(maps).withColumnRenamed("site", "origin").select("origin", "last_year")
-
-    og = contents(base, fetches, first_of(F.coalesce("body", F.lit("")), P.OG_IMAGE).alias("og")).where("og <> ''")
-    wanted = base.join(og.select("url", "og"), "url").select(key, urls.resolved(F.col("url"), F.col("og")).alias("url"))
+AGENTS = ("default", "bot", "sitemap")
+
+
+def evidence(fetches: DataFrame) -> DataFrame:
+    """(url, default, bot, sitemap): for each url the best outcome of each agent, with what the audit reads in it.
+
+    An outcome has status, final_url, hops, error and, made before anything is moved: ``og`` (the preview image a page names),
+    ``shown`` (it could be an image), and ``file``, the body where the url is that of a robots file or a sitemap. Pages'
+    bodies stay where they are. Stored in buckets by url, this serves all joins of an audit without a shuffle.
+    """
+    is_file = F.col("url").endswith("/robots.txt") | F.col("url").endswith("/sitemap.xml")
     shown = F.coalesce(header(F.col("headers"), "content-type"), F.lit("")).contains("image") | (F.octet_length(F.coalesce("body", F.lit(""))) > 1000)
-    image = wanted.join(contents(wanted, fetches, shown.alias("shown")), "url", "left").select(key, ((F.col("status") == 200) & F.col("shown")).alias("og_image_loads"))
-
-    out = base.join(home, key, "left").join(variants, key, "left").join(image, key, "left").join(per_site, "origin", "left")
-    for part in (denied, named, closed, locs, bad, fresh):
-        out = out.join(part, "origin", "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("bot_status", "n_denied", "n_declared", "n_locs", "n_cjk_slugs", "n_bad_locs")}
-    no = {c: F.coalesce(c, F.lit(False)) for c in ("variants_agree", "og_image_loads", "robots_closed")}
-    return out.withColumns(zero | no | {"fresh_year": F.lit(fresh_year)})
+    outcome = F.struct(*_rank(), F.xxhash64("body").alias("mark"), F.nullif(first_of(F.coalesce("body", F.lit("")), P.OG_IMAGE), F.lit("")).alias("og"), shown.alias("shown"), F.when(is_file, F.col("body")).alias("file"))
+    return fetches.select("url", "ua", outcome.alias("f")).groupBy("url").agg(*[F.max(F.when(F.col("ua") == a, F.col("f"))).alias(a) for a in AGENTS])
+
+
+def site_signals(pages: DataFrame, fetches: DataFrame | None, key: str = "page_id", fresh_year: int = 2026, mode: str = "rfc9309", known: DataFrame | None = None) -> DataFrame:
+    """One row for each page (key, url) with everything that the site checks look at.
+
+    ``known`` is the ``evidence`` of the fetches where it is stored already; fetches aren't read then. What belongs to a site
+    (its files and names) is looked up once for all of its pages.
+    """
+    known = evidence(fetches) if known is None else known
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    base = pages.select(key, F.coalesce("url", F.lit("")).alias("url"), urls.origin(F.coalesce("url", F.lit(""))).alias("origin"))
+    # A page without an image asks for one that nobody has, so that such rows are dealt out evenly.
+    image = F.coalesce(urls.resolved(F.col("url"), F.col("default.og")), F.concat(F.lit("none:"), F.col(key).cast("string")))
+    home = base.join(known.select("url", "default", "bot"), "url", "left").select(
+        key, "url", "origin", zero("default.status").alias("home_status"), F.col("default.error").alias("home_error"), zero("default.hops").alias("hops"), zero("bot.status").alias("bot_status"), image.alias("image"))
+    home = home.join(known.select(F.col("url").alias("image"), ((F.col("default.status") == 200) & F.col("default.shown")).alias("og_image_loads")), "image", "left").drop("image")
+
+    files = [F.struct(F.lit(f).alias("role"), F.concat("origin", F.lit(f)).alias("url")) for f in P.ACCESS_FILES]
+    names = [F.struct(F.lit("name").alias("role"), F.concat(F.lit(p), _apex(F.col("origin"))).alias("url")) for p in VARIANTS]
+    asked = base.select("origin").distinct().select("origin", F.explode(F.array(*files, *names)).alias("a")).select("origin", "a.*")
+    status, named = zero("f.status"), F.col("role") == "name"
+    of = lambda role, c=status: F.max(F.when(F.col("role") == role, c))
+    good = lambda role: of(role, F.when(F.col("f.status") == 200, F.col("f.file")))
+    per_site = asked.join(known.select("url", F.col("default").alias("f")), "url", "left").groupBy("origin").agg(
+        of("/robots.txt").alias("robots_status"), of("/sitemap.xml").alias("sitemap_status"), of("/llms.txt").alias("llms_status"), of("/rss.xml").alias("rss_status"), F.count_if(~named & (status == 200)).alias("n_access_files"),
+        ((F.min(F.when(named, status)) == 200) & (F.max(F.when(named, status)) == 200) & (F.size(F.collect_set(F.when(named, F.lower(urls.authority(F.col("f.final_url")))))) <= 1)).alias("variants_agree"),
+        good("/robots.txt").alias("robots"), good("/sitemap.xml").alias("sitemap"),
+    )
+    last = F.left(F.array_max(all_of(F.col("sitemap"), P.LASTMOD, 1)), F.lit(4))
+    per_site = per_site.withColumn("locs", all_of(F.col("sitemap"), P.LOC, 1)).withColumns({
+        "robots_closed": F.coalesce(F.col("robots").rlike(P.BARE_DISALLOW), F.lit(False)), "n_locs": F.coalesce(F.size("locs"), F.lit(0)).cast("long"), "n_cjk_slugs": F.coalesce(F.size(F.filter("locs", urls.has_cjk)), F.lit(0)).cast("long"),
+        "last_year": last.try_cast("int"),
+    })
+    sampled = per_site.select("origin", F.explode(F.slice("locs", 1, SAMPLE)).alias("url")).join(known.select("url", F.col("sitemap.status").alias("status")), "url", "left")
+    bad = sampled.groupBy("origin").agg(F.count_if(zero("status") != 200).alias("n_bad_locs"))
+    texts = per_site.where("robots IS NOT NULL").select(F.col("origin").alias("site"), F.col("robots").alias("body"))
+    bots = pages.sparkSession.createDataFrame([(b,) for b in P.CITATION_BOTS], "bot string")
+    denied = robots.verdicts(texts, bots, mode=mode).groupBy("site").agg(F.count_if(F.col("verdict") == "deny").alias("n_denied")).withColumnRenamed("site", "origin")
+    declared = robots.declared(texts, bots, mode).withColumnRenamed("site", "origin")
+
+    per_site = per_site.drop("robots", "sitemap", "locs").join(denied, "origin", "left").join(declared, "origin", "left").join(bad, "origin", "left")
+    out = home.join(per_site, "origin", "left").withColumns({c: zero(c) for c in ("n_denied", "n_declared", "n_bad_locs")})
+    return out.withColumns({"og_image_loads": F.coalesce("og_image_loads", F.lit(False)), "variants_agree": F.coalesce("variants_agree", F.lit(False)), "fresh_year": F.lit(fresh_year)})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import patterns as P
 from pagelens.functions.text import all_of, strip
+from pagelens.operators import site
 
 
 def _given(name: str, default: str) -> Column:
@@ -74,8 +75,8 @@ def cited_urls(samples: DataFrame, most: int = 5) -> DataFrame:
 
 
 def citation_checks(samples: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Which cited URLs can be reached: joined with fetches (url, status, error)."""
-    known = fetches.select("url", "status").dropDuplicates(["url"])
+    """Which cited URLs can be reached: of a URL's fetches the outcome that browsers got counts, the best if there are several."""
+    known = site.outcomes(fetches).where("ua = 'default'").select("url", "status")
     status = F.coalesce("status", F.lit(0))
     return cited_urls(samples).join(known, "url", "left").select("pos", "place", "url", status.alias("status"), F.when(status == 200, "verified").when(status > 0, "unreachable").otherwise("error").alias("verdict"))
 

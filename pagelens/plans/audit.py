@@ -27,15 +27,26 @@ def full_checks(pages: DataFrame, fetches: DataFrame, key: str = "page_id", **op
 
 
 def report(results: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, score, grade, layers, fixes, text): one row for each page, arrays only here at the end."""
-    layers = score.layer_scores(results, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("layer", "score", "n_fail"))).alias("layers"))
-    titles = results.sparkSession.createDataFrame([(c.key, c.title, c.advice) for c in checks.CHECKS], "check_id string, title string, advice string")
-    fixes = score.priority_fixes(results, key).join(F.broadcast(titles), "check_id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "check_id", "status", "title", "advice"))).alias("fixes"))
-    out = score.page_scores(results, key).join(layers, key).join(fixes, key, "left")
+    """(key, score, grade, layers, fixes, text): one row for each page, made of an array of its results (one for each check).
+
+    Layers go by name; a layer, like a page, without weighty checks has no score. Pages without any have no row.
+    """
+    one = F.struct("check_pos", "check_id", "layer", "weight", "status")
+    rows = results.groupBy(key).agg(F.collect_list(one).alias("c")).withColumn("weighty", F.filter("c", lambda x: x["weight"] > 0)).where("size(weighty) > 0")
+    got = lambda of: F.aggregate(of, F.lit(0.0), lambda s, x: s + x["weight"] * score.points(x["status"]))
+    total = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda s, x: s + x["weight"])
+    failed = lambda of: F.size(F.filter(of, lambda x: x["status"] == "fail")).cast("long")
+    layers = F.transform(F.array(*map(F.lit, sorted(checks.LAYERS))), lambda name: F.struct(name.alias("layer"), F.filter("weighty", lambda x: x["layer"] == name).alias("own")))
+    layers = F.transform(F.filter(layers, lambda x: F.size(x["own"]) > 0), lambda x: F.struct(x["layer"].alias("layer"), score.percent(got(x["own"]), total(x["own"])).alias("score"), failed(x["own"]).alias("n_fail")))
+    order = lambda x: F.struct(-x["weight"], F.when(x["status"] == "fail", 0).otherwise(1), x["check_pos"], x["check_id"].alias("check_id"), x["status"].alias("status"))
+    bad = F.slice(F.array_sort(F.transform(F.filter("c", lambda x: x["status"].isin("fail", "warn")), order)), 1, 10)
+    known = F.array(*[F.struct(F.lit(c.title).alias("title"), F.lit(c.advice).alias("advice")) for c in checks.CHECKS])
+    fixes = F.transform(bad, lambda x, n: F.struct((n + 1).alias("place"), x["check_id"].alias("check_id"), x["status"].alias("status"), F.get(known, x["check_pos"])["title"].alias("title"), F.get(known, x["check_pos"])["advice"].alias("advice")))
+    out = rows.select(key, score.percent(got(F.col("weighty")), total(F.col("weighty"))).alias("score"), layers.alias("layers"), fixes.alias("fixes")).withColumn("grade", score.grade(F.col("score")))
     lines = F.concat(
         F.array(F.format_string("Score %d of 100 (%s)", "score", "grade")),
         F.transform("layers", lambda x: F.format_string("- %s: %d%%, %d failed", x["layer"], x["score"], x["n_fail"])),
-        F.transform(F.coalesce("fixes", F.array().cast("array<struct<place:int,check_id:string,status:string,title:string,advice:string>>")), lambda x: F.format_string("%d. [%s] %s: %s", x["place"], x["check_id"], x["title"], x["advice"])),
+        F.transform("fixes", lambda x: F.format_string("%d. [%s] %s: %s", x["place"], x["check_id"], x["title"], x["advice"])),
     )
     return out.select(key, "score", "grade", "layers", "fixes", F.array_join(lines, "\n").alias("text"))
 
