@@ -70,6 +70,12 @@ def phrase_hashes(keys: np.ndarray, size: int) -> np.ndarray:
     return scramble(pairs) if size == 2 else scramble(join_hashes(pairs[:-1], keys[2:], C4), C3)
 
 
+def hashes_of(keys: np.ndarray) -> np.ndarray:
+    """The same hashes from columns (three, n) of keys, the third 0 for pairs."""
+    pairs = join_hashes(keys[0], keys[1], C2)
+    return np.where(keys[2] == 0, scramble(pairs), scramble(join_hashes(pairs, keys[2], C4), C3))
+
+
 class PerfectHash:
     """Minimal perfect hash of distinct 64-bit keys: each gets a slot of its own under their number.
 
@@ -148,17 +154,16 @@ def passed(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[at >> U(3)] >> (at & U(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _map_phrases(docs: DataFrame, found: Callable[[np.ndarray], list[np.ndarray]], names: list[str], seed: int) -> DataFrame:
-    """Rows of numbers (``names``, n): what ``found`` makes of the word keys of texts (0 where a piece ends), equal rows of one
-    buffer as one with their number."""
+def _map_phrases(docs: DataFrame, found: Callable[[np.ndarray], list[np.ndarray]], rows: Callable[[list[np.ndarray], np.ndarray], pa.RecordBatch], schema: str, seed: int) -> DataFrame:
+    """What ``found`` makes of the word keys of texts (0 where a piece ends), a buffer at a time: columns of which the first is
+    sorted, equal rows once, and their numbers, handed to ``rows``."""
 
     def counted(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
         order = np.argsort(columns[0], kind="stable")
         columns = [c[order] for c in columns]
         starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
-        n = np.diff(starts, append=len(order)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([*[pa.array(signed(c[starts])) for c in columns], pa.array(n)], [*names, "n"])
+        return rows([c[starts] for c in columns], np.diff(starts, append=len(order)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -177,7 +182,7 @@ def _map_phrases(docs: DataFrame, found: Callable[[np.ndarray], list[np.ndarray]
         if size:
             yield counted(held)
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
+    return docs.mapInArrow(run, schema)
 
 
 def _candidates(docs: DataFrame, size: int, filters, seed: int) -> DataFrame:
@@ -191,7 +196,8 @@ def _candidates(docs: DataFrame, size: int, filters, seed: int) -> DataFrame:
             usable = usable[:-1] & usable[1:]
         return [phrase_hashes(keys, size)[usable]]
 
-    return _map_phrases(docs, found, ["h"], seed).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("h")
+    rows = lambda columns, n: pa.RecordBatch.from_arrays([pa.array(signed(columns[0])), pa.array(n, pa.int64())], ["h", "n"])
+    return _map_phrases(docs, found, rows, "h long, n long", seed).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("h")
 
 
 def _counted(docs: DataFrame, candidates: DataFrame, filters, seed: int) -> DataFrame:
@@ -212,10 +218,17 @@ def _counted(docs: DataFrame, candidates: DataFrame, filters, seed: int) -> Data
                 column.append(values[held])
         return [np.concatenate(c) if c else np.zeros(0, U) for c in out]
 
-    entries = _map_phrases(docs, found, ["h", "k1", "k2", "k3"], seed)
-    none = F.lit(None).cast("long")
-    both = entries.withColumn("block", block).unionByName(candidates.withColumns({"block": block, "k1": none, "k2": none, "k3": none, "n": F.lit(0).cast("long")}))
-    dealt = both.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "n")  # a block's candidates come first
+    def packed(columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+        """A row for each block: its phrases' keys and numbers, sorted, so that they compress."""
+        blocks = (columns[0] >> U(shift)).astype(np.int32)
+        order = np.lexsort((*columns[:0:-1], blocks))
+        keys, n, starts = np.stack(columns[1:])[:, order], n[order].astype(np.uint32), np.flatnonzero(np.diff(blocks, prepend=-1))
+        data = [keys[:, low:high].tobytes() + n[low:high].tobytes() for low, high in itertools.pairwise([*starts, len(blocks)])]
+        return pa.RecordBatch.from_arrays([pa.array(blocks[starts]), pa.array(data, pa.binary())], ["block", "data"])
+
+    entries = _map_phrases(docs, found, packed, "block int, data binary", seed)
+    both = entries.withColumn("h", F.lit(None).cast("long")).unionByName(candidates.select(block.alias("block"), F.lit(None).cast("binary").alias("data"), "h"))
+    dealt = both.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", F.col("h").isNull())  # a block's candidates come first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Block | None = None
@@ -229,7 +242,10 @@ def _counted(docs: DataFrame, candidates: DataFrame, filters, seed: int) -> Data
                         yield now.rows()
                     now = _Block(blocks[low])
                 part = batch.slice(low, high - low)
-                now.add(*(part.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("h", "k1", "k2", "k3", "n")))
+                now.hold(part.column("h").drop_null().to_numpy().view(U))
+                for data in part.column("data").drop_null().to_pylist():
+                    size = len(data) // 28
+                    now.add(np.frombuffer(data, U, 3 * size).reshape(3, size), np.frombuffer(data, np.uint32, size, 24 * size))
         if now is not None:
             yield now.rows()
 
@@ -237,50 +253,47 @@ def _counted(docs: DataFrame, candidates: DataFrame, filters, seed: int) -> Data
 
 
 class _Block:
-    """Counts of a block's candidates by slot. ``add`` takes candidates (n is 0) first and then entries."""
+    """Counts of a block's candidates by slot; ``hold`` takes the candidates, which come first, and ``add`` what mappers counted."""
 
     def __init__(self, number: int):
         self.number, self.waiting, self.hash = number, [], None
         self.aside: Counter = Counter()
 
+    def hold(self, hashes: np.ndarray) -> None:
+        self.waiting.append(hashes)
+
     def _close(self) -> None:
         hashes = np.unique(np.concatenate([*self.waiting, np.zeros(0, U)]))
         self.hash = PerfectHash(hashes)
         self.stored = np.zeros(len(hashes), U)
         self.stored[self.hash.slots(hashes)] = hashes
-        self.keys, self.known, self.counts = np.zeros((len(hashes), 3), np.int64), np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        self.keys, self.known, self.counts = np.zeros((3, len(hashes)), U), np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
 
-    def add(self, h: np.ndarray, k1: np.ndarray, k2: np.ndarray, k3: np.ndarray, n: np.ndarray) -> None:
-        h, entry = h.view(U), n > 0
-        self.waiting.append(h[~entry])
-        if not entry.any():
-            return
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
         if self.hash is None:
             self._close()
-        h, keys, n = h[entry], np.stack([k1, k2, k3], axis=1)[entry], n[entry]
+        if not len(self.stored):
+            return
+        h = hashes_of(keys)
         slot = self.hash.slots(h)
-        mine = (slot >= 0) & (self.stored[slot] == h) if len(self.stored) else np.zeros(len(h), bool)
-        slot, keys, n = slot[mine], keys[mine], n[mine]
+        mine = (slot >= 0) & (self.stored[slot] == h)
+        slot, keys, n = slot[mine], keys[:, mine], n[mine]
         new, first = np.unique(slot, return_index=True)
         first, new = first[~self.known[new]], new[~self.known[new]]
-        self.keys[new], self.known[new] = keys[first], True
-        same = (self.keys[slot] == keys).all(axis=1)
-        # Sums of a batch are far below 2 ** 53, so they are exact.
+        self.keys[:, new], self.known[new] = keys[:, first], True
+        same = (self.keys[:, slot] == keys).all(axis=0)
+        # Sums of one mapper's numbers are far below 2 ** 53, so they are exact.
         self.counts += np.bincount(slot[same], weights=n[same], minlength=len(self.counts)).astype(np.int64)
-        for key, more in zip(map(tuple, keys[~same].tolist()), n[~same].tolist(), strict=True):
-            self.aside[key] += more
+        for *key, more in zip(*signed(keys[:, ~same]).tolist(), n[~same].tolist(), strict=True):
+            self.aside[tuple(key)] += more
 
     def rows(self) -> pa.RecordBatch:
         if self.hash is None:
             self._close()
         often = self.counts >= LEAST
-        keys, counts = self.keys[often].tolist(), self.counts[often].tolist()
-        for key, n in self.aside.items():
-            if n >= LEAST:
-                keys.append(list(key))
-                counts.append(n)
-        columns = list(zip(*keys, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*columns, counts)], ["k1", "k2", "k3", "a"])
+        others = np.array([(*key, n) for key, n in self.aside.items() if n >= LEAST], np.int64).reshape(-1, 4).T
+        columns = np.concatenate([np.concatenate([signed(self.keys), self.counts[None]])[:, often], others], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k1", "k2", "k3", "a"])
 
 
 def phrases(docs: DataFrame) -> DataFrame:
