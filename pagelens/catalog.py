@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import patterns as P
 from pagelens.functions import provenance, urls
 from pagelens.functions.text import count_of, visible_text
-from pagelens.operators import checks, history, planning, pool, robots, score, signals, site, visibility
+from pagelens.operators import checks, history, links, planning, pool, robots, score, signals, site, visibility
 from pagelens.plans import audit
 from pagelens.plans import derived as D
 from pagelens.plans import samples as S
@@ -320,6 +320,58 @@ def _(spark, d):
     return audit.report(audit.full_checks(_sites(spark, d), _fetches(spark, d), known=_evidence(spark, d))).select("page_id", "score", "grade", "text")
 
 
+_ANCHOR = _q(links.ANCHOR)
+_NO_QUERY = "regexp_extract(base, '^([^?#]*)', 1)"
+_FOLDER = f"{_ORIGIN.replace('(url', '(base')} || coalesce(nullif(regexp_extract(regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^(.*/)', 1), ''), '/')"
+_LINKS = f"""anchor AS (SELECT page_id, base, cast(i - 1 AS int) AS pos, trim(link) AS link FROM (SELECT page_id, url AS base, unnest(found) AS link, generate_subscripts(found, 1) AS i FROM (SELECT page_id, url, regexp_extract_all(html, {_ANCHOR}, 1) AS found FROM {_PAGE_ROWS}))),
+ target AS (SELECT page_id, pos, regexp_extract(CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN split_part(base, ':', 1) || ':' || link WHEN starts_with(link, '/') THEN {_ORIGIN.replace('(url', '(base')} || link WHEN starts_with(link, '?') THEN {_NO_QUERY} || link ELSE {_FOLDER} || link END, '^([^#]*)', 1) AS url FROM anchor WHERE link <> '' AND NOT starts_with(link, '#')),
+ link AS (SELECT page_id, pos, o || regexp_replace(regexp_replace(regexp_replace(substring(url, length(o) + 1), '/[.]/', '/', 'g'), '/[^/]+/[.][.]/', '/', 'g'), '^/[.][.]/', '/') AS url FROM (SELECT *, {_ORIGIN} AS o FROM target) WHERE regexp_matches(url, '(?i)^https?://[^/?#]'))"""
+_LINK_STATUS = f"WITH {_LINKS} SELECT page_id, pos, url, status, CASE WHEN status IS NULL THEN 'unknown' WHEN status = 0 THEN 'failed' WHEN status >= 400 THEN 'dead' ELSE 'ok' END AS verdict FROM link LEFT JOIN (SELECT url, status FROM {_FETCHES} WHERE ua = 'default') USING (url)"
+
+
+@query("page_link_status", _LINK_STATUS)
+def _(spark, d):
+    """Every link of every page with its status; the stored evidence isn't moved."""
+    return links.link_status(_pages(spark, d), _evidence(spark, d))
+
+
+@query("page_broken_links", f"SELECT page_id, count(*) AS n_links, count(*) FILTER (verdict = 'dead') AS n_dead, count(*) FILTER (verdict = 'failed') AS n_failed, count(*) FILTER (verdict = 'unknown') AS n_unknown FROM ({_LINK_STATUS}) GROUP BY page_id")
+def _(spark, d):
+    return links.broken_links(links.link_status(_pages(spark, d), _evidence(spark, d)))
+
+
+_PATH = "coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1), ''), '/')"
+_ONE_OF_BOTS = "SELECT page_id, p.bot, CASE WHEN kind = 'disallow' THEN 'deny' WHEN kind = 'allow' THEN 'allow' ELSE 'undeclared' END AS verdict, ua AS matched_ua FROM (SELECT * FROM path CROSS JOIN bots) p LEFT JOIN best USING (page_id, bot)"
+
+
+def _page_paths(spark, d):
+    path = F.coalesce(F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
+    return _table(spark, d, "pages").select("page_id", urls.origin(F.col("url")).alias("site"), path.alias("path"))
+
+
+def _page_verdicts(spark, d, mode):
+    files, bots = _robots(spark, d)
+    paths = _page_paths(spark, d)
+    return robots.path_verdicts(files, bots, paths, mode).join(paths, ["site", "path"]).select("page_id", "bot", "verdict", "matched_ua")
+
+
+@query("robots_page_verdicts", f"""WITH {_robot_lines(_ROBOT_FILES)}, {_robot_verdicts(_BOTS).split(' fits AS')[0]} path AS (SELECT page_id, {_ORIGIN} AS site, {_PATH} AS path FROM pages),
+ fits AS (SELECT page_id, name, kind, pattern FROM path JOIN rule USING (site) WHERE regexp_full_match(path, replace(regexp_escape(CASE WHEN ends_with(pattern, '$') THEN left(pattern, length(pattern) - 1) ELSE pattern || '*' END), '\\*', '.*'))),
+ decided AS (SELECT page_id, name, max_by(kind, length(pattern) * 2 + cast(kind = 'allow' AS int)) AS kind FROM fits GROUP BY ALL),
+ chosen AS (SELECT site, bot, arg_max(name, CASE WHEN name = '*' THEN 0 ELSE length(name) END) AS name, arg_max(ua, CASE WHEN name = '*' THEN 0 ELSE length(name) END) AS ua FROM (SELECT site, name, min(ua) AS ua FROM name GROUP BY ALL) JOIN bots ON name = '*' OR starts_with(lower(bot), name) GROUP BY ALL),
+ best AS (SELECT page_id, bot, coalesce(kind, 'allow') AS kind, ua FROM path JOIN chosen USING (site) LEFT JOIN decided USING (page_id, name)) {_ONE_OF_BOTS}""")
+def _(spark, d):
+    """What each site's robots file says of each of its pages to each bot."""
+    return _page_verdicts(spark, d, "rfc9309")
+
+
+@query("robots_page_verdicts_file_order", f"""{_ROBOT_LINES}, bots AS (SELECT * FROM {_BOTS}), path AS (SELECT page_id, {_ORIGIN} AS site, {_PATH} AS path FROM pages),
+ decided AS (SELECT page_id, site, ua, group_pos, max_by(kind, length(pattern) * 2 + cast(kind = 'allow' AS int)) AS kind FROM path JOIN rules USING (site) WHERE ua <> '' AND pattern <> '' AND starts_with(path, replace(pattern, '*', '')) GROUP BY ALL),
+ best AS (SELECT page_id, bot, min_by(kind, group_pos) AS kind, min_by(ua, group_pos) AS ua FROM decided JOIN bots ON ua = '*' OR starts_with(lower(bot), lower(ua)) OR starts_with(lower(ua), lower(bot)) GROUP BY ALL) {_ONE_OF_BOTS}""")
+def _(spark, d):
+    return _page_verdicts(spark, d, "file_order")
+
+
 # ---- source pool and plans --------------------------------------------------------------------------------------
 
 _RESULTS = f"({D.RESULTS.format(pages='pages')})"

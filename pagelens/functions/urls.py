@@ -41,6 +41,25 @@ def resolved(base: Column, link: Column) -> Column:
     )
 
 
+def without_dots(path: Column) -> Column:
+    """A path without "." and ".." segments; ".." at the root stays there."""
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(s)))
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.array_join(kept, "/")).otherwise(path)
+
+
+def absolute(base: Column, link: Column) -> Column:
+    """A link as seen from a page, as RFC 3986 has it: every kind of relative reference, no dot segments, no fragment."""
+    no_query = F.regexp_extract(base, r"^([^?#]*)", 1)
+    full = F.when(link.startswith("?"), F.concat(no_query, link)).otherwise(resolved(base, link))
+    full = F.regexp_extract(full, r"^([^#]*)", 1)
+    rest = F.substring(full, F.length(origin(full)) + 1, F.length(full))
+    place, query = F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_extract(rest, r"^[^?]*(.*)$", 1)
+    return F.when(origin(full) == "", full).otherwise(F.concat(origin(full), without_dots(place), query))
+
+
 def has_cjk(url: Column) -> Column:
     """Percent-decoded, with + left alone; where decoding fails the URL itself is tested."""
     plain = F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))

@@ -65,12 +65,14 @@ def numbered(rows: DataFrame, first: int = 0) -> DataFrame:
 
 
 def ingest(rows: DataFrame, run: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(observations, run row) of one recording: defaults filled in; rows without identity, kind or value are counted."""
+    """(observations, run row) of one recording: defaults filled in; rows without identity, kind or value are counted. A
+    column ``seq`` is kept."""
     text = lambda name, default: F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(default))
     whole = (F.coalesce("identity", F.lit("")) != "") & (F.coalesce("kind", F.lit("")) != "") & F.col("value").isNotNull()
     kept = rows.where(whole).select(
         text("ts", run.get("ts", "")).alias("ts"), F.lit(run.get("run_id", "")).alias("run_id"), "identity", "kind", text("series", run.get("series") or "default").alias("series"), "value",
         text("unit", "ratio").alias("unit"), "n", text("source", run.get("source") or "").alias("source"), text("note", "").alias("note"),
+        *(["seq"] if "seq" in rows.columns else []),
     )
     counts = rows.agg(F.count_if(whole).alias("recorded"), F.count_if(~whole).alias("skipped"))
     row = counts.select(*[F.lit(run.get(k, "")).alias(k) for k in ("run_id", "ts", "source", "series", "note")], "recorded", "skipped")

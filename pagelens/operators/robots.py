@@ -85,6 +85,43 @@ def _named_group(files: DataFrame, bots: DataFrame, path: str) -> DataFrame:
     return pairs.groupBy("site", "bot").agg(best).select("site", "bot", F.coalesce("best.kind", F.lit("allow")).alias("kind"), "best.ua")
 
 
+def path_verdicts(files: DataFrame, bots: DataFrame, paths: DataFrame, mode: str = "rfc9309") -> DataFrame:
+    """(site, path, bot, verdict, matched_ua) for every distinct path of ``paths`` (site, path) and every bot.
+
+    Plain patterns are prefixes: a path is expanded into its prefixes of the lengths that its site's patterns have, which are
+    joined with the patterns by equality. Patterns with * or $ are a rest set, an array for each site, tried on its paths
+    row by row. A path of a site without a file is undeclared to all. ``bots`` (bot) is a short fixed list.
+    """
+    found = rules(files, mode).where("ua <> ''").withColumn("name", F.col("ua") if mode == "file_order" else F.lower("ua"))
+    groups = found.groupBy("site", "name").agg(F.min("ua").alias("ua"), F.min("group_pos").alias("group_pos"))
+    bot = F.lower("bot")
+    fits = (F.col("name") == "*") | bot.startswith(F.lower("name"))
+    fits = fits | F.lower("name").startswith(bot) if mode == "file_order" else fits
+    chosen = groups.join(F.broadcast(bots.select("bot")), fits)
+    if mode != "file_order":
+        # By its name alone, so there is one group for each site and bot.
+        chosen = chosen.groupBy("site", "bot").agg(F.max_by(F.struct("name", "ua", "group_pos"), F.when(F.col("name") == "*", 0).otherwise(F.length("name"))).alias("g")).select("site", "bot", "g.*")
+
+    pattern = F.col("pattern")
+    listed = found.where("pattern <> ''").select("site", "name", "kind", F.length(pattern).alias("weight"), *([F.replace(pattern, F.lit("*"), F.lit("")).alias("prefix"), F.lit(None).cast("string").alias("like")] if mode == "file_order" else [F.when(~pattern.contains("*") & ~pattern.endswith("$"), pattern).alias("prefix"), like(pattern).alias("like")])).distinct()
+    plain, rest = listed.where("prefix IS NOT NULL"), listed.where("prefix IS NULL")
+    asked = paths.select("site", "path").distinct()
+    lengths = plain.groupBy("site").agg(F.collect_set(F.length("prefix")).alias("lengths"))  # at most one for each length
+    tried = asked.join(lengths, "site").select("site", "path", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n")).select("site", "path", F.left("path", F.col("n")).alias("prefix"))
+    hits = tried.join(plain.drop("like"), ["site", "prefix"]).select("site", "path", "name", "kind", "weight")
+    if mode != "file_order":
+        others = rest.groupBy("site").agg(F.collect_list(F.struct("name", "kind", "weight", "like")).alias("rest"))  # one file's patterns
+        starred = asked.join(others, "site").select("site", "path", F.explode(F.filter("rest", lambda r: F.like(F.col("path"), r["like"]))).alias("r"))
+        hits = hits.unionByName(starred.select("site", "path", "r.name", "r.kind", "r.weight"))
+    decided = hits.groupBy("site", "path", "name").agg(F.max_by("kind", F.struct("weight", F.col("kind") == "allow")).alias("kind"))
+    if mode == "file_order":
+        best = decided.join(chosen, ["site", "name"]).groupBy("site", "path", "bot").agg(F.min_by(F.struct("kind", "ua"), "group_pos").alias("b")).select("site", "path", "bot", "b.*")
+    else:
+        best = asked.join(chosen, "site").join(decided, ["site", "path", "name"], "left").select("site", "path", "bot", F.coalesce("kind", F.lit("allow")).alias("kind"), "ua")
+    everyone = asked.join(F.broadcast(bots.select("bot")))
+    return everyone.join(best, ["site", "path", "bot"], "left").select("site", "path", "bot", F.when(F.col("kind") == "disallow", "deny").otherwise(F.coalesce("kind", F.lit("undeclared"))).alias("verdict"), F.col("ua").alias("matched_ua"))
+
+
 def declared(files: DataFrame, bots: DataFrame, mode: str = "rfc9309") -> DataFrame:
     """(site, n_declared): how many bots some group names by their first six characters."""
     groups = rules(files, mode).select("site", "ua").distinct()

@@ -8,6 +8,7 @@ carries an attribution under the caller's brand.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from functools import wraps
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.provenance import Brand, provenance
 from pagelens.functions import patterns as P
-from pagelens.operators import history, planning, pool, score, visibility
+from pagelens.operators import history, planning, pool, recording, score, site, visibility
+from pagelens.operators.checks import CHECKS
 from pagelens.plans import audit
 from pagelens.sources import jsonl
-from pagelens.streaming.ingest import RAW
 
 SAMPLE = "pos int, question string, platform string, run int, answer string, role string, sentiment string, facts string, facts_found array<string>, as_of string"
 
@@ -55,12 +56,20 @@ class Service:
     def __init__(self, spark: SparkSession, fetches: DataFrame | None = None, results: DataFrame | None = None, folder: str | None = None, brand: Brand = Brand()):
         self.spark, self.fetches, self.results, self.folder, self.brand = spark, fetches, results, folder, brand
 
-    def _checks(self, url: str) -> DataFrame:
-        return audit.full_checks(self.spark.createDataFrame([(1, url)], "page_id int, url string"), self.fetches)
+    def _checks(self, *urls: str) -> DataFrame:
+        """Results for these URLs, numbered from 1: a row for each check, so they are fetched and looked at again."""
+        pages = self.spark.createDataFrame(list(enumerate(urls, 1)), "page_id int, url string")
+        found = audit.full_checks(pages, self.fetches)
+        return self.spark.createDataFrame(found.collect(), found.schema)
 
     def _known(self, url: str) -> bool:
         return self.fetches is not None and not self.fetches.where((F.col("url") == url) & (F.col("ua") == "default")).isEmpty()
 
+    def _named(self, checks: DataFrame) -> DataFrame:
+        """Results of checks with title and advice, as the answer names them."""
+        words = self.spark.createDataFrame([(c.key, c.title, c.advice) for c in CHECKS], "check_id string, title string, fix string")
+        return checks.join(F.broadcast(words), "check_id").withColumnRenamed("check_id", "id")
+
     @staticmethod
     def _full(url: str) -> str:
         return url if url.startswith("http") else f"https://{url}"
@@ -70,13 +79,15 @@ class Service:
         url = self._full(url)
         if not self._known(url):
             return _error("audit_failed", "no fetch of this URL in the table of fetches")
-        out = {"ok": True, "url": url} | {k: v for k, v in _rows(audit.report(self._checks(url)))[0].items() if k != "page_id"}
+        checks = self._checks(url)
+        own = self.fetches.where((F.col("url") == url) & (F.col("ua") == "default"))
+        out = {"ok": True, "url": url, "final_url": site.outcomes(own).first()["final_url"]} | {k: v for k, v in _rows(audit.report(checks))[0].items() if k != "page_id"}
+        out["checks"] = _rows(self._named(checks).orderBy("check_pos").drop("page_id", "check_pos"))
         if compare_with:
             other = self._full(compare_with)
             if not self._known(other):
                 return out | {"comparison": _error("compare_failed", "no fetch of the other URL in the table of fetches")}
-            pages = self.spark.createDataFrame([(1, url), (2, other)], "page_id int, url string")
-            pairs, checks = self.spark.createDataFrame([(1, 2)], "a int, b int"), audit.full_checks(pages, self.fetches)
+            pairs, checks = self.spark.createDataFrame([(1, 2)], "a int, b int"), self._checks(url, other)
             differing = score.compare(pairs, checks).drop("a", "b").orderBy("check_id")
             out["comparison"] = _rows(score.compare_scores(pairs, score.page_scores(checks)).drop("a", "b"))[0] | {"differing_checks": _rows(differing)}
         return out
@@ -132,44 +143,36 @@ class Service:
         return {"ok": True, "plan": _rows(planning.plan(request, advice, top).orderBy("place").drop("request")), "unknown_ids": [r["id"] for r in planning.unknown(request, advice, top).orderBy("pos").collect()]}
 
     def _observations(self, *wanted: str) -> DataFrame:
-        return history.selected(jsonl.read(self.spark, f"{self.folder}/observations", history.OBSERVATION), *wanted)
+        return history.selected(recording.observations(self.spark, self.folder), *wanted)
 
     @answer
     def history(self, identity: str, kind: str = "", series: str = "", limit: int = 50) -> dict[str, Any]:
-        if not self._recorded("observations"):
-            return {"ok": True, "identity": identity, "series": [], "sample_gate": P.MIN_N}
         own = self._observations(identity, kind, series)
         values = own.transform(lambda df: history.last_points(df, limit)).groupBy(*history.KEYS).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "value", "n", "source"))).alias("values"))
         return {"ok": True, "identity": identity, "series": _rows(history.history(own).join(values, list(history.KEYS)).orderBy("kind", "series")), "sample_gate": P.MIN_N}
 
     @answer
     def changes(self, identity: str, kind: str = "", series: str = "") -> dict[str, Any]:
-        found = _rows(history.changes(self._observations(identity, kind, series)).orderBy("kind", "series")) if self._recorded("observations") else []
+        found = _rows(history.changes(self._observations(identity, kind, series)).orderBy("kind", "series"))
         return {"ok": True, "identity": identity, "thresholds": {"min_n": P.MIN_N, "relative": P.RELATIVE, "absolute": P.ABSOLUTE}, "results": found}
 
     @answer
     def signals(self, status: str = "open", limit: int = 50) -> dict[str, Any]:
-        found = _rows(history.listed(jsonl.read(self.spark, f"{self.folder}/signals", history.SIGNAL), status, limit)) if self._recorded("signals") else []
+        found = _rows(history.listed(recording.signals(self.spark, self.folder), status, limit))
         return {"ok": True, "status": status, "count": len(found), "signals": found}
 
-    def _recorded(self, name: str) -> bool:
-        return jsonl.exists(self.spark, f"{self.folder}/{name}")
-
     def record(self, payload: str, as_of: str) -> dict[str, int]:
-        """Append a recording (a list of observations, or {"run": ..., "observations": [...]}) and recompute signals.
+        """Take in a recording (a list of observations, or {"run": ..., "observations": [...]}) and recompute signals.
 
         Reading is open to all, writing is not a question: it has no answer envelope and is meant for the command line.
-        Observations are numbered in the order in which they stand, after all that are there.
+        Observations are numbered in the order in which they stand, after all that are there. A recording is known by its
+        text: one that comes again, after a failure say, changes nothing (``repeated`` is 1).
         """
         given = json.loads(payload)
         run, rows = ({}, given) if isinstance(given, list) else (given.get("run") or {}, given.get("observations") or [])
         run = {"run_id": as_of, "ts": as_of} | {k: v for k, v in run.items() if v}
-        last = self._observations().agg(F.max("seq")).first()[0] if self._recorded("observations") else None
-        lines = self.spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").coalesce(1)
-        kept, row = history.ingest(jsonl.parse_lines(lines, RAW), run)
-        jsonl.append(history.numbered(kept, 0 if last is None else last + 1), f"{self.folder}/observations")
-        jsonl.append(row, f"{self.folder}/runs")
-        old = jsonl.read(self.spark, f"{self.folder}/signals", history.SIGNAL) if self._recorded("signals") else None
-        fresh = jsonl.replace(history.recomputed(self._observations(), old, F.lit(as_of)), f"{self.folder}/signals")
-        counts = row.first()
-        return {"recorded": counts["recorded"], "skipped": counts["skipped"], "signals": fresh.where("resolved_at IS NULL").count()}
+        name = hashlib.sha256(payload.encode()).hexdigest()
+        lines = self.spark.createDataFrame([(json.dumps(r), name, as_of, 0, n) for n, r in enumerate(rows)], "value string, recording string, made_at string, block long, row long")
+        counts = recording.record(jsonl.parse_lines(lines, recording.RAW, *recording.ARRIVAL), self.folder, run, as_of)
+        counts = counts if counts["repeated"] else {k: v for k, v in counts.items() if k != "repeated"}
+        return counts | {"signals": recording.signals(self.spark, self.folder).where("resolved_at IS NULL").count()}

@@ -1,4 +1,4 @@
-"""Observation files: tolerant reading of JSON lines, appending, and replacing a table that is also read."""
+"""Observation files: tolerant reading of JSON lines, and appending to them."""
 
 from __future__ import annotations
 
@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
-    """Rows of JSON objects in column ``value``. Blank and broken lines and other JSON values are skipped; a field that
+def parse_lines(lines: DataFrame, schema: str, *also: str) -> DataFrame:
+    """Rows of JSON objects in column ``value``, with the columns ``also`` as they are. Blank and broken lines and other JSON values are skipped; a field that
     is missing or can't be read as its type is null, and "0.25" reads as a number."""
     fields = T.StructType.fromDDL(schema).fields if hasattr(T.StructType, "fromDDL") else lines.sparkSession.createDataFrame([], schema).schema.fields
-    parsed = lines.select(F.try_parse_json(F.trim("value")).alias("v")).where(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
-    return parsed.select(*[F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields])
+    parsed = lines.select(*also, F.try_parse_json(F.trim("value")).alias("v")).where(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
+    return parsed.select(*also, *[F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields])
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -21,41 +21,9 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Is there a table? One that a broken-off replacement left aside is put back first."""
-    fs, at = _file_system(spark, path)
-    if not fs.exists(at):
-        aside = _file_system(spark, f"{path.rstrip('/')}.before")[1]
-        if not fs.exists(aside) or not fs.rename(aside, at):
-            return False
-    return True
-
-
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    exists(spark, path)
     return parse_lines(spark.read.text(path), schema)
 
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
-
-
-def replace(df: DataFrame, path: str) -> DataFrame:
-    """Overwrite ``path`` with rows that may come from it: written beside it first, then exchanged by renaming.
-
-    Renaming goes through Hadoop's file system, so any store that Spark writes to will do. The old files are kept aside
-    until the new ones are in place; if this breaks off between, ``exists`` and ``read`` put them back.
-    """
-    spark = df.sparkSession
-    staging, aside = (f"{path.rstrip('/')}.{kind}" for kind in ("staging", "before"))
-    df.write.mode("overwrite").json(staging)
-    fs, old = _file_system(spark, path)
-    new, before = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staging, aside))
-    if exists(spark, path):
-        fs.delete(before, True)
-        if not fs.rename(old, before):
-            raise OSError(f"could not move {path} aside")
-    if not fs.rename(new, old):
-        raise OSError(f"could not move {staging} to {path}")
-    fs.delete(before, True)
-    return spark.read.schema(df.schema).json(path)

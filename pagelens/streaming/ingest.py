@@ -1,4 +1,4 @@
-"""Observations as they arrive: a file stream whose batches go through the same functions as a batch run."""
+"""Observations as they arrive: a file stream whose batches are recorded like any other."""
 
 from __future__ import annotations
 
@@ -6,26 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagelens.operators import history
+from pagelens.operators import recording
 from pagelens.sources import jsonl
 
-RAW = "ts string, identity string, kind string, series string, value double, unit string, n int, source string, note string"
 
+def arrived(lines: DataFrame) -> DataFrame:
+    """Rows of JSON lines (``value`` and the file source's ``_metadata``), with how they arrived: a file is a recording, known
+    by its path, time and size, and lines are in the order of files by time, blocks and places in them."""
+    meta = F.col("_metadata")
+    named = F.concat_ws("|", meta["file_path"], meta["file_modification_time"].cast("string"), meta["file_size"].cast("string"))
+    marked = lines.select("value", named.alias("recording"), meta["file_modification_time"].cast("string").alias("made_at"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
+    return jsonl.parse_lines(marked, recording.RAW, *recording.ARRIVAL)
 
-def start(spark: SparkSession, incoming: str, observations: str, signals: str, checkpoint: str, run: dict[str, str] | None = None) -> StreamingQuery:
-    """Read JSON-line files as they come into ``incoming``, append what is whole to ``observations`` (one folder for each
-    batch, so that a batch done again replaces itself) and recompute ``signals`` (JSON lines) from those and from the
-    signals before: what is still there keeps its first_seen, what is gone is resolved.
 
-    ``seq`` goes on from batch to batch in the order of the lines.
+def start(spark: SparkSession, incoming: str, root: str, checkpoint: str, run: dict[str, str] | None = None) -> StreamingQuery:
+    """Record JSON-line files as they come into ``incoming`` in the table at ``root``.
+
+    The ledger makes it exactly once: a batch that is done again after a failure, and a file that comes again after the
+    stream's own checkpoint was lost, change nothing.
     """
-    lines = spark.readStream.text(incoming)
 
     def each(batch: DataFrame, number: int) -> None:
-        kept, _ = history.ingest(jsonl.parse_lines(batch, RAW), {"run_id": f"batch-{number}"} | (run or {}))
-        before = spark.read.parquet(observations).where(F.col("batch") < number).agg(F.max("seq")).first()[0] if jsonl.exists(spark, observations) else None
-        history.numbered(kept, 0 if before is None else before + 1).write.mode("overwrite").parquet(f"{observations}/batch={number}")
-        old = jsonl.read(spark, signals, history.SIGNAL) if jsonl.exists(spark, signals) else None
-        jsonl.replace(history.recomputed(spark.read.parquet(observations), old, F.lit(str(number))), signals)
+        recording.record(arrived(batch), root, {"run_id": f"batch-{number}"} | (run or {}), str(number))
 
+    lines = spark.readStream.text(incoming).select("value", "_metadata")
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

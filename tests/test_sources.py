@@ -1,9 +1,13 @@
 from __future__ import annotations
 
 import json
+import os
 
-from pagelens.operators import history
-from pagelens.sources import jsonl, live
+import pytest
+from pyspark.sql import functions as F
+
+from pagelens.operators import history, recording
+from pagelens.sources import jsonl, live, snapshots
 from pagelens.streaming import ingest
 
 SCHEMA = "identity string, kind string, value double, n int"
@@ -16,54 +20,122 @@ def test_tolerant_reading(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("a", "k", 0.5, 20), ("b", "k", 1.0, None)]
 
 
-def test_append_and_replace(spark, tmp_path):
+def test_append(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("a", "k", 1.0, 1)], SCHEMA)
     jsonl.append(df, path)
     jsonl.append(df, path)
-    read = spark.read.schema(SCHEMA).json(path)
-    assert read.count() == 2
-    assert jsonl.replace(read.distinct(), path).count() == 1
-    assert spark.read.schema(SCHEMA).json(path).count() == 1
+    assert spark.read.schema(SCHEMA).json(path).count() == 2
+
+
+def test_a_reader_sees_old_or_new_rows_at_any_step(spark, tmp_path, monkeypatch):
+    """A reader between any two steps of a writer, also one that breaks off, finds one whole version."""
+    root = str(tmp_path / "t")
+    frame = lambda *values: spark.createDataFrame([(v,) for v in values], "v int").coalesce(1)
+    rows = lambda: sorted(r["v"] for r in snapshots.read(spark, root, snapshots.current(spark, root).get("data", []), "v int").collect())
+    assert rows() == []
+    first = snapshots.commit(spark, root, snapshots.current(spark, root), data=[snapshots.write(frame(1, 2), root)])
+    assert rows() == [1, 2]
+    folder = snapshots.write(snapshots.read(spark, root, first["data"], "v int").selectExpr("v + 10 AS v"), root)  # rows that come from the table itself
+    assert rows() == [1, 2]
+    held = snapshots.read(spark, root, first["data"], "v int")
+    log = tmp_path / "t" / snapshots.LOG
+    (log / ".half").write_text('{"number": 2, "da')  # a log file that is being written
+    assert rows() == [1, 2]
+    snapshots.commit(spark, root, first, data=[folder])
+    assert rows() == [11, 12] and held.count() == 2
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(spark, root, first, data=[snapshots.write(frame(7), root)])
+    assert rows() == [11, 12] and sorted(f.name for f in log.iterdir() if f.name.endswith(".json")) == [f"{n:012}.json" for n in (1, 2)]
+    assert snapshots.vacuum(spark, root, keep=1) == 0 and snapshots.vacuum(spark, root, keep=1, idle_s=-1) == 2 and rows() == [11, 12]
+
+
+def run_stream(spark, incoming, root, checkpoint):
+    query = ingest.start(spark, str(incoming), root, str(checkpoint))
+    query.awaitTermination()
+    assert query.exception() is None
 
 
 def test_stream(spark, tmp_path):
-    incoming, out, signals = tmp_path / "in", str(tmp_path / "obs"), str(tmp_path / "signals")
+    incoming, root = tmp_path / "in", str(tmp_path / "t")
     incoming.mkdir()
     for n, value in enumerate((0.1, 0.9)):
         (incoming / f"{n}.jsonl").write_text(f'{{"ts":"{n}","identity":"a","kind":"k","value":{value},"n":20}}\nbroken\n{{"kind":"k"}}\n')
-        query = ingest.start(spark, str(incoming), out, signals, str(tmp_path / "cp"))
-        query.awaitTermination()
-        assert query.exception() is None
-    assert spark.read.parquet(out).count() == 2
-    (row,) = jsonl.read(spark, signals, history.SIGNAL).collect()
+        run_stream(spark, incoming, root, tmp_path / "cp")
+    assert recording.observations(spark, root).count() == 2
+    (row,) = recording.signals(spark, root).collect()
     assert (row["identity"], row["severity"]) == ("a", "rise")
+    assert [(r["run_id"], r["recorded"], r["skipped"]) for r in recording.runs(spark, root).orderBy("run_id").collect()] == [("batch-0", 1, 1), ("batch-1", 1, 1)]
 
 
 def test_stream_keeps_first_seen_resolves_and_keeps_the_order_of_lines(spark, tmp_path):
-    incoming, out, signals = tmp_path / "in", str(tmp_path / "obs"), str(tmp_path / "signals")
+    incoming, root = tmp_path / "in", str(tmp_path / "t")
     incoming.mkdir()
     line = lambda value: f'{{"ts":"2026-01-01","identity":"a","kind":"k","value":{value},"n":20}}\n'
     seen = []
     for n, values in enumerate(((0.1, 0.9), (0.2,), (0.2,), (0.2, 0.5, 0.9))):
         (incoming / f"{n}.jsonl").write_text("".join(map(line, values)))
-        query = ingest.start(spark, str(incoming), out, signals, str(tmp_path / "cp"))
-        query.awaitTermination()
-        assert query.exception() is None
-        seen.append(sorted((r["severity"], r["previous_value"], r["current_value"], r["first_seen"], r["resolved_at"] or "") for r in jsonl.read(spark, signals, history.SIGNAL).collect()))
+        run_stream(spark, incoming, root, tmp_path / "cp")
+        seen.append(sorted((r["severity"], r["previous_value"], r["current_value"], r["first_seen"], r["resolved_at"] or "") for r in recording.signals(spark, root).collect()))
     assert seen[0] == [("rise", 0.1, 0.9, "0", "")]
     assert seen[1] == [("sharp_drop", 0.9, 0.2, "0", "")]
     assert seen[2] == [("sharp_drop", 0.9, 0.2, "0", "2")]
     assert seen[3] == [("rise", 0.5, 0.9, "3", ""), ("sharp_drop", 0.9, 0.2, "0", "2")]
-    assert [r["seq"] for r in spark.read.parquet(out).orderBy("seq").collect()] == list(range(7))
+    assert [r["seq"] for r in recording.observations(spark, root).orderBy("seq").collect()] == list(range(7))
 
 
-def test_a_broken_replacement_is_put_back(spark, tmp_path):
-    path = str(tmp_path / "t")
-    jsonl.append(spark.createDataFrame([("a", "k", 1.0, 1)], SCHEMA), path)
-    (tmp_path / "t").rename(tmp_path / "t.before")
-    assert not jsonl.exists(spark, str(tmp_path / "other"))
-    assert [tuple(r) for r in jsonl.read(spark, path, SCHEMA).collect()] == [("a", "k", 1.0, 1)]
+def test_files_of_one_batch_keep_their_order_and_come_once(spark, tmp_path):
+    """The first file is the smaller one, so that Spark reads it last; both come again when the stream's checkpoint is lost."""
+    incoming, root = tmp_path / "in", str(tmp_path / "t")
+    incoming.mkdir()
+    line = lambda value, note="": f'{{"ts":"2026-01-01","identity":"a","kind":"k","value":{value},"n":20,"note":"{note}"}}\n'
+    for n, (name, text) in enumerate((("z.jsonl", line(0.1)), ("a.jsonl", line(0.9, "x" * 5000)))):
+        (incoming / name).write_text(text)
+        os.utime(incoming / name, (1_700_000_000 + n, 1_700_000_000 + n))
+    for cp in ("cp1", "cp1", "cp2"):
+        run_stream(spark, incoming, root, tmp_path / cp)
+        assert [r["value"] for r in recording.observations(spark, root).orderBy("seq").collect()] == [0.1, 0.9]
+        assert [r["severity"] for r in recording.signals(spark, root).collect()] == ["rise"]
+    assert snapshots.current(spark, root)["number"] == 1
+
+
+def test_a_batch_that_breaks_off_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    rows = lambda name, *values: spark.createDataFrame([("2026-01-01", "a", "k", "s", v, None, 20, None, None, name, name, 0, n) for n, v in enumerate(values)], f"{recording.RAW}, recording string, made_at string, block long, row long")
+    recording.record(rows("r1", 0.1, 0.2), root, {}, "1", buckets=4)
+    commit = snapshots.commit
+    monkeypatch.setattr(snapshots, "commit", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        recording.record(rows("r2", 0.9), root, {}, "2")
+    assert recording.observations(spark, root).count() == 2
+    monkeypatch.setattr(snapshots, "commit", commit)
+    assert recording.record(rows("r2", 0.9), root, {}, "2") == {"recorded": 1, "skipped": 0, "repeated": 0}
+    assert recording.record(rows("r2", 0.9), root, {}, "3") == {"recorded": 0, "skipped": 0, "repeated": 1}
+    recording.compact(spark, root)
+    assert [r["value"] for r in recording.observations(spark, root).orderBy("seq").collect()] == [0.1, 0.2, 0.9] and len(snapshots.current(spark, root)["data"]) == 1
+
+
+def test_batches_give_what_one_run_over_all_gives(spark, small, tmp_path):
+    """Signals of the events in three batches, and the rows that each batch reads of what is older."""
+    from pagelens import catalog
+
+    root, columns = str(tmp_path / "t"), ("dedup_key", "severity", "direction", "previous_value", "current_value", "previous_ts", "current_ts", "change_value", "n")
+    all_rows = catalog._observations(spark, small)
+    raw = all_rows.select("ts", "identity", "kind", "series", "value", F.lit(None).cast("string").alias("unit"), "n", "source", F.lit(None).cast("string").alias("note"), "seq")
+    for k in range(3):
+        part = raw.where(f"seq % 3 = {k}")
+        recording.record(part.select("*", F.lit(f"b{k}").alias("recording"), F.lit(str(k)).alias("made_at"), F.lit(0).cast("long").alias("block"), F.col("seq").alias("row")).drop("seq"), root, {"run_id": f"b{k}"}, str(k), buckets=4)
+    got = {tuple(r[c] for c in columns) for r in recording.signals(spark, root).where("resolved_at IS NULL").collect()}
+    assert got == {tuple(r[c] for c in columns) for r in history.fresh_signals(recording.observations(spark, root), F.lit("x")).collect()} and got
+    assert recording.observations(spark, root).count() == all_rows.count()
+    version = snapshots.current(spark, root)
+    state = snapshots.read(spark, root, list(version["state"].values()), history.OBSERVATION)
+    assert state.groupBy(*history.KEYS).count().agg(F.max("count")).first()[0] == 2
+    # A batch of one series leaves the other buckets' files alone.
+    one = spark.createDataFrame([("2030-01-01", "newer", "k", "s", 1.0, None, 20, None, None, "x", "x", 0, 0)], f"{recording.RAW}, recording string, made_at string, block long, row long")
+    recording.record(one, root, {}, "9")
+    after = snapshots.current(spark, root)["state"]
+    assert sum(after.get(b) != f for b, f in version["state"].items()) + len(set(after) - set(version["state"])) == 1
 
 
 def test_live_source_is_guarded(spark):
