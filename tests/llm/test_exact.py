@@ -516,4 +516,4 @@ def test_items_without_an_id_are_matched_by_the_queries(spark, tmp_path):
 
 
 def test_queries_are_complete():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
