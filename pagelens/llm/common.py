@@ -116,6 +116,12 @@ def sampled_ids(rows: DataFrame, most: int, seed: int = 0) -> DataFrame:
     return ids.where(F.pmod(key, F.lit(m)) == 0).distinct().orderBy(key, "doc_id").limit(most)
 
 
+def one_text(rows: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, text and ``keep`` (alike in all rows of an id) with one row for each doc_id, the text with the smallest hash, so
+    that a sample of ids bounds the rows however often ids are repeated."""
+    return rows.groupBy("doc_id", *keep).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows that have all keys alike, from batches in which such rows are neighbours."""
     held: list[pa.RecordBatch] = []

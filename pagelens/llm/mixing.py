@@ -69,8 +69,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE
 
 
 def keyed(docs: DataFrame, digits: int) -> DataFrame:
-    """The documents with their place in the shuffled order; its first hexadecimal digits are its range."""
-    return docs.withColumn(KEY, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn(RANGE, F.substring(KEY, 1, digits))
+    """The documents with their place in the shuffled order; its first hexadecimal digits are its range.
+
+    Rows without an id share one place; their texts deal them out over ranges of their own, which come after that of their
+    place. So do only identical rows, and rows that repeat one id, stay together.
+    """
+    place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    within = F.when(F.col("doc_id").isNull(), F.concat(F.substring(KEY, 1, digits), F.lit("-"), F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, digits))).otherwise(F.substring(KEY, 1, digits))
+    return docs.withColumn(KEY, place).withColumn(RANGE, within)
 
 
 def range_digits(docs: DataFrame) -> int:

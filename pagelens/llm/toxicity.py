@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import checkpoint, map_batches, partitions, prepare, sampled_ids, table, texts
+from pagelens.llm.common import checkpoint, map_batches, one_text, partitions, prepare, sampled_ids, table, texts
 
 #: Bounds of the training sample (by a hash of doc_id) and of the features that enter the regression.
 MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 4_000, 12_000, 1_000
@@ -125,7 +125,7 @@ def grades(x: np.ndarray, toxic: np.ndarray, names: list[str], times: np.ndarray
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    """Fit on at most the given numbers of labelled texts, smallest hashes of doc_id first.
+    """Fit on at most the given numbers of labelled texts, smallest hashes of doc_id first, one text for each id.
 
     Rows whose crc32 of doc_id modulo 5 is 0 are left out, for evaluation. Without toxic rows, or without features
     that tell them, every severity is close to 0.
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     shown = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = lambda value, most: sampled_ids(shown.where(F.col("toxic") == value), most).withColumn("toxic", F.lit(value))
     chosen = part(1, max_toxic).unionByName(part(0, max_clean))
-    sample = checkpoint(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(min(partitions(spark), SAMPLE_PARTS)))
+    sample = checkpoint(one_text(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic").repartition(min(partitions(spark), SAMPLE_PARTS)))
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1:
