@@ -151,7 +151,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_chars: int = BLOCK_CHARS, unnamed: bool = False) -> DataFrame:
-    """The rows of ``docs`` that hold no item (none with an id, unless ``unnamed``), all columns as they were, without a shuffle."""
+    """The rows of ``docs`` that hold no item (none with an id, unless ``unnamed``), all columns as they were, without a shuffle.
+
+    Null and empty texts hold nothing and stay, and so do all rows where there are no items; of repeated rows all stay or all
+    go. Texts are searched whole, however long; columns may have any names.
+    """
     for items in blocks(benchmark, block_chars, unnamed):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 

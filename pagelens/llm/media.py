@@ -156,7 +156,10 @@ def as_tensors(rows: pa.Table) -> pa.Table:
 
 
 def tensor_streams(docs: DataFrame) -> DataFrame:
-    """(n_rows, stream): all rows of audio_features with fixed-shape tensors, an Arrow IPC stream for each batch."""
+    """(n_rows, stream): all rows of audio_features with fixed-shape tensors, an Arrow IPC stream for each batch.
+
+    Odd rows are those of audio_features; an empty table gives no streams; columns other than doc_id and text are not looked at.
+    """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = as_tensors(pa.Table.from_batches([_featured(batch)[0]]))

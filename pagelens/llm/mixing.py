@@ -166,7 +166,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, ma
     A serving taken in part counts as whole from half on, else not; documents of size 0 are left out. The stream is cut
     at virtual time 1, so a document's copies follow from its queue alone: only one range of a source holds its cut,
     only the documents of that range are looked at one by one, and no other texts are shuffled. Where texts are wanted
-    in the stream's order, sort them by ``queue``'s _mix_place. All columns are kept, whatever their names.
+    in the stream's order, sort them by ``queue``'s _mix_place. All columns are kept, whatever their names. Null texts have
+    no words; a null source is a source of its own; rows without an id and repeated rows are documents like any other;
+    an empty table gives no rows.
     """
     docs, names = set_aside(docs, MINE)
     digits = range_digits(docs)

@@ -116,7 +116,8 @@ def find(text: str) -> list[Span]:
 def pii_spans(docs: DataFrame) -> DataFrame:
     """One row per found span: doc_id, kind, start, end, score, value.
 
-    Null and empty texts have none; repeated rows are searched once each; other columns are ignored.
+    Null and empty texts have none; repeated rows are searched once each, whatever their doc_id; texts are read whole, however
+    long; an empty table gives no rows; other columns are ignored.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:

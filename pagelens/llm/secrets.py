@@ -185,7 +185,10 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256 and spans as text; a row for every row."""
+    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256 and spans as text; a row for every row.
+
+    Null and empty texts have no spans and the hash of an empty list; otherwise as ``secret_spans``.
+    """
     kinds = F.array(*map(F.lit, KINDS))
     shown = lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["stop"].cast("string"))
     rows = secret_spans(docs)

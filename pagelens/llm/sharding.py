@@ -117,7 +117,7 @@ def pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
-    """One folder of Parquet files for each shard."""
+    """One folder of Parquet files for each shard, with all rows of ``docs`` as ``assign`` deals them; none for an empty table."""
     assign(docs, limit).repartition("shard").write.partitionBy("shard").parquet(path)
 
 

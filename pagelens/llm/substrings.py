@@ -292,7 +292,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Null and empty texts give an empty text. Null doc_ids come after all others. Rows of one doc_id with
     different texts are documents of their own, in an order by a hash of the text, and so are rows without an id.
-    Identical rows are one document: neither is a copy of the other.
+    Identical rows are one document: neither is a copy of the other. Texts are read whole, however long; an empty
+    table gives no rows; columns other than doc_id and text are not looked at.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
