@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import patterns as P
 from pagelens.functions import provenance, urls
 from pagelens.functions.text import count_of, visible_text
-from pagelens.operators import checks, history, links, planning, pool, robots, score, signals, site, visibility
+from pagelens.operators import checks, history, links, planning, pool, presence, robots, score, signals, site, visibility
 from pagelens.plans import audit
 from pagelens.plans import derived as D
 from pagelens.plans import samples as S
@@ -366,7 +366,7 @@ def _(spark, d):
 
 
 @query("robots_page_verdicts_file_order", f"""{_ROBOT_LINES}, bots AS (SELECT * FROM {_BOTS}), path AS (SELECT page_id, {_ORIGIN} AS site, {_PATH} AS path FROM pages),
- decided AS (SELECT page_id, site, ua, group_pos, max_by(kind, length(pattern) * 2 + cast(kind = 'allow' AS int)) AS kind FROM path JOIN rules USING (site) WHERE ua <> '' AND pattern <> '' AND starts_with(path, replace(pattern, '*', '')) GROUP BY ALL),
+ decided AS (SELECT page_id, site, ua, group_pos, max_by(kind, length(pattern) * 2 + cast(kind = 'allow' AS int)) AS kind FROM path JOIN rules USING (site) WHERE pattern <> '' AND starts_with(path, replace(pattern, '*', '')) GROUP BY ALL),
  best AS (SELECT page_id, bot, min_by(kind, group_pos) AS kind, min_by(ua, group_pos) AS ua FROM decided JOIN bots ON ua = '*' OR starts_with(lower(bot), lower(ua)) OR starts_with(lower(ua), lower(bot)) GROUP BY ALL) {_ONE_OF_BOTS}""")
 def _(spark, d):
     return _page_verdicts(spark, d, "file_order")
@@ -386,6 +386,32 @@ def _(spark, d):
     return pool.verdicts(results, D.rows(spark, D.WANTED.replace("({results})", "{results}"), results=results))
 
 
+# Brands: the first two words of the titles of every tenth page, and of every tenth document, with a word that is nowhere.
+_NORMAL = lambda t: f"' ' || trim(regexp_replace(lower(coalesce({t}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+_BRANDS = {"pages": "SELECT DISTINCT regexp_extract(html, '<title>([^ <]+ [^ <]+)', 1) AS brand FROM {t} WHERE page_id % 10 = 0 UNION SELECT 'Nowhere Inc' UNION SELECT '?!'",
+           "documents": "SELECT DISTINCT regexp_extract(text, '^([^ ]+ [^ ]+)', 1) AS brand FROM {t} WHERE doc_id % 10 = 0 UNION SELECT 'Nowhere Inc' UNION SELECT '?!'"}
+
+
+def _presence_sql(brands: str, texts: str) -> str:
+    return f"""WITH t AS MATERIALIZED (SELECT key, host, {_NORMAL('text')} AS text FROM ({texts})), b AS MATERIALIZED (SELECT * FROM (SELECT brand, {_NORMAL('brand')} AS phrase FROM ({brands})) WHERE phrase <> '  ')
+ SELECT brand, host, n_pages, round_even(cast(n_pages AS double) / n * 100, 1) AS share FROM (SELECT brand, host, count(*) AS n_pages FROM t JOIN b ON contains(text, phrase) GROUP BY ALL) JOIN (SELECT host, count(*) AS n FROM t GROUP BY host) USING (host)"""
+
+
+@query("brand_presence_pages", _presence_sql(_BRANDS["pages"].format(t="pages"), f"SELECT page_id AS key, {_HOST} AS host, html AS text FROM pages"))
+def _(spark, d):
+    """Brands in the markup of pages, by host."""
+    pages = _table(spark, d, "pages")
+    texts = pages.select(F.col("page_id").alias("key"), urls.host(F.col("url")).alias("host"), F.col("html").alias("text"))
+    return presence.presence(texts, D.rows(spark, _BRANDS["pages"].replace("{t}", "{pages}"), pages=pages))
+
+
+@query("brand_presence_documents", _presence_sql(_BRANDS["documents"].format(t="documents"), "SELECT doc_id AS key, source AS host, text FROM documents"))
+def _(spark, d):
+    docs = _table(spark, d, "documents")
+    texts = docs.select(F.col("doc_id").alias("key"), F.col("source").alias("host"), "text")
+    return presence.presence(texts, D.rows(spark, _BRANDS["documents"].replace("{t}", "{documents}"), documents=docs))
+
+
 _ADVICE = S.values_sql([(c.key, c.layer, c.weight, c.title, c.advice) for c in checks.CHECKS], "id, layer, weight, title, advice")
 # A request for each page: what its checks found wrong, and an id that no check has; every ninth asks for nothing.
 _REQUESTS = f"({_CHECKS} SELECT cast(page_id AS varchar) AS request, CASE WHEN page_id % 9 = 4 THEN ' , ' ELSE concat('u', page_id, '，', replace(string_agg(check_id, ',' ORDER BY check_pos), ',', CASE WHEN page_id % 2 = 0 THEN ',' ELSE ' ' END)) END AS ids FROM checks WHERE status IN ('warn', 'fail') GROUP BY page_id)"

@@ -96,9 +96,17 @@ def history(observations: DataFrame) -> DataFrame:
 
 
 def last_points(observations: DataFrame, most: int) -> DataFrame:
-    """The latest points of each series, with ``place`` from 1 for the latest."""
+    """The latest points of each series, with ``place`` from 1 for the latest.
+
+    Ranked in parts of each series first, dealt by a hash, and then among what the parts have left, at most ``most`` points
+    each, so that a very long series is no single task.
+    """
+    most = max(1, most)
+    part = Window.partitionBy(*KEYS, "_part").orderBy(*_latest_first())
+    parted = observations.withColumn("_part", F.pmod(F.xxhash64("ts", "seq"), F.lit(PARTS_OF_SERIES)))
+    left = parted.withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= most).drop("_place", "_part")
     order = Window.partitionBy(*KEYS).orderBy(*_latest_first())
-    return observations.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, most))
+    return left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
 def changes(observations: DataFrame) -> DataFrame:

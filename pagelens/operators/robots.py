@@ -92,7 +92,7 @@ def path_verdicts(files: DataFrame, bots: DataFrame, paths: DataFrame, mode: str
     joined with the patterns by equality. Patterns with * or $ are a rest set, an array for each site, tried on its paths
     row by row. A path of a site without a file is undeclared to all. ``bots`` (bot) is a short fixed list.
     """
-    found = rules(files, mode).where("ua <> ''").withColumn("name", F.col("ua") if mode == "file_order" else F.lower("ua"))
+    found = rules(files, mode).where("true" if mode == "file_order" else "ua <> ''").withColumn("name", F.col("ua") if mode == "file_order" else F.lower("ua"))
     groups = found.groupBy("site", "name").agg(F.min("ua").alias("ua"), F.min("group_pos").alias("group_pos"))
     bot = F.lower("bot")
     fits = (F.col("name") == "*") | bot.startswith(F.lower("name"))

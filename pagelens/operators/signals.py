@@ -29,8 +29,10 @@ def spread(pages: DataFrame) -> DataFrame:
 def page_signals(pages: DataFrame, key: str = "page_id", robots_header: Column | None = None) -> DataFrame:
     """Signals of pages (key, url, html); ``robots_header`` is a column with X-Robots-Tag, if there is one.
 
-    A null page is an empty one. The text is made in a projection of its own, so that it is made once.
+    A null page is an empty one. The text is made in a projection of its own, so that it is made once. JSON-LD that repeats a
+    key counts with its last value, as JSON readers have it; that is a setting of the session, which is made here.
     """
+    pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     header = robots_header if robots_header is not None else F.lit(None).cast("string")
     base = spread(pages).select(key, F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), header.alias("robots_header"))
     html = F.col("html")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelens.functions import urls
 from pagelens.operators import checks, score, signals, site
 
 
@@ -51,9 +52,19 @@ def report(results: DataFrame, key: str = "page_id") -> DataFrame:
     return out.select(key, "score", "grade", "layers", "fixes", F.array_join(lines, "\n").alias("text"))
 
 
+#: Ids of a host are ordered in spans of so many, so that a host with most pages is no single task.
+SPAN = 1 << 16
+
+
 def neighbours(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(a, b): each page with the next one of its host."""
-    from pagelens.functions import urls
+    """(a, b): each page with the next one of its host, by number.
 
-    hosts = pages.select(key, urls.host(F.col("url")).alias("host"))
-    return hosts.select(F.col(key).alias("a"), F.lead(key).over(Window.partitionBy("host").orderBy(key)).alias("b")).where("b IS NOT NULL")
+    Within spans of ids first; the last page of a span goes with the first of the host's next span that has any, which
+    takes one row for each host and span.
+    """
+    rows = pages.select(F.col(key).alias("a"), urls.host(F.col("url")).alias("host")).withColumn("span", F.floor(F.col("a") / SPAN))
+    inside = rows.withColumn("b", F.lead("a").over(Window.partitionBy("host", "span").orderBy("a")))
+    spans = rows.groupBy("host", "span").agg(F.min("a").alias("first"))
+    after = spans.select("host", "span", F.lead("first").over(Window.partitionBy("host").orderBy("span")).alias("next")).where("next IS NOT NULL")
+    across = inside.where("b IS NULL").drop("b").join(after, ["host", "span"]).select("a", F.col("next").alias("b"))
+    return inside.where("b IS NOT NULL").select("a", "b").unionByName(across)

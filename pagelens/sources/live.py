@@ -3,7 +3,7 @@ question. Off unless registered.
 
 spark.dataSource.register(LiveFetch), then spark.read.format("live_fetch").option("urls", "...").load(); its bodies are
 bytes, which ``operators.site.from_live`` makes text for the audit. Redirects are followed here, one by one, and each
-target is checked before it is fetched.
+target is checked before it is fetched, from the very address that was checked.
 
 spark.dataSource.register(LiveSearch), then spark.read.format("live_search").option("endpoint", "https://...").option(
 "questions", "one\ntwo").load(), for an endpoint that answers ?q=...&format=json with {"results": [{"title", "url"}]}.
@@ -11,40 +11,59 @@ spark.dataSource.register(LiveSearch), then spark.read.format("live_search").opt
 
 from __future__ import annotations
 
+import http.client
 import ipaddress
 import json
 import socket
 import time
-import urllib.error
 import urllib.parse
-import urllib.request
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+# Seconds for a fetch, bytes of a body, hops; what bots and browsers call themselves.
 TIMEOUT, MOST_BYTES, MOST_HOPS = 12, 3 << 20, 6
 AGENTS = {"default": "Mozilla/5.0 (compatible; pagelens)", "bot": "Mozilla/5.0 (compatible; GPTBot/1.2)", "sitemap": "Mozilla/5.0 (compatible; Baiduspider-test)"}
 
 
-class _NoRedirect(urllib.request.HTTPRedirectHandler):
-    def redirect_request(self, *args, **kwargs):
-        return None
+def checked(url: str) -> tuple[str | None, str | None]:
+    """(why a URL may not be fetched, None) or (None, the address to connect to): every address of its host is public."""
+    parts = urllib.parse.urlsplit(url)
+    if parts.scheme not in ("http", "https"):
+        return "scheme", None
+    if "." not in (parts.hostname or ""):
+        return "host", None
+    try:
+        addresses = sorted({a[4][0] for a in socket.getaddrinfo(parts.hostname, None)})
+    except OSError:
+        return "unknown host", None
+    return (None, addresses[0]) if addresses and all(ipaddress.ip_address(a).is_global for a in addresses) else ("address", None)
 
 
 def guard(url: str) -> str | None:
     """Why a URL may not be fetched, or None."""
+    return checked(url)[0]
+
+
+def request(url: str, headers: dict[str, str], timeout: float, most: int, address: str | None = None) -> tuple[int, dict[str, str], bytes]:
+    """(status, headers, at most ``most`` bytes of the body) of one GET, redirects not followed and no proxy asked.
+
+    With ``address`` that is where the connection goes, whatever the host's name resolves to by now; certificate and Host
+    header are still those of the name.
+    """
     parts = urllib.parse.urlsplit(url)
-    if parts.scheme not in ("http", "https"):
-        return "scheme"
-    if "." not in (parts.hostname or ""):
-        return "host"
+    link = (http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection)(parts.hostname, parts.port, timeout=timeout)
+    if address is not None:
+        link._create_connection = lambda at, *args, **kwargs: socket.create_connection((address, at[1]), *args, **kwargs)
+    place = urllib.parse.quote(parts.path or "/", safe="/%:@!$&'()*+,;=~") + (f"?{urllib.parse.quote(parts.query, safe='/%:@!$&()*+,;=~?')}" if parts.query else "")
     try:
-        addresses = {a[4][0] for a in socket.getaddrinfo(parts.hostname, None)}
-    except OSError:
-        return "unknown host"
-    return None if all(ipaddress.ip_address(a).is_global for a in addresses) else "address"
+        link.request("GET", place, headers=headers)
+        answer = link.getresponse()
+        return answer.status, dict(answer.getheaders()), answer.read(most)
+    finally:
+        link.close()
 
 
 def decompressed(body: bytes, encoding: str, most: int = MOST_BYTES) -> bytes:
@@ -59,24 +78,23 @@ def decompressed(body: bytes, encoding: str, most: int = MOST_BYTES) -> bytes:
     return body[:most]
 
 
+def _header(headers: dict[str, str], name: str) -> str:
+    return next((v for k, v in headers.items() if k.lower() == name), "")
+
+
 def fetch(url: str, ua: str = "default") -> tuple:
-    """A row of fetches; failures are rows with status 0 and an error."""
-    opener = urllib.request.build_opener(urllib.request.ProxyHandler({}), _NoRedirect())
-    at = url
+    """A row of fetches; failures are rows with status 0 and an error. Each hop goes to the address that was checked."""
+    at, asked = url, {"User-Agent": AGENTS.get(ua, ua), "Accept-Encoding": "gzip"}
     for hops in range(MOST_HOPS + 1):
-        if why := guard(at):
+        why, address = checked(at)
+        if why:
             return url, ua, 0, {}, b"", at, hops, why
         try:
-            try:
-                answer = opener.open(urllib.request.Request(at, headers={"User-Agent": AGENTS.get(ua, ua), "Accept-Encoding": "gzip"}), timeout=TIMEOUT)
-            except urllib.error.HTTPError as e:
-                answer = e
-            headers = dict(answer.headers.items())
-            if answer.code in (301, 302, 303, 307, 308) and "Location" in headers:
-                at = urllib.parse.urljoin(at, headers["Location"])
-                continue
-            body = decompressed(answer.read(MOST_BYTES), next((v.lower() for k, v in headers.items() if k.lower() == "content-encoding"), ""))
-            return url, ua, answer.code, headers, body, at, hops, None
+            status, headers, body = request(at, asked, TIMEOUT, MOST_BYTES, address)
+            target = _header(headers, "location") if status in (301, 302, 303, 307, 308) else ""
+            if not target:
+                return url, ua, status, headers, decompressed(body, _header(headers, "content-encoding").lower()), at, hops, None
+            at = urllib.parse.urljoin(at, target)
         except Exception as e:
             return url, ua, 0, {}, b"", at, hops, str(e)[:160]
     return url, ua, 0, {}, b"", at, MOST_HOPS, "too many redirects"
@@ -115,28 +133,41 @@ class LiveFetch(DataSource):
         return _Reader(self.options)
 
 
+# Seconds an endpoint gets for an answer, tries, the least pause between two, results that count.
 SEARCH_TIMEOUT, ATTEMPTS, PAUSE, MOST_RESULTS = 25, 3, 1.5, 20
 RESULT = "question string, pos int, title string, url string, source_status string"
 
 
+def _answered(body: bytes) -> list[dict]:
+    """The results in an endpoint's JSON; anything that isn't an object with a list of them is an error."""
+    results = json.loads(body.decode("utf-8", "replace")).get("results")
+    return [r for r in results or [] if isinstance(r, dict)]
+
+
+def _paced(tries: int, pause: float) -> Iterator[int]:
+    """Numbers of tries, each but the first after a longer pause than the one before."""
+    yield 0
+    for n in range(1, tries):
+        time.sleep(n * pause)
+        yield n
+
+
 def search(question: str, endpoint: str, engines: str = "", pause: float = PAUSE, ask=None) -> list[tuple]:
     """Rows RESULT of one question. Failures and empty answers are tried again, with longer and longer pauses; what
     stays without an answer is one row without a URL, whose source_status says why, so that it counts as an unreachable
     source and not as an empty pool."""
-    url = f"{endpoint.rstrip('/')}/search?" + urllib.parse.urlencode({"q": question, "format": "json"} | ({"engines": engines} if engines else {}))
-    ask = ask or (lambda u: urllib.request.build_opener(urllib.request.ProxyHandler({})).open(urllib.request.Request(u, headers={"Accept": "application/json"}), timeout=SEARCH_TIMEOUT).read())
-    status = "empty"
-    for attempt in range(ATTEMPTS):
-        if attempt:
-            time.sleep(pause * attempt)
+    get = ask or (lambda u: request(u, {"Accept": "application/json"}, SEARCH_TIMEOUT, MOST_BYTES)[2])
+    wanted = {"q": question, "format": "json", "engines": engines}
+    url = f"{endpoint.rstrip('/')}/search?{urllib.parse.urlencode({k: v for k, v in wanted.items() if v})}"
+    why = "ok"
+    for _ in _paced(ATTEMPTS, pause):
         try:
-            found = json.loads(ask(url).decode("utf-8", "replace")).get("results") or []
-            status = "empty"
+            found, why = _answered(get(url)), "ok"
         except Exception as e:
-            found, status = [], f"failed: {str(e)[:120]}"
+            found, why = [], f"failed: {str(e)[:120]}"
         if found:
-            return [(question, n, r.get("title"), r.get("url"), "ok") for n, r in enumerate(found[:MOST_RESULTS])]
-    return [(question, 0, None, None, "ok" if status == "empty" else status)]
+            return [(question, place, r.get("title"), r.get("url"), why) for place, r in enumerate(found[:MOST_RESULTS])]
+    return [(question, 0, None, None, why)]
 
 
 class _Question(InputPartition):
