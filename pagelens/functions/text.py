@@ -57,26 +57,38 @@ def same_as(blocks: Column) -> Column:
     return F.flatten(F.transform(found, lambda s: all_of(s, P.SAME_AS_URL)))
 
 
+# Stand-ins for brackets inside strings: characters that Unicode leaves unused.
+_BRACKETS, _PLAIN = "{}[]", "\ufdd0\ufdd1\ufdd2\ufdd3"
+
+
+def _own_name(node: Column) -> Column:
+    """[name] of an object without objects inside, if it is an entity and its name a string; else nothing."""
+    value = F.try_parse_json(F.translate(node, _PLAIN, _BRACKETS))
+    listed = F.filter(F.coalesce(F.try_variant_get(value, "$['@type']", "array<variant>"), F.array().cast("array<variant>")), lambda v: F.schema_of_variant(v) == "STRING")
+    kinds = F.when(node.contains('"@type":"'), F.array(F.try_variant_get(value, "$['@type']", "string"))).otherwise(F.transform(listed, lambda v: v.cast("string")))
+    wanted = node.contains('"@type":') & node.contains('"name":"')
+    entity = wanted & F.exists(kinds, lambda k: k.isin(*P.ENTITY_TYPES))
+    return F.when(entity, F.array(strip(F.try_variant_get(value, "$.name", "string")))).otherwise(F.array().cast("array<string>"))
+
+
+def _names_of(block: Column) -> Column:
+    """Names in a JSON tree of any depth: objects without objects inside are read and replaced by a number, again and again."""
+    pieces = all_of(block, r'"(?:[^"\\]|\\.)*"|[^"]+')
+    flat = F.array_join(F.transform(pieces, lambda t: F.when(t.startswith('"'), F.translate(t, _BRACKETS, _PLAIN)).otherwise(t)), "")
+    rounds = F.sequence(F.lit(0), F.length(flat) - F.length(F.replace(flat, F.lit("{"), F.lit(""))))
+    inner = r"\{[^{}]*\}"
+    read = lambda s: F.struct(F.regexp_replace(s["json"], inner, "0").alias("json"), F.concat(s["names"], F.flatten(F.transform(all_of(s["json"], inner), _own_name))).alias("names"))
+    none = F.struct(flat.alias("json"), F.array().cast("array<string>").alias("names"))
+    return F.aggregate(rounds, none, lambda s, _: F.when(s["json"].contains("{"), read(s)).otherwise(s), lambda s: s["names"])
+
+
+def entity_names(blocks: Column) -> Column:
+    """Distinct names of all nodes that are entities, at any depth, sorted; the type and the name must share a node."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(blocks, lambda b: b.isNotNull()), _names_of))))
+
+
 def _python_columns():
-    """The two Arrow functions. They are made in here so that workers get them whole and need not find this package."""
-    entities = P.ENTITY_TYPES
-
-    def entity_names_of(blocks: list[str | None]) -> list[str]:
-        """Names of all nodes that are entities, at any depth; the type and the name must share a node."""
-        import json
-
-        names, stack = [], [json.loads(b) for b in blocks if b is not None]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, dict):
-                kinds = node.get("@type")
-                kinds = kinds if isinstance(kinds, list) else [kinds]
-                if isinstance(node.get("name"), str) and any(k in entities for k in kinds if isinstance(k, str)):
-                    names.append(node["name"].strip())
-                stack.extend(node.values())
-            elif isinstance(node, list):
-                stack.extend(node)
-        return sorted(set(names))
+    """The Arrow function. It is made in here so that workers get it whole and need not find this package."""
 
     def decode_bytes(raw: bytes, content_type: str) -> str:
         order = (("gb18030", "gbk") if "gb" in content_type.lower() else ()) + ("utf-8", "gb18030")
@@ -87,24 +99,16 @@ def _python_columns():
                 continue
         return raw.decode("utf-8", "replace")
 
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def entity_names(blocks: pa.Array) -> pa.Array:
-        """Distinct entity names, sorted. JSON trees of any depth are what SQL expressions can't walk, so this is Python,
-        over the blocks alone and in Arrow batches."""
-        import pyarrow
-
-        return pyarrow.array([entity_names_of(b) if b else [] for b in blocks.to_pylist()], pyarrow.list_(pyarrow.string()))
-
     @F.arrow_udf(T.StringType())
     def by_codec(body: pa.Array, content_type: pa.Array) -> pa.Array:
         import pyarrow
 
         return pyarrow.array([None if b is None else decode_bytes(b, c or "") for b, c in zip(body.to_pylist(), content_type.to_pylist(), strict=True)], pyarrow.string())
 
-    return entity_names, by_codec, entity_names_of, decode_bytes
+    return by_codec, decode_bytes
 
 
-entity_names, _by_codec, entity_names_of, decode_bytes = _python_columns()
+_by_codec, decode_bytes = _python_columns()
 
 
 def decoded(body: Column, content_type: Column) -> Column:

@@ -14,16 +14,10 @@ def _size(array: Column) -> Column:
     return F.size(array).cast("long")
 
 
-#: Input of up to so many bytes for each core is dealt to all cores first, if it comes in few pieces.
-SPREAD_BYTES = 32 << 20
-
-
 def spread(pages: DataFrame) -> DataFrame:
-    """The pages over all cores where they are few: reading them apart costs more than moving them. Large tables, of
-    which the estimated size is over SPREAD_BYTES a core, stay as they are."""
+    """The pages over all cores where they come in fewer files than that: reading them apart costs more than moving them."""
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return pages.repartition(cores) if size <= SPREAD_BYTES * cores else pages
+    return pages.repartition(cores) if len(pages.inputFiles()) < cores else pages
 
 
 def page_signals(pages: DataFrame, key: str = "page_id", robots_header: Column | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,3 +93,50 @@ def test_stamps(spark):
     assert row["attribution"]["brand"] == "acme" and provenance.EDGE in row["answer"] and "| by | acme, " in row["answer"] and row["other"] == "x"
     assert provenance.sealed(df, "again", brand).columns == df.columns
     assert spark.range(1).select(provenance.identity_line(brand)).first()[0].startswith("[page audit] acme")
+
+
+def test_entity_names_of_any_tree(spark):
+    """Random trees, with brackets, quotes and keys inside strings, against a walk in plain Python."""
+    import random
+
+    from pagelens.functions import patterns as P
+
+    rng = random.Random(5)
+    words = ["Organization", "Person", "Thing", "Acme", " Li ", 'q"x', "{", "}", '{"@type":"Organization","name":"no"}', "[", "]", "\\", 'a\\"name":"b', "é😀", "", "name", "@type"]
+
+    def tree(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.2:
+            return rng.choice([*words, 7, None, True, 1.5])
+        if kind < 0.4:
+            return [tree(depth - 1) for _ in range(rng.randrange(4))]
+        node = {rng.choice(["a", "b", "c", "{", "founder"]): tree(depth - 1) for _ in range(rng.randrange(4))}
+        if rng.random() < 0.8:
+            node["@type"] = rng.choice(["Organization", "Person", "Thing", 7, None, ["Thing", "Organization"], [["Organization"], 7], ["Brand", {"@type": "Organization", "name": "deep"}], []])
+        if rng.random() < 0.8:
+            node["name"] = rng.choice([*words, 7, None, ["Acme"], {"@type": "Person", "name": "inner"}])
+        return dict(sorted(node.items(), key=lambda _: rng.random()))
+
+    def walk(node):
+        if isinstance(node, dict):
+            kinds = node.get("@type")
+            if isinstance(node.get("name"), str) and any(k in P.ENTITY_TYPES for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)):
+                yield node["name"].strip()
+            node = list(node.values())
+        if isinstance(node, list):
+            for x in node:
+                yield from walk(x)
+
+    deep = {"@type": "Organization", "name": "bottom"}
+    for k in range(40):
+        deep = {"x": [deep], "name": f"n{k}"}
+    trees = [[tree(5) for _ in range(rng.randrange(1, 3))] for _ in range(300)] + [[deep]]
+    rows = spark.createDataFrame([(n, [json.dumps(t, ensure_ascii=False) for t in ts] + [None]) for n, ts in enumerate(trees)], "n int, raw array<string>")
+    got = {r["n"]: r["names"] for r in rows.select("n", text.entity_names(text.ld_of(F.col("raw"))).alias("names")).collect()}
+    assert got == {n: sorted({x for t in ts for x in walk(t)}) for n, ts in enumerate(trees)} and sum(map(bool, got.values())) > 100
+
+
+def test_page_signals_are_native(spark, small):
+    from pagelens.operators import signals
+
+    assert "Python" not in signals.page_signals(spark.read.parquet(f"{small}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
