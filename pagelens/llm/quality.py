@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import filter_batches, map_batches, one_text, prepare, sampled_ids, table, texts
+from pagelens.llm.common import filter_batches, map_batches, prepare, sampled_ids, table, texts
 
 #: Bounds of the training sample, which is taken by a hash of doc_id.
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
@@ -180,7 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "trusted": batch.column("trusted"), "web": batch.column("web"), "x": pa.array([list(map(float, features(t))) for t in texts(batch)], pa.list_(pa.float64()))})
 
-    rows = map_batches(one_text(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "trusted", "web"), kernel, "doc_id long, trusted boolean, web boolean, x array<double>").collect()
+    # Of several texts of an id the one with the least features counts, so that the rows are bounded as the ids are.
+    rows = map_batches(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), kernel, "doc_id long, trusted boolean, web boolean, x array<double>")
+    rows = rows.groupBy("doc_id", "trusted", "web").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     part = lambda name: np.array([r["x"] for r in rows if r[name]]).reshape(-1, len(NAMES))
     positive, unlabelled = part("trusted"), part("web")
