@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import http.server
+import itertools
 import re
 import threading
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +93,21 @@ def test_presence(spark, monkeypatch, most):
     assert shares["acme", "h"] == (2, 100.0) and shares["Acme Corp", "h"] == (1, 50.0) and shares["acme", None] == (1, 100.0)
 
 
+@pytest.mark.parametrize("buffer", [presence.BUFFER, 1])
+def test_presence_moves_neither_texts_nor_lists_of_brands(spark, monkeypatch, buffer):
+    """Few words and many brands made of them, so that each text has the words of most brands and holds few of them."""
+    monkeypatch.setattr(presence, "BUFFER", buffer)
+    words = ["".join(p) for p in itertools.product("abc", "xyzé")]
+    rows = [(n, "h" if n % 3 else None, " ".join(words[n * k % 11 % len(words)] for k in range(1, 9))) for n in range(60)]
+    known = [" ".join(b) for size in (1, 2, 3) for b in itertools.product(words, repeat=size)][::3] + [rows[7][2]]
+    texts, brands = spark.createDataFrame(rows, "key int, host string, text string"), spark.createDataFrame([(b,) for b in known], "brand string")
+    found = presence.presence(texts, brands)
+    want = Counter((b, host) for _, host, text in rows for b in known if f" {b} " in f" {text} ")
+    assert {(r["brand"], r["host"]): r["n_pages"] for r in found.collect()} == want and len(want) > 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_citations_don_t_depend_on_the_order_of_fetches(spark):
     samples = spark.createDataFrame([(1, "see https://a.example/x and https://b.example/")], "pos int, answer string")
     rows = [("https://a.example/x", "default", 200, {}, "", "", 0, None), ("https://a.example/x", "bot", 403, {}, "", "", 0, None), ("https://a.example/x", "default", 500, {}, "", "", 0, None), ("https://b.example/", "bot", 200, {}, "", "", 0, None)]
