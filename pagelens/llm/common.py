@@ -47,10 +47,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Makes Spark delete the shuffle files of a query when it ends. Else they stay until the driver's JVM collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder, which outlive any executor."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with files in the shared folder, which outlive any executor. The shuffle files behind them go at
+    once, so that the disk holds those of one step and not of all before it."""
+    spark = df.sparkSession
+    prepare(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan is bound to the setting when it is made
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
-from pagelens.llm import mixing, quality, toxicity
+from pagelens.llm import common, mixing, quality, toxicity
 
 
 def test_rows_without_an_id_are_dealt_over_ranges(spark):
@@ -27,3 +30,17 @@ def test_repeated_ids_do_not_swell_a_sample(spark, monkeypatch):
     quality.train(many, labels)
     assert seen and all(p <= 20 and u <= 20 for p, u in seen)
     assert toxicity.train(many, labels) == toxicity.train(many.repartition(5), labels)
+
+
+def test_a_checkpoint_leaves_no_shuffle_files(spark):
+    """They would stay beside those of all later steps, until the driver's JVM collects garbage."""
+    disk = spark._jsc.sc().env().blockManager().diskBlockManager()
+    names = lambda: set(re.findall(r"shuffle_\w+\.data", disk.getAllFiles().mkString(" ")))
+    before = names()
+    made = common.checkpoint(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    for _ in range(50):
+        if not names() - before:
+            break
+        time.sleep(0.2)
+    assert not names() - before
+    assert sum(r["n"] for r in made.collect()) == 1000 and spark.conf.get(common.CLEANUP, "false") == "false"
