@@ -27,6 +27,11 @@ def _rank() -> list[Column]:
     return [(F.col("status") == 200).alias("fine"), F.col("status"), F.col("final_url"), F.col("hops"), F.col("error")]
 
 
+def _mark() -> list[Column]:
+    """What decides among fetches of one rank: the hash of the body, one that SQL has too, then that of the headers."""
+    return [F.md5("body").alias("mark"), F.xxhash64(F.array_sort(F.map_entries("headers"))).alias("head")]
+
+
 def outcomes(fetches: DataFrame) -> DataFrame:
     """(url, ua, status, final_url, hops, error): one outcome for each url and user agent, the one with the best status, so
     that repeated rows don't repeat pages. Headers and bodies are not read."""
@@ -37,11 +42,11 @@ def contents(asked: DataFrame, fetches: DataFrame, *wanted: Column) -> DataFrame
     """(url, status, ...): what browsers get at the urls of ``asked``, with columns made of headers and body.
 
     Rows of other urls are left before anything is moved, and one shuffle by url serves the choice of a row for each
-    url and the join that follows.
+    url and the join that follows. Of several rows the one counts that ``evidence`` takes, in whatever order they come.
     """
-    rows = fetches.where("ua = 'default'").join(asked.select("url").distinct(), "url", "left_semi").select("url", *_rank()[1:], F.xxhash64("body").alias("mark"), *wanted)
-    names = [c for c in rows.columns if c not in ("url", "final_url", "hops", "error", "mark")]
-    best = F.max_by(F.struct(*names), F.struct(*_rank(), "mark"))
+    rows = fetches.where("ua = 'default'").join(asked.select("url").distinct(), "url", "left_semi").select("url", *_rank()[1:], *_mark(), *wanted)
+    names = [c for c in rows.columns if c not in ("url", "final_url", "hops", "error", "mark", "head")]
+    best = F.max_by(F.struct(*names), F.struct(*_rank(), "mark", "head"))
     return rows.groupBy("url").agg(best.alias("f")).select("url", "f.*")
 
 
@@ -122,7 +127,7 @@ def evidence(fetches: DataFrame) -> DataFrame:
     """
     is_file = F.col("url").endswith("/robots.txt") | F.col("url").endswith("/sitemap.xml")
     shown = F.coalesce(header(F.col("headers"), "content-type"), F.lit("")).contains("image") | (F.octet_length(F.coalesce("body", F.lit(""))) > 1000)
-    outcome = F.struct(*_rank(), F.xxhash64("body").alias("mark"), F.nullif(first_of(F.coalesce("body", F.lit("")), P.OG_IMAGE), F.lit("")).alias("og"), shown.alias("shown"), F.when(is_file, F.col("body")).alias("file"))
+    outcome = F.struct(*_rank(), *_mark(), F.nullif(first_of(F.coalesce("body", F.lit("")), P.OG_IMAGE), F.lit("")).alias("og"), shown.alias("shown"), F.when(is_file, F.col("body")).alias("file"))
     return fetches.select("url", "ua", outcome.alias("f")).groupBy("url").agg(*[F.max(F.when(F.col("ua") == a, F.col("f"))).alias(a) for a in AGENTS])
 
 

@@ -116,6 +116,36 @@ def test_citations_don_t_depend_on_the_order_of_fetches(spark):
         assert got == [("https://a.example/x", "verified"), ("https://b.example/", "error")]
 
 
+def test_tied_fetches_equal_sql_with_its_order_completed(spark, small, tmp_path):
+    """Pages that share a url tie in the SQL's ORDER BY, which leaves open whose fetch counts; with the rest of the order written
+    out, both sides take the same. Ids 32,032 apart agree in all that ranks a fetch, so bodies alone decide there."""
+    duckdb = pytest.importorskip("duckdb")
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    same = [pages.where(F.col("page_id") % 2 == n).withColumn("page_id", F.col("page_id") + k) for n, k in ((0, 32_032), (1, 1_001))]
+    other = [p.withColumn("html", F.concat("html", F.lit("<h2>What else?</h2><p>According to 3 of 5 sources in 2024.</p>"))) for p in same]
+    pages.unionByName(other[0]).unionByName(other[1]).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    order = "ORDER BY url, ua, status = 200 DESC, status DESC"
+    for name in ("site_checks", "full_checks", "full_fixes"):
+        assert order in catalog.ORACLE_SQL[name]
+        asked = con.execute(catalog.ORACLE_SQL[name].replace(order, f"{order}, final_url DESC NULLS LAST, hops DESC, error DESC NULLS LAST, md5(body) DESC NULLS LAST"))
+        got = catalog.QUERIES[name](spark, str(tmp_path)).select(*[d[0] for d in asked.description]).collect()
+        assert sorted(map(tuple, got)) == sorted(asked.fetchall())
+
+
+def test_fetches_that_differ_in_headers_alone_give_one_answer(spark):
+    """Whatever order they come in, and the same one for a page's own checks and for those of its site."""
+    pages = spark.createDataFrame([(1, "https://a.example/x")], "page_id int, url string")
+    kinds = [{"content-type": "text/html"}, {"content-type": "image/png", "x": "a"}, {"x": "b", "content-type": "text/plain"}, {"content-type": "image/gif"}]
+    took = set()
+    for order in itertools.permutations([("https://a.example/x", "default", 200, h, "", "", 0, None) for h in kinds]):
+        fetches = spark.createDataFrame(order, site.FETCH).coalesce(1)
+        own = site.contents(pages, fetches, site.header(F.col("headers"), "content-type").alias("kind"))
+        took.add(tuple(own.join(site.evidence(fetches), "url").select("kind", "default.shown").first()))
+    assert len(took) == 1 and all(("image" in kind) == shown for kind, shown in took)
+
+
 def test_json_ld_with_a_repeated_key(spark):
     html = '<script type="application/ld+json">{"@type":"Organization","name":"A","name":"B","sameAs":["https://x.example/1","https://x.example/2"]}</script><script type="application/ld+json">{broken</script>'
     r = signals.page_signals(spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")).first()
