@@ -18,6 +18,10 @@ Sets that share signatures are chained to the least document of the signature, c
 and clusters are verified exactly in blocks of bounded size. A cluster of several blocks in which few pairs share a
 signature, as a chain of chance meetings makes it, is taken apart and verified by signatures instead, so that no more
 pairs are compared than PartEnum names. Copies (equal sets) are one node throughout.
+
+Where links need not be counted, as for leaving out near copies, sets of large clusters are first held against the one
+that they were chained to. Families are one group after that, so only signatures are left whose sets stand in
+several groups, and no set of a family goes on for each signature or for each block of it.
 """
 
 from __future__ import annotations
@@ -304,6 +308,79 @@ def taken_apart(docs: DataFrame, members: DataFrame, rule: Rule, common) -> Data
     return whole.join(chains, "cluster", "left_anti").unionByName(apart.select("cluster", "sig", "node", "cost", F.lit(True).alias("pairs")))
 
 
+def _size(cost):
+    """Size of the blocks of a unit of that cost, which are three quarters full on average."""
+    return F.least(F.lit(float(BLOCK)), F.greatest(F.lit(float(SMALL)), cost / MANY))
+
+
+def unsettled(docs: DataFrame, members: DataFrame, pairs: DataFrame, rule: Rule, common) -> tuple[DataFrame, DataFrame | None]:
+    """What is left to verify to know the groups, (cluster, sig, node, cost, pairs, block, blocks), of cluster members (cluster,
+    node, cost, n, least), and (node, peer) of groups found on the way (None: no cluster is over SMALL).
+
+    The candidate ``pairs`` of clusters over SMALL are verified first; a member stands for each of its pairs. Linked sets of
+    different groups share a signature, and two that are alone with it were a pair. So the signatures left to verify are
+    those of three sets or more, of several groups, a unit for all that have the same groups; a cluster is verified whole
+    where that moves fewer shingles.
+    """
+    whole = members.select("cluster", F.lit(0).cast("long").alias("sig"), "node", "cost", F.lit(False).alias("pairs"), F.lit(0).alias("block"), F.lit(1).alias("blocks"))
+    large = checkpoint(members.groupBy("cluster").agg(F.sum("cost").alias("cost")).where(F.col("cost") > SMALL).select("cluster"))
+    if large.isEmpty():
+        return whole, None
+    large = _small(large)
+    inside = checkpoint(members.join(large, "cluster"))
+    side = lambda end: inside.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("cost", "n", "least")])
+    near = rule.den * F.least("n_a", "n_b") >= rule.num * F.greatest("least_a", "least_b")
+    stars = checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", F.col("cost_a").alias("cost")))
+    chunks = stars.groupBy("b").agg(F.ceil(F.sum("cost") / (SMALL * 0.75)).cast("int").alias("chunks"))
+    chunks = checkpoint(stars.join(chunks, "b").select(F.col("b").alias("cluster"), F.pmod(F.xxhash64("a"), "chunks").cast("long").alias("sig"), F.col("a").alias("node"), "cost"))
+    one = lambda df, block: df.select("cluster", "sig", F.lit(False).alias("pairs"), F.lit(0).alias("i"), F.lit(1).alias("j"), F.lit(block).alias("block"), "node")
+    wanted = one(chunks, 1).unionByName(one(chunks.withColumn("node", F.col("cluster")), 0).distinct())
+    n = max(partitions(docs.sparkSession), int((chunks.agg(F.sum("cost")).first()[0] or 0) // (4 * BLOCK)))
+    found = checkpoint(verified(with_shingles(docs, checkpoint(wanted), rule).repartition(n, "cluster", "sig").sortWithinPartitions("cluster", "sig", "i", "j"), rule).select("node", "peer"))
+
+    groups = connected_components(found.select(F.col("node").alias("a"), F.col("peer").alias("b"))).withColumnRenamed("component", "part")
+    inside = checkpoint(inside.join(groups, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    several = checkpoint(inside.groupBy("cluster").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last").select("cluster"))
+    mine = checkpoint(inside.join(_small(several), "cluster"))
+
+    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sigs = [np.unique(signatures(s, rule, common.value)) if len(s := shingles(t, rule.words)) else np.zeros(0, U) for t in texts(batch)]
+        each = [len(x) for x in sigs]
+        node, part = (np.repeat(batch.column(c).to_numpy(), each) for c in ("doc_id", "part"))
+        return pa.RecordBatch.from_pydict({"sig": signed(np.concatenate([np.zeros(0, U), *sigs])), "node": node, "part": part})
+
+    own = docs.join(_small(mine.select(F.col("node").alias("doc_id"), "part")), "doc_id").select("doc_id", "part", "text")
+    same, name = Window.partitionBy("sig"), F.xxhash64("part")
+    before = F.lag("part").over(same.orderBy("part"))
+    apart = map_batches(own, listed, "sig long, node long, part long").withColumn("new", before.isNull() | (before != F.col("part")))
+    # Signatures whose sets stand in the same groups are one unit; sums of two halves of a hash name it.
+    apart = apart.select(
+        "node", F.count("*").over(same).alias("sets"), F.count_if("new").over(same).alias("parts"),
+        F.sum(F.when(F.col("new"), F.shiftrightunsigned(name, 33))).over(same).alias("high"), F.sum(F.when(F.col("new"), name.bitwiseAND(0x7FFFFFFF))).over(same).alias("low"),
+    ).where("parts > 1 AND sets > 2")
+    apart = checkpoint(apart.select("node", F.xxhash64("parts", "high", "low").alias("sig")).distinct())
+    apart = _against_largest(apart.join(mine.select("cluster", "node", "cost", "n", "part"), "node"))
+    together = _against_largest(mine.withColumn("sig", F.lit(0).cast("long")))
+    moved = lambda rows, name: rows.groupBy("cluster").agg(F.sum(F.col("n") * F.col("blocks")).alias(name))
+    dear = _small(checkpoint(moved(apart, "apart").join(moved(together, "together"), "cluster").where("apart > together").select("cluster")))
+    apart, together = (rows.drop("n") for rows in (apart.join(dear, "cluster", "left_anti"), together.join(dear, "cluster", "left_semi")))
+    return whole.join(large, "cluster", "left_anti").unionByName(apart).unionByName(together), found
+
+
+def _against_largest(units: DataFrame) -> DataFrame:
+    """Units (cluster, sig, node, cost, n, part) dealt to blocks: members outside of the largest part (a group that is known) to
+    the first ones, which meet all blocks, and those of that part, which need not meet each other, to the others.
+    ``blocks``: how many a member's block meets, from the first on."""
+    cost = units.groupBy("cluster", "sig", "part").agg(F.sum("cost").alias("own")).groupBy("cluster", "sig").agg(F.sum("own").alias("total"), F.max(F.struct("own", "part")).alias("most"))
+    size, small = _size(F.col("total")) * 0.75, F.col("total") <= SMALL
+    first = F.when(small, 1).otherwise(F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("most.own")) / size).cast("int")))
+    rest = F.when(small, 0).otherwise(F.ceil(F.col("most.own") / size).cast("int"))
+    rows = units.join(cost.select("cluster", "sig", first.alias("first"), rest.alias("rest"), F.col("most.part").alias("largest")), ["cluster", "sig"])
+    later, place = (F.col("part") == F.col("largest")) & (F.col("rest") > 0), F.xxhash64("node")
+    block = F.when(later, F.col("first") + F.pmod(place, F.greatest(F.lit(1), "rest"))).otherwise(F.pmod(place, "first")).cast("int")
+    return checkpoint(rows.select("cluster", "sig", "node", "cost", "n", F.lit(False).alias("pairs"), block.alias("block"), F.when(later, F.col("first")).otherwise(F.col("first") + F.col("rest")).alias("blocks")))
+
+
 def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets[left] with sets[right], by products of 0/1 matrices in column blocks."""
     if len(left) * len(right) == 1:
@@ -376,8 +453,21 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def joined(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links), a row for every row of ``docs``.
+def with_shingles(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """The rows ``wanted`` (node, ...), each with the ``shingles`` of its document's text, made once for all of its rows."""
+    units = wanted.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "node"])).alias("units"))
+    near = docs.join(F.broadcast(units) if wanted.count() <= BROADCAST_ROWS else units, "doc_id").select("doc_id", "units", "text")
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, rule.words).tobytes() for t in texts(batch)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("units"), pa.array(sets, pa.binary())], ["node", "units", "shingles"])
+
+    rows = map_batches(near, kernel, f"node long, units {units.schema['units'].dataType.simpleString()}, shingles binary")
+    return rows.select("node", "shingles", F.inline("units"))
+
+
+def joined(docs: DataFrame, rule: Rule, counted: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links), a row for every row of ``docs``; without n_links unless ``counted``.
 
     component_id: the smallest doc_id reachable by links, its own included. n_links: how many other shingle sets its
     set links with; copies count once. A null or empty text, or one without words, has no shingles and links with
@@ -397,25 +487,23 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     for end in ("a", "b"):
         pairs = pairs.join(to_rep.withColumnRenamed("doc_id", end), end).drop(end).withColumnRenamed("rep", f"rep_{end}")
     pairs = pairs.where("rep_a <> rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    pairs = pairs if counted else checkpoint(pairs)
     clusters = connected_components(pairs)
 
-    sizes = known.where("rep IS NOT NULL").groupBy("rep").agg(F.max("n_shingles").alias("n"))
-    members = clusters.join(sizes.withColumnRenamed("rep", "node"), "node").select(F.col("component").alias("cluster"), "node", F.greatest("n", F.lit(NODE)).alias("cost"))
-    members = taken_apart(docs, checkpoint(members), rule, common)
-    # Members of a unit over a block's size are dealt to blocks by hash, three quarters full on average.
-    unit, size = ["cluster", "sig"], F.least(F.lit(float(BLOCK)), F.greatest(F.lit(float(SMALL)), F.col("cost") / MANY))
-    large = checkpoint(members.groupBy(*unit).agg(F.sum("cost").alias("cost")).where(F.col("cost") > SMALL).select(*unit, F.ceil(F.col("cost") / (size * 0.75)).cast("int").alias("blocks")))
-    split = not large.isEmpty() or not members.where("pairs").isEmpty()
-    blocks = members.join(_small(large), unit, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    blocks = checkpoint(blocks.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
-    wanted = blocks.select(F.col("node").alias("doc_id"), *unit, "pairs", "block", "blocks")
-    near = docs.join(_small(wanted), "doc_id")
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, rule.words).tobytes() for t in texts(batch)]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *unit, "pairs", "block", "blocks")), pa.array(sets, pa.binary())], ["node", *unit, "pairs", "block", "blocks", "shingles"])
-
-    rows = map_batches(near, kernel, "node long, cluster long, sig long, pairs boolean, block int, blocks int, shingles binary")
+    sizes = known.where("rep IS NOT NULL").groupBy("rep").agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("least"))
+    members = clusters.join(sizes.withColumnRenamed("rep", "node"), "node").select(F.col("component").alias("cluster"), "node", F.greatest("n", F.lit(NODE)).alias("cost"), "n", "least")
+    unit = ["cluster", "sig"]
+    if counted:
+        members, early = taken_apart(docs, checkpoint(members.drop("n", "least")), rule, common), None
+        # Members of a unit over a block's size are dealt to blocks by hash.
+        large = checkpoint(members.groupBy(*unit).agg(F.sum("cost").alias("cost")).where(F.col("cost") > SMALL).select(*unit, F.ceil(F.col("cost") / (_size(F.col("cost")) * 0.75)).cast("int").alias("blocks")))
+        split = not large.isEmpty() or not members.where("pairs").isEmpty()
+        blocks = members.join(_small(large), unit, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        blocks = checkpoint(blocks.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
+    else:
+        blocks, early = unsettled(docs, checkpoint(members), pairs, rule, common)
+        blocks, split = checkpoint(blocks), early is not None
+    rows = with_shingles(docs, blocks.select("node", *unit, "pairs", "block", "blocks"), rule)
     # Each pair of blocks of a unit is one task: a member goes to the tasks that its block is part of. A unit's tasks are
     # dealt round the partitions one by one, so that those of a large unit are spread evenly.
     tasks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*unit, "pairs", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
@@ -424,16 +512,19 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     found = checkpoint(verified(tasks.repartitionById(n, place).sortWithinPartitions(*unit, "i", "j"), rule))
     # Where every cluster is one block, its task has already found the groups.
     if split or not twice.isEmpty():
-        groups = connected_components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")).unionByName(twice))
+        links = found.select("node", "peer") if early is None else found.select("node", "peer").unionByName(early)
+        groups = connected_components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")).unionByName(twice))
     else:
         groups = found.groupBy("node").agg(F.min("peer").alias("component"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")
+    if not counted:
+        return known.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(F.explode("docs").alias("doc_id"), "n_shingles", "rep", "component").select("doc_id", "n_shingles", own)
     named = found.where("links IS NULL").select("node", "peer").distinct()
     named = named.unionByName(named.select(F.col("peer").alias("node"), F.col("node").alias("peer"))).groupBy("node").agg(F.count("*").alias("links"))
     degree = found.where("links IS NOT NULL").select("node", "links").unionByName(named).groupBy("node").agg(F.sum("links").alias("n_links"))
     by_rep = groups.join(degree, "node", "left").withColumnRenamed("node", "rep")
     out = known.join(by_rep, "rep", "left").select(F.explode("docs").alias("doc_id"), "n_shingles", "rep", "component", "n_links")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", own, F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -453,7 +544,7 @@ def deduplicated(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     # A node is a doc_id, or a hash of doc_id and text where an id stands with several texts; null stays whatever comes.
     rows = docs.join(_small(several), "doc_id", "left") if split else docs.withColumn(order, F.lit(None).cast("boolean"))
     rows = rows.withColumn(node, F.when(wordy, F.when(F.col(order), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))).drop(order)
-    groups = checkpoint(joined(rows.select(F.col(node).alias("doc_id"), "text"), rule))
+    groups = checkpoint(joined(rows.select(F.col(node).alias("doc_id"), "text"), rule, counted=False))
     nodes = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(node)).agg(F.min("component_id").alias("component"), F.count("*").alias("rows"))
     gone = nodes.where(F.col(node) != F.col("component")).select(node)
     if split:
